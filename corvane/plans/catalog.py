@@ -1,2 +1,724 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the driver's tables, one or more per operator, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.functions import registry, scalar
+from corvane.operators import batch, ordering, partition, reader, tenancy, writes
+from corvane.operators import predicate as P
+from corvane.operators.writes import BulkMode, Mode, Op
+from corvane.sources import schema
+from corvane.streaming import events as ev
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# Predicates -----------------------------------------------------------------------------------
+
+LINE = "l_orderkey, l_linenumber, l_quantity"
+
+
+def filtered(name: str, source: str, columns: str, p: P.Predicate) -> None:
+    """A query and its SQL from one predicate."""
+    where = f" WHERE {s}" if (s := p.to_sql()) else ""
+    cols = [c.strip() for c in columns.split(",")]
+    query(name, f"SELECT {columns} FROM {source}{where}")(lambda spark, d: P.apply(table(spark, d, source), p).select(*cols))
+
+
+for _name, _op in (("eq", "="), ("ne", "!="), ("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<=")):
+    filtered(f"pred_compare_{_name}", "lineitem", LINE, P.compare("l_quantity", _op, 25.0))
+filtered("pred_negate", "lineitem", LINE, P.negated(P.compare("l_quantity", ">", 25.0)))
+filtered("pred_swap", "lineitem", LINE, P.compare("l_quantity", "<", 10.0).swap())
+filtered("pred_custom_operator", "part", "p_partkey, p_name", P.compare("p_name", "LIKE", "%a%"))
+filtered("pred_compound", "events", "event_id, event_type, value", P.And(P.in_array("event_type", ["purchase", "signup"]), P.compare("value", ">", 50.0)))
+filtered("pred_or_nested", "orders", "o_orderkey, o_orderstatus", P.Or(P.And(P.compare("o_orderstatus", "=", "F"), P.compare("o_totalprice", ">", 100000.0)), P.Or(P.compare("o_orderpriority", "=", "1-URGENT"), P.compare("o_orderstatus", "=", "P"))))
+filtered("pred_empty_compound", "nation", "n_nationkey", P.And())
+filtered("pred_combine_and", "orders", "o_orderkey", P.combine_and(P.compare("o_orderstatus", "=", "O"), P.compare("o_totalprice", "<", 50000.0), P.compare("o_orderkey", ">", 10)))
+filtered("pred_not", "customer", "c_custkey", P.Not(P.And(P.compare("c_mktsegment", "=", "BUILDING"), P.compare("c_acctbal", ">", 0.0))))
+filtered("pred_in_array", "customer", "c_custkey, c_mktsegment", P.in_array("c_mktsegment", ["BUILDING", "MACHINERY"]))
+filtered("pred_literal", "part", "p_partkey", P.Or(P.FALSE, P.And(P.TRUE, P.compare("p_size", ">", 10))))
+filtered("pred_literal_reversed", "region", "r_regionkey", P.TRUE.negate())
+filtered("pred_raw_params", "part", "p_partkey, p_size", P.Raw("p_size between ? and ?", (5, 15)))
+filtered("pred_token_params", "part", "p_partkey, p_size", P.Raw("p_size between ^ and ^", (5, 15), "^"))
+filtered("pred_named_params", "part", "p_partkey", P.Raw("p_size > :low and p_brand <> :brand", {"low": 20, "brand": "Brand#11"}))
+filtered("pred_by_id", "orders", "o_orderkey, o_totalprice", P.by_id(7, "o_orderkey"))
+filtered("pred_starts_with", "part", "p_partkey", P.compare("p_type", "LIKE", "S%"))
+
+
+@query("pred_long_list", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT unnest(range(0, 4000, 2)))")
+def pred_long_list(spark, d):
+    return P.apply(table(spark, d, "orders"), P.in_array("o_custkey", range(0, 4000, 2))).select("o_orderkey")
+
+
+@query("pred_in_subquery", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def pred_in_subquery(spark, d):
+    rich = P.apply(table(spark, d, "customer"), P.compare("c_acctbal", ">", 5000.0))
+    return P.apply(table(spark, d, "orders"), P.InSubQuery("o_custkey", rich, "c_custkey")).select("o_orderkey", "o_custkey")
+
+
+@query("pred_not_in_subquery", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR NOT o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def pred_not_in_subquery(spark, d):
+    rich = table(spark, d, "customer").where("c_acctbal > 5000")
+    p = P.Or(P.compare("o_orderstatus", "=", "F"), P.Not(P.InSubQuery("o_custkey", rich, "c_custkey")))
+    return P.apply(table(spark, d, "orders"), p).select("o_orderkey")
+
+
+LABELLED = "(SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)"
+for _name, _p in (
+    ("one_of", P.EnumIsOneOf((1,), "quality")),
+    ("one_of_null", P.EnumIsOneOf((1, None), "quality")),
+    ("only_null", P.EnumIsOneOf((None,), "quality")),
+    ("not_one_of", P.EnumIsNotOneOf((1,), "quality")),
+):
+
+    @query(f"pred_enum_{_name}", f"SELECT doc_id, quality FROM {LABELLED} WHERE {_p.to_sql()}")
+    def _enum(spark, d, p=_p):
+        x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+        return P.apply(x, p)
+
+
+# Reads ----------------------------------------------------------------------------------------
+
+
+def documents_of(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("data"), F.col("lang").alias("doc_type"), F.col("source").alias("tenant_id"), (F.col("doc_id") % 10 == 3).alias("deleted"))
+
+
+@query("read_load", "SELECT doc_id AS id FROM documents WHERE doc_id = 42")
+def read_load(spark, d):
+    return reader.Reader(documents_of(spark, d)).load(42).select("id")
+
+
+@query("read_load_many", "SELECT doc_id AS id, length(text) AS n FROM documents WHERE doc_id IN (1, 5, 13, 99999999) AND doc_id % 10 <> 3")
+def read_load_many(spark, d):
+    return reader.Reader(documents_of(spark, d)).load_many([1, 5, 13, 99999999]).select("id", F.length("data").cast("long").alias("n"))
+
+
+@query("read_default_filters", "SELECT doc_id AS id FROM documents WHERE source = 'src3' AND doc_id % 10 <> 3")
+def read_default_filters(spark, d):
+    return reader.Reader(documents_of(spark, d), tenant="src3").query().select("id")
+
+
+@query("read_identity_map", "SELECT user_id AS id, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS data FROM events GROUP BY user_id")
+def read_identity_map(spark, d):
+    x = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("data"), "event_id")
+    return reader.Reader(x, tracking="identity", order=("event_id",)).query().select("id", "event_id", "data")
+
+
+@query("read_dirty_tracking", "SELECT doc_id AS id, md5(text) AS was, md5(text) AS now FROM documents WHERE lang = 'en' AND doc_id % 10 <> 3")
+def read_dirty_tracking(spark, d):
+    x = reader.Reader(documents_of(spark, d), tracking="dirty", order=("data",)).query(P.compare("doc_type", "=", "en"))
+    return x.select("id", F.md5("as_read").alias("was"), F.md5("data").alias("now"))
+
+
+@query("read_hierarchical", "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'purchase'")
+def read_hierarchical(spark, d):
+    x = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("data"), F.col("event_type").alias("doc_type"))
+    r = reader.Reader(x, tracking="identity", order=("doc_type",), subtypes={"purchase": T.StructType().add("k", T.IntegerType())})
+    return r.of_type("purchase").select("id", F.col("data.k").alias("k"))
+
+
+@query("read_json_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def read_json_path(spark, d):
+    return table(spark, d, "events").select("event_id", scalar.json_at(F.col("props"), "$.k").cast("int").alias("k"))
+
+
+@query("read_project", "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
+def read_project(spark, d):
+    declared = T.StructType().add("C_CustKey", T.IntegerType()).add("c_nationkey", "string").add("nothing_like_it", "string")
+    return reader.project(table(spark, d, "customer"), declared).withColumnRenamed("C_CustKey", "c_custkey")
+
+
+@query("read_metadata", "SELECT doc_id, source AS tenant_id, 'doc' AS doc_type, 'job' AS last_modified_by, true AS stamped, false AS deleted FROM (SELECT doc_id, source FROM documents)")
+def read_metadata(spark, d):
+    x = reader.metadata(table(spark, d, "documents").select("doc_id", F.col("source").alias("tenant_id")), doc_type="doc", by="job")
+    return x.select("doc_id", "tenant_id", "doc_type", "last_modified_by", F.col("last_modified").isNotNull().alias("stamped"), "deleted")
+
+
+# Batches and commands -------------------------------------------------------------------------
+
+
+@query(
+    "batch_list_single_scalar",
+    "SELECT 'list' AS tag, CAST(r_regionkey AS BIGINT) AS n FROM region UNION ALL SELECT 'single', min(o_orderkey) FROM orders UNION ALL SELECT 'scalar', count(*) FROM lineitem",
+)
+def batch_list_single_scalar(spark, d):
+    b = batch.Batch()
+    rows = b.query(table(spark, d, "region").select(F.col("r_regionkey").cast("long")))
+    one = b.single(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    n = b.scalar(table(spark, d, "lineitem").agg(F.count("*")))
+    b.execute()
+    out = [("list", r[0]) for r in rows.result()] + [("single", one.result()[0]), ("scalar", n.result())]
+    return spark.createDataFrame(out, "tag string, n long")
+
+
+@query("command_parameters", "SELECT c_custkey FROM customer WHERE c_acctbal > 1000 AND c_mktsegment IN ('BUILDING', 'AUTOMOBILE') AND c_nationkey <> 3")
+def command_parameters(spark, d):
+    table(spark, d, "customer").createOrReplaceTempView("corvane_customer")
+    c = batch.Command().append("SELECT c_custkey FROM corvane_customer WHERE c_acctbal > ").parameter(1000).append(" AND c_mktsegment IN (")
+    c.group(["BUILDING", "AUTOMOBILE"]).append(")").named("n", 3).named("n", 4).append(" AND c_nationkey <> :n")
+    return c.run(spark)
+
+
+@query("command_array_parameter", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 2)")
+def command_array_parameter(spark, d):
+    table(spark, d, "nation").createOrReplaceTempView("corvane_nation")
+    return batch.Command().with_values("SELECT n_nationkey FROM corvane_nation WHERE array_contains(?, n_regionkey)", [[1, 2]]).run(spark)
+
+
+# Order and aggregates -------------------------------------------------------------------------
+
+
+@query(
+    "sort_nulls_first_last",
+    f"SELECT doc_id, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS at FROM {LABELLED}",
+)
+def sort_nulls_first_last(spark, d):
+    x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    x = x.withColumn("k", F.coalesce(-F.col("quality"), F.lit(-9)))
+    return ordering.dense_index(x, "k", "doc_id", name="at").select("doc_id", (F.col("at") + 1).alias("at"))
+
+
+@query("sort_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
+def sort_top(spark, d):
+    return ordering.ordered(table(spark, d, "orders"), ("o_totalprice", True, False), ("o_orderkey", False, None)).select("o_orderkey", "o_totalprice").limit(20)
+
+
+@query("keep_newest_n", "SELECT o_orderkey, o_orderdate FROM (SELECT *, rank() OVER (ORDER BY o_orderdate DESC) AS r FROM orders) WHERE r <= 25")
+def keep_newest_n(spark, d):
+    return ordering.newest(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 25)
+
+
+@query("agg_ordered_array", "SELECT user_id, list(event_type ORDER BY ts, event_id) AS types FROM events GROUP BY user_id")
+def agg_ordered_array(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(ordering.ordered_array("event_type", "ts", "event_id").alias("types"))
+
+
+@query("agg_ordered_string", "SELECT user_id, string_agg(event_type, ', ' ORDER BY ts, event_id) AS types FROM events GROUP BY user_id")
+def agg_ordered_string(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(ordering.ordered_string("event_type", ", ", "ts", "event_id").alias("types"))
+
+
+@query("agg_argmin", "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS first FROM nation GROUP BY n_regionkey")
+def agg_argmin(spark, d):
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("first"))
+
+
+@query("agg_scalar", "SELECT count(*) AS n, max(o_totalprice) AS most FROM orders")
+def agg_scalar(spark, d):
+    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+
+
+@query("agg_ignore_case", "SELECT lower(c_mktsegment) AS bucket, count(*) AS n FROM customer GROUP BY 1")
+def agg_ignore_case(spark, d):
+    return table(spark, d, "customer").groupBy(F.lower("c_mktsegment").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("agg_distinct_schemas", "SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def agg_distinct_schemas(spark, d):
+    return table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("name")).distinct()
+
+
+# Joins ----------------------------------------------------------------------------------------
+
+
+@query("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def join_semi(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def join_anti(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("join_chain", "SELECT r_name, n_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def join_chain(spark, d):
+    r, n, c = (table(spark, d, t) for t in ("region", "nation", "customer"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name", "n_name").agg(F.count("*").alias("n"))
+
+
+@query("join_self", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def join_self(spark, d):
+    a, b = (table(spark, d, "nation").select(F.col("n_nationkey").alias(x), F.col("n_regionkey").alias(f"r{x}")) for x in "ab")
+    return a.join(b, (F.col("ra") == F.col("rb")) & (F.col("a") < F.col("b"))).select("a", "b")
+
+
+@query("join_left", f"SELECT doc_id, quality FROM {LABELLED}")
+def join_left(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+@query("join_unnest_ordinality", "SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id < 50)")
+def join_unnest_ordinality(spark, d):
+    x = table(spark, d, "documents").where("doc_id < 50")
+    return x.select("doc_id", scalar.with_ordinality(F.split("text", "\n", -1)).alias("e")).select("doc_id", F.col("e.pos").cast("long").alias("pos"), "e.value")
+
+
+@query(
+    "diff_full_outer",
+    """SELECT coalesce(e.c_name, a.c_name) AS c_name, CASE WHEN a.c_name IS NULL THEN 'missing' WHEN e.c_name IS NULL THEN 'extra' WHEN e.v = a.v THEN 'matched' ELSE 'different' END AS state
+       FROM (SELECT c_name, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0) e FULL JOIN (SELECT c_name, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 4 <> 0) a ON e.c_name = a.c_name""",
+)
+def diff_full_outer(spark, d):
+    c = table(spark, d, "customer")
+    e = c.where("c_custkey % 3 <> 0").select("c_name", F.col("c_acctbal").alias("v"))
+    a = c.where("c_custkey % 4 <> 0").select(F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).alias("v"))
+    names = c.select("c_name", F.upper("c_name").alias("u"))
+    found = ordering.matched(e, a, "c_name", "v").withColumn("u", F.upper("c_name")).drop("c_name")
+    return found.join(names, "u").select("c_name", "state")
+
+
+# Writes ---------------------------------------------------------------------------------------
+
+CURRENT = {"off": "NULL", "optimistic": "'v' || c_custkey", "numeric": "c_custkey % 5 + 1"}
+CUR_SQL = "(SELECT c_custkey AS id, c_name AS data, {v} AS version FROM customer WHERE c_custkey % 10 <> 0)"
+INC_SQL = """(SELECT id, data, CASE WHEN id % 4 = 1 THEN NULL WHEN id % 4 = 2 THEN 'stale' ELSE 'v' || id END AS expected, 'n' || id AS new_version, id % 4 AS revision
+              FROM (SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS id, 'new ' || c_name AS data FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 10 = 0))"""
+
+
+def current_of(spark, d, mode: Mode) -> DataFrame:
+    kind = "bigint" if mode is Mode.NUMERIC else "string"
+    return table(spark, d, "customer").where("c_custkey % 10 <> 0").selectExpr("c_custkey AS id", "c_name AS data", f"CAST({CURRENT[mode.value]} AS {kind}) AS version")
+
+
+def incoming_of(spark, d) -> DataFrame:
+    x = table(spark, d, "customer").where("c_custkey % 3 = 0 OR c_custkey % 10 = 0")
+    x = x.selectExpr("CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS id", "'new ' || c_name AS data")
+    return x.selectExpr("id", "data", "CASE WHEN id % 4 = 1 THEN NULL WHEN id % 4 = 2 THEN 'stale' ELSE 'v' || id END AS expected", "'n' || id AS new_version", "id % 4 AS revision", "id AS op_seq")
+
+
+def write_sql(op: Op, mode: Mode) -> tuple[str, str, str]:
+    """FROM clause, why an operation is refused, and the version it gives."""
+    there = "cur.id IS NOT NULL"
+    fails = {"off": "false", "optimistic": "NOT coalesce(cur.version = inc.expected, false)", "numeric": "NOT (inc.revision = 0 OR cur.version < inc.revision)"}[mode.value]
+    why = {
+        Op.INSERT: f"CASE WHEN {there} THEN 'exists' END",
+        Op.UPDATE: f"CASE WHEN cur.id IS NULL THEN '{'conflict' if mode is Mode.OPTIMISTIC else 'missing'}' WHEN {fails} THEN 'conflict' END",
+        Op.UPSERT: f"CASE WHEN {there} AND {fails} THEN 'conflict' END",
+        Op.OVERWRITE: "CAST(NULL AS VARCHAR)",
+    }[op]
+    version = {"off": "NULL", "optimistic": "inc.new_version", "numeric": f"CASE WHEN inc.revision <> 0 THEN inc.revision WHEN {there} THEN cur.version + 1 ELSE 1 END"}[mode.value]
+    return f"{CUR_SQL.format(v=CURRENT[mode.value])} cur FULL JOIN {INC_SQL} inc ON cur.id = inc.id", why, version
+
+
+def _write(op: Op, mode: Mode) -> None:
+    source, why, version = write_sql(op, mode)
+    ok = f"(inc.id IS NOT NULL AND ({why}) IS NULL)"
+    kind = "BIGINT" if mode is Mode.NUMERIC else "VARCHAR"
+    plan = lambda spark, d: writes.plan_write(current_of(spark, d, mode), incoming_of(spark, d), op, mode)
+    query(
+        f"write_{op.value}_{mode.value}",
+        f"SELECT coalesce(cur.id, inc.id) AS id, CASE WHEN {ok} THEN inc.data ELSE cur.data END AS data, CAST(CASE WHEN {ok} THEN {version} ELSE cur.version END AS {kind}) AS version FROM {source} WHERE cur.id IS NOT NULL OR {ok}",
+    )(lambda spark, d: writes.next_state(plan(spark, d)))
+    query(f"write_rejections_{op.value}_{mode.value}", f"SELECT inc.id, inc.id AS op_seq, {why} AS reason FROM {source} WHERE inc.id IS NOT NULL AND ({why}) IS NOT NULL")(lambda spark, d: writes.rejections(plan(spark, d)))
+
+
+for _op in Op:
+    for _mode in Mode:
+        _write(_op, _mode)
+
+
+@query("write_repeated_in_batch", "SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS version, arg_max(CAST(o_orderkey AS VARCHAR), o_orderkey) AS data FROM orders GROUP BY o_custkey")
+def write_repeated_in_batch(spark, d):
+    x = table(spark, d, "orders").selectExpr("o_custkey AS id", "CAST(o_orderkey AS STRING) AS data", "o_orderkey AS op_seq", "0L AS revision")
+    return writes.next_state(writes.plan_write(spark.createDataFrame([], "id long, data string, version long"), x, Op.UPSERT, Mode.NUMERIC)).select("id", "version", "data")
+
+
+@query("write_bulk_inserts_only", "SELECT c_custkey AS id, c_name AS data FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 1")
+def write_bulk_inserts_only(spark, d):
+    c = table(spark, d, "customer")
+    return writes.bulk(c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "c_name AS data"), c.where("c_custkey % 2 = 1").selectExpr("c_custkey AS id", "'new' AS data"), BulkMode.INSERTS_ONLY)
+
+
+BULK_CUR = "(SELECT c_custkey AS id, c_name AS data, 'v' || c_custkey AS version FROM customer WHERE c_custkey % 3 <> 0)"
+BULK_INC = "(SELECT c_custkey AS id, 'new' AS data, 'w' || c_custkey AS version, CASE WHEN c_custkey % 4 = 0 THEN 'v' || c_custkey END AS expected FROM customer WHERE c_custkey % 2 = 0)"
+for _mode, _wins in ((BulkMode.IGNORE_DUPLICATES, "cur.id IS NULL"), (BulkMode.OVERWRITE_EXISTING, "inc.id IS NOT NULL"), (BulkMode.OVERWRITE_IF_VERSION_MATCHES, "inc.id IS NOT NULL AND (cur.id IS NULL OR cur.version = inc.expected)")):
+
+    @query(
+        f"write_bulk_{_mode.name.lower()}",
+        f"SELECT coalesce(cur.id, inc.id) AS id, CASE WHEN {_wins} THEN inc.data ELSE cur.data END AS data, CASE WHEN {_wins} THEN inc.version ELSE cur.version END AS version FROM {BULK_CUR} cur FULL JOIN {BULK_INC} inc ON cur.id = inc.id",
+    )
+    def _bulk(spark, d, mode=_mode):
+        c = table(spark, d, "customer")
+        cur = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS id", "c_name AS data", "'v' || c_custkey AS version")
+        inc = c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "'new' AS data", "'w' || c_custkey AS version", "CASE WHEN c_custkey % 4 = 0 THEN 'v' || c_custkey END AS expected")
+        return writes.bulk(cur, inc, mode)
+
+
+@query("write_upsert_columns", "SELECT coalesce(c.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.a ELSE c.a END AS a, CASE WHEN c.k IS NULL THEN n.b ELSE c.b END AS b FROM (SELECT c_custkey AS k, c_name AS a, c_mktsegment AS b FROM customer WHERE c_custkey % 3 <> 0) c FULL JOIN (SELECT c_custkey AS k, 'x' AS a, 'y' AS b FROM customer WHERE c_custkey % 2 = 0) n ON c.k = n.k")
+def write_upsert_columns(spark, d):
+    c = table(spark, d, "customer")
+    cur = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "c_name AS a", "c_mktsegment AS b")
+    return writes.upsert_columns(cur, c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "'x' AS a", "'y' AS b"), ["k"], ["a"])
+
+
+@query("write_soft_delete", "SELECT doc_id AS id, doc_id % 10 = 3 OR doc_id % 4 = 0 AS deleted, CASE WHEN doc_id % 4 = 0 AND doc_id % 10 <> 3 THEN TIMESTAMP '2024-01-20 00:00:00' END AS deleted_at FROM documents")
+def write_soft_delete(spark, d):
+    docs = documents_of(spark, d).select("id", "deleted").withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
+    return writes.soft_delete(docs, docs.where("id % 4 = 0"), F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz"))
+
+
+@query("write_hard_delete", "SELECT doc_id AS id FROM documents WHERE doc_id % 4 <> 0")
+def write_hard_delete(spark, d):
+    docs = documents_of(spark, d).select("id")
+    return writes.hard_delete(docs, docs.where("id % 4 = 0"))
+
+
+@query("write_change_detect", "SELECT event_id AS id, 'upsert' AS op FROM events WHERE event_id % 3 = 0")
+def write_change_detect(spark, d):
+    x = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a": 1, "p": '), "props", F.lit("}")).alias("data"), "props")
+    after = x.select("id", F.when(F.col("id") % 3 == 0, F.lit('{"a": 2}')).otherwise(F.concat(F.lit('{"p":'), "props", F.lit(', "a":1}'))).alias("data"))
+    return writes.changes(x.select("id", "data"), after).select("id", "op")
+
+
+@query("write_insert_absent", "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def write_insert_absent(spark, d):
+    known = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "value string")
+    return writes.insert_absent(known, table(spark, d, "customer").select(F.col("c_mktsegment").alias("value")), ["value"])
+
+
+# Events ---------------------------------------------------------------------------------------
+
+STREAM_SQL = "(SELECT 't' AS tenant_id, CAST(user_id AS VARCHAR) AS stream_id, user_id % 5 + 1 AS version FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 0))"
+
+
+def streams_of(spark, d) -> DataFrame:
+    x = table(spark, d, "events").where("user_id % 3 <> 0").select("user_id").distinct()
+    return x.selectExpr("'t' AS tenant_id", "CAST(user_id AS STRING) AS stream_id", "user_id % 5 + 1 AS version", "false AS archived")
+
+
+def events_of(spark, d) -> DataFrame:
+    return table(spark, d, "events").selectExpr("props AS data", "event_type AS type", "event_id AS id", "CAST(user_id AS STRING) AS stream_id", "ts AS timestamp", "'t' AS tenant_id", "event_id AS op_seq")
+
+
+APPENDED_SQL = f"""SELECT id, stream_id, coalesce(v, 0) + n AS version, seq_id FROM (
+    SELECT event_id AS id, CAST(user_id AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, 100 + row_number() OVER (ORDER BY event_id) AS seq_id FROM events)
+    LEFT JOIN (SELECT stream_id AS s, version AS v FROM {STREAM_SQL}) ON s = stream_id"""
+
+
+@query("event_append", APPENDED_SQL)
+def event_append(spark, d):
+    return ev.plan_append(streams_of(spark, d), events_of(spark, d), ev.Append.QUICK, 101).select("id", "stream_id", "version", "seq_id")
+
+
+@query("event_append_server_time", "SELECT event_id AS id, TIMESTAMP '2024-02-01 00:00:00' AS timestamp FROM events")
+def event_append_server_time(spark, d):
+    now = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
+    return ev.plan_append(streams_of(spark, d), events_of(spark, d), ev.Append.SERVER_TIME, now=now).select("id", "timestamp")
+
+
+@query("event_stream_versions", f"SELECT coalesce(s.stream_id, e.stream_id) AS stream_id, coalesce(e.top, s.version) AS version FROM {STREAM_SQL} s FULL JOIN (SELECT stream_id, max(version) AS top FROM ({APPENDED_SQL}) GROUP BY 1) e ON s.stream_id = e.stream_id")
+def event_stream_versions(spark, d):
+    s = streams_of(spark, d)
+    return ev.advanced(s, ev.plan_append(s, events_of(spark, d))).select("stream_id", "version")
+
+
+@query("event_refuse_zero", "SELECT event_id AS id, 'version 0' AS reason FROM events WHERE event_id % 7 = 0")
+def event_refuse_zero(spark, d):
+    return ev.refused_zero(events_of(spark, d).withColumn("version", F.col("op_seq") % 7)).select("id", "reason")
+
+
+@query("event_start_stream", "SELECT CAST(user_id AS VARCHAR) AS stream_id, user_id % 3 <> 0 AS refused FROM (SELECT DISTINCT user_id FROM events)")
+def event_start_stream(spark, d):
+    new = events_of(spark, d).select("tenant_id", "stream_id").distinct()
+    ok, bad = ev.start_streams(streams_of(spark, d), new)
+    return ok.select("stream_id", F.lit(False).alias("refused")).unionByName(bad.select("stream_id", F.lit(True).alias("refused")))
+
+
+EXPECT_SQL = "(SELECT 't' AS tenant_id, CAST(user_id AS VARCHAR) AS stream_id, user_id % 2 AS expected FROM (SELECT DISTINCT user_id FROM events))"
+
+
+@query("event_assert_version", f"SELECT e.stream_id, e.expected, coalesce(s.version, 0) AS actual FROM {EXPECT_SQL} e LEFT JOIN {STREAM_SQL} s ON e.stream_id = s.stream_id AND e.tenant_id = s.tenant_id WHERE s.version IS NULL OR s.version <> e.expected")
+def event_assert_version(spark, d):
+    expected = table(spark, d, "events").select("user_id").distinct().selectExpr("'t' AS tenant_id", "CAST(user_id AS STRING) AS stream_id", "user_id % 2 AS expected")
+    return ev.wrong_versions(streams_of(spark, d), expected).select("stream_id", "expected", "actual")
+
+
+@query("event_update_version", f"SELECT s.stream_id, CASE WHEN s.version = e.expected THEN s.version + 10 ELSE s.version END AS version FROM {STREAM_SQL} s LEFT JOIN {EXPECT_SQL} e ON s.stream_id = e.stream_id")
+def event_update_version(spark, d):
+    s = streams_of(spark, d)
+    c = table(spark, d, "events").select("user_id").distinct().selectExpr("'t' AS tenant_id", "CAST(user_id AS STRING) AS stream_id", "user_id % 2 AS expected", "user_id % 2 + 10 AS new")
+    return ev.update_versions(s, c)[0].select("stream_id", "version")
+
+
+@query("event_archive", f"SELECT stream_id, CAST(stream_id AS BIGINT) % 2 = 0 AS archived FROM {STREAM_SQL}")
+def event_archive(spark, d):
+    s = streams_of(spark, d)
+    return ev.archive(s, s.where("CAST(stream_id AS BIGINT) % 2 = 0")).select("stream_id", "archived")
+
+
+@query("event_tombstone", "SELECT event_id AS id FROM events WHERE user_id % 2 <> 0")
+def event_tombstone(spark, d):
+    e = events_of(spark, d)
+    return ev.tombstone(streams_of(spark, d), e, e.where("CAST(stream_id AS BIGINT) % 2 = 0"))[1].select("id")
+
+
+@query("event_progress", "SELECT event_type AS shard, greatest(max(event_id), 500) AS last_seq FROM events GROUP BY 1")
+def event_progress(spark, d):
+    x = table(spark, d, "events").select(F.col("event_type").alias("shard"), F.col("event_id").alias("seq_id"))
+    return ev.progress(x.select("shard").distinct().withColumn("last_seq", F.lit(500).cast("long")), x)
+
+
+# Partitions -----------------------------------------------------------------------------------
+
+NOW = dt.datetime(2024, 1, 20)
+DAILY = partition.RollingWindow(partition.Period.DAY, 5, 2)
+
+
+@query("part_range", "SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-11' THEN 'early' WHEN ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21' THEN 'middle' ELSE 'default' END AS suffix FROM events")
+def part_range(spark, d):
+    day = lambda n: dt.datetime(2024, 1, n)
+    ranges = [("early", day(1), day(11)), ("middle", day(11), day(21))]
+    return table(spark, d, "events").select("event_id", partition.by_range(F.col("ts"), ranges).alias("suffix"))
+
+
+@query("part_ranges_many", "SELECT o_orderkey, CASE WHEN o_totalprice >= 0 AND o_totalprice < 200000 THEN 'b' || CAST(floor(o_totalprice / 1000) AS INTEGER) ELSE 'default' END AS suffix FROM orders")
+def part_ranges_many(spark, d):
+    ranges = spark.createDataFrame([(f"b{i}", i * 1000.0, (i + 1) * 1000.0) for i in range(200)], "suffix string, start double, end double")
+    return partition.by_ranges(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges).select("o_orderkey", "suffix")
+
+
+@query("part_list", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'heavy' WHEN 'MACHINERY' THEN 'heavy' WHEN 'AUTOMOBILE' THEN 'cars' ELSE 'default' END AS suffix FROM customer")
+def part_list(spark, d):
+    return table(spark, d, "customer").select("c_custkey", partition.by_list(F.col("c_mktsegment"), {"heavy": ["BUILDING", "MACHINERY"], "cars": ["AUTOMOBILE"]}).alias("suffix"))
+
+
+@query("part_hash")
+def part_hash(spark, d):
+    return table(spark, d, "customer").select("c_custkey", partition.by_hash(F.col("c_name"), ["one", "two", "three"]).alias("suffix"))
+
+
+_PERIODS = (("hour", "'h' || strftime(date_trunc('hour', ts), '%Y%m%d%H')"), ("day", "'d' || strftime(ts, '%Y%m%d')"), ("week", "'w' || strftime(date_trunc('week', ts), '%Y%m%d')"), ("month", "'m' || strftime(ts, '%Y%m')"), ("year", "'y' || strftime(ts, '%Y')"))
+for _name, _sql in _PERIODS:
+
+    @query(f"part_suffix_{_name}", f"SELECT event_id, {_sql} AS suffix, date_trunc('{_name}', ts)::TIMESTAMP AS start FROM events")
+    def _suffix(spark, d, p=partition.Period(_name)):
+        start = partition.period_start(F.col("ts"), p)
+        return table(spark, d, "events").select("event_id", partition.suffix(start, p).alias("suffix"), start.cast("timestamp_ntz").alias("start"))
+
+
+@query("part_suffix_week_sunday", "SELECT event_id, 'w' || strftime(date_trunc('week', ts + INTERVAL 1 DAY) - INTERVAL 1 DAY, '%Y%m%d') AS suffix FROM events")
+def part_suffix_week_sunday(spark, d):
+    return table(spark, d, "events").select("event_id", partition.suffix(partition.period_start(F.col("ts"), partition.Period.WEEK, 6), partition.Period.WEEK).alias("suffix"))
+
+
+@query("part_suffix_parse", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('day', ts)::TIMESTAMP END AS start FROM events")
+def part_suffix_parse(spark, d):
+    s = F.when(F.col("event_id") % 3 == 0, partition.suffix(F.col("ts"), partition.Period.DAY)).when(F.col("event_id") % 3 == 1, F.lit("d2024")).otherwise(F.lit("other"))
+    return table(spark, d, "events").select("event_id", partition.parse_suffix(s, partition.Period.DAY).alias("start"))
+
+
+@query("part_window", "SELECT 'd' || strftime(s, '%Y%m%d') AS suffix, s::TIMESTAMP AS start, (s + INTERVAL 1 DAY)::TIMESTAMP AS \"end\" FROM (SELECT TIMESTAMP '2024-01-20' + to_days(CAST(n AS INTEGER)) AS s FROM range(-5, 3) t(n))")
+def part_window(spark, d):
+    x = DAILY.frame(F.lit(NOW).cast("timestamp_ntz"), spark)
+    return x.select("suffix", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+
+
+@query("part_retention", "SELECT 'd' || strftime(ts, '%Y%m%d') AS suffix, date_trunc('day', ts) < TIMESTAMP '2024-01-15' AS aged FROM events GROUP BY ALL")
+def part_retention(spark, d):
+    have = [r[0] for r in table(spark, d, "events").select(partition.suffix(F.col("ts"), partition.Period.DAY).alias("s")).distinct().collect()]
+    plan = partition.roll(DAILY, have, NOW)
+    return spark.createDataFrame([(s, s in plan.drop) for s in have], "suffix string, aged boolean")
+
+
+@query("part_list_registry", "SELECT lower(regexp_replace(s, '[^A-Za-z0-9_]', '_', 'g')) AS suffix, list(DISTINCT v ORDER BY v) AS \"values\" FROM (SELECT c_mktsegment AS v, substr(c_mktsegment, 1, 1) || '-' AS s FROM customer) GROUP BY 1")
+def part_list_registry(spark, d):
+    return partition.list_registry(table(spark, d, "customer").select(F.col("c_mktsegment").alias("value"), F.concat(F.substring("c_mktsegment", 1, 1), F.lit("-")).alias("suffix")))
+
+
+@query("part_drop_value", "SELECT lower(c_mktsegment) AS suffix FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def part_drop_value(spark, d):
+    x = table(spark, d, "customer").select(F.col("c_mktsegment").alias("value"), F.col("c_mktsegment").alias("suffix")).distinct()
+    return partition.drop_value(x, "BUILDING")[1]
+
+
+@query("part_rebuild", "SELECT c_custkey AS id, c_name AS title, c_acctbal FROM customer")
+def part_rebuild(spark, d):
+    return partition.rebuild(table(spark, d, "customer"), {"c_custkey": "id", "c_name": "title"}, ["id", "title", "c_acctbal", "made"], {"made"})
+
+
+# Tenants and identities -----------------------------------------------------------------------
+
+POOL = ["db0", "db1", "db2"]
+FNV_SQL = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(s_name, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+
+
+@query("tenant_hash", f"SELECT s_suppkey, CAST({FNV_SQL} AS BIGINT) AS hash, 'db' || CAST({FNV_SQL} % 3 AS INTEGER) AS db FROM supplier")
+def tenant_hash(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", tenancy.fnv1a(F.col("s_name")).alias("hash"), tenancy.by_hash(F.col("s_name"), POOL).alias("db"))
+
+
+@query("tenant_smallest", "SELECT n_name AS database_id, n FROM (SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2) WHERE n_nationkey % 4 <> 0 ORDER BY n, n_nationkey LIMIT 1")
+def tenant_smallest(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("tenant_count"))
+    pool = n.select(F.col("n_name").alias("database_id"), "tenant_count", (F.col("n_nationkey") % 4 == 0).alias("is_full"), F.col("n_nationkey").alias("position"))
+    return tenancy.smallest(pool).select("database_id", F.col("tenant_count").alias("n"))
+
+
+@query("tenant_assignment", "SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'db' || c_nationkey % 3 END AS database_id FROM customer")
+def tenant_assignment(spark, d):
+    a = table(spark, d, "nation").where("n_nationkey < 10").selectExpr("n_nationkey AS tenant_id", "'db' || n_nationkey % 3 AS database_id")
+    return tenancy.assigned(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("tenant_id")), a).select("c_custkey", "database_id")
+
+
+@query("tenant_ordinals", "SELECT n_name AS tenant_id, CASE WHEN n_regionkey = 0 THEN 7 ELSE 7 + dense_rank() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_regionkey) END AS ordinal FROM nation WHERE n_nationkey <> 0")
+def tenant_ordinals(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("tenant_id"), F.concat(F.lit("R"), "n_regionkey").alias("bucket"), "n_nationkey")
+    known = n.where("n_nationkey = 0").select("tenant_id", F.lit("r0").alias("bucket"), F.lit(7).alias("ordinal"))
+    return tenancy.ordinals(known, n.drop("n_nationkey")).select("tenant_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("tenant_drop", "SELECT c_custkey FROM customer WHERE c_nationkey <> 3")
+def tenant_drop(spark, d):
+    data = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("tenant_id"))
+    reg = data.select("tenant_id").distinct()
+    return tenancy.drop_tenant(reg, data, "3", tenancy.DropTenant.DELETE_DATA)[1].select("c_custkey")
+
+
+@query("id_hilo", "SELECT o_orderkey, CAST((3 + i // 100) * 100 + 1 + i % 100 AS BIGINT) AS id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)")
+def id_hilo(spark, d):
+    return tenancy.hilo(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", first_hi=3, max_lo=100)
+
+
+@query("id_sequence", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders")
+def id_sequence(spark, d):
+    return ordering.dense_index(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", name="n").select("o_orderkey", "n")
+
+
+@query("id_assign_missing", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'customer/' || c_custkey ELSE c_name END AS id FROM customer")
+def id_assign_missing(spark, d):
+    x = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("id"))
+    return tenancy.assign_missing(x, "id", tenancy.keyed("customer", F.col("c_custkey")))
+
+
+@query("id_time_ordered", "SELECT event_id, true AS ok FROM events")
+def id_time_ordered(spark, d):
+    u = tenancy.time_ordered_uuid(F.col("ts").cast("timestamp"), F.col("event_id"))
+    return table(spark, d, "events").select("event_id", u.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("ok"))
+
+
+# Functions ------------------------------------------------------------------------------------
+
+
+@query("udf_scalar", "SELECT p_partkey, p_size * 2 AS twice, p_size * 10 + 1 AS sum FROM part")
+def udf_scalar(spark, d):
+    r = registry.Registry()
+    r.add(registry.Scalar("corvane_double", "int", sql="x * 2", parameters=(("x", "int"),)))
+    r.add(registry.Scalar("corvane_sum", "int", lambda x, y: x * 10 + y))
+    r.register_all(spark)
+    return table(spark, d, "part").select("p_partkey", registry.call("corvane_double", F.col("p_size")).alias("twice"), registry.call("corvane_sum", F.col("p_size"), F.lit(1)).alias("sum"))
+
+
+@query("udf_aggregate", "SELECT event_type, CAST(sum(event_id % 7) AS BIGINT) AS total FROM events GROUP BY 1")
+def udf_aggregate(spark, d):
+    total = registry.Fold("my_sum", F.lit(0).cast("long"), lambda a, x: a + x)
+    return table(spark, d, "events").select("event_type", "event_id", (F.col("event_id") % 7).alias("v")).groupBy("event_type").agg(total("v", "event_id").alias("total"))
+
+
+@query("udf_aggregate_finish", "SELECT user_id, '#' || count(*) AS text FROM events GROUP BY 1")
+def udf_aggregate_finish(spark, d):
+    count = registry.Fold("my_count", F.lit(0).cast("long"), lambda a, x: a + 1, lambda a: F.concat(F.lit("#"), a.cast("string")))
+    return table(spark, d, "events").groupBy("user_id").agg(count("event_id", "event_id").alias("text"))
+
+
+@query("udf_stored", "SELECT n_nationkey, n_nationkey + 42 AS answer FROM nation")
+def udf_stored(spark, d):
+    registry.Registry().add(registry.Scalar("corvane_answer", "int", sql="x + 42", parameters=(("x", "int"),))).register_all(spark)
+    return table(spark, d, "nation").selectExpr("n_nationkey", "corvane_answer(n_nationkey) AS answer")
+
+
+@query("fn_full_text", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_])licensed([^a-z0-9_]|$)') AND regexp_matches(lower(text), '(^|[^a-z0-9_])under([^a-z0-9_]|$)')")
+def fn_full_text(spark, d):
+    return table(spark, d, "documents").where(scalar.matches_words(F.col("text"), "licensed", "under")).select("doc_id")
+
+
+@query("fn_masked", "SELECT c_custkey, lower(c_mktsegment) AS m FROM customer")
+def fn_masked(spark, d):
+    return table(spark, d, "customer").select("c_custkey", scalar.masked("lower(?)", "c_mktsegment").alias("m"))
+
+
+@query("fn_fingerprint", "SELECT n_regionkey, upper(sha256(string_agg(n_name, chr(10) ORDER BY n_name))) AS print FROM nation GROUP BY 1")
+def fn_fingerprint(spark, d):
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(scalar.fingerprint(F.collect_list("n_name")).alias("print"))
+
+
+@query("fn_sanitised", "SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9_]', '_', 'g') AS suffix FROM part")
+def fn_sanitised(spark, d):
+    return table(spark, d, "part").select("p_partkey", partition.sanitised(F.col("p_brand")).alias("suffix"))
+
+
+@query("fn_array_containment", "SELECT user_id, list_has_all(list(DISTINCT event_type), ['purchase', 'signup']) AS both FROM events GROUP BY 1")
+def fn_array_containment(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(scalar.contains_all(F.collect_set("event_type"), F.array(F.lit("purchase"), F.lit("signup"))).alias("both"))
+
+
+@query("fn_json_equal", "SELECT event_id, event_id % 2 = 0 AS same FROM events")
+def fn_json_equal(spark, d):
+    a = F.concat(F.lit('{"x":1,"y":'), F.col("event_id").cast("string"), F.lit("}"))
+    b = F.concat(F.lit('{"y": '), (F.col("event_id") + F.col("event_id") % 2).cast("string"), F.lit(', "x": 1}'))
+    return table(spark, d, "events").select("event_id", (~writes.json_changed(a, b)).alias("same"))
+
+
+# Schemas --------------------------------------------------------------------------------------
+
+
+@query("schema_diff", "SELECT * FROM (VALUES ('a', 'matched'), ('b', 'different'), ('c', 'missing'), ('d', 'extra')) t(name, state)")
+def schema_diff(spark, d):
+    e = [schema.Column("a", "int"), schema.Column("b", "long"), schema.Column("c", "string")]
+    a = [schema.Column("A", "int"), schema.Column("b", "string"), schema.Column("d", "string")]
+    x = schema.compare(e, a, schema.Column.same)
+    rows = [(c.name, "missing") for c in x.missing] + [(c.name, "extra") for c in x.extra] + [(p[0].name, s) for s in ("different", "matched") for p in getattr(x, s)]
+    return spark.createDataFrame(rows, "name string, state string")
+
+
+@query("schema_fk_check", "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 11 <> 0)")
+def schema_fk_check(spark, d):
+    key = schema.ForeignKey("fk", ("o_custkey",), "customer", ("c_custkey",))
+    return schema.orphans(table(spark, d, "orders"), table(spark, d, "customer").where("c_custkey % 11 <> 0"), key).select("o_orderkey")
+
+
+@query("schema_check_violations", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT l_discount <= l_tax")
+def schema_check_violations(spark, d):
+    return schema.violations(table(spark, d, "lineitem"), schema.Check("tax", "l_discount <= l_tax")).select("l_orderkey", "l_linenumber")
+
+
+@query("schema_repeated_keys", "SELECT l_orderkey, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def schema_repeated_keys(spark, d):
+    return schema.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey"])
+
+
+@query("schema_worst_difference", "SELECT c_mktsegment, min(c_custkey % 4) AS worst FROM customer GROUP BY 1")
+def schema_worst_difference(spark, d):
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.min(F.col("c_custkey") % 4).alias("worst"))
+
+
+@query("view_pass_through", "SELECT c_mktsegment, avg(c_acctbal) AS mean FROM customer GROUP BY 1")
+def view_pass_through(spark, d):
+    table(spark, d, "customer").createOrReplaceTempView("corvane_customer")
+    return batch.run(spark, "SELECT c_mktsegment, avg(c_acctbal) AS mean FROM corvane_customer GROUP BY 1")
+
+
