@@ -55,3 +55,11 @@ def documents(df: DataFrame) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)``, with the value computed once however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -63,9 +63,17 @@ def without(text: Column, gone: Column) -> Column:
 
 
 def dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_removed``."""
-    gone = removed(docs, min_sites).withColumnRenamed("doc_id", "_id")
-    x = docs.join(gone, docs["doc_id"] == F.col("_id"), "left")
+    """``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_removed`` (with underscores before them if ``docs`` has such columns)."""
+    key, at, lines_, out = (common.unused(docs, c) for c in ("_key", "_gone", "n_lines", "n_removed"))
+    gone = removed(docs, min_sites).select(F.col("doc_id").alias(key), F.col("gone").alias(at))
+    x = docs.join(gone, docs["doc_id"] == F.col(key), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    x = x.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return x.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("gone")))).drop("_id", "gone")
+    x = x.withColumn(lines_, n.cast("long")).withColumn(out, F.coalesce(F.size(at), F.lit(0)).cast("long"))
+    return x.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(at)))).drop(key, at)
+
+
+def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with ``text`` cleaned, without the documents of which only blank lines are left."""
+    n = common.unused(docs, "n_removed")
+    emptied = (F.col(n) > 0) & (F.trim(F.translate("text", "\n\t\r", "")) == "")
+    return dedup(docs, min_sites).where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)

@@ -139,8 +139,10 @@ def redacted(text: Column, live: Column, kind: str, pattern: str, group: int, le
 
 def redact(docs: DataFrame, owner: Column | None = None) -> DataFrame:
     """``docs`` with secrets replaced in ``text``; other columns stay. Null texts stay null."""
-    live = scan(docs, owner).select(F.col("doc_id").alias("_id"), F.transform("added", lambda s: s["value"]).alias("_live"), (F.size("base") + F.size("added")).alias("_n"))
-    x = docs.join(live.where("_n > 0").dropDuplicates(["_id"]), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    key, tokens, n = (common.unused(docs, c) for c in ("_key", "_tokens", "_n"))
+    live = scan(docs, owner).select(F.col("doc_id").alias(key), F.transform("added", lambda s: s["value"]).alias(tokens), (F.size("base") + F.size("added")).alias(n))
+    live = live.where(F.col(n) > 0).groupBy(key).agg(F.flatten(F.collect_list(tokens)).alias(tokens))
+    x = docs.join(live, docs["doc_id"].eqNullSafe(F.col(key)), "left")
     for kind in (*BASE, WIDER):  # each over the column the last one made
-        x = x.withColumn("text", F.when(F.col("_n").isNotNull(), redacted(F.col("text"), F.col("_live"), *kind)).otherwise(F.col("text")))
+        x = x.withColumn("text", F.when(F.col(tokens).isNotNull(), redacted(F.col("text"), F.col(tokens), *kind)).otherwise(F.col("text")))
     return x.select(*docs.columns)

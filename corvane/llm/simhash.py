@@ -8,6 +8,11 @@ visits every shard that can hold a point within the radius of search, by the tri
 compares blocks at its leaves. It emits a spanning star of what it linked, never the pairs; stars are
 joined by hooking and pointer jumping until each points at its smallest member.
 
+``similar`` serves the pipeline, where near duplicates are texts whose sets of five-word shingles have
+a Jaccard similarity of 0.8 or more. At that similarity fingerprints differ by about 9 of 64 bits, and
+a tree prunes nothing at such a radius; so there the tree's links are joined by those of a second
+sketch, minimum hashes in bands, each checked by the share of equal minimums (see the README).
+
 The top of the tree is fitted on at most ``SAMPLE`` fingerprints (its shape only: every point is
 dealt and searched exactly). Components never pass through the driver.
 
@@ -35,6 +40,9 @@ SAMPLE = 8192
 SHARD_POINTS = 100_000
 #: Points of a shard that are compared without further branching.
 LEAF = 256
+#: The pipeline's shingles; the ranges that hashes' minimums are taken over, bands and minimums in one,
+#: and the share of equal minimums from which two texts are alike (0.8 less twice its error).
+PIPELINE_SHINGLE, BINS, BANDS, BAND_ROWS, SHARE = 5, 128, 20, 6, 0.73
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -60,26 +68,65 @@ def shingles(text: bytes, n: int) -> tuple[bytes, list[int], list[int]]:
     return b" ".join(words), starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist()
 
 
-def fingerprint(text: bytes, n: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, n: int) -> np.ndarray:
     joined, starts, ends = shingles(text, n)
-    if not starts:
-        return 0
     h, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.fromiter((h(view[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
-    bits = 2 * bit_counts(hashes) > len(hashes)
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    return np.fromiter((h(view[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes; zero for none."""
+    return int.from_bytes(np.packbits(2 * bit_counts(hashes) > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, n: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, n))
+
+
+def minimums(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash in each of ``BINS`` ranges; an empty range borrows from the next that isn't."""
+    out = np.zeros(BINS, np.uint32)
+    if not len(hashes):
+        return out
+    h = np.sort(hashes)
+    bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    at = bins[first]
+    value = (h[first] >> np.uint64(20)).astype(np.uint32)
+    near = np.searchsorted(at, np.arange(BINS)) % len(at)
+    gap = (at[near] - np.arange(BINS)) % BINS
+    return value[near] + gap.astype(np.uint32) * np.uint32(0x9E3779B1)
+
 
+def bands(minimum: np.ndarray) -> np.ndarray:
+    """One key for each band of minimums."""
+    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    for column in minimum[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ column) * np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(29)
+    return key
 
-def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long)."""
+
+def fingerprints(docs: DataFrame, n: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a long); also ``minimums, keys`` if ``sketched``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", n) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fp.view(np.int64))})
+            fps, mins = [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", n)
+                fps.append(majority(hashes))
+                if sketched:
+                    mins.append(minimums(hashes))
+            out = {"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
+            if sketched:
+                out["minimums"] = pa.array([m.tobytes() for m in mins], pa.binary())
+                out["keys"] = pa.array([bands(m).view(np.int64) for m in mins], pa.list_(pa.int64()))
+            yield pa.record_batch(out)
 
     common.tune(docs.sparkSession)
-    return common.documents(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", minimums binary, keys array<long>" * sketched
+    return common.documents(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, schema)
 
 
 def apart(points: np.ndarray, v: np.uint64) -> np.ndarray:
@@ -240,8 +287,42 @@ def near_duplicates(docs: DataFrame, within: int = RADIUS, n: int = SHINGLE) ->
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def checked(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v, minimums of both) with enough equal minimums."""
+    for batch in pairs:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, BINS) for i in (2, 3))
+        ok = pa.array((a == b).mean(axis=1) >= SHARE)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` of documents linked by similar sets of five-word shingles.
+
+    Documents of equal minimums are one before anything is compared, so a group of copies leaves each
+    task as one row. Each member of a band's bucket is checked against the bucket's smallest and
+    largest member, so a bucket gives no more pairs than it has rows.
+    """
+    sketched = common.cut(fingerprints(docs, PIPELINE_SHINGLE, sketched=True))
+    points = common.cut(sketched.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    named = lambda c: points.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_doc"))
+    by_tree = links(points).join(named("u"), "u").join(named("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
+
+    kinds = common.cut(sketched.groupBy("minimums").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
+    bucketed = kinds.select("first", F.explode("keys").alias("key"))
+    ends = bucketed.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high")
+    mates = bucketed.join(ends, "key").select("first", F.explode(F.array("low", "high")).alias("mate")).where("first <> mate")
+    pairs = mates.select(F.greatest("first", "mate").alias("u"), F.least("first", "mate").alias("v")).distinct()
+    sketch = lambda c: kinds.select(F.col("first").alias(c), F.col("minimums").alias(f"{c}_min"))
+    by_bands = pairs.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "u_min", "v_min").mapInArrow(checked, "u long, v long")
+
+    copies = lambda key, heads: sketched.select("doc_id", key).join(heads.select(key, "first"), key).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    edges = by_tree.unionByName(by_bands).unionByName(copies("fp", points)).unionByName(copies("minimums", kinds)).where("u <> v")
+    root = components(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return sketched.select("doc_id").join(root, F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; rows with a null one stay."""
-    groups = near_duplicates(docs)
-    others = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(others, docs["doc_id"] == F.col("_id"), "left_anti")
+    """One document of each group of similar texts, the one with the smallest doc_id; rows with a null one stay."""
+    key = common.unused(docs, "_other")
+    others = similar(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(others, docs["doc_id"] == F.col(key), "left_anti")

@@ -321,8 +321,8 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def scored(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
-    """``docs`` with ``score``; its columns stay, the text too if asked."""
+def scored(docs: DataFrame, labels: DataFrame, with_text: bool = True, name: str = "score") -> DataFrame:
+    """``docs`` with a score; its columns stay, the text too if asked."""
     spark = docs.sparkSession
     common.tune(spark)
     model = train(*sample(docs, labels))
@@ -356,9 +356,9 @@ def scored(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFr
                 settle()
             s = sigmoid(np.clip(best - shift + np.log(AT / (1 - AT)), -60, 60)) if fitted else np.zeros(len(best))
             keep = [i for i, n in enumerate(batch.schema.names) if n != "text" or with_text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(s.astype(np.float64))], [*(batch.schema.names[i] for i in keep), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(s.astype(np.float64))], [*(batch.schema.names[i] for i in keep), name])
 
-    schema = T.StructType([f for f in docs.schema if f.name != "text" or with_text]).add("score", "double")
+    schema = T.StructType([f for f in docs.schema if f.name != "text" or with_text]).add(name, "double")
     return docs.mapInArrow(run, schema)
 
 
@@ -373,4 +373,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The text rides along with its score, so nothing is joined or shuffled.
     """
-    return scored(docs, labels).where(F.col("score") < AT).drop("score")
+    name = common.unused(docs, "score")
+    return scored(docs, labels, name=name).where(F.col(name) < AT).drop(name)

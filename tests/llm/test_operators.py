@@ -324,8 +324,6 @@ def test_near_duplicates(spark):
     want = by_brute_force([fps[i] for i in ids], 4)
     out = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
     assert out == {i: (f"{fps[i]:016x}", ids[want[k]]) for k, i in enumerate(ids)}
-    kept = simhash.keep_first(frame(spark, rows))
-    assert {r["doc_id"] for r in kept.collect()} == {ids[w] for w in want} | {None}
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
@@ -397,3 +395,61 @@ def test_urls(spark):
     good = np.mean([out[100 + i]["score"] for i in range(200)])
     assert all(out[5000 + i]["score"] < good for i in range(4))
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_similar_texts(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(r.randint(30, 400))]
+        rows.append((i, " ".join(w)))
+        for k in range(i % 4):
+            near = list(w)
+            for _ in range(max(1, len(w) // 60)):
+                near[r.randrange(len(w))] = word()
+            rows.append((1000 + 10 * i + k, " ".join(near)))
+    rows += [(5000, ""), (5001, None), (None, ""), (5002, "one"), (5003, "one"), (5003, "one")]
+    sets = {i: set(zip(*(t.lower().split()[k:] for k in range(5)))) if len((t or "").split()) > 4 else {t or ""} for i, t in rows if i is not None}
+    got_ = {x["doc_id"]: x["component_id"] for x in simhash.similar(frame(spark, rows)).collect()}
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
+    alike = [got_[a] == got_[b] for a, b, j in pairs if j >= 0.8]
+    assert len(alike) > 30 and sum(alike) >= 0.97 * len(alike)
+    assert not any(got_[a] == got_[b] for a, b, j in pairs if j < 0.2)
+    kept = [x["doc_id"] for x in simhash.keep_first(frame(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted({*got_.values(), None}, key=repr)
+    assert simhash.keep_first(frame(spark, [])).count() == 0
+
+
+def test_pipeline_stages_keep_columns(spark, tmp_path):
+    """Extra columns, also with names that the operators use, and awkward rows go through every stage."""
+    import corpus_pipeline
+
+    rows = [*corpus(), (None, "x y z"), (3, "one"), (3, "one"), (700, "token = " + "a1" * 20)]
+    extra = ["score", "gone", "_gone", "_key", "n_removed", "at", "site", "h1", "fp", "keys", "u", "_other", "_tokens", "_n", "owner", "base", "asks", "codes", "bucket", "root", "line", "toxic", "minimums", "ids"]
+    docs = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in extra})
+    spark.createDataFrame([(i, i % 2) for i in range(0, 90)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes
+        assert all(r[c] == f"own {c}" for r in out.collect() for c in extra)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    redacted = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, docs, "").collect()}
+    assert redacted[700] == "token = [SECRET]"
+
+
+def test_operators_ignore_other_columns(spark):
+    clash = {c: F.lit(1) for c in ("asks", "codes", "bucket", "q", "sub", "next", "rn", "fp", "ids", "kept", "base", "owner", "s", "hash", "shard", "component_id", "n_tokens", "h2", "line")}
+    docs, wide = frame(spark, corpus()), frame(spark, corpus()).withColumns(clash)
+    for f in (
+        lambda d: suffix.dedup(d),
+        lambda d: bpe.encoded_digests(d, BPE_JSON),
+        lambda d: secrets.digests(secrets.scan(d)),
+        lambda d: simhash.near_duplicates(d),
+        lambda d: packing.pack(d, BPE_RANKS),
+        lambda d: lines.removed(d),
+        lambda d: toxicity.score(d, spark.createDataFrame([(0, 1), (7, 0)], "doc_id long, toxic int")),
+    ):
+        assert got(f(docs)) == got(f(wide))
