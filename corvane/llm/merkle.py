@@ -3,11 +3,12 @@
 Paragraphs are lines; a section ends after a paragraph whose hash has a last hex digit of 0, 4, 8 or
 c, so an edit moves no border elsewhere. A section's node is the hash of its paragraphs' hashes, the
 root the hash of the sections'. Roots test equality; where they differ, differing sections and then
-paragraphs locate the edit. Below the paragraphs, clauses (up to a mark of punctuation or a line's
-end) are hashed for the likeness of two trees: the Dice coefficient of their sets of clauses.
+paragraphs locate the edit. Below the paragraphs, phrases (up to a mark of punctuation, a line's end
+or a word that ends in d, g, n or s) are hashed for the likeness of two trees: the Dice coefficient of
+their sets of phrases, each weighing its characters. A phrase's hash carries its weight.
 
 Defined results: a null text is empty, one empty paragraph; equal texts have equal trees and a
-likeness of 1; repeated clauses count once. In ``with_next`` null ids come last, in the order of a
+likeness of 1; repeated phrases count once. In ``with_next`` null ids come last, in the order of a
 hash of their texts, as do the rows of one id; a single document is followed by itself; an empty
 table gives no rows.
 """
@@ -17,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CLAUSE_END = r"(?<=[.,;:!?%$#*&\n])"
+PHRASE_END = r"(?<=[.,;:!?%$#*&\n]|[dgns] )"
+#: A phrase's weight stands in the low bits of its hash.
+WEIGHT = 4095
 SECTION_END = "(?<=[048c]),"
 #: Quantiles of the ids that order is split by, and documents of a bucket within one.
 QUANTILES, BUCKET_ROWS = 200, 512
@@ -41,13 +44,18 @@ def root(text: Column) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """Distinct hashes of the clauses."""
-    return F.array_distinct(F.transform(F.split(text, CLAUSE_END, -1), lambda c: F.xxhash64(c)))
+    """Distinct hashes of the phrases, with their weights."""
+    one = lambda c: F.xxhash64(c).bitwiseAND(F.lit(~WEIGHT)).bitwiseOR(F.least(F.length(c), F.lit(WEIGHT)).cast("long"))
+    return F.array_distinct(F.transform(F.split(text, PHRASE_END, -1), one))
+
+
+def weight(leaf: Column) -> Column:
+    return F.aggregate(leaf, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(WEIGHT)))
 
 
 def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    common = F.size(F.array_intersect(leaves_a, leaves_b))
-    return F.when(root_a == root_b, F.lit(1.0)).otherwise(2.0 * common / (F.size(leaves_a) + F.size(leaves_b)))
+    common = weight(F.array_intersect(leaves_a, leaves_b))
+    return F.when(root_a == root_b, F.lit(1.0)).otherwise(2.0 * common / F.greatest(weight(leaves_a) + weight(leaves_b), F.lit(1)))
 
 
 def trees(docs: DataFrame, text: str = "text") -> DataFrame:
