@@ -26,8 +26,14 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: What else may be a credential: long runs of token characters with a digit and letters of both cases.
-WIDER = ("token", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}", 0, 20)
+#: What else may be a credential: tokens with an issuer's prefix, and long runs of token characters
+#: with a digit and letters of both cases.
+WIDER = (
+    "token",
+    r"(?<![A-Za-z0-9+/_-])(?:(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|npm_|sk-)[A-Za-z0-9_-]{17,}|(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,})",
+    0,
+    20,
+)
 #: A cheap test that every text with a match passes.
 HINTS = {"assign": r"(?i)(?:pass|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{16}", "token": r"[A-Za-z0-9+/_-]{20}"}
 ORDER = {"assign": 0, "access": 1, "hex": 2, "token": 3}
