@@ -1,8 +1,8 @@
 """Toxicity of texts: a bidirectional GRU with attention pooling, in numpy.
 
-A word enters as two vectors: one of the word (hashed) and the mean of those of its character
-3- and 4-grams. Both tables start with the smoothed log-odds of their slot in the training sample
-and are trained on with the network. All overlapping windows of a text are scored; the text's score
+A word enters as two vectors: one of the word and the mean of those of its character 3- and 4-grams.
+Words and n-grams of at least ``MIN_DOCS`` documents of the training sample have vectors, which start
+with their smoothed log-odds and are trained on with the network; others are zero. All overlapping windows of a text (a run of one word taken once) are scored; the text's score
 is that of its highest window, and training follows the same rule (the highest window of a text
 carries its label). On a part of the sample the scores are shifted so that the best division of the
 two classes lies at ``AT``.
@@ -32,7 +32,7 @@ from corvane.llm import common
 
 SAMPLE, SAMPLE_CHARS = 2_000, 20_000
 WINDOW, STRIDE = 48, 32
-SLOTS, DIM, HIDDEN = 1 << 16, 6, 8
+MIN_DOCS, DIM, HIDDEN = 3, 6, 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: The score that divides the classes.
 AT = 0.3
@@ -46,12 +46,16 @@ def words(text: str) -> list[str]:
 
 
 def features(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slots; slots of all character n-grams and the word each belongs to."""
+    """Hashes of words; of all their character n-grams, and the word each belongs to."""
     data = np.frombuffer("".join(f"\x02{w}\x03" for w in new).encode("utf-32-le"), "<u4").astype(np.uint64)
     size = np.array([len(w) + 2 for w in new], np.int64)
     start = np.cumsum(size) - size
     who = np.repeat(np.arange(len(new)), size)
-    mix = lambda h: (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % SLOTS
+
+    def mix(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
     power = np.cumprod(np.full(int(size.max(initial=1)), 0x100000001B3, np.uint64))
     place = np.arange(len(data)) - start[who]
     whole = np.add.reduceat(data * power[place], start) if len(new) else np.empty(0, np.uint64)
@@ -66,6 +70,13 @@ def features(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(whole), np.concatenate(grams), np.concatenate(whose)
 
 
+def place(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rows of a table whose keys (but the first row's, which is for what isn't known) are sorted."""
+    at = np.searchsorted(keys, hashes)
+    known = keys[np.minimum(at, len(keys) - 1)] == hashes if len(keys) else np.zeros(len(hashes), bool)
+    return np.where(known, at + 1, 0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -81,6 +92,7 @@ class Model:
 
     def vectors(self, new: list[str]) -> np.ndarray:
         w, g, who = features(new)
+        w, g = place(w, self.p["word_keys"]), place(g, self.p["gram_keys"])
         n = np.bincount(who, minlength=len(new))
         by = np.argsort(who, kind="stable")
         chars = np.zeros((len(new), DIM), np.float32)
@@ -111,9 +123,9 @@ class Model:
         return np.array(at, np.int32)
 
 
-def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
+def fresh(rng: np.random.Generator, n_words: int = 0, n_grams: int = 0) -> dict[str, np.ndarray]:
     normal = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-    p = {"words": normal(SLOTS, DIM, scale=0.05), "chars": normal(SLOTS, DIM, scale=0.05), "W": normal(2 * DIM, 6 * HIDDEN, scale=0.3), "b": np.zeros(6 * HIDDEN, np.float32)}
+    p = {"words": normal(n_words + 1, DIM, scale=0.05), "chars": normal(n_grams + 1, DIM, scale=0.05), "W": normal(2 * DIM, 6 * HIDDEN, scale=0.3), "b": np.zeros(6 * HIDDEN, np.float32)}
     p |= {"U0": normal(HIDDEN, 3 * HIDDEN, scale=0.3), "U1": normal(HIDDEN, 3 * HIDDEN, scale=0.3), "a": normal(2 * HIDDEN, scale=0.3), "v": normal(2 * HIDDEN, scale=0.3), "c": np.zeros(1, np.float32)}
     return p
 
@@ -185,7 +197,9 @@ def gradients(p: dict[str, np.ndarray], k: dict, d: np.ndarray) -> tuple[dict[st
 
 
 def windows(rows: np.ndarray) -> np.ndarray:
-    """All overlapping windows (one at least), padded with 0."""
+    """All overlapping windows (one at least), padded with 0. A run of one word counts once."""
+    if len(rows):
+        rows = rows[np.concatenate([[True], rows[1:] != rows[:-1]])]
     n = 1 + max(0, -(-(len(rows) - WINDOW) // STRIDE))
     padded = np.zeros((n - 1) * STRIDE + WINDOW, np.int32)
     padded[: len(rows)] = rows
@@ -204,41 +218,56 @@ class Adam:
         rate = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
             at = rows.get(k, slice(None))
+            if k in rows:
+                x = np.where((at > 0)[:, None], x, 0)  # what isn't known stays zero
             self.m[k][at] = m = 0.9 * self.m[k][at] + 0.1 * x
             self.s[k][at] = s = 0.999 * self.s[k][at] + 0.001 * x * x
             p[k][at] -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
 
 
-def log_odds(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """By slot, from the documents that hold it; slots of few documents stay near 0."""
-    n = np.zeros((2, SLOTS))
-    for s, t in zip(slots, toxic, strict=True):
-        n[int(t), np.unique(s)] += 1
+def vocabulary(docs: list[np.ndarray]) -> np.ndarray:
+    """Sorted hashes that at least MIN_DOCS documents hold."""
+    keys, n = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+    return keys[n >= MIN_DOCS]
+
+
+def log_odds(docs: list[np.ndarray], toxic: np.ndarray, rows: int) -> np.ndarray:
+    """By row, from the documents that hold it; rows of few documents stay near 0."""
+    n = np.zeros((2, rows))
+    for d, t in zip(docs, toxic, strict=True):
+        n[int(t), np.unique(d)] += 1
     share = toxic.mean()  # two documents' worth of doubt
     odds = np.log((n[1] + 2 * share) / toxic.sum()) - np.log((n[0] + 2 * (1 - share)) / (~toxic).sum())
-    return odds * n.sum(axis=0) / (n.sum(axis=0) + 4)
+    odds *= n.sum(axis=0) / (n.sum(axis=0) + 4)
+    odds[0] = 0
+    return odds
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
-        return Model(fresh(rng), fitted=False)
+        return Model(fresh(rng) | {k: np.empty(0, np.uint64) for k in ("word_keys", "gram_keys")}, fitted=False)
     split = [words(t) for t in texts]
     vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
     rows = [np.array([vocab[w] for w in s], np.int32) for s in split]
-    word_slot, gram, whose = features(list(vocab))
+    word_hash, gram_hash, whose = features(list(vocab))
     n_grams = np.bincount(whose, minlength=len(vocab))
     by = np.argsort(whose, kind="stable")
-    gram = gram[by]
+    gram_hash = gram_hash[by]
     g_start = np.concatenate([[0], np.cumsum(n_grams)])
     held = rng.random(len(texts)) < 0.2  # for the division of the classes
     if not (toxic[~held].any() and (~toxic[~held]).any() and toxic[held].any() and (~toxic[held]).any()):
         held[:] = False
-    p = fresh(rng)
     fit = np.flatnonzero(~held)
-    p["words"][:, 0] = log_odds([word_slot[np.unique(rows[i]) - 1] for i in fit], toxic[fit])
-    p["chars"][:, 0] = log_odds([np.concatenate([gram[:0], *(gram[g_start[w - 1] : g_start[w]] for w in np.unique(rows[i]))]) for i in fit], toxic[fit])
+    own = [np.unique(rows[i]) - 1 for i in fit]
+    grams_of = lambda h: [np.concatenate([h[:0], *(h[g_start[w] : g_start[w + 1]] for w in o)]) for o in own]
+    keys = {"word_keys": vocabulary([word_hash[o] for o in own]), "gram_keys": vocabulary(grams_of(gram_hash))}
+    word_slot, gram = place(word_hash, keys["word_keys"]), place(gram_hash, keys["gram_keys"])
+    p = fresh(rng, len(keys["word_keys"]), len(keys["gram_keys"]))
+    p["words"][:, 0] = log_odds([word_slot[o] for o in own], toxic[fit], len(p["words"]))
+    p["chars"][:, 0] = log_odds(grams_of(gram), toxic[fit], len(p["chars"]))
+    p["words"][0] = p["chars"][0] = 0
 
     def inputs() -> np.ndarray:
         chars = np.zeros((len(vocab), DIM), np.float32)
@@ -293,7 +322,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     s = scores(inputs())
     top = np.array([s[first[i] : first[i + 1]].max() for i in range(len(rows))])
     judged = held if held.any() else ~held
-    return Model(p, shift=division(top[judged], toxic[judged]))
+    return Model(p | keys, shift=division(top[judged], toxic[judged]))
 
 
 def division(score: np.ndarray, toxic: np.ndarray) -> float:
