@@ -10,6 +10,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.ordering import dense_index
+
 
 class Period(Enum):
     HOUR, DAY, WEEK, MONTH, YEAR = "hour", "day", "week", "month", "year"
@@ -162,19 +164,35 @@ def by_range(value: Column, ranges: list[tuple[str, object, object]], default: s
     return out
 
 
+#: Ranges up to which their starts are a literal in the plan.
+FEW_RANGES = 1_000
+
+
 def by_ranges(df: DataFrame, column: str, ranges: DataFrame, default: str = "default") -> DataFrame:
-    """As ``by_range`` for many ranges, in a frame ``suffix, start, end`` that don't overlap.
+    """As ``by_range`` for ranges in a frame ``suffix, start, end`` that don't overlap.
 
-    Both sides meet by the last start that isn't above the value, with a union and a running
-    maximum in each of the value's coarse buckets, not by a join of all with all.
+    A value belongs to the last start that isn't above it. The starts of a few ranges are a literal
+    that each row searches; those of many are cut into that many blocks first, so that a row searches
+    the literal of the blocks' first starts and then joins its block alone.
     """
-    starts = [r[0] for r in ranges.select("start").where("start is not null").distinct().orderBy("start").collect()]
-    if not starts:
+    starts = ranges.where("start is not null").select("start").distinct()
+    n = starts.count()
+    if not n:
         return df.withColumn("suffix", F.lit(default))
-    at = F.array(*map(F.lit, starts))
-    last = F.array_max(F.filter(at, lambda s: s <= F.col(column)))
-    x = df.withColumn("_start", last).join(ranges.select(F.col("start").alias("_s"), "end", "suffix"), F.col("_start") == F.col("_s"), "left")
-    return x.withColumn("suffix", F.when(F.col(column) < F.col("end"), F.col("suffix")).otherwise(default)).drop("_start", "_s", "end")
+    last = lambda at: F.array_max(F.filter(at, lambda s: s <= F.col(column)))
+    if n <= FEW_RANGES:
+        x = df.withColumn("_at", last(F.array(*(F.lit(r[0]) for r in starts.collect()))))
+        return _ended(x, df, column, ranges, default)
+    numbered = dense_index(starts, "start", name="_i").withColumn("_block", F.floor(F.col("_i") / max(1, -(-n // FEW_RANGES))))
+    heads = [r[0] for r in numbered.groupBy("_block").agg(F.min("start").alias("s")).orderBy("s").select("s").collect()]
+    firsts = numbered.groupBy("_block").agg(F.array_sort(F.collect_list("start")).alias("_starts"), F.min("start").alias("_head")).drop("_block")
+    x = df.withColumn("_h", last(F.array(*map(F.lit, heads)))).join(firsts, F.col("_h") == F.col("_head"), "left").withColumn("_at", last(F.col("_starts")))
+    return _ended(x, df, column, ranges, default)
+
+
+def _ended(x: DataFrame, df: DataFrame, column: str, ranges: DataFrame, default: str) -> DataFrame:
+    x = x.join(ranges.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("suffix").alias("_suffix")), F.col("_at") == F.col("_s"), "left")
+    return x.select(*df.columns, F.when(F.col(column) < F.col("_e"), F.col("_suffix")).otherwise(default).alias("suffix"))
 
 
 def by_list(value: Column, lists: dict[str, list], default: str | None = "default") -> Column:
@@ -220,6 +238,19 @@ def drop_value(registry: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     return rest, was.join(rest.select(sanitised(F.col("suffix")).alias("suffix")), "suffix", "left_anti")
 
 
+def add_values(registry: DataFrame, values: DataFrame) -> DataFrame:
+    """``value, suffix`` rows that the registry doesn't have, to append; a value without a suffix takes its own text."""
+    new = values.select("value", F.coalesce("suffix", sanitised(F.col("value"))).alias("suffix")).dropDuplicates(["value"])
+    return new.join(registry.select("value"), "value", "left_anti")
+
+
+def list_changes(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """``suffix, state`` between two registries: partitions missing, extra, matched or with different values."""
+    key = lambda df, c: list_registry(df).select("suffix", F.array_join("values", "\x1f").alias(c))
+    both = key(expected, "e").join(key(actual, "a"), "suffix", "full_outer")
+    return both.select("suffix", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").when(F.col("e") == F.col("a"), "matched").otherwise("different").alias("state"))
+
+
 def rebuild(df: DataFrame, renamed: dict[str, str], columns: list[str], generated: set[str] = frozenset()) -> DataFrame:
     """The rows of a table for its new layout: shared and renamed columns are copied, generated ones are left to be computed, new ones are null."""
     source = {new: old for old, new in renamed.items()}

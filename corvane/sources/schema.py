@@ -392,6 +392,7 @@ def rebuild_table(spark: SparkSession, d: TableDelta) -> None:
     """Copy into the new layout under another name, then swap names. Values that can't be cast to a new type raise."""
     t, temp, old = d.expected, f"{d.expected.name}__new", f"{d.expected.name}__old"
     have = {c.name.lower(): c.name for c in d.actual.columns}
+    have |= {new.lower(): old for old, new in renames(d).items()}
     pick = [(F.col(have[c.name.lower()]) if c.name.lower() in have else F.expr(c.computed or c.default or "null")).cast(spark_type(c.type)).alias(c.name) for c in t.columns]
     spark.sql(replace(t, name=temp).create())
     spark.table(t.identifier).select(*pick).write.mode("append").insertInto(qualified(t.schema, temp))
@@ -450,6 +451,49 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).count().where("count > 1")
 
 
+def renames(d: TableDelta) -> dict[str, str]:
+    """New names of columns by their old ones: a missing and an extra column of one type, default and place are one renamed.
+
+    A type that several of them share is ambiguous, and then nothing is taken as renamed.
+    """
+    if d.actual is None:
+        return {}
+    sort = lambda c: (spark_type(c.type), c.nullable, c.computed and canonical(c.computed))
+    out = {}
+    for e in d.columns.missing:
+        like = [a for a in d.columns.extra if sort(a) == sort(e)]
+        rivals = [x for x in d.columns.missing if sort(x) == sort(e)]
+        if len(like) == len(rivals) == 1 and d.expected.columns.index(e) == d.actual.columns.index(like[0]):
+            out[like[0].name] = e.name
+    return out
+
+
+@dataclass(frozen=True)
+class UserType:
+    """A named type: a struct of fields, a set of texts or a checked base type."""
+
+    name: str
+    fields: tuple[Column, ...] = ()
+    values: tuple[str, ...] = ()
+    base: str = "string"
+    check: str | None = None
+
+    def spark(self) -> str:
+        if self.fields:
+            return f"struct<{','.join(f'{c.name}:{spark_type(c.type)}' for c in self.fields)}>"
+        return "string" if self.values else spark_type(self.base)
+
+    def violations(self, df: DataFrame, column: str) -> DataFrame:
+        if self.values:
+            return df.where(~F.col(column).isin(*self.values))
+        return df.where(~F.expr(self.check.replace("VALUE", f"`{column}`"))) if self.check else df.limit(0)
+
+
+def create_synonym(spark: SparkSession, name: str, target: str) -> None:
+    """A name for a table; it can be read, not written."""
+    create_view(spark, name, f"SELECT * FROM {target}")
+
+
 def snapshot(tables: Iterable[Table]) -> str:
     return json.dumps([asdict(t) for t in tables], indent=1, sort_keys=True)
 

@@ -39,6 +39,17 @@ def plan_append(streams: DataFrame, events: DataFrame, mode: Append = Append.QUI
     return x.withColumn("seq_id", F.col("seq_id") + first_seq)
 
 
+#: Optional columns of an event, after those that every event has.
+OPTIONAL = {"causation_id": "string", "correlation_id": "string", "headers": "string", "user_name": "string", "seq_id": "bigint"}
+FIXED = {"data": "string", "type": "string", "id": "string", "stream_id": "string", "version": "bigint", "timestamp": "timestamp", "tenant_id": "string"}
+
+
+def laid_out(events: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Columns in the order they are stored in; what an event doesn't have is null."""
+    kinds = FIXED | {c: OPTIONAL[c] for c in OPTIONAL if c in optional}
+    return events.select(*((F.col(c) if c in events.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+
+
 def refused_zero(events: DataFrame) -> DataFrame:
     """Bound events whose version is 0 or null; they can't be appended."""
     return events.where(F.coalesce("version", F.lit(0)) == 0).withColumn("reason", F.lit(ZERO_VERSION))

@@ -390,3 +390,26 @@ def test_batch(spark):
 def test_words(spark):
     x = spark.range(1).select(scalar.matches_words(F.lit("One, two; THREE"), "three", "One"), scalar.matches_words(F.lit("one"), "two")).first()
     assert tuple(x) == (True, False)
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(partition, "FEW_RANGES", 4)
+    ranges = spark.createDataFrame([(f"p{i}", i * 10, i * 10 + 5) for i in range(30)], "suffix string, start int, end int")
+    df = spark.createDataFrame([(i,) for i in range(-5, 320)] + [(None,)], "x int")
+    out = {r["x"]: r["suffix"] for r in partition.by_ranges(df, "x", ranges).collect()}
+    assert len(out) == 326
+    assert all(s == (f"p{x // 10}" if x is not None and 0 <= x < 300 and x % 10 < 5 else "default") for x, s in out.items())
+    assert partition.by_ranges(df, "x", ranges.limit(0)).where("suffix = 'default'").count() == 326
+
+
+def test_list_registry_changes(spark):
+    reg = spark.createDataFrame([("red", "warm"), ("blue", "cold")], "value string, suffix string")
+    new = spark.createDataFrame([("red", None), ("Light Green", None), ("pink", "warm")], "value string, suffix string")
+    add = partition.add_values(reg, new)
+    assert sorted(map(tuple, add.collect())) == [("Light Green", "light_green"), ("pink", "warm")]
+    assert {r["suffix"]: r["state"] for r in partition.list_changes(reg.unionByName(add), reg).collect()} == {"warm": "different", "cold": "matched", "light_green": "missing"}
+
+
+def test_event_layout(spark):
+    e = spark.createDataFrame([event(1, "a")], EVENT)
+    assert ev.laid_out(e, ("headers", "causation_id")).columns == [*ev.FIXED, "causation_id", "headers"]

@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import pytest
 
-from corvane.sources import names
+from corvane.sources import admin, names
 from corvane.sources import schema as S
 
 PEOPLE = S.Table("diffs", "people", (S.Column("id", "int", False), S.Column("first_name", "string")), ("id",))
@@ -117,3 +117,60 @@ def test_checks(spark):
     assert [r["id"] for r in S.repeated_keys(df, ["id"]).collect()] == [3]
     parent = spark.createDataFrame([(5,)], "k int")
     assert sorted(r["x"] for r in S.orphans(df, parent, S.ForeignKey("f", ("x",), "p", ("k",))).collect()) == [-1, 4]
+
+
+def test_renames(spark, clean):
+    new = replace(PEOPLE, columns=(PEOPLE.columns[0], S.Column("given_name", "string")))
+    assert S.renames(S.diff(new, PEOPLE)) == {"first_name": "given_name"}
+    two = replace(PEOPLE, columns=(*PEOPLE.columns, S.Column("b", "string")))
+    assert S.renames(S.diff(replace(two, columns=(two.columns[0], S.Column("x", "string"), S.Column("y", "string"))), two)) == {}
+    S.Store(spark, [PEOPLE]).apply()
+    spark.sql("INSERT INTO diffs.people VALUES (1, 'a')")
+    S.Store(spark, [new], S.AutoCreate.ALL).apply()
+    assert [tuple(r) for r in spark.table("diffs.people").select("id", "given_name").collect()] == [(1, "a")]
+
+
+def test_user_types(spark, clean):
+    df = spark.createDataFrame([("a", 1), ("z", -1), (None, None)], "t string, n int")
+    assert S.UserType("e", values=("a", "b")).violations(df, "t").count() == 1
+    assert S.UserType("p", base="int", check="VALUE > 0").violations(df, "n").count() == 1
+    assert S.UserType("s", fields=(S.Column("x", "int"), S.Column("y", "guid"))).spark() == "struct<x:int,y:string>"
+    S.ensure_schema(spark, "diffs")
+    spark.range(3).write.saveAsTable("diffs.t")
+    S.create_synonym(spark, "diffs.also", "diffs.t")
+    assert spark.table("diffs.also").count() == 3
+
+
+def stores(spark):
+    return {"main": S.Store(spark, [REFERS, STATES]), "other": S.Store(spark, [replace(STATES, name="others")])}
+
+
+def test_commands(spark, clean, tmp_path, capsys, monkeypatch):
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "stores_of.py").write_text("made = None\ndef stores(spark):\n    return made(spark)\n")
+    import stores_of
+
+    stores_of.made = stores
+    run = lambda *a: admin.main([*a, "stores_of:stores", "--out", str(tmp_path)], spark)
+    assert run("assert") == 1 and run("apply", "--parallel", "2") == 0 and run("assert") == 0
+    assert run("dump") == 0 and "CREATE TABLE" in (tmp_path / "main.sql").read_text() and S.from_snapshot((tmp_path / "main.json").read_text()) == [REFERS, STATES]
+    assert run("patch") == 0 and (tmp_path / "main.patch.sql").read_text() == ""
+    assert run("list", "--store", "main") == 0 and "states" in capsys.readouterr().out
+
+
+def test_databases_locks_and_settings(spark, clean, tmp_path):
+    dbs = admin.Databases(spark)
+    assert not dbs.exists("diffs")
+    dbs.find_or_create(admin.Database("diffs", comment="it's a test"))
+    assert dbs.exists("diffs") and "diffs" in dbs.names()
+    dbs.drop("diffs")
+    assert not dbs.exists("diffs")
+    with admin.lock(tmp_path / "l"), pytest.raises(admin.Locked), admin.lock(tmp_path / "l"):
+        pass
+    with admin.lock(tmp_path / "l"):
+        pass
+    s = admin.Settings({"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")})
+    s.apply(spark)
+    assert s.read(spark) == s.values
+    r = admin.MultiReader([spark.range(2), spark.range(3)])
+    assert len(list(r.rows())) == 2 and r.next_result() and len(list(r.rows())) == 3 and not r.next_result()
