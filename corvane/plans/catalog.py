@@ -103,7 +103,7 @@ for _name, _p in (
 
 
 def documents_of(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("data"), F.col("lang").alias("doc_type"), F.col("source").alias("tenant_id"), (F.col("doc_id") % 10 == 3).alias("deleted"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("data"), F.col("lang").alias("doc_type"), F.col("source").alias("tenant_id"), (F.col("lang") == "es").alias("deleted"))
 
 
 @query("read_load", "SELECT doc_id AS id FROM documents WHERE doc_id = 42")
@@ -111,12 +111,12 @@ def read_load(spark, d):
     return reader.Reader(documents_of(spark, d)).load(42).select("id")
 
 
-@query("read_load_many", "SELECT doc_id AS id, length(text) AS n FROM documents WHERE doc_id IN (1, 5, 13, 99999999) AND doc_id % 10 <> 3")
+@query("read_load_many", "SELECT doc_id AS id, length(text) AS n FROM documents WHERE doc_id IN (1, 5, 13, 99999999) AND lang <> 'es'")
 def read_load_many(spark, d):
     return reader.Reader(documents_of(spark, d)).load_many([1, 5, 13, 99999999]).select("id", F.length("data").cast("long").alias("n"))
 
 
-@query("read_default_filters", "SELECT doc_id AS id FROM documents WHERE source = 'src3' AND doc_id % 10 <> 3")
+@query("read_default_filters", "SELECT doc_id AS id FROM documents WHERE source = 'src3' AND lang <> 'es'")
 def read_default_filters(spark, d):
     return reader.Reader(documents_of(spark, d), tenant="src3").query().select("id")
 
@@ -127,7 +127,7 @@ def read_identity_map(spark, d):
     return reader.Reader(x, tracking="identity", order=("event_id",)).query().select("id", "event_id", "data")
 
 
-@query("read_dirty_tracking", "SELECT doc_id AS id, md5(text) AS was, md5(text) AS now FROM documents WHERE lang = 'en' AND doc_id % 10 <> 3")
+@query("read_dirty_tracking", "SELECT doc_id AS id, md5(text) AS was, md5(text) AS now FROM documents WHERE lang = 'en' AND lang <> 'es'")
 def read_dirty_tracking(spark, d):
     x = reader.Reader(documents_of(spark, d), tracking="dirty", order=("data",)).query(P.compare("doc_type", "=", "en"))
     return x.select("id", F.md5("as_read").alias("was"), F.md5("data").alias("now"))
@@ -272,21 +272,21 @@ def join_left(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
-@query("join_unnest_ordinality", "SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id < 50)")
+@query("join_unnest_ordinality", "SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)")
 def join_unnest_ordinality(spark, d):
-    x = table(spark, d, "documents").where("doc_id < 50")
+    x = table(spark, d, "documents")
     return x.select("doc_id", scalar.with_ordinality(F.split("text", "\n", -1)).alias("e")).select("doc_id", F.col("e.pos").cast("long").alias("pos"), "e.value")
 
 
 @query(
     "diff_full_outer",
     """SELECT coalesce(e.c_name, a.c_name) AS c_name, CASE WHEN a.c_name IS NULL THEN 'missing' WHEN e.c_name IS NULL THEN 'extra' WHEN e.v = a.v THEN 'matched' ELSE 'different' END AS state
-       FROM (SELECT c_name, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0) e FULL JOIN (SELECT c_name, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_custkey % 4 <> 0) a ON e.c_name = a.c_name""",
+       FROM (SELECT c_name, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING') e FULL JOIN (SELECT c_name, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS v FROM customer WHERE c_acctbal > 0) a ON e.c_name = a.c_name""",
 )
 def diff_full_outer(spark, d):
     c = table(spark, d, "customer")
-    e = c.where("c_custkey % 3 <> 0").select("c_name", F.col("c_acctbal").alias("v"))
-    a = c.where("c_custkey % 4 <> 0").select(F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).alias("v"))
+    e = c.where("c_mktsegment <> 'BUILDING'").select("c_name", F.col("c_acctbal").alias("v"))
+    a = c.where("c_acctbal > 0").select(F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).alias("v"))
     names = c.select("c_name", F.upper("c_name").alias("u"))
     found = ordering.matched(e, a, "c_name", "v").withColumn("u", F.upper("c_name")).drop("c_name")
     return found.join(names, "u").select("c_name", "state")
@@ -295,18 +295,18 @@ def diff_full_outer(spark, d):
 # Writes ---------------------------------------------------------------------------------------
 
 CURRENT = {"off": "NULL", "optimistic": "'v' || c_custkey", "numeric": "c_custkey % 5 + 1"}
-CUR_SQL = "(SELECT c_custkey AS id, c_name AS data, {v} AS version FROM customer WHERE c_custkey % 10 <> 0)"
+CUR_SQL = "(SELECT c_custkey AS id, c_name AS data, {v} AS version FROM customer WHERE c_mktsegment <> 'BUILDING')"
 INC_SQL = """(SELECT id, data, CASE WHEN id % 4 = 1 THEN NULL WHEN id % 4 = 2 THEN 'stale' ELSE 'v' || id END AS expected, 'n' || id AS new_version, id % 4 AS revision
-              FROM (SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS id, 'new ' || c_name AS data FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 10 = 0))"""
+              FROM (SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS id, 'new ' || c_name AS data FROM customer WHERE c_acctbal > 4000 OR c_mktsegment = 'BUILDING'))"""
 
 
 def current_of(spark, d, mode: Mode) -> DataFrame:
     kind = "bigint" if mode is Mode.NUMERIC else "string"
-    return table(spark, d, "customer").where("c_custkey % 10 <> 0").selectExpr("c_custkey AS id", "c_name AS data", f"CAST({CURRENT[mode.value]} AS {kind}) AS version")
+    return table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS id", "c_name AS data", f"CAST({CURRENT[mode.value]} AS {kind}) AS version")
 
 
 def incoming_of(spark, d) -> DataFrame:
-    x = table(spark, d, "customer").where("c_custkey % 3 = 0 OR c_custkey % 10 = 0")
+    x = table(spark, d, "customer").where("c_acctbal > 4000 OR c_mktsegment = 'BUILDING'")
     x = x.selectExpr("CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS id", "'new ' || c_name AS data")
     return x.selectExpr("id", "data", "CASE WHEN id % 4 = 1 THEN NULL WHEN id % 4 = 2 THEN 'stale' ELSE 'v' || id END AS expected", "'n' || id AS new_version", "id % 4 AS revision", "id AS op_seq")
 
@@ -348,14 +348,14 @@ def write_repeated_in_batch(spark, d):
     return writes.next_state(writes.plan_write(spark.createDataFrame([], "id long, data string, version long"), x, Op.UPSERT, Mode.NUMERIC)).select("id", "version", "data")
 
 
-@query("write_bulk_inserts_only", "SELECT c_custkey AS id, c_name AS data FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 1")
+@query("write_bulk_inserts_only", "SELECT c_custkey AS id, c_name AS data FROM customer WHERE c_acctbal > 4000 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_acctbal <= 4000")
 def write_bulk_inserts_only(spark, d):
     c = table(spark, d, "customer")
-    return writes.bulk(c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "c_name AS data"), c.where("c_custkey % 2 = 1").selectExpr("c_custkey AS id", "'new' AS data"), BulkMode.INSERTS_ONLY)
+    return writes.bulk(c.where("c_acctbal > 4000").selectExpr("c_custkey AS id", "c_name AS data"), c.where("c_acctbal <= 4000").selectExpr("c_custkey AS id", "'new' AS data"), BulkMode.INSERTS_ONLY)
 
 
-BULK_CUR = "(SELECT c_custkey AS id, c_name AS data, 'v' || c_custkey AS version FROM customer WHERE c_custkey % 3 <> 0)"
-BULK_INC = "(SELECT c_custkey AS id, 'new' AS data, 'w' || c_custkey AS version, CASE WHEN c_custkey % 4 = 0 THEN 'v' || c_custkey END AS expected FROM customer WHERE c_custkey % 2 = 0)"
+BULK_CUR = "(SELECT c_custkey AS id, c_name AS data, 'v' || c_custkey AS version FROM customer WHERE c_mktsegment <> 'BUILDING')"
+BULK_INC = "(SELECT c_custkey AS id, 'new' AS data, 'w' || c_custkey AS version, CASE WHEN c_custkey % 4 = 0 THEN 'v' || c_custkey END AS expected FROM customer WHERE c_acctbal > 4000)"
 for _mode, _wins in ((BulkMode.IGNORE_DUPLICATES, "cur.id IS NULL"), (BulkMode.OVERWRITE_EXISTING, "inc.id IS NOT NULL"), (BulkMode.OVERWRITE_IF_VERSION_MATCHES, "inc.id IS NOT NULL AND (cur.id IS NULL OR cur.version = inc.expected)")):
 
     @query(
@@ -364,34 +364,35 @@ for _mode, _wins in ((BulkMode.IGNORE_DUPLICATES, "cur.id IS NULL"), (BulkMode.O
     )
     def _bulk(spark, d, mode=_mode):
         c = table(spark, d, "customer")
-        cur = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS id", "c_name AS data", "'v' || c_custkey AS version")
-        inc = c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "'new' AS data", "'w' || c_custkey AS version", "CASE WHEN c_custkey % 4 = 0 THEN 'v' || c_custkey END AS expected")
+        cur = c.where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS id", "c_name AS data", "'v' || c_custkey AS version")
+        inc = c.where("c_acctbal > 4000").selectExpr("c_custkey AS id", "'new' AS data", "'w' || c_custkey AS version", "CASE WHEN c_custkey % 4 = 0 THEN 'v' || c_custkey END AS expected")
         return writes.bulk(cur, inc, mode)
 
 
-@query("write_upsert_columns", "SELECT coalesce(c.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.a ELSE c.a END AS a, CASE WHEN c.k IS NULL THEN n.b ELSE c.b END AS b FROM (SELECT c_custkey AS k, c_name AS a, c_mktsegment AS b FROM customer WHERE c_custkey % 3 <> 0) c FULL JOIN (SELECT c_custkey AS k, 'x' AS a, 'y' AS b FROM customer WHERE c_custkey % 2 = 0) n ON c.k = n.k")
+@query("write_upsert_columns", "SELECT coalesce(c.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.a ELSE c.a END AS a, CASE WHEN c.k IS NULL THEN n.b ELSE c.b END AS b FROM (SELECT c_custkey AS k, c_name AS a, c_mktsegment AS b FROM customer WHERE c_mktsegment <> 'BUILDING') c FULL JOIN (SELECT c_custkey AS k, 'x' AS a, 'y' AS b FROM customer WHERE c_acctbal > 4000) n ON c.k = n.k")
 def write_upsert_columns(spark, d):
     c = table(spark, d, "customer")
-    cur = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "c_name AS a", "c_mktsegment AS b")
-    return writes.upsert_columns(cur, c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "'x' AS a", "'y' AS b"), ["k"], ["a"])
+    cur = c.where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS k", "c_name AS a", "c_mktsegment AS b")
+    return writes.upsert_columns(cur, c.where("c_acctbal > 4000").selectExpr("c_custkey AS k", "'x' AS a", "'y' AS b"), ["k"], ["a"])
 
 
-@query("write_soft_delete", "SELECT doc_id AS id, doc_id % 10 = 3 OR doc_id % 4 = 0 AS deleted, CASE WHEN doc_id % 4 = 0 AND doc_id % 10 <> 3 THEN TIMESTAMP '2024-01-20 00:00:00' END AS deleted_at FROM documents")
+@query("write_soft_delete", "SELECT doc_id AS id, lang IN ('es', 'fr') OR source = 'src1' AS deleted, CASE WHEN (lang = 'fr' OR source = 'src1') AND lang <> 'es' THEN TIMESTAMP '2024-01-20 00:00:00' END AS deleted_at FROM documents")
 def write_soft_delete(spark, d):
     docs = documents_of(spark, d).select("id", "deleted").withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
-    return writes.soft_delete(docs, docs.where("id % 4 = 0"), F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz"))
+    gone = documents_of(spark, d).where("doc_type = 'fr' OR tenant_id = 'src1'")
+    return writes.soft_delete(docs, gone, F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz"))
 
 
-@query("write_hard_delete", "SELECT doc_id AS id FROM documents WHERE doc_id % 4 <> 0")
+@query("write_hard_delete", "SELECT doc_id AS id FROM documents WHERE lang <> 'fr'")
 def write_hard_delete(spark, d):
-    docs = documents_of(spark, d).select("id")
-    return writes.hard_delete(docs, docs.where("id % 4 = 0"))
+    docs = documents_of(spark, d)
+    return writes.hard_delete(docs, docs.where("doc_type = 'fr'")).select("id")
 
 
-@query("write_change_detect", "SELECT event_id AS id, 'upsert' AS op FROM events WHERE event_id % 3 = 0")
+@query("write_change_detect", "SELECT event_id AS id, 'upsert' AS op FROM events WHERE event_type = 'purchase'")
 def write_change_detect(spark, d):
-    x = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a": 1, "p": '), "props", F.lit("}")).alias("data"), "props")
-    after = x.select("id", F.when(F.col("id") % 3 == 0, F.lit('{"a": 2}')).otherwise(F.concat(F.lit('{"p":'), "props", F.lit(', "a":1}'))).alias("data"))
+    x = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a": 1, "p": '), "props", F.lit("}")).alias("data"), "props", "event_type")
+    after = x.select("id", F.when(F.col("event_type") == "purchase", F.lit('{"a": 2}')).otherwise(F.concat(F.lit('{"p":'), "props", F.lit(', "a":1}'))).alias("data"))
     return writes.changes(x.select("id", "data"), after).select("id", "op")
 
 
@@ -403,11 +404,11 @@ def write_insert_absent(spark, d):
 
 # Events ---------------------------------------------------------------------------------------
 
-STREAM_SQL = "(SELECT 't' AS tenant_id, CAST(user_id AS VARCHAR) AS stream_id, user_id % 5 + 1 AS version FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 0))"
+STREAM_SQL = "(SELECT 't' AS tenant_id, CAST(user_id AS VARCHAR) AS stream_id, user_id % 5 + 1 AS version FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 70))"
 
 
 def streams_of(spark, d) -> DataFrame:
-    x = table(spark, d, "events").where("user_id % 3 <> 0").select("user_id").distinct()
+    x = table(spark, d, "events").where("event_type = 'error' AND value > 70").select("user_id").distinct()
     return x.selectExpr("'t' AS tenant_id", "CAST(user_id AS STRING) AS stream_id", "user_id % 5 + 1 AS version", "false AS archived")
 
 
@@ -437,12 +438,12 @@ def event_stream_versions(spark, d):
     return ev.advanced(s, ev.plan_append(s, events_of(spark, d))).select("stream_id", "version")
 
 
-@query("event_refuse_zero", "SELECT event_id AS id, 'version 0' AS reason FROM events WHERE event_id % 7 = 0")
+@query("event_refuse_zero", "SELECT event_id AS id, 'version 0' AS reason FROM events WHERE value > 50")
 def event_refuse_zero(spark, d):
-    return ev.refused_zero(events_of(spark, d).withColumn("version", F.col("op_seq") % 7)).select("id", "reason")
+    return ev.refused_zero(table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("value") > 50, 0).otherwise(1).alias("version"))).select("id", "reason")
 
 
-@query("event_start_stream", "SELECT CAST(user_id AS VARCHAR) AS stream_id, user_id % 3 <> 0 AS refused FROM (SELECT DISTINCT user_id FROM events)")
+@query("event_start_stream", "SELECT CAST(user_id AS VARCHAR) AS stream_id, bool_or(event_type = 'error' AND value > 70) AS refused FROM events GROUP BY user_id")
 def event_start_stream(spark, d):
     new = events_of(spark, d).select("tenant_id", "stream_id").distinct()
     ok, bad = ev.start_streams(streams_of(spark, d), new)
@@ -465,16 +466,16 @@ def event_update_version(spark, d):
     return ev.update_versions(s, c)[0].select("stream_id", "version")
 
 
-@query("event_archive", f"SELECT stream_id, CAST(stream_id AS BIGINT) % 2 = 0 AS archived FROM {STREAM_SQL}")
+@query("event_archive", f"SELECT stream_id, version > 2 AS archived FROM {STREAM_SQL}")
 def event_archive(spark, d):
     s = streams_of(spark, d)
-    return ev.archive(s, s.where("CAST(stream_id AS BIGINT) % 2 = 0")).select("stream_id", "archived")
+    return ev.archive(s, s.where("version > 2")).select("stream_id", "archived")
 
 
-@query("event_tombstone", "SELECT event_id AS id FROM events WHERE user_id % 2 <> 0")
+@query("event_tombstone", "SELECT event_id AS id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 70)")
 def event_tombstone(spark, d):
-    e = events_of(spark, d)
-    return ev.tombstone(streams_of(spark, d), e, e.where("CAST(stream_id AS BIGINT) % 2 = 0"))[1].select("id")
+    s = streams_of(spark, d)
+    return ev.tombstone(s, events_of(spark, d), s)[1].select("id")
 
 
 @query("event_progress", "SELECT event_type AS shard, greatest(max(event_id), 500) AS last_seq FROM events GROUP BY 1")
@@ -572,16 +573,16 @@ def tenant_hash(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", tenancy.fnv1a(F.col("s_name")).alias("hash"), tenancy.by_hash(F.col("s_name"), POOL).alias("db"))
 
 
-@query("tenant_smallest", "SELECT n_name AS database_id, n FROM (SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2) WHERE n_nationkey % 4 <> 0 ORDER BY n, n_nationkey LIMIT 1")
+@query("tenant_smallest", "SELECT n_name AS database_id, n FROM (SELECT n_nationkey, n_name, n_regionkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2, 3) WHERE n_regionkey <> 2 ORDER BY n, n_nationkey LIMIT 1")
 def tenant_smallest(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("tenant_count"))
-    pool = n.select(F.col("n_name").alias("database_id"), "tenant_count", (F.col("n_nationkey") % 4 == 0).alias("is_full"), F.col("n_nationkey").alias("position"))
+    n = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.count("c_custkey").alias("tenant_count"))
+    pool = n.select(F.col("n_name").alias("database_id"), "tenant_count", (F.col("n_regionkey") == 2).alias("is_full"), F.col("n_nationkey").alias("position"))
     return tenancy.smallest(pool).select("database_id", F.col("tenant_count").alias("n"))
 
 
-@query("tenant_assignment", "SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'db' || c_nationkey % 3 END AS database_id FROM customer")
+@query("tenant_assignment", "SELECT c_custkey, CASE WHEN n_regionkey < 3 THEN 'db' || c_nationkey % 3 END AS database_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def tenant_assignment(spark, d):
-    a = table(spark, d, "nation").where("n_nationkey < 10").selectExpr("n_nationkey AS tenant_id", "'db' || n_nationkey % 3 AS database_id")
+    a = table(spark, d, "nation").where("n_regionkey < 3").selectExpr("n_nationkey AS tenant_id", "'db' || n_nationkey % 3 AS database_id")
     return tenancy.assigned(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("tenant_id")), a).select("c_custkey", "database_id")
 
 
@@ -695,10 +696,10 @@ def schema_diff(spark, d):
     return spark.createDataFrame(rows, "name string, state string")
 
 
-@query("schema_fk_check", "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 11 <> 0)")
+@query("schema_fk_check", "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'MACHINERY')")
 def schema_fk_check(spark, d):
     key = schema.ForeignKey("fk", ("o_custkey",), "customer", ("c_custkey",))
-    return schema.orphans(table(spark, d, "orders"), table(spark, d, "customer").where("c_custkey % 11 <> 0"), key).select("o_orderkey")
+    return schema.orphans(table(spark, d, "orders"), table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'"), key).select("o_orderkey")
 
 
 @query("schema_check_violations", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT l_discount <= l_tax")
