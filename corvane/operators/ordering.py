@@ -49,8 +49,8 @@ def newest(df: DataFrame, at: str, n: int) -> DataFrame:
 
     The cut-off is found by a top-n of each task, so the rest is a pushed-down filter.
     """
-    low = df.where(F.col(at).isNotNull()).orderBy(F.col(at).desc()).limit(n).agg(F.min(at).alias("_low"), F.count("*").alias("_n"))
-    return df.join(F.broadcast(low), (F.col(at) >= F.col("_low")) | (F.col("_n") < n)).drop("_low", "_n")  # one row
+    low, found = df.where(F.col(at).isNotNull()).orderBy(F.col(at).desc()).limit(n).agg(F.min(at), F.count("*")).first()
+    return df if found < n else df.where(F.col(at) >= F.lit(low))
 
 
 def ordered_array(x: str, *by: str) -> Column:

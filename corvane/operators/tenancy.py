@@ -77,8 +77,8 @@ def ordinals(registry: DataFrame, tenants: DataFrame) -> DataFrame:
     known = registry.select(F.lower("bucket").alias("b"), F.col("ordinal").alias("known")).distinct()
     new = tenants.join(registry.select("tenant_id"), "tenant_id", "left_anti").withColumn("b", F.lower("bucket"))
     fresh = new.join(known, "b", "left_anti").select("b").distinct()
-    top = registry.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("top"))
-    fresh = fresh.crossJoin(F.broadcast(top)).select("b", (F.col("top") + F.row_number().over(Window.orderBy("b"))).alias("fresh"))
+    top = registry.agg(F.max("ordinal")).first()[0] or 0
+    fresh = fresh.select("b", (F.lit(top) + F.row_number().over(Window.orderBy("b"))).alias("fresh"))
     return new.join(known, "b", "left").join(fresh, "b", "left").select("tenant_id", "bucket", F.coalesce("known", "fresh").alias("ordinal"))
 
 
