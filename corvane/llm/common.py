@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: byte bound is the one that keeps a worker small; the row bound covers short rows.
 BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
+MOST_BUCKETS = 1_000_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -47,6 +48,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, size: int) -> int:
+    """Buckets of about ``size`` bytes of the files that are read; as many as shuffle partitions at least, also where the size isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(x for x in (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) if x < 1 << 60)
+    return max(shuffle_partitions(df.sparkSession), min(known // size, MOST_BUCKETS))
+
+
 def documents(df: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` with a null text as the empty one; other columns are left behind."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -4,9 +4,10 @@ A text's fingerprint is the majority of the bits of its shingles' hashes. Equal
 point. The points are dealt out by the top of a vantage-point tree: a node holds a vantage point and
 a radius, points within it go left, the others right. Each point lives in one shard; as a query it
 visits every shard that can hold a point within the radius of search, by the triangle inequality
-(``|d(q, v) - d(x, v)| <= d(q, x)``), so no pair is missed. A shard goes on with a tree of its own and
-compares blocks at its leaves. It emits a spanning star of what it linked, never the pairs; stars are
-joined by hooking and pointer jumping until each points at its smallest member.
+(``|d(q, v) - d(x, v)| <= d(q, x)``), so no pair is missed. Those that ask at a shard come in blocks of
+bounded size, each with the shard's points. There the tree goes on and compares at its leaves. A task
+emits a spanning star of what it linked, never the pairs; stars are joined by hooking and pointer
+jumping until each points at its smallest member.
 
 ``similar`` serves the pipeline, where near duplicates are texts whose sets of five-word shingles have
 a Jaccard similarity of 0.8 or more. At that similarity fingerprints differ by about 9 of 64 bits, and
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 from corvane.llm import common
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints the top of the tree is fitted on, and points a shard is meant to have.
-SAMPLE = 8192
-SHARD_POINTS = 100_000
+#: Fingerprints the top of the tree is fitted on, its depth at most, the points a shard is meant to
+#: have, and the points that ask at a shard in one task.
+SAMPLE, MOST_DEPTH = 32_768, 12
+SHARD_POINTS, ASKING = 100_000, 4_000_000
 #: Points of a shard that are compared without further branching.
 LEAF = 256
 #: The pipeline's shingles; the ranges that hashes' minimums are taken over, bands and minimums in one,
@@ -256,14 +258,18 @@ def links(points: DataFrame, within: int = RADIUS, shards_per_core: int = 2) ->
     n = points.count()
     sample = np.array([r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     want = max(n / SHARD_POINTS, min(shards_per_core * spark.sparkContext.defaultParallelism, n / 1000))
-    top = Node(sample, min(10, max(0, math.ceil(math.log2(max(1.0, want))))), [0])
+    depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1.0, want)))))
+    top = Node(sample, depth, [0])
+    # about 0.86 of the points that reach a node go on to either side; a shard's points meet each block of them
+    blocks = math.ceil(n * 0.86**depth / ASKING)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            out: list = []
-            top.deal(fp, np.ones(len(fp), bool), within, out)
-            yield pa.record_batch({"shard": pa.array([x[0] for x in out], pa.int64()), "homes": pa.array([x[1].tobytes() for x in out], pa.binary()), "asks": pa.array([x[2].tobytes() for x in out], pa.binary())})
+            found: list = []
+            top.deal(fp, np.ones(len(fp), bool), within, found)
+            out = [(shard, b, homes, asks[asks % np.uint64(blocks) == b] if blocks > 1 else asks) for shard, homes, asks in found for b in range(blocks)]
+            yield pa.record_batch({"shard": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.int64()), "homes": pa.array([x[2].tobytes() for x in out], pa.binary()), "asks": pa.array([x[3].tobytes() for x in out], pa.binary())})
 
     def search(t: pa.Table) -> pa.Table:
         homes, asks = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64) for c in ("homes", "asks"))
@@ -271,8 +277,8 @@ def links(points: DataFrame, within: int = RADIUS, shards_per_core: int = 2) ->
         a, b = a.view(np.int64), b.view(np.int64)
         return pa.table({"u": np.maximum(a, b), "v": np.minimum(a, b)})
 
-    dealt = points.select("fp").mapInArrow(deal, "shard long, homes binary, asks binary")
-    return dealt.groupBy("shard").applyInArrow(search, "u long, v long")
+    dealt = points.select("fp").mapInArrow(deal, "shard long, block long, homes binary, asks binary")
+    return dealt.groupBy("shard", "block").applyInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, within: int = RADIUS, n: int = SHINGLE) -> DataFrame:

@@ -37,6 +37,8 @@ SPAN, GRAM = 100, 32
 #: Bytes of text hashed at a time, and stretches packed at a time.
 CHUNK = 1 << 20
 BLOCK = 500_000
+#: Bytes of input whose stretches a bucket is meant to gather.
+BUCKET_BYTES = 64 << 20
 RECORD = np.dtype([("pick", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i2")])
 
 
@@ -385,7 +387,7 @@ def dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
     common.tune(spark)
-    buckets = buckets or common.shuffle_partitions(spark)
+    buckets = buckets or common.buckets(docs, BUCKET_BYTES)
     docs = common.documents(docs).where(F.col("doc_id").isNotNull())
     packed = docs.mapInArrow(cut_texts(buckets), "bucket long, sure boolean, blob binary")
     met = common.cut(packed.groupBy("bucket").applyInArrow(meet, "doc_id long, code long, route long"))

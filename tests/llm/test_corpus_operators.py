@@ -308,6 +308,7 @@ def chained(n, seed):
 def test_simhash_components(spark, seed, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_POINTS", 40)
     monkeypatch.setattr(simhash, "LEAF", 16)
+    monkeypatch.setattr(simhash, "ASKING", 60)
     points = sorted({*chained(150, seed), 0, (1 << 64) - 1})
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long").repartition(3)
     roots = {r["u"]: r["root"] for r in simhash.components(simhash.links(df, 4)).collect()}
