@@ -201,8 +201,8 @@ def by_list(value: Column, lists: dict[str, list], default: str | None = "defaul
 
 
 def by_hash(value: Column, suffixes: list[str]) -> Column:
-    """The modulus is the number of suffixes, the remainder a suffix's position. The hash is CRC-32 of the text."""
-    n = F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % len(suffixes)
+    """The modulus is the number of suffixes, the remainder a suffix's position. The hash is the first 32 bits of the text's MD5."""
+    n = F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % len(suffixes)
     return F.element_at(F.array(*map(F.lit, suffixes)), n.cast("int") + 1)
 
 

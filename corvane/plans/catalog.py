@@ -508,7 +508,7 @@ def part_list(spark, d):
     return table(spark, d, "customer").select("c_custkey", partition.by_list(F.col("c_mktsegment"), {"heavy": ["BUILDING", "MACHINERY"], "cars": ["AUTOMOBILE"]}).alias("suffix"))
 
 
-@query("part_hash")
+@query("part_hash", "SELECT c_custkey, ['one', 'two', 'three'][CAST(CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT) % 3 AS INTEGER) + 1] AS suffix FROM customer")
 def part_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", partition.by_hash(F.col("c_name"), ["one", "two", "three"]).alias("suffix"))
 
