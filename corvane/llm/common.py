@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
 MOST_BUCKETS = 1_000_000
+#: Short rows (some numbers) up to which a frame may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -44,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame of short rows is small enough to be sent to every task, by its count."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -41,7 +41,12 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sketched = lines.groupBy(*key).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     spread = common.cut(sketched.select(*key, F.hll_sketch_estimate("sketch").alias("n")).where(F.col("n") >= min_sites * (1 - SIGMAS * ERROR) - 1))
     near = spread.where(F.col("n") <= min_sites * (1 + SIGMAS * ERROR) + 1).select(*key)
-    exact = lines.join(near, key, "left_semi").select(*key, "site").distinct().groupBy(*key).count().where(F.col("count") >= min_sites).select(*key)
+    # either way a line leaves a task once for each site, however often it stands there
+    if common.fits_broadcast(near):
+        pairs = lines.join(F.broadcast(near), key, "left_semi").select(*key, "site").distinct()
+    else:
+        pairs = lines.select(*key, "site").distinct().join(near, key, "left_semi")
+    exact = pairs.groupBy(*key).count().where(F.col("count") >= min_sites).select(*key)
     sure = spread.where(F.col("n") > min_sites * (1 + SIGMAS * ERROR) + 1).select(*key)
     return common.cut(sure.unionByName(exact))
 
@@ -49,7 +54,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def removed(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, gone``: the numbers of the lines to remove, for documents that have any."""
     key = ["h1", "h2"]
-    hits = common.cut(_lines(docs).join(boilerplate(docs, min_sites), key).select("doc_id", "at", *key))
+    found = boilerplate(docs, min_sites)
+    found = F.broadcast(found) if common.fits_broadcast(found) else found
+    hits = common.cut(_lines(docs).join(found, key).select("doc_id", "at", *key))
     first = hits.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
     first = first.join(hits, [*key, "doc_id"]).groupBy(*key, "doc_id").agg(F.min("at").alias("at")).select("doc_id", "at", F.lit(True).alias("stays"))
     gone = hits.select("doc_id", "at").join(first, ["doc_id", "at"], "left_anti")
