@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm import common
+
 #: Bytes (as doubles) of a block of queries and of a shard of candidates in one cell.
 QUERY_BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 32 << 20
@@ -79,6 +81,7 @@ def cell_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every query."""
     spark = queries.sparkSession
+    common.tune(spark)
 
     def whole(df: DataFrame) -> DataFrame:
         x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
