@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from typing import Any
 
@@ -45,5 +46,13 @@ def shortened(name: str, most: int = 63) -> str:
 
 
 def normalised(value: Any) -> str:
-    """A partition bound as text, without quotes."""
-    return undelimited(str(value).strip()).strip("'")
+    """A partition bound as text: without quotes, a time with an offset in UTC."""
+    text = undelimited(str(value).strip()).strip("'")
+    try:
+        at = dt.datetime.fromisoformat(text)
+    except ValueError:
+        return text
+    if not re.match(r"\d{4}-\d{2}-\d{2}[ T]", text):
+        return text
+    at = at.astimezone(dt.UTC).replace(tzinfo=None) if at.tzinfo else at
+    return at.isoformat(sep=" ")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import registry, scalar
 from corvane.operators import batch, ordering, partition, reader, tenancy, writes
 from corvane.operators import predicate as P
+from corvane.operators.session import Session
 from corvane.operators.writes import BulkMode, Mode, Op
 from corvane.streaming import events as ev
 
@@ -413,3 +414,18 @@ def test_list_registry_changes(spark):
 def test_event_layout(spark):
     e = spark.createDataFrame([event(1, "a")], EVENT)
     assert ev.laid_out(e, ("headers", "causation_id")).columns == [*ev.FIXED, "causation_id", "headers"]
+
+
+def test_session(spark):
+    cur = spark.createDataFrame([(1, '{"a":1}', "v1"), (2, '{"a":2}', "v2"), (3, '{"a":3}', "v3")], "id int, data string, version string")
+    s = Session(reader.Reader(cur, tracking="dirty", order=("version",)), Mode.OPTIMISTIC)
+    s.load_many([1, 2])
+    s.queue_changes(spark.createDataFrame([(1, '{"a": 1}', "n1"), (2, '{"a":9}', "n2")], "id int, data string, new_version string"))
+    s.queue(Op.UPSERT, spark.createDataFrame([(3, "{}", "n3"), (4, "{}", "n4")], "id int, data string, new_version string"))
+    s.delete(spark.createDataFrame([(1,)], "id int"))
+    after, refused = s.save(cur)
+    assert sorted(map(tuple, after.collect())) == [(2, '{"a":9}', "n2"), (3, '{"a":3}', "v3"), (4, "{}", "n4")]
+    assert [[(r["id"], r["reason"]) for r in x.collect()] for x in refused] == [[], [(3, "conflict")]]
+    free = Session(reader.Reader(cur), Mode.OPTIMISTIC, checks=False)
+    free.queue(Op.UPSERT, spark.createDataFrame([(3, "{}", "n3")], "id int, data string, new_version string"))
+    assert (3, "{}", "n3") in map(tuple, free.save(cur)[0].collect())

@@ -25,6 +25,7 @@ def test_names():
     with pytest.raises(ValueError):
         names.split_qualified("a.b.c")
     assert names.shortened("x" * 70) == "x" * 63 and names.normalised(" 'a' ") == "a"
+    assert names.normalised("'2024-01-02 03:00:00+02:00'") == "2024-01-02 01:00:00" and names.normalised("20240102") == "20240102"
 
 
 def test_canonical_expressions():
