@@ -74,10 +74,9 @@ def edits(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     pick = lambda df, s: df.select(key, *(F.col(c).alias(c + s) for c in ("root", "section_nodes", "section_parts")))
     both = pick(a, "_a").join(pick(b, "_b"), key)
 
-    def only(s: str, o: str) -> Column:
-        open_ = F.filter(F.arrays_zip("section_nodes" + s, "section_parts" + s), lambda z: ~F.array_contains(F.col("section_nodes" + o), z["section_nodes" + s]))
-        return F.flatten(F.transform(open_, lambda z: F.split(z["section_parts" + s], ",")))
-
+    tagged = lambda s: F.transform(F.arrays_zip("section_nodes" + s, "section_parts" + s), lambda z: F.concat(z["section_nodes" + s], F.lit("="), z["section_parts" + s]))
+    inside = lambda x: F.flatten(F.transform(x, lambda t: F.split(F.substring_index(t, "=", -1), ",")))
+    only = lambda s, o: inside(F.array_except(tagged(s), tagged(o)))
     opened = both.select(key, (F.col("root_a") == F.col("root_b")).alias("same"), only("_a", "_b").alias("pa"), only("_b", "_a").alias("pb"))
     return opened.select(key, "same", F.array_except("pa", "pb").alias("gone"), F.array_except("pb", "pa").alias("new"))
 
