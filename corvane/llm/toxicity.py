@@ -19,7 +19,7 @@ one (the highest); a null doc_id is scored and counts as not held out; an empty
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +37,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: The score that divides the classes.
 AT = 0.3
 #: Windows scored at a time; words whose inputs a worker keeps.
-BLOCK, KEPT_WORDS = 4096, 150_000
+BLOCK, KEPT_WORDS = 1024, 150_000
 WORD = re.compile(r"\w+")
 
 
@@ -225,13 +225,13 @@ class Adam:
             p[k][at] -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
 
 
-def vocabulary(docs: list[np.ndarray]) -> np.ndarray:
+def vocabulary(docs: Iterable[np.ndarray]) -> np.ndarray:
     """Sorted hashes that at least MIN_DOCS documents hold."""
     keys, n = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
     return keys[n >= MIN_DOCS]
 
 
-def log_odds(docs: list[np.ndarray], toxic: np.ndarray, rows: int) -> np.ndarray:
+def log_odds(docs: Iterable[np.ndarray], toxic: np.ndarray, rows: int) -> np.ndarray:
     """By row, from the documents that hold it; rows of few documents stay near 0."""
     n = np.zeros((2, rows))
     for d, t in zip(docs, toxic, strict=True):
@@ -248,9 +248,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return Model(fresh(rng) | {k: np.empty(0, np.uint64) for k in ("word_keys", "gram_keys")}, fitted=False)
-    split = [words(t) for t in texts]
-    vocab = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-    rows = [np.array([vocab[w] for w in s], np.int32) for s in split]
+    vocab: dict[str, int] = {}
+    rows = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words(t)], np.int32) for t in texts]
     word_hash, gram_hash, whose = features(list(vocab))
     n_grams = np.bincount(whose, minlength=len(vocab))
     by = np.argsort(whose, kind="stable")
@@ -261,7 +260,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         held[:] = False
     fit = np.flatnonzero(~held)
     own = [np.unique(rows[i]) - 1 for i in fit]
-    grams_of = lambda h: [np.concatenate([h[:0], *(h[g_start[w] : g_start[w + 1]] for w in o)]) for o in own]
+    grams_of = lambda h: (np.concatenate([h[:0], *(h[g_start[w] : g_start[w + 1]] for w in o)]) for o in own)
     keys = {"word_keys": vocabulary([word_hash[o] for o in own]), "gram_keys": vocabulary(grams_of(gram_hash))}
     word_slot, gram = place(word_hash, keys["word_keys"]), place(gram_hash, keys["gram_keys"])
     p = fresh(rng, len(keys["word_keys"]), len(keys["gram_keys"]))
@@ -342,7 +341,7 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[lis
     ids = picked[0].unionByName(picked[1])
     short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     got = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()  # at most 2 * bound short ids
-    got = sorted(got, key=lambda r: (r[0], r[1] or ""))
+    got.sort(key=lambda r: (r[0], r[1] or ""))
     return [r[1] or "" for r in got], np.array([r[2] == 1 for r in got], bool)
 
 
