@@ -106,9 +106,9 @@ def documents_of(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("data"), F.col("lang").alias("doc_type"), F.col("source").alias("tenant_id"), (F.col("lang") == "es").alias("deleted"))
 
 
-@query("read_load", "SELECT doc_id AS id FROM documents WHERE doc_id = 42")
+@query("read_load", "SELECT doc_id AS id FROM documents WHERE doc_id = 1 AND lang <> 'es'")
 def read_load(spark, d):
-    return reader.Reader(documents_of(spark, d)).load(42).select("id")
+    return reader.Reader(documents_of(spark, d)).load(1).select("id")
 
 
 @query("read_load_many", "SELECT doc_id AS id, length(text) AS n FROM documents WHERE doc_id IN (1, 5, 13, 99999999) AND lang <> 'es'")
