@@ -11,8 +11,9 @@ jumping until each points at its smallest member.
 
 ``similar`` serves the pipeline, where near duplicates are texts whose sets of five-word shingles have
 a Jaccard similarity of 0.8 or more. At that similarity fingerprints differ by about 9 of 64 bits, and
-a tree prunes nothing at such a radius; so there the tree's links are joined by those of a second
-sketch, minimum hashes in bands, each checked by the share of equal minimums (see the README).
+a tree prunes nothing at such a radius; so there the tree's components are buckets of candidates beside
+those of a second sketch, minimum hashes in bands. Both sketches only find candidates: a link is a pair
+whose whole sets were compared, a bucket's members against its smallest.
 
 The top of the tree is fitted on at most ``SAMPLE`` fingerprints (its shape only: every point is
 dealt and searched exactly). Components never pass through the driver.
@@ -42,9 +43,8 @@ SAMPLE, MOST_DEPTH = 32_768, 12
 SHARD_POINTS, ASKING = 100_000, 4_000_000
 #: Points of a shard that are compared without further branching.
 LEAF = 256
-#: The pipeline's shingles; the ranges that hashes' minimums are taken over, bands and minimums in one,
-#: and the share of equal minimums from which two texts are alike (0.8 less twice its error).
-PIPELINE_SHINGLE, BINS, BANDS, BAND_ROWS, SHARE = 5, 128, 20, 6, 0.73
+#: The pipeline's shingles; the ranges that hashes' minimums are taken over, bands and minimums in one.
+PIPELINE_SHINGLE, BINS, BANDS, BAND_ROWS = 5, 128, 20, 6
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -110,24 +110,25 @@ def bands(minimum: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE, sketched: bool = False) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long); also ``minimums, keys`` if ``sketched``."""
+    """``doc_id, fp`` (the 64 bits as a long); also ``kind, n, keys`` if ``sketched``: the shingles' digest and number, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, mins = [], []
+            fps, sets = [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", n)
                 fps.append(majority(hashes))
                 if sketched:
-                    mins.append(minimums(hashes))
+                    sets.append(np.unique(hashes))
             out = {"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
             if sketched:
-                out["minimums"] = pa.array([m.tobytes() for m in mins], pa.binary())
-                out["keys"] = pa.array([bands(m).view(np.int64) for m in mins], pa.list_(pa.int64()))
+                out["kind"] = pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary())
+                out["n"] = pa.array([len(x) for x in sets], pa.int64())
+                out["keys"] = pa.array([bands(minimums(x)).view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.record_batch(out)
 
     common.tune(docs.sparkSession)
-    schema = "doc_id long, fp long" + ", minimums binary, keys array<long>" * sketched
+    schema = "doc_id long, fp long" + ", kind binary, n long, keys array<long>" * sketched
     return common.documents(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, schema)
 
 
@@ -293,37 +294,61 @@ def near_duplicates(docs: DataFrame, within: int = RADIUS, n: int = SHINGLE) ->
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def alike(common_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b shingles with so many in common have a Jaccard similarity of 0.8 or more."""
+    return 9 * common_ >= 4 * (a + b)
+
+
 def checked(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (u, v, minimums of both) with enough equal minimums."""
+    """The pairs (u, v, sets of both) that are alike."""
     for batch in pairs:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, BINS) for i in (2, 3))
-        ok = pa.array((a == b).mean(axis=1) >= SHARE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+        ok = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                ok[i] = alike(np.count_nonzero(both[1:] == both[:-1]), len(x), len(y))
+        keep = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``first, words``: the sorted set of shingles' hashes of the documents that ``ids`` names, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), PIPELINE_SHINGLE)).tobytes() for t in batch.column(1)]
+            yield pa.record_batch({"first": batch.column(0), "words": pa.array(words, pa.binary())})
+
+    asked = common.documents(docs).join(ids.withColumnRenamed("first", "doc_id"), "doc_id", "left_semi")
+    sets = asked.mapInArrow(run, "first long, words binary").where(F.length("words") > 0)
+    return common.cut(sets.groupBy("first").agg(F.collect_set("words").alias("words")).select("first", F.explode("words").alias("words")))
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of documents linked by similar sets of five-word shingles.
 
-    Documents of equal minimums are one before anything is compared, so a group of copies leaves each
-    task as one row. Each member of a band's bucket is checked against the bucket's smallest and
-    largest member, so a bucket gives no more pairs than it has rows.
+    Documents of equal sets are one before anything is compared, so a group of copies leaves each
+    task as one row. Each member of a bucket (of a band, or a component of the tree) is compared with
+    the bucket's smallest member.
     """
     sketched = common.cut(fingerprints(docs, PIPELINE_SHINGLE, sketched=True))
-    points = common.cut(sketched.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    named = lambda c: points.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_doc"))
-    by_tree = links(points).join(named("u"), "u").join(named("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
-
-    kinds = common.cut(sketched.groupBy("minimums").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
-    bucketed = kinds.select("first", F.explode("keys").alias("key"))
+    kinds = common.cut(sketched.groupBy("kind").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    tree = components(links(common.cut(sketched.where("n > 0").select("fp").distinct())))
+    near = sketched.where("n > 0").select("kind", "fp").distinct().join(tree, F.col("fp") == F.col("u"), "left").select("kind", F.coalesce("root", "fp").alias("root")).distinct()
+    # fingerprints of one text alone are no bucket
+    near = near.join(near.groupBy("root").agg(F.count("*").alias("c")).where("c > 1"), "root").select("kind", F.xxhash64(F.lit("tree"), "root").alias("key"))
+    by_tree = near.join(kinds, "kind").select("first", "n", "key")
+    bucketed = kinds.where("n > 0").select("first", "n", F.explode("keys").alias("key")).unionByName(by_tree)
     ends = bucketed.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high")
-    mates = bucketed.join(ends, "key").select("first", F.explode(F.array("low", "high")).alias("mate")).where("first <> mate")
-    pairs = mates.select(F.greatest("first", "mate").alias("u"), F.least("first", "mate").alias("v")).distinct()
-    sketch = lambda c: kinds.select(F.col("first").alias(c), F.col("minimums").alias(f"{c}_min"))
-    by_bands = pairs.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "u_min", "v_min").mapInArrow(checked, "u long, v long")
-
-    copies = lambda key, heads: sketched.select("doc_id", key).join(heads.select(key, "first"), key).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    edges = by_tree.unionByName(by_bands).unionByName(copies("fp", points)).unionByName(copies("minimums", kinds)).where("u <> v")
-    root = components(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    shared = common.cut(bucketed.join(ends, "key").select("key", "first", "n", "low"))
+    sets = shingle_sets(docs, shared.select("first").distinct())
+
+    pairs = shared.where("first <> low").select(F.col("first").alias("u"), F.col("low").alias("v")).distinct()
+    named = lambda c: sets.select(F.col("first").alias(c), F.col("words").alias(f"{c}_words"))
+    to_low = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_words", "v_words").mapInArrow(checked, "u long, v long")
+    copies = sketched.select("doc_id", "kind").join(kinds.select("kind", "first"), "kind").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).where("u <> v")
+    root = components(to_low.unionByName(copies))
     return sketched.select("doc_id").join(root, F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 

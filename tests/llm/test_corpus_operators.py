@@ -422,6 +422,48 @@ def test_similar_texts(spark):
     assert simhash.keep_first(frame(spark, [])).count() == 0
 
 
+def family(groups, changes, near, seed, n=150):
+    """Texts around one template: so many words changed for a group, and so many more for its second text."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+
+    def changed(words, k):
+        words = list(words)
+        for i in r.sample(range(len(words)), k):
+            words[i] = word()
+        return words
+
+    template, rows = [word() for _ in range(n)], []
+    for i in range(groups):
+        one = changed(template, changes)
+        rows += [(i, " ".join(one)), (10_000 - i, " ".join(changed(one, near)))]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    ids = sorted(sets)
+    alike = {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    return rows, sorted(alike)
+
+
+def closure(ids, pairs):
+    root = {i: i for i in ids}
+    for _ in ids:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+@pytest.mark.parametrize("n, changes, near", [(150, 3, 1), (60, 3, 1)])
+def test_similar_links_only_at_the_threshold(spark, n, changes, near):
+    rows, alike = family(120, changes, near, 5, n)
+    out = {x["doc_id"]: x["component_id"] for x in simhash.similar(frame(spark, rows)).collect()}
+    want = closure(out, alike)
+    assert len(set(want.values())) > 20
+    assert all(want[i] == want[c] for i, c in out.items())  # nothing is joined that no chain of real links joins
+    assert sum(out[a] == out[b] for a, b in alike) >= 0.98 * len(alike)
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     """Extra columns, also with names that the operators use, and awkward rows go through every stage."""
     import corpus_pipeline
