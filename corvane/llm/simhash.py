@@ -13,7 +13,7 @@ jumping until each points at its smallest member.
 a Jaccard similarity of 0.8 or more. At that similarity fingerprints differ by about 9 of 64 bits, and
 a tree prunes nothing at such a radius; so there the tree's components are buckets of candidates beside
 those of a second sketch, minimum hashes in bands. Both sketches only find candidates: a link is a pair
-whose whole sets were compared, a bucket's members against its smallest.
+whose whole sets were compared, and every pair of a bucket is compared unless it is linked already.
 
 The top of the tree is fitted on at most ``SAMPLE`` fingerprints (its shape only: every point is
 dealt and searched exactly). Components never pass through the driver.
@@ -45,6 +45,8 @@ SHARD_POINTS, ASKING = 100_000, 4_000_000
 LEAF = 256
 #: The pipeline's shingles; the ranges that hashes' minimums are taken over, bands and minimums in one.
 PIPELINE_SHINGLE, BINS, BANDS, BAND_ROWS = 5, 128, 20, 6
+#: What is compared at once of a bucket: texts, those of them outside its largest component, shingles of either.
+MEMBERS, OUTSIDERS, HELD = 1024, 256, 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -312,6 +314,31 @@ def checked(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
 
+def compared(t: pa.Table) -> pa.Table:
+    """Stars over the links of a block's outsiders with its members, of rows ``first, root, outsider, words``."""
+    first, root, outside = (t.column(c).to_numpy() for c in ("first", "root", "outsider"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("words")]
+    size = np.array([len(x) for x in sets], np.int64)
+    mine, asks = np.flatnonzero(~outside), np.flatnonzero(outside)
+    edges_a, edges_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(mine) and len(asks):
+        known, at = np.unique(np.concatenate([sets[i] for i in mine]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size[mine])[:-1]])
+        for i in asks:
+            x = sets[i]
+            place = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            has = np.zeros(len(known), np.int32)
+            has[place[known[place] == x]] = 1
+            hit = mine[alike(np.add.reduceat(has[at], starts), size[mine], size[i]) & (root[mine] != root[i])]
+            edges_a.append(np.full(len(hit), first[i]))
+            edges_b.append(first[hit])
+    a, b = np.concatenate(edges_a), np.concatenate(edges_b)
+    nodes = np.unique(np.concatenate([a, b]))
+    low = rooted(len(nodes), np.searchsorted(nodes, a), np.searchsorted(nodes, b))
+    moved = low != np.arange(len(nodes))
+    return pa.table({"u": nodes[moved], "v": nodes[low[moved]]})
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``first, words``: the sorted set of shingles' hashes of the documents that ``ids`` names, each once."""
 
@@ -325,12 +352,37 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return common.cut(sets.groupBy("first").agg(F.collect_set("words").alias("words")).select("first", F.explode("words").alias("words")))
 
 
+def mixed_links(shared: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, v``: stars over all links between different components within the buckets ``shared`` (key, first, n).
+
+    A bucket's texts outside its largest component are compared with all of its texts, in blocks.
+    Buckets of the same texts are one.
+    """
+    placed = common.cut(shared.join(root, F.col("first") == F.col("u"), "left").select("key", "first", "n", F.coalesce("root", "first").alias("root")))
+    sign = [F.bit_xor(F.xxhash64("first", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *sign)
+    all_ = [F.sum("c").alias("texts"), F.sum("n").alias("words"), F.max(F.struct("c", "n", "root")).alias("home"), F.count("*").alias("roots"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1")]
+    # the two texts of a pair have been compared
+    mixed = parts.groupBy("key").agg(*all_).where("roots > 1 and texts > 2")
+    mixed = mixed.groupBy("texts", "words", "x0", "x1").agg(F.min(F.struct("key", "home")).alias("one")).select("one.*", "texts", "words")
+    most = lambda texts, n, words: F.ceil(F.greatest(texts / n, words / HELD))
+    blocks = mixed.select("key", F.col("home.root").alias("home"), most(F.col("texts"), MEMBERS, F.col("words")).alias("nm"), most(F.col("texts") - F.col("home.c"), OUTSIDERS, F.col("words") - F.col("home.n")).alias("no"))
+    rows = common.cut(placed.join(blocks, "key"))
+    part = lambda n, seed: F.pmod(F.xxhash64("first", F.lit(seed)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    members = rows.select("key", "first", "root", F.lit(False).alias("outsider"), part("nm", 2).alias("m"), every(F.col("no")).alias("o"))
+    outsiders = rows.where("root <> home").select("key", "first", "root", F.lit(True).alias("outsider"), part("no", 3).alias("o"), every(F.col("nm")).alias("m"))
+    dealt = members.unionByName(outsiders).join(sets, "first")
+    return dealt.groupBy("key", "m", "o").applyInArrow(compared, "u long, v long")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of documents linked by similar sets of five-word shingles.
 
     Documents of equal sets are one before anything is compared, so a group of copies leaves each
     task as one row. Each member of a bucket (of a band, or a component of the tree) is compared with
-    the bucket's smallest member.
+    the bucket's smallest member; what that leaves in different components is compared within the
+    bucket, all with all (``mixed_links``).
     """
     sketched = common.cut(fingerprints(docs, PIPELINE_SHINGLE, sketched=True))
     kinds = common.cut(sketched.groupBy("kind").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -348,7 +400,10 @@ def similar(docs: DataFrame) -> DataFrame:
     named = lambda c: sets.select(F.col("first").alias(c), F.col("words").alias(f"{c}_words"))
     to_low = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_words", "v_words").mapInArrow(checked, "u long, v long")
     copies = sketched.select("doc_id", "kind").join(kinds.select("kind", "first"), "kind").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).where("u <> v")
-    root = components(to_low.unionByName(copies))
+    root = common.cut(components(to_low.unionByName(copies)))
+
+    ordered = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    root = components(ordered(mixed_links(shared, root, sets)).unionByName(root.select("u", F.col("root").alias("v"))))
     return sketched.select("doc_id").join(root, F.col("doc_id") == F.col("u"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 

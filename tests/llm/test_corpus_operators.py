@@ -464,6 +464,22 @@ def test_similar_links_only_at_the_threshold(spark, n, changes, near):
     assert sum(out[a] == out[b] for a, b in alike) >= 0.98 * len(alike)
 
 
+def test_similar_compares_all_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 16)
+    monkeypatch.setattr(simhash, "OUTSIDERS", 8)
+    rows, alike = family(150, 5, 3, 0)
+    texts, buckets = dict(rows), {}
+    for i, t in rows:
+        for k in simhash.bands(simhash.minimums(simhash.shingle_hashes(t.encode(), 5))).tolist():
+            buckets.setdefault(k, set()).add(i)
+    meet = [p for p in alike if any(p[0] in b and p[1] in b for b in buckets.values())]
+    ends = {tuple(sorted((m, e))) for b in buckets.values() for m in b for e in (min(b), max(b)) if m != e}
+    by_ends = closure(texts, [p for p in meet if p in ends])
+    assert any(by_ends[a] != by_ends[b] for a, b in meet)  # the ends of buckets alone would lose some
+    out = {x["doc_id"]: x["component_id"] for x in simhash.similar(frame(spark, rows)).collect()}
+    assert all(out[a] == out[b] for a, b in meet)
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     """Extra columns, also with names that the operators use, and awkward rows go through every stage."""
     import corpus_pipeline
