@@ -1,10 +1,11 @@
 """URL filter: rules first, then the log-likelihood ratio of two character models.
 
 A variable-order Markov model is fitted for accepted and for rejected URLs: counts of characters
-after their contexts of 0 to ``ORDER`` characters, each order smoothed by the one below (Witten-Bell).
+after their contexts of 0 to ``ORDER`` bytes, each order smoothed by the one below in the way of Witten and
+Bell, the number of kinds of symbols after a context taken as the square root of its count.
 Rejected are the URLs that a rule blocks, accepted the others. Counts are made over all URLs but one
-fold, into tables of ``2 ** BITS`` hashed slots; what leaves a task is the counts of the slots it
-touched. On the fold left out, the threshold of the length-normalised difference is set so that
+fold, in whole numbers by the context and symbol themselves (both fit 51 bits), so the tables grow with
+the distinct ones; what leaves a task is the counts of those it met. On the fold left out, the threshold of the length-normalised difference is set so that
 ``FALSE_REJECTS`` of the accepted fall below it.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and has a
@@ -25,7 +26,9 @@ from corvane.llm import common
 
 #: What happens to a host (with its subdomains) and a path's beginning.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-ORDER, BITS = 5, 19
+ORDER = 5
+#: Keys with this bit are of rejected URLs.
+REJECTED = 1 << 52
 FALSE_REJECTS = 0.01
 #: One of so many folds of ids is kept for the threshold.
 FOLDS = 10
@@ -50,82 +53,90 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def slots(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character of the URLs: slots of the context and of the context with it, by order; whose it is."""
-    data = np.frombuffer(b"".join(START + u for u in urls), np.uint8).astype(np.uint64)
+def keys(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each character of the URLs, by order: the context with it (order, context, symbol in one number); whose it is."""
+    data = np.frombuffer(b"".join(START + u for u in urls), np.uint8).astype(np.int64)
     size = np.array([len(u) for u in urls], np.int64)
     starts = np.concatenate([[0], np.cumsum(size + ORDER)[:-1]]) if len(urls) else np.empty(0, np.int64)
     real = np.ones(len(data), bool)
     for i in range(ORDER):
         real[starts + i] = False
     at = np.flatnonzero(real)
-    mask = np.uint64((1 << BITS) - 1)
-
-    def slot(h: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        return ((h ^ (h >> np.uint64(32))) & mask).astype(np.int64)
-
-    ctx = np.empty((ORDER + 1, len(at)), np.int64)
-    sym = np.empty_like(ctx)
-    h = np.full(len(at), 0x9E3779B9, np.uint64)
+    out = np.empty((ORDER + 1, len(at)), np.int64)
+    h = np.zeros(len(at), np.int64)
     for k in range(ORDER + 1):
         if k:
-            h = h * np.uint64(0x100000001B3) + data[at - k] + np.uint64(1)
-        ctx[k] = slot(h * np.uint64(2) + np.uint64(1))
-        sym[k] = slot((h + data[at] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(2))
-    return ctx, sym, np.repeat(np.arange(len(urls)), size)
+            h |= data[at - k] << (8 * (k - 1))
+        out[k] = (k << 48) | (h << 8) | data[at]
+    return out, np.repeat(np.arange(len(urls)), size)
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of n of each."""
+    at = np.argsort(key, kind="stable")
+    key, n = key[at], n[at]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
 
+class Model:
+    """Counts of one class: of contexts with their symbols, and of contexts."""
 
-def probability(ctx: np.ndarray, sym: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Log probability of each character under one class: each order backs off to the one below."""
-    n_ctx, n_sym, kinds = table
-    p = np.full(ctx.shape[1], 1 / 256)
-    for k in range(len(ctx)):
-        n, t = n_ctx[ctx[k]], kinds[ctx[k]] + 1.0
-        p = (n_sym[sym[k]] + t * p) / (n + t)
-    return np.log(p)
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.key, self.n = summed(key, n)
+        self.ctx, self.n_ctx = summed(self.key >> 8, self.n)
+        self.kinds = np.sqrt(self.n_ctx)
 
+    def probability(self, key: np.ndarray) -> np.ndarray:
+        """Log probability of each character: each order backs off to the one below."""
+        p = np.full(key.shape[1], 1 / 256)
+        for of_order in key if len(self.key) else ():
+            one, back = np.unique(of_order, return_inverse=True)
+            n_sym, n, t = found(self.key, self.n, one), found(self.ctx, self.n_ctx, one >> 8), found(self.ctx, self.kinds, one >> 8) + 1.0
+            p = (n_sym[back] + t[back] * p) / (n + t)[back]
+        return np.log(p)
 
-def differences(urls: list[bytes], tables: np.ndarray) -> np.ndarray:
+
+def found(key: np.ndarray, value: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each key asked for, 0 for those not there."""
+    at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+    return np.where(key[at] == asked, value[at], 0)
+
+
+def differences(urls: list[bytes], models: list[Model]) -> np.ndarray:
     """Mean per character of log P(accepted) - log P(rejected)."""
     if not len(urls):
         return np.empty(0)
-    ctx, sym, who = slots(urls)
-    d = probability(ctx, sym, tables[0]) - probability(ctx, sym, tables[1])
+    key, who = keys(urls)
+    d = models[0].probability(key) - models[1].probability(key)
     n = np.bincount(who, minlength=len(urls))
     return np.bincount(who, d, len(urls)) / np.maximum(n, 1)
 
 
-def fit(known: DataFrame) -> np.ndarray:
-    """Tables (class, [context, symbol, kinds of symbols], slot) from ``body, rejected``."""
+def fit(known: DataFrame) -> list[Model]:
+    """The models of accepted and of rejected URLs from ``body, rejected``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, 1 << BITS), np.int64)
+        key, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             body, rejected = batch.column(0), np.asarray(batch.column(1).to_pylist(), bool)
             for c in (0, 1):
                 urls = [body[int(i)].as_buffer().to_pybytes() for i in np.flatnonzero(rejected == bool(c))]
                 if urls:
-                    ctx, sym, _ = slots(urls)
-                    for j, x in enumerate((ctx, sym)):
-                        total[c, j] += np.bincount(x.ravel(), minlength=1 << BITS)
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        for i in range(0, len(at), 65536):
-            yield pa.record_batch({"slot": pa.array(at[i : i + 65536]), "n": pa.array(flat[at[i : i + 65536]])})
+                    new, times = np.unique(keys(urls)[0], return_counts=True)
+                    key, n = summed(np.concatenate([key, new | c * REJECTED]), np.concatenate([n, times]))
+        for i in range(0, len(key), 65536):
+            yield pa.record_batch({"key": pa.array(key[i : i + 65536]), "n": pa.array(n[i : i + 65536])})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # packed, so that what reaches the driver is small
-            yield pa.record_batch({"slots": pa.array([batch.column(0).to_numpy().astype("<i4").tobytes()], pa.binary()), "ns": pa.array([batch.column(1).to_numpy().astype("<f4").tobytes()], pa.binary())})
-
-    # as many rows as the tables have slots at most, however many URLs there are
-    got = known.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).mapInArrow(meet, "slots binary, ns binary").collect()
-    table = np.zeros(4 << BITS, np.float32)
-    for s, n in got:
-        table[np.frombuffer(s, "<i4")] = np.frombuffer(n, "<f4")
-    table = table.reshape(2, 2, 1 << BITS)
-    # kinds of symbols after a context are taken to grow as the square root of its count
-    return np.concatenate([table, np.sqrt(table[:, :1])], axis=1)
+            yield pa.record_batch({c: pa.array([batch.column(i).to_numpy().astype("<i8").tobytes()], pa.binary()) for i, c in enumerate(("keys", "ns"))})
+
+    # as many rows as there are distinct contexts with a symbol
+    got = known.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(meet, "keys binary, ns binary").collect()
+    key, n = (np.frombuffer(b"".join(r[i] for r in got), "<i8") for i in (0, 1))
+    bad = key >= REJECTED
+    return [Model(key[~bad], n[~bad]), Model(key[bad] - REJECTED, n[bad])]
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", false_rejects: float = FALSE_REJECTS) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -398,6 +399,16 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_count_each_context(spark):
+    r = random.Random(2)
+    rows = [("".join(r.choice("abcdefghijklmnop/.-") for _ in range(40)).encode(), i % 2 == 0) for i in range(3000)]
+    models = urls.fit(spark.createDataFrame(rows, "body binary, rejected boolean"))
+    for bad, model in enumerate(models):
+        counts = Counter((k, t[i - k : i + 1]) for t in (urls.START + u for u, x in rows if x == bool(bad)) for i in range(urls.ORDER, len(t)) for k in range(urls.ORDER + 1))
+        assert len(model.key) == len(counts) > 100_000 and model.n.dtype == np.int64
+        assert dict(zip(model.key.tolist(), model.n.tolist(), strict=True)) == {k << 48 | int.from_bytes(t, "big"): n for (k, t), n in counts.items()}
+
+
 def test_similar_texts(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
