@@ -16,19 +16,23 @@ BATCH_BYTES = 8 << 20
 MOST_BUCKETS = 1_000_000
 #: Short rows (some numbers) up to which a frame may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Keys that are sent to every task at most, and rows from which one is worth it.
+HOT_KEYS, HOT_ROWS = 50_000, 256
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, and let Python workers find this package where the driver has it.
+    """Bound the Arrow batches of a session that doesn't say how large they may be, and let Python workers find this package where the driver has it.
 
-    Where they don't have it there (a cluster), it is sent with ``--py-files``.
+    What the session sets itself stays. Where workers don't have the package (a cluster), it is sent with ``--py-files``.
     """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    said = spark.conf.getAll
+    for k, v in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if k not in said:
+            spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is set (tests on one machine) is a local one made.
+    Only on one machine (tests) is a local one made where none is set; on a cluster that raises, for
+    executors would write where no other one reads.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared"))
     return named or sc.getCheckpointDir()
 
@@ -60,6 +67,18 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` by ``key``, where few keys may hold most of the rows of ``left``.
+
+    ``right`` has a row for each key; its column ``weight`` (left out of the result) says how many rows
+    of ``left`` have it, ``total`` in all. Keys of at least ``total / HOT_KEYS`` rows can't be more than
+    ``HOT_KEYS``, so they are sent to every task; the others meet in a shuffle.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, rest = (right.where(c).drop(weight) for c in (F.col(weight) >= least, F.col(weight) < least))
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
