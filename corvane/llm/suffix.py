@@ -15,13 +15,13 @@ the pick a routing key: all that can match lands in one bucket, and no bucket ne
    bytes join equal windows; all but the earliest are removed.
 
 Defined results: a null text is empty; texts are UTF-8 bytes; rows with a null doc_id take no part
-and give no row; rows that share a doc_id are the same document seen again (an occurrence at its own
-place is no earlier one); texts shorter than ``SPAN`` bytes stay; an empty table gives no rows.
+and give no row; rows of one doc_id and text are the same document seen again (an occurrence at its own
+place is no earlier one), rows of one doc_id and different texts are several documents, in the order of
+a hash of the text; texts shorter than ``SPAN`` bytes stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +37,11 @@ SPAN, GRAM = 100, 32
 #: Bytes of text hashed at a time, and stretches packed at a time.
 CHUNK = 1 << 20
 BLOCK = 500_000
+#: A place of a pick takes 24 bits; longer texts are cut with overlap.
+LONGEST = 1 << 24
 #: Bytes of input whose stretches a bucket is meant to gather.
-BUCKET_BYTES = 64 << 20
-RECORD = np.dtype([("pick", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i2")])
+BUCKET_BYTES = 48 << 20
+RECORD = np.dtype([("pick", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("n", "i1")])
 
 
 def _table() -> np.ndarray:
@@ -178,7 +180,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return lcp
 
 
-def repeated_windows(parts: list[bytes], doc: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+def repeated_windows(parts: list[bytes], doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, first window, windows) to remove, for parts of texts of which each is at a place of its own."""
     size = np.array([len(p) for p in parts], np.int64)
     t = np.zeros(int(size.sum()) + len(parts), np.int16)  # 0 ends a part
@@ -195,10 +197,10 @@ def repeated_windows(parts: list[bytes], doc: np.ndarray, at: np.ndarray) -> lis
     same = common_prefixes(t, sa, SPAN) >= SPAN
     group = np.concatenate([[0], np.cumsum(~same)])
     place = at[part] + sa - start[part]
-    by = np.lexsort((place, doc[part], group))
+    by = np.lexsort((place, mark[part], doc[part], group))
     first = np.concatenate([[True], np.diff(group[by]) > 0])
     head = by[np.flatnonzero(first)[group[by]]]
-    earlier = (doc[part[head]] != doc[part[by]]) | (place[head] != place[by])
+    earlier = (doc[part[head]] != doc[part[by]]) | (mark[part[head]] != mark[part[by]]) | (place[head] != place[by])
     gone = by[earlier]
     where = np.sort(sa[gone])
     if not len(where):
@@ -225,15 +227,16 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def repeats_of_first(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Records in order, and whether each repeats an earlier place of the same stretch."""
-    rec = rec[np.lexsort((rec["at"], rec["doc"], rec["digest"], rec["pick"]))]
+    keys = (rec["at"], rec["mark"], rec["doc"], rec["digest"], rec["pick"]) if rec["mark"].any() else (rec["at"], rec["doc"], rec["digest"], rec["pick"])
+    rec = rec[np.lexsort(keys)]
     new = np.ones(len(rec), bool)
     new[1:] = (rec["pick"][1:] != rec["pick"][:-1]) | (rec["digest"][1:] != rec["digest"][:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(rec) else np.empty(0, np.int64)
-    return rec, (rec["doc"] != rec["doc"][head]) | (rec["at"] != rec["at"][head])
+    return rec, (rec["doc"] != rec["doc"][head]) | (rec["mark"] != rec["mark"][head]) | (rec["at"] != rec["at"][head])
 
 
 def cut_texts(buckets: int):
-    """Arrow batches of (doc_id, text) to packed stretches by bucket."""
+    """Arrow batches of (doc_id, text, mark) to packed stretches by bucket."""
 
     def flush(recs: list[np.ndarray]) -> pa.RecordBatch:
         rec, repeat = repeats_of_first(np.concatenate(recs))
@@ -257,7 +260,7 @@ def cut_texts(buckets: int):
         held: list[np.ndarray] = []
         n_held = 0
 
-        def chunk(ids: list[int], texts: list[bytes]) -> None:
+        def chunk(ids: list[tuple[int, int]], texts: list[bytes]) -> None:
             nonlocal n_held
             data = b"".join(texts)
             ends = np.cumsum([len(x) for x in texts])
@@ -266,21 +269,22 @@ def cut_texts(buckets: int):
             view = memoryview(data)
             rec["digest"] = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + SPAN - 1).tolist(), strict=True)), np.uint64, len(first))
             who = np.searchsorted(ends, first, side="right")
-            rec["pick"], rec["doc"], rec["n"] = pick, np.asarray(ids, np.int64)[who], n
+            rec["pick"], rec["n"] = pick, n
+            rec["doc"], rec["mark"] = np.asarray(ids, np.int64)[who].T
             rec["at"] = first - np.concatenate([[0], ends])[who]
             held.append(rec)
             n_held += len(rec)
 
         for batch in batches:
             ids, texts, size = [], [], 0
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, x in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True), batch.column(1), strict=True):
                 raw = x.as_buffer().to_pybytes() if x.is_valid else b""
                 if len(raw) < SPAN:
                     continue
                 if size and size + len(raw) > CHUNK:
                     chunk(ids, texts)
                     ids, texts, size = [], [], 0
-                step = (1 << 24) - SPAN  # a place of a pick takes 24 bits; longer texts are cut with overlap
+                step = LONGEST - SPAN
                 if len(raw) > step:
                     for o in range(0, len(raw) - SPAN + 1, step):
                         before = len(held)
@@ -301,19 +305,25 @@ def cut_texts(buckets: int):
     return cut
 
 
+def gathered(blobs: list[bytes]) -> np.ndarray:
+    """The records of packed blobs; each is let go of as soon as it is unpacked."""
+    recs = []
+    while blobs:
+        recs.append(_unpacked(blobs.pop()))
+    return np.concatenate(recs) if recs else np.empty(0, RECORD)
+
+
 def meet(t: pa.Table) -> pa.Table:
-    """Per bucket: repeats as (doc, code, null route), strings to compare with the pick as route."""
-    docs, codes, routes = [], [], []
+    """Per bucket: repeats as (doc_id, mark, code, null route), strings to compare with the pick as route."""
     sure = t.column("sure").to_numpy()
     blobs = t.column("blob").to_pylist()
+    found = []
     for flag in (True, False):
-        recs = [_unpacked(b) for b, s in zip(blobs, sure, strict=True) if s == flag]
-        if not recs:
-            continue
-        rec = np.concatenate(recs)
+        rec = gathered([b for b, s in zip(blobs, sure, strict=True) if s == flag])
         if flag:
             gone, ask = rec, rec[:0]
         else:
+            del blobs
             rec, repeat = repeats_of_first(rec)
             gone, reps = rec[repeat], rec[~repeat]
             new = np.ones(len(reps), bool)
@@ -322,38 +332,36 @@ def meet(t: pa.Table) -> pa.Table:
             head = np.concatenate([[True], reps["pick"][1:] != reps["pick"][:-1]]) if len(reps) else np.empty(0, bool)
             which = np.cumsum(head) - 1
             ask = reps[np.bincount(which)[which] > 1] if len(reps) else reps
-        for part, route in ((gone, False), (ask, True)):
-            docs.append(part["doc"])
-            codes.append(part["at"].astype(np.int64) * 1024 + part["n"])
-            routes.append(pa.array(part["pick"].view(np.int64), mask=np.full(len(part), not route)))
-    if not docs:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "route": pa.array([], pa.int64())})
-    return pa.table({"doc_id": np.concatenate(docs), "code": np.concatenate(codes), "route": pa.concat_arrays(routes)})
+        found += [(part["doc"], part["mark"], part["at"].astype(np.int64) * 1024 + part["n"], pa.array(part["pick"].view(np.int64), mask=np.full(len(part), not route))) for part, route in ((gone, False), (ask, True))]
+    doc, mark, code, route = zip(*found, strict=True)
+    return pa.table({"doc_id": np.concatenate(doc), "mark": np.concatenate(mark), "code": np.concatenate(code), "route": pa.concat_arrays(route)})
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches to compare."""
     for batch in batches:
-        doc, at, route, part = [], [], [], []
-        for i, text, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        doc, mark, at, route, part = [], [], [], [], []
+        for i, text, m, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
             if not asks.is_valid:
                 continue
             raw = text.as_buffer()
             for x in asks.as_py():
                 a, n = divmod(x["code"], 1024)
                 doc.append(i)
+                mark.append(m)
                 at.append(a)
                 route.append(x["route"])
                 part.append(raw[a : a + n + SPAN - 1].to_pybytes())
-        yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "at": pa.array(at, pa.int64()), "route": pa.array(route, pa.int64()), "part": pa.array(part, pa.binary())})
+        yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "mark": pa.array(mark, pa.int64()), "at": pa.array(at, pa.int64()), "route": pa.array(route, pa.int64()), "part": pa.array(part, pa.binary())})
 
 
 def compare(t: pa.Table) -> pa.Table:
     """Two-stage suffix sorting over the strings of a bucket."""
-    doc, at = t.column("doc_id").to_numpy(), t.column("at").to_numpy()
+    doc, mark, at = (t.column(c).to_numpy() for c in ("doc_id", "mark", "at"))
     parts = [x.as_buffer().to_pybytes() for x in t.column("part")]
-    gone = repeated_windows(parts, doc, at)
-    return pa.table({"doc_id": pa.array([int(doc[p]) for p, _, _ in gone], pa.int64()), "code": pa.array([(int(at[p]) + f) * 1024 + n for p, f, n in gone], pa.int64())})
+    gone = repeated_windows(parts, doc, mark, at)
+    which = np.array([p for p, _, _ in gone], np.int64)
+    return pa.table({"doc_id": doc[which], "mark": mark[which], "code": pa.array([(int(at[p]) + f) * 1024 + n for p, f, n in gone], pa.int64())})
 
 
 def _runs(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,25 +391,30 @@ def apply_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()})
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, mark``: 0, or for rows of a doc_id with several texts a hash of the text."""
+    version = F.xxhash64("text")
+    mixed = common.cut(docs.groupBy("doc_id").agg(F.min(version).alias("a"), F.max(version).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("mixed")))
+    mixed = F.broadcast(mixed) if common.fits_broadcast(mixed) else mixed
+    return docs.join(mixed, "doc_id", "left").select("doc_id", "text", F.when(F.col("mixed"), version).otherwise(0).cast("long").alias("mark"))
+
+
 def dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
     common.tune(spark)
     buckets = buckets or common.buckets(docs, BUCKET_BYTES)
-    docs = common.documents(docs).where(F.col("doc_id").isNotNull())
+    docs = marked(common.documents(docs).where(F.col("doc_id").isNotNull()))
     packed = docs.mapInArrow(cut_texts(buckets), "bucket long, sure boolean, blob binary")
-    met = common.cut(packed.groupBy("bucket").applyInArrow(meet, "doc_id long, code long, route long"))
+    met = common.cut(packed.groupBy("bucket").applyInArrow(meet, "doc_id long, mark long, code long, route long"))
 
-    ask = met.where(F.col("route").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct("code", "route")).alias("asks"))
-    parts = docs.join(ask, "doc_id", "left").where(F.col("asks").isNotNull()).select("doc_id", "text", "asks")
-    parts = parts.mapInArrow(fetch, "doc_id long, at long, route long, part binary")
+    row = ["doc_id", "mark"]
+    ask = met.where(F.col("route").isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("code", "route")).alias("asks"))
+    parts = docs.join(ask, row, "left").where(F.col("asks").isNotNull()).select("doc_id", "text", "mark", "asks")
+    parts = parts.mapInArrow(fetch, "doc_id long, mark long, at long, route long, part binary")
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(buckets)))
-    compared = parts.groupBy("bucket").applyInArrow(compare, "doc_id long, code long")
-
-    gone = met.where(F.col("route").isNull()).select("doc_id", "code").unionByName(compared)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "codes").mapInArrow(apply_runs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+    compared = parts.groupBy("bucket").applyInArrow(compare, "doc_id long, mark long, code long")
 
-def sha(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
+    gone = met.where(F.col("route").isNull()).select(*row, "code").unionByName(compared)
+    gone = gone.groupBy(*row).agg(F.collect_list("code").alias("codes"))
+    return docs.join(gone, row, "left").select("doc_id", "text", "codes").mapInArrow(apply_runs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
