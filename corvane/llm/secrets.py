@@ -9,7 +9,8 @@ Positions come from two aligned lists, the matches and the pieces between them;
 of their lengths. Only spans leave the scan, so no text is shuffled.
 
 Defined results: a null text is empty and has no spans; a null owner or repository is one of its own;
-rows that repeat a doc_id are scanned each and share the spans of all; an empty table gives no rows.
+rows of one doc_id are told apart by a hash of their text, those of the same text share its spans and
+their owners all count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,17 +82,23 @@ def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
 
 
 def scanned(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
-    """``doc_id, owner, repo, base, wider``: spans by document, without texts."""
+    """``doc_id, version, owner, repo, base, wider``: spans by document, without texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*(found(F.col("t"), *b) for b in BASE))
-    return docs.select("doc_id", F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), text.alias("t")).select("doc_id", "owner", "repo", base.alias("base"), found(F.col("t"), *WIDER).alias("wider"))
+    x = docs.select("doc_id", F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), text.alias("t"))
+    return x.select("doc_id", F.xxhash64("t").alias("version"), "owner", "repo", base.alias("base"), found(F.col("t"), *WIDER).alias("wider"))
 
 
 def judged(scan: DataFrame) -> DataFrame:
-    """Each span with ``owners, repos, live``."""
-    spans = scan.select("doc_id", "owner", "repo", F.explode(F.concat("base", "wider")).alias("s")).select("doc_id", "owner", "repo", "s", F.sha2("s.value", 256).alias("hash"))
-    spread = spans.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
-    return spans.join(spread, "hash").select("doc_id", "s", "hash", "owners", "repos", (F.col("owners") <= LIVE_OWNERS).alias("live"))
+    """Each span with ``live``, and ``owners, repos`` of its value (null where it is rare and its owners' own)."""
+    spans = scan.select("doc_id", "version", "owner", "repo", F.explode(F.concat("base", "wider")).alias("s")).select("doc_id", "version", "owner", "repo", "s", F.sha2("s.value", 256).alias("hash"))
+    held = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))  # however often an owner repeats a value
+    spread = held.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.sum("n").alias("n"))
+    shared = common.cut(spread.where((F.col("owners") > LIVE_OWNERS) | (F.col("n") >= common.HOT_ROWS)))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # an example that everyone copied is one value: it goes to the tasks, its spans don't all go to one
+    marked = common.join_hot(spans, shared, "hash", "n", total, "left")
+    return marked.select("doc_id", "version", "s", "hash", "owners", "repos", (F.coalesce("owners", F.lit(0)) <= LIVE_OWNERS).alias("live"))
 
 
 def label(kind: Column) -> Column:
@@ -104,20 +111,20 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: Column | None = None, repo: Column | None = None) -> DataFrame:
-    """``doc_id, base, added, n_live, n_example`` (arrays of spans) of every document."""
+    """``doc_id, version, base, added, n_live, n_example`` (arrays of spans; a hash of the text) of every document."""
     owner, repo = (F.col("source") if owner is None else owner), (F.col("doc_id") if repo is None else repo)
     scan_ = common.cut(scanned(docs, owner, repo))
-    flagged = judged(scan_).groupBy("doc_id").agg(
-        F.collect_list(F.when((F.col("s.kind") == ORDER["token"]) & F.col("live"), F.struct("s.start", "s.kind", "s.end", "s.value"))).alias("added"),
-        F.count(F.when(F.col("live"), 1)).alias("n_live"),
-        F.count(F.when(~F.col("live"), 1)).alias("n_example"),
+    flagged = judged(scan_).groupBy("doc_id", "version").agg(
+        F.collect_set(F.when((F.col("s.kind") == ORDER["token"]) & F.col("live"), F.struct("s.start", "s.kind", "s.end", "s.value"))).alias("added"),
+        F.collect_set(F.struct("s", "live")).alias("spans"),
     )
     ordered = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    base = scan_.select("doc_id", ordered(F.col("base")).alias("base"))
-    out = base.join(flagged, base["doc_id"].eqNullSafe(flagged["doc_id"]), "left")
+    base = scan_.select("doc_id", "version", ordered(F.col("base")).alias("base"))
+    out = base.join(flagged, base["doc_id"].eqNullSafe(flagged["doc_id"]) & (base["version"] == flagged["version"]), "left")
     apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return out.select(base["doc_id"], "base", F.filter(F.coalesce("added", none), apart).alias("added"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    n = lambda live: F.coalesce(F.size(F.filter("spans", lambda x: x["live"] == live)), F.lit(0)).cast("long")
+    return out.select(base["doc_id"], base["version"], "base", F.filter(F.coalesce("added", none), apart).alias("added"), n(True).alias("n_live"), n(False).alias("n_example"))
 
 
 def digests(found_: DataFrame) -> DataFrame:
@@ -145,10 +152,11 @@ def redacted(text: Column, live: Column, kind: str, pattern: str, group: int, le
 
 def redact(docs: DataFrame, owner: Column | None = None) -> DataFrame:
     """``docs`` with secrets replaced in ``text``; other columns stay. Null texts stay null."""
-    key, tokens, n = (common.unused(docs, c) for c in ("_key", "_tokens", "_n"))
-    live = scan(docs, owner).select(F.col("doc_id").alias(key), F.transform("added", lambda s: s["value"]).alias(tokens), (F.size("base") + F.size("added")).alias(n))
-    live = live.where(F.col(n) > 0).groupBy(key).agg(F.flatten(F.collect_list(tokens)).alias(tokens))
-    x = docs.join(live, docs["doc_id"].eqNullSafe(F.col(key)), "left")
+    key, version, tokens, n = (common.unused(docs, c) for c in ("_key", "_version", "_tokens", "_n"))
+    live = scan(docs, owner).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.transform("added", lambda s: s["value"]).alias(tokens), (F.size("base") + F.size("added")).alias(n))
+    live = live.where(F.col(n) > 0).groupBy(key, version).agg(F.flatten(F.collect_set(tokens)).alias(tokens))
+    same = F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(version)
+    x = docs.join(live, docs["doc_id"].eqNullSafe(F.col(key)) & same, "left")
     for kind in (*BASE, WIDER):  # each over the column the last one made
         x = x.withColumn("text", F.when(F.col(tokens).isNotNull(), redacted(F.col("text"), F.col(tokens), *kind)).otherwise(F.col("text")))
     return x.select(*docs.columns)
