@@ -287,13 +287,14 @@ def links(points: DataFrame, within: int = RADIUS, shards_per_core: int = 2) ->
 def near_duplicates(docs: DataFrame, within: int = RADIUS, n: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     fps = common.cut(fingerprints(docs, n))
-    points = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    points = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     root = components(links(points, within))
-    rooted_ = points.join(root, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted_.groupBy("root").agg(F.min("first").alias("component_id"))
-    # only points of larger components or with copies differ from their document's own id
-    by_fp = rooted_.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted_ = common.cut(points.join(root, F.col("fp") == F.col("u"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
+    named = rooted_.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("points"), F.sum("copies").alias("rows"))
+    n = named.agg(F.coalesce(F.sum("points"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    # a component, or copies of one text, may be a third of everything
+    by_fp = common.join_hot(rooted_, named.drop("rows"), "root", "points", n[0]).select("fp", "component_id", "copies")
+    return common.join_hot(fps, by_fp, "fp", "copies", n[1]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def alike(common_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
