@@ -5,10 +5,13 @@ line that a third of the documents hold costs each task one row. A line whose es
 threshold is counted exactly; lines with at least the threshold of sites are boilerplate and are
 removed everywhere but at their first place (the smallest doc_id, then the first line).
 
+A document is its doc_id with a hash of its text, so that rows which share an id keep their own lines.
+
 Defined results: a line is what lies between line feeds, compared without surrounding spaces; blank
 lines are never boilerplate; a null text is empty, a null site is a site of its own, rows with a null
-doc_id take no part in counts and keep their texts; rows that repeat a doc_id are one document; an
-empty table gives no rows.
+doc_id take no part in counts and keep their texts; rows of one doc_id and text are one document,
+rows of one doc_id and different texts are several, in the order of a hash of the text; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +30,15 @@ ERROR = 1.04 / 2 ** (LG_K / 2)
 SIGMAS = 6
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    x = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
+    x = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_hash().alias("version"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line"))
     x = x.withColumn("line", F.trim("line")).where(F.col("line") != "")
     # two hashes with different seeds make 128 bits
-    return x.select("doc_id", "at", F.xxhash64("site").alias("site"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return x.select("doc_id", "version", "at", F.xxhash64("site").alias("site"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -52,15 +59,13 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def removed(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``doc_id, gone``: the numbers of the lines to remove, for documents that have any."""
-    key = ["h1", "h2"]
+    """``doc_id, version, gone``: the numbers of the lines to remove, for documents that have any."""
+    key, place = ["h1", "h2"], ["doc_id", "version", "at"]
     found = boilerplate(docs, min_sites)
     found = F.broadcast(found) if common.fits_broadcast(found) else found
-    hits = common.cut(_lines(docs).join(found, key).select("doc_id", "at", *key))
-    first = hits.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    first = first.join(hits, [*key, "doc_id"]).groupBy(*key, "doc_id").agg(F.min("at").alias("at")).select("doc_id", "at", F.lit(True).alias("stays"))
-    gone = hits.select("doc_id", "at").join(first, ["doc_id", "at"], "left_anti")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    hits = common.cut(_lines(docs).join(found, key).select(*place, *key))
+    first = hits.groupBy(*key).agg(F.min(F.struct("doc_id", "at", "version")).alias("first")).select("first.*")
+    return hits.select(*place).join(first, place, "left_anti").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -71,9 +76,9 @@ def without(text: Column, gone: Column) -> Column:
 
 def dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_removed`` (with underscores before them if ``docs`` has such columns)."""
-    key, at, lines_, out = (common.unused(docs, c) for c in ("_key", "_gone", "n_lines", "n_removed"))
-    gone = removed(docs, min_sites).select(F.col("doc_id").alias(key), F.col("gone").alias(at))
-    x = docs.join(gone, docs["doc_id"] == F.col(key), "left")
+    key, version, at, lines_, out = (common.unused(docs, c) for c in ("_key", "_version", "_gone", "n_lines", "n_removed"))
+    gone = removed(docs, min_sites).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("gone").alias(at))
+    x = docs.join(gone, (docs["doc_id"] == F.col(key)) & (text_hash() == F.col(version)), "left").drop(version)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     x = x.withColumn(lines_, n.cast("long")).withColumn(out, F.coalesce(F.size(at), F.lit(0)).cast("long"))
     return x.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(at)))).drop(key, at)
