@@ -25,7 +25,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.fingerprints(merkle.with_next(documents(table(spark, sf_dir, "documents"))))
+    return merkle.fingerprints(documents(table(spark, sf_dir, "documents")))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -119,15 +120,52 @@ def test_suffix_dedup(spark, seed, monkeypatch):
     assert suffix.dedup(frame(spark, [])).count() == 0
 
 
+def test_suffix_of_texts_that_share_an_id(spark):
+    r = random.Random(4)
+    a, b = ("".join(r.choice("abcdefghij") for _ in range(150)) for _ in "ab")
+    out = {r["kept"]: r["n_removed"] for r in suffix.dedup(frame(spark, [(1, a), (1, b), (1, b)])).collect()}
+    assert {bytes(k).decode(): n for k, n in out.items()} == {a: 0, b: 0}  # neither occurs in the other
+    gone = sorted(r["n_removed"] for r in suffix.dedup(frame(spark, [(1, a), (1, a + b), (2, b)])).collect())
+    assert gone == [0, 150, 150]  # one of the two that hold it keeps it
+
+
+def test_suffix_cuts_very_long_texts(spark, monkeypatch):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh") for _ in range(30_000))
+    rows = [(1, long), (2, long[4_000:4_150] + "x" + long[20_000:20_090]), (3, "y" + long)]
+    monkeypatch.setattr(suffix, "LONGEST", 5_000)
+    assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix.dedup(frame(spark, rows)).collect()) == removed(rows)
+
+
 def test_suffix_long_run(spark):
     rows = [(1, "a" * 5000), (2, "ba" * 300 + "c"), (3, "x" + "ba" * 200)]
     df = suffix.dedup(frame(spark, rows))
     assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in df.collect()) == removed(rows)
 
 
+def brute_pieces(text):
+    """Pieces of each paragraph."""
+    end = regex.compile(merkle.PIECE_END, regex.V1)
+    cut = lambda p: [x[k : k + merkle.PIECE] for x in end.split(p) for k in range(0, len(x), merkle.PIECE)]
+    return [cut(p) for p in text.split("\n")]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (Counter(p for ps in brute_pieces(t) for p in ps) for t in (a, b))
+    total = sum(len(p) * n for c in (x, y) for p, n in c.items())
+    return 2 * sum(len(p) * n for p, n in (x & y).items()) / total if total else 0.0
+
+
+HAN = "".join(chr(0x4E00 + 7919 * i * i % 20000) for i in range(6000))
+OTHER = "".join(chr(0x4E00 + 6007 * i * i * i % 20000) for i in range(6000))
+
+
 def test_merkle(spark):
     rows = [(i, t or "") for i, t in corpus()]
-    out = {r["doc_id"]: r for r in merkle.fingerprints(merkle.with_next(frame(spark, rows).select("doc_id", "text"))).collect()}
+    rows += [(500, HAN), (499, OTHER), (498, "ONLY CAPITALS STAND " * 200), (497, "x" * 3000), (496, "same line here\n" * 1000), (495, "\n"), (494, "\n\n"), (493, "слово о полку игореве не лепо ли ны бяшеть " * 30)]
+    out = {r["doc_id"]: r for r in merkle.fingerprints(frame(spark, rows).select("doc_id", "text")).collect()}
     order = sorted(rows, reverse=True)
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         h = len(t) // 2
@@ -135,15 +173,20 @@ def test_merkle(spark):
         r = out[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (t == edited)
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
-        assert t != edited or r["near_edited"] == 1
+        assert r["near_edited"] == pytest.approx(brute_likeness(t, edited)) and r["near_next"] == pytest.approx(brute_likeness(t, nxt)), i
+    for i in (500, 498, 496):
+        assert 0.42 < out[i]["near_edited"] < 0.72, out[i]["near_edited"]
+    assert out[500]["near_next"] < 0.05
     by_text = {}
     for i, t in rows:
         assert by_text.setdefault(t, out[i]["fingerprint"]) == out[i]["fingerprint"]
     assert len(set(by_text.values())) == len(by_text)
+    # the likeness is that of two fingerprints, without a text
+    two = spark.createDataFrame([(out[i]["fingerprint"], out[i]["edited_fingerprint"], out[i]["near_edited"]) for i in out], "a string, b string, near double")
+    assert all(r["again"] == r["near"] == r["back"] for r in merkle.likeness(merkle.likeness(two, "a", "b", "again"), "b", "a", "back").collect())
     one = merkle.with_next(frame(spark, [(5, "abc")]).select("doc_id", "text")).collect()
     assert [(r["text"], r["next"]) for r in one] == [("abc", "abc")]
-    assert merkle.with_next(frame(spark, []).select("doc_id", "text")).count() == 0
+    assert merkle.fingerprints(frame(spark, []).select("doc_id", "text")).count() == 0
 
 
 def test_merkle_order_over_many_buckets(spark, monkeypatch):
@@ -161,8 +204,7 @@ def test_merkle_edits(spark):
     a = merkle.trees(frame(spark, [(1, "\n".join(f"line {i}." for i in range(40)))]).select("doc_id", "text"))
     b = merkle.trees(frame(spark, [(1, "\n".join(f"line {i}." if i != 17 else "other" for i in range(40)))]).select("doc_id", "text"))
     r = merkle.edits(a, b, "doc_id").first()
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert not r["same"] and r["gone"] == [sha("line 17.")] and r["new"] == [sha("other")]
+    assert not r["same"] and r["gone"] == [17] and r["new"] == [17]
     assert merkle.edits(a, a, "doc_id").first()["same"]
 
 
@@ -224,6 +266,11 @@ def test_secrets(spark):
     assert out[7]["spans"] == f"token:4:{4 + len(own)}" and out[7]["n_live"] == 1
     assert out[8]["spans"] == "" and out[8]["n_example"] == 1  # three owners hold it
     assert secrets.scan(frame(spark, [])).count() == 0
+    shared = secrets.digests(secrets.scan(frame(spark, [(4, "short"), (4, f"see {own} here"), (4, "short")]))).collect()
+    assert sorted(r["spans"] for r in shared) == ["", "", f"token:4:{4 + len(own)}"]  # rows of one id keep their own spans
+    many = [(i, f"key {own}") for i in range(600)] + [(1000 + i, f"n {copied}") for i in range(600)] + [(9000, "own Qw1" + "eR2" * 7)]
+    out = {r["doc_id"]: r for r in secrets.digests(secrets.scan(frame(spark, many), F.when(F.col("doc_id") < 1000, 1).otherwise(F.col("doc_id")))).collect()}
+    assert all(out[i]["spans"] == f"token:4:{4 + len(own)}" for i in range(600)) and all(out[1000 + i]["spans"] == "" for i in range(600)) and out[9000]["n_live"] == 1
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows), F.col("doc_id")).collect()}
     assert clean[0] == "password: secret: abcdefghijklmnop é😀 API_KEY='[SECRET]' token = short"
     assert clean[1] == "[SECRET] AKIA AKIASHORT [SECRET] 0123456789abcde"
@@ -369,6 +416,8 @@ def test_lines(spark):
     assert all(out[i]["text"] == f"own {i}\n\n" and out[i]["n_removed"] == 2 for i in range(3, 40))
     assert all(out[100 + i]["text"] == "nine sites" for i in range(9)) and out[200]["text"] is None and out[None]["text"] == "Boiler plate."
     assert lines.dedup(frame(spark, [])).count() == 0
+    twice = lines.dedup(docs.unionByName(frame(spark, [(5, "Boiler plate.\nunique first"), (5, "unique first\nBoiler plate.")]).withColumn("source", F.lit("s1")))).where("doc_id = 5")
+    assert sorted(r["text"] for r in twice.collect()) == ["own 5\n\n", "unique first", "unique first"]
 
 
 def test_urls(spark):
