@@ -2,18 +2,20 @@
 
 A word enters as two vectors: one of the word and the mean of those of its character 3- and 4-grams.
 Words and n-grams of at least ``MIN_DOCS`` documents of the training sample have vectors, which start
-with their smoothed log-odds and are trained on with the network; others are zero. All overlapping windows of a text (a run of one word taken once) are scored; the text's score
-is that of its highest window, and training follows the same rule (the highest window of a text
+with their smoothed log-odds and are trained on with the network; others are zero. A text is covered by
+overlapping windows of ``WINDOW`` words, each ``STRIDE`` on from the last, and all are scored; the text's
+score is that of its highest window, and training follows the same rule (the highest window of a text
 carries its label). On a part of the sample the scores are shifted so that the best division of the
 two classes lies at ``AT``.
 
 The model is fitted on at most ``SAMPLE`` labelled documents of each class, those whose ids hash
-lowest, of texts up to ``SAMPLE_CHARS`` characters; it has a fixed size. Scoring covers every word of
-every text and needs no shuffle.
+lowest; it has a fixed size. Of a labelled text longer than ``SAMPLE_CHARS`` characters, fitting reads
+``SLICES`` even slices, from its first character to its last. Scoring covers every word of every text
+and needs no shuffle.
 
 Defined results: a null or wordless text has the score of an empty window; without labelled
 documents of both classes every score is 0; a null label is none; repeated labels of a document are
-one (the highest); a null doc_id is scored and counts as not held out; an empty table gives no rows.
+one (the highest), of several texts of one id the first in order is learnt from; a null doc_id is scored and counts as not held out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from pyspark.sql import types as T
 
 from corvane.llm import common
 
-SAMPLE, SAMPLE_CHARS = 2_000, 20_000
-WINDOW, STRIDE = 48, 32
+#: Bounds of what is learnt from: documents of a class, characters of a document, and the slices these are in.
+SAMPLE, SAMPLE_CHARS, SLICES = 2_000, 20_000, 10
+WINDOW, STRIDE = 48, 24
 MIN_DOCS, DIM, HIDDEN = 3, 6, 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: The score that divides the classes.
@@ -197,9 +200,7 @@ def gradients(p: dict[str, np.ndarray], k: dict, d: np.ndarray) -> tuple[dict[st
 
 
 def windows(rows: np.ndarray) -> np.ndarray:
-    """All overlapping windows (one at least), padded with 0. A run of one word counts once."""
-    if len(rows):
-        rows = rows[np.concatenate([[True], rows[1:] != rows[:-1]])]
+    """All windows (one at least), padded with 0."""
     n = 1 + max(0, -(-(len(rows) - WINDOW) // STRIDE))
     padded = np.zeros((n - 1) * STRIDE + WINDOW, np.int32)
     padded[: len(rows)] = rows
@@ -339,10 +340,13 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[lis
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for c in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    got = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()  # at most 2 * bound short ids
-    got.sort(key=lambda r: (r[0], r[1] or ""))
-    return [r[1] or "" for r in got], np.array([r[2] == 1 for r in got], bool)
+    n, size = F.length("text"), SAMPLE_CHARS // SLICES
+    slices = [F.substring("text", (F.floor((n - size) * k / (SLICES - 1)) + 1).cast("int"), F.lit(size)) for k in range(SLICES)]
+    text = F.when(n > SAMPLE_CHARS, F.concat_ws(" ", *slices)).otherwise(F.coalesce("text", F.lit("")))
+    # at most 2 * bound short ids, and as many rows
+    got = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text).alias("text")).select("doc_id", "text", "toxic").collect()
+    got.sort()
+    return [r[1] for r in got], np.array([r[2] == 1 for r in got], bool)
 
 
 def held_out(doc_id: str):
