@@ -4,11 +4,12 @@ A document's tokens first fill whole windows of the longest tier. Its rest is ro
 context-size tier that holds it. Tiers are packed from the longest down: each rest opens a window of
 its tier, the gap takes the longest rests of shorter tiers that fit, and what is left of the gap is
 filled by cutting one more. Windows of the shorter tiers are themselves full, a power of two, and
-need no padding; only the last window of a block is padded. Sequences are dealt into step groups of
-about equal tokens, the longest first to the lightest group.
+need no padding; what is left at the end of a block is cut into powers of two. Sequences are dealt into
+step groups of about equal tokens, the longest first to the lightest group.
 
 Packing is local to a block of a task's documents (a few million tokens), so nothing is shuffled and
-a lost task is simply run again, with the same ids; a block wastes at most one window.
+a lost task is simply run again, with the same ids. All that is padded is gaps of less than ``SLIVER``
+tokens in windows of the longest tier, however the input is cut into tasks.
 
 Defined results: a null text is empty, a document of the end id alone; documents with a null or
 repeated doc_id are packed like any other row; an empty table gives no pieces.
@@ -52,6 +53,25 @@ def token_ids(enc: tiktoken.Encoding, text: str, end: int) -> np.ndarray:
     return np.append(ids, end).astype("<u4")
 
 
+def powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The pieces (document, start, length) of a window, cut into sequences of powers of two, the longest first."""
+    left = sum(n for _, _, n in window)
+    out, rest = [], window[::-1]
+    while left:
+        room = 1 << (left.bit_length() - 1)
+        left -= room
+        sequence = []
+        while room:
+            doc, at, n = rest.pop()
+            if n > room:
+                rest.append((doc, at + room, n - room))
+                n = room
+            sequence.append((doc, at, n))
+            room -= n
+        out.append(sequence)
+    return out
+
+
 def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; sequences count from 0."""
     pieces: list[tuple[int, int, int, int, int]] = []
@@ -71,8 +91,7 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     for k, cap in enumerate(tiers):
         while rests[k]:
             n, doc, at = rests[k].pop()
-            pieces.append((doc, at, n, sequence, 0))
-            fill = n
+            window, fill = [(doc, at, n)], n
             while (gap := cap - fill) > 0:
                 got = None
                 for r in rests[k:]:
@@ -89,9 +108,14 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
                     bisect.insort(rests[len(tiers) - 1 - bisect.bisect_left(caps, n - gap)], (n - gap, doc, at + gap))
                     got = (gap, doc, at)
                 n, doc, at = got
-                pieces.append((doc, at, n, sequence, fill))
+                window.append((doc, at, n))
                 fill += n
-            sequence += 1
+            for part in [window] if cap == top and cap - fill < SLIVER else powers(window):
+                offset = 0
+                for doc, at, n in part:
+                    pieces.append((doc, at, n, sequence, offset))
+                    offset += n
+                sequence += 1
     return pieces
 
 
