@@ -2,7 +2,7 @@
 
 Vectors are dealt into a grid of cells: every query block meets every candidate shard in one cell.
 A cell multiplies tiles of queries and candidates, keeps a partial top list per query and tile, and
-emits k rows a query. The lists of the shards are then merged up a tree of fixed fan-in, so no task
+emits k rows a query. Vectors travel as whole numbers of the narrowest type that holds them all. The lists of the shards are then merged up a tree of fixed fan-in, so no task
 gathers more than ``fan * k`` rows of a query.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part, nor
@@ -23,20 +23,21 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-#: Bytes (as doubles) of a block of queries and of a shard of candidates in one cell.
-QUERY_BLOCK_BYTES = 16 << 20
+#: Bytes (as they travel) of a block of queries and of a shard of candidates in one cell.
+QUERY_BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 32 << 20
 #: Rows of a tile on either side of a product, and lists merged by a task at each level.
 TILE = 1024
 FAN = 16
 
 
-def quantised(vec: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(vec.astype(np.float64) * scale)
+#: Types of whole numbers in a vector, their bytes, and the largest one they hold; doubles hold the rest.
+NARROW = (("smallint", 2, 2**15 - 1), ("int", 4, 2**31 - 1), ("double", 8, math.inf))
 
 
 def tile_top(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores, ids and validity of the k best of a tile for each query. ``cid`` is ascending."""
+    q, c = q.astype(np.float64), c.astype(np.float64)
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     own = cid[None, :] == qid[:, None]
     n = len(cid)
@@ -86,13 +87,19 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, scale: float =
     def whole(df: DataFrame) -> DataFrame:
         x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         finite = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))  # noqa: E731  NaN is larger than inf
-        return x.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", finite))
+        x = x.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", finite))
+        # rounded down in doubles: FLOOR itself gives a long, which the largest values don't fit
+        low = lambda v: F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(v)
+        return x.withColumn("vec", F.transform("vec", lambda v: low(v * scale)))
 
     asked = whole(queries).groupBy("id").agg(F.min("vec").alias("vec"))
     given = whole(candidates)
-    size = lambda df: df.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
-    (nq, dim), (n, dim2) = size(asked), size(given)
-    width = 8 * max(1, dim, dim2)
+    largest = F.max(F.array_max(F.transform("vec", lambda v: F.abs(v))))
+    size = lambda df: df.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1)), F.coalesce(largest, F.lit(0.0))).first()
+    (nq, dim, high), (n, dim2, high2) = size(asked), size(given)
+    kind, bytes_ = next((t, b) for t, b, most in NARROW if max(high, high2) <= most)
+    asked, given = (df.withColumn("vec", F.col("vec").cast(f"array<{kind}>")) for df in (asked, given))
+    width = bytes_ * max(1, dim, dim2)
     blocks = max(1, math.ceil(nq * width / QUERY_BLOCK_BYTES))
     parallel = spark.sparkContext.defaultParallelism
     shards = max(1, math.ceil(n * width / SHARD_BYTES), math.ceil(min(2 * parallel, n / TILE) / blocks))
@@ -113,7 +120,7 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int, scale: float =
         for d in np.unique(length[ask]):
             rows = [np.flatnonzero((length == d) & (ask == side)) for side in (True, False)]
             if all(len(r) for r in rows):
-                a, b = (quantised(flat[start[r][:, None] + np.arange(d)[None, :]], scale) for r in rows)
+                a, b = (flat[start[r][:, None] + np.arange(d)[None, :]] for r in rows)
                 parts.append(cell_top(ids[rows[0]], a, ids[rows[1]], b, k))
         got = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
         shard = np.full(len(got[0]), t.column("shard")[0].as_py(), np.int64)

@@ -64,6 +64,20 @@ def test_topk(spark):
     assert topk.exact_topk(df.limit(0), df, 5).count() == 0
 
 
+@pytest.mark.parametrize("most, width", [(100, 2), (1000, 4), (2.0**40, 8)])
+def test_topk_narrow_types(spark, most, width):
+    r = np.random.default_rng(3)
+    vecs = [(i, [float(x) for x in r.uniform(-most, most, 5)]) for i in range(120)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in vecs}
+    assert next(b for _, b, top in topk.NARROW if max(abs(x) for v in whole.values() for x in v) <= top) == width
+    want = []
+    for i in range(0, 120, 5):
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], w)))), j) for j, w in whole.items() if j != i)[:4]
+        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
+    assert got(topk.exact_topk(df.where("vec_id % 5 = 0"), df, 4)) == sorted(want, key=repr)
+
+
 def test_topk_tree_and_large_values(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_BYTES", 400)
     monkeypatch.setattr(topk, "QUERY_BLOCK_BYTES", 200)
@@ -298,6 +312,15 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(frame(spark, []), BPE_RANKS).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 50, 200])
+def test_packing_pads_little_however_the_input_is_cut(spark, parts):
+    r = random.Random(1)
+    rows = [(i, "word and " * int(min(3000, r.lognormvariate(4, 1.5)))) for i in range(800)]
+    fill = packing.pack(frame(spark, rows).repartition(parts), BPE_RANKS).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    n = [x["n"] for x in fill]
+    assert max(n) <= 2048 and sum(0 if k & (k - 1) == 0 else 2048 - k for k in n) < 0.01 * sum(n)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_pads_little(seed):
     r = random.Random(seed)
@@ -400,10 +423,84 @@ def test_toxicity(spark):
     assert kept.columns == frame(spark, []).columns and kept.count() < len(rows)
 
 
+def toxic_rows(n, words_, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abdefgiklmno") for _ in range(r.randint(2, 8)))
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(words_)]
+        for k in range(40 * (i % 2)):
+            w.insert(int(len(w) * k / 40) + r.randint(0, 9), r.choice(["zzrude", "qqvile"]))
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_toxicity_learns_from_very_long_texts(spark):
+    rows = toxic_rows(120, 4500, 3)
+    assert min(len(t) for _, t in rows) > toxicity.SAMPLE_CHARS
+    rows += [(1, "another text of the same id")] * 3
+    out = toxicity.score(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")).collect()
+    assert sum(x["predicted"] == x["doc_id"] % 2 for x in out if x["doc_id"] != 1) > 105
+
+
+def plain_logit(p, x):
+    """One window (words, inputs) word by word."""
+    sig, H = lambda v: 1 / (1 + np.exp(-v)), toxicity.HIDDEN
+    sides = []
+    for side, (u, part) in enumerate((("U0", slice(0, 3 * H)), ("U1", slice(3 * H, 6 * H)))):
+        h, out = np.zeros(H), []
+        for row in x[::-1] if side else x:
+            i, s = row[part], h @ p[u]
+            z, r = sig(i[:H] + s[:H]), sig(i[H : 2 * H] + s[H : 2 * H])
+            h = (1 - z) * np.tanh(i[2 * H :] + r * s[2 * H :]) + z * h
+            out.append(h)
+        sides.append(out[::-1] if side else out)
+    states = [np.concatenate(s) for s in zip(*sides, strict=True)]
+    w = np.exp([s @ p["a"] for s in states])
+    return sum(a * s for a, s in zip(w / w.sum(), states, strict=True)) @ p["v"] + p["c"][0]
+
+
+def test_toxicity_network_by_hand():
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) for k, v in toxicity.fresh(rng, 5, 5).items()}
+    inputs = rng.standard_normal((9, 6 * toxicity.HIDDEN))
+    at = np.array([[1, 2, 3, 0, 0], [4, 5, 6, 7, 8], [3, 3, 0, 0, 0]])
+    got_ = toxicity.logits(p, inputs, at)
+    assert np.allclose(got_, [plain_logit(p, inputs[a[a > 0]]) for a in at], atol=1e-4)
+    # gradients of the sum of squares against differences
+    keep = {}
+    out = toxicity.logits(p, inputs, at, keep)
+    g, dx = toxicity.gradients(p, keep, 2 * out)
+    loss = lambda: float((np.array([plain_logit(p, inputs[a[a > 0]]) for a in at]) ** 2).sum())
+    for name in ("U0", "U1", "a", "v", "c"):
+        for k in range(0, p[name].size, max(1, p[name].size // 7)):
+            old, step = p[name].flat[k], 1e-5
+            p[name].flat[k] = old + step
+            up = loss()
+            p[name].flat[k] = old - step
+            down = loss()
+            p[name].flat[k] = old
+            assert np.isclose(g[name].flat[k], (up - down) / (2 * step), rtol=2e-2, atol=2e-3), name
+    per = np.zeros_like(inputs)
+    np.add.at(per, at.T.ravel(), dx.reshape(-1, inputs.shape[1]))
+    for row, k in ((1, 0), (3, 5), (8, 30), (5, 47)):
+        old, step = inputs[row, k], 1e-5
+        inputs[row, k] = old + step
+        up = loss()
+        inputs[row, k] = old - step
+        down = loss()
+        inputs[row, k] = old
+        assert np.isclose(per[row, k], (up - down) / (2 * step), rtol=2e-2, atol=2e-3)
+
+
 def test_toxicity_windows_cover_every_word():
     for n in (0, 1, 47, 48, 49, 80, 81, 500):
         w = toxicity.windows(np.arange(1, n + 1, dtype=np.int32))
         assert set(w.ravel()) - {0} == set(range(1, n + 1))
+        at = {tuple(r) for r in w.tolist()}
+        for i in range(1, n - toxicity.WINDOW + toxicity.STRIDE + 1):  # some window holds any run of half a window's words
+            run = set(range(i, min(n, i + toxicity.WINDOW - toxicity.STRIDE) + 1))
+            assert any(run <= set(r) for r in at)
 
 
 def test_lines(spark):
