@@ -1,20 +1,25 @@
 """URL filter: rules first, then the log-likelihood ratio of two character models.
 
-A variable-order Markov model is fitted for accepted and for rejected URLs: counts of characters
-after their contexts of 0 to ``ORDER`` bytes, each order smoothed by the one below in the way of Witten and
-Bell, the number of kinds of symbols after a context taken as the square root of its count.
-Rejected are the URLs that a rule blocks, accepted the others. Counts are made over all URLs but one
-fold, in whole numbers by the context and symbol themselves (both fit 51 bits), so the tables grow with
-the distinct ones; what leaves a task is the counts of those it met. On the fold left out, the threshold of the length-normalised difference is set so that
-``FALSE_REJECTS`` of the accepted fall below it.
-
-Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and has a
-difference of 0; repeated URLs count as often as they occur; a null id falls into the fold of 0; with
-no accepted or no rejected URL, or an empty fold, the threshold is minus infinity (all are allowed).
+A variable-order Markov model is fitted for accepted and for rejected URLs: counts of bytes after their
+contexts of 0 to ``ORDER`` bytes, over the whole URL, each order smoothed by the one below with the
+number of kinds of bytes seen after a context (Witten and Bell). Counts are whole numbers by the context
+and byte themselves (both fit 51 bits) and stay in a table that grows with the input. URLs are scored
+in blocks: a block asks the table for the contexts it holds, each once, and no task and no driver
+needs the others.
+
+Rejected are first the URLs that a rule blocks, accepted all others. On a fold left out of the counts,
+the threshold of the length-normalised difference is set where it divides the two classes best. URLs
+without a rule that fall below it change sides, the models and the threshold are fitted again, and that
+is the verdict: how much is rejected follows from what the URLs look like.
+
+Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule, has a
+difference of 0 and is allowed; repeated URLs count as often as they occur; a null id falls into the fold
+of 0; with no accepted or no rejected URL in the fold or outside it all are allowed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +32,10 @@ from corvane.llm import common
 #: What happens to a host (with its subdomains) and a path's beginning.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ORDER = 5
-#: Keys with this bit are of rejected URLs.
-REJECTED = 1 << 52
-FALSE_REJECTS = 0.01
-#: One of so many folds of ids is kept for the threshold.
-FOLDS = 10
+#: One of so many folds of ids is kept for the threshold, which is sought among multiples of ``BIN``.
+FOLDS, BIN = 10, 0.002
+#: URLs of a block, those that make one worth it, and bytes of URLs worked on at a time.
+BLOCK, SMALL_BLOCK, AT_ONCE = 50_000, 2_000, 256 << 10
 START = b"\x02" * ORDER
 
 
@@ -54,7 +58,7 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def keys(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each character of the URLs, by order: the context with it (order, context, symbol in one number); whose it is."""
+    """For each byte of the URLs, by order: the context with it (order, context, byte in one number); whose it is."""
     data = np.frombuffer(b"".join(START + u for u in urls), np.uint8).astype(np.int64)
     size = np.array([len(u) for u in urls], np.int64)
     starts = np.concatenate([[0], np.cumsum(size + ORDER)[:-1]]) if len(urls) else np.empty(0, np.int64)
@@ -80,20 +84,21 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Counts of one class: of contexts with their symbols, and of contexts."""
+    """Counts of one class, of contexts with a byte; ``key`` ascending."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
-        self.key, self.n = summed(key, n)
+        has = n > 0
+        self.key, self.n = key[has], n[has]
         self.ctx, self.n_ctx = summed(self.key >> 8, self.n)
-        self.kinds = np.sqrt(self.n_ctx)
+        _, self.kinds = np.unique(self.key >> 8, return_counts=True)
 
     def probability(self, key: np.ndarray) -> np.ndarray:
-        """Log probability of each character: each order backs off to the one below."""
+        """Log probability of each byte: each order backs off to the one below."""
         p = np.full(key.shape[1], 1 / 256)
         for of_order in key if len(self.key) else ():
             one, back = np.unique(of_order, return_inverse=True)
-            n_sym, n, t = found(self.key, self.n, one), found(self.ctx, self.n_ctx, one >> 8), found(self.ctx, self.kinds, one >> 8) + 1.0
-            p = (n_sym[back] + t[back] * p) / (n + t)[back]
+            n_sym, n, t = found(self.key, self.n, one), found(self.ctx, self.n_ctx, one >> 8), found(self.ctx, self.kinds, one >> 8)
+            p = np.where((n > 0)[back], (n_sym[back] + t[back] * p) / np.maximum(n + t, 1)[back], p)
         return np.log(p)
 
 
@@ -103,70 +108,109 @@ def found(key: np.ndarray, value: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(key[at] == asked, value[at], 0)
 
 
-def differences(urls: list[bytes], models: list[Model]) -> np.ndarray:
-    """Mean per character of log P(accepted) - log P(rejected)."""
-    if not len(urls):
-        return np.empty(0)
-    key, who = keys(urls)
-    d = models[0].probability(key) - models[1].probability(key)
-    n = np.bincount(who, minlength=len(urls))
-    return np.bincount(who, d, len(urls)) / np.maximum(n, 1)
+def portions(urls: list[bytes]) -> Iterator[list[bytes]]:
+    """The URLs in turn, some of ``AT_ONCE`` bytes at a time."""
+    some, size = [], 0
+    for u in urls:
+        if some and size + len(u) > AT_ONCE:
+            yield some
+            some, size = [], 0
+        some.append(u)
+        size += len(u)
+    if some:
+        yield some
 
 
-def fit(known: DataFrame) -> list[Model]:
-    """The models of accepted and of rejected URLs from ``body, rejected``."""
+def differences(urls: list[bytes], models: tuple[Model, Model]) -> np.ndarray:
+    """Mean per byte of log P(accepted) - log P(rejected)."""
+    out = [np.empty(0)]
+    for some in portions(urls):
+        key, who = keys(some)
+        d = models[0].probability(key) - models[1].probability(key)
+        out.append(np.bincount(who, d, len(some)) / np.maximum(np.bincount(who, minlength=len(some)), 1))
+    return np.concatenate(out)
+
+
+def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() for x in column]
+
+
+def fit(known: DataFrame) -> DataFrame:
+    """``ctx, key, accepted, rejected``: the counts of both classes from ``body, bad``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            body, rejected = batch.column(0), np.asarray(batch.column(1).to_pylist(), bool)
-            for c in (0, 1):
-                urls = [body[int(i)].as_buffer().to_pybytes() for i in np.flatnonzero(rejected == bool(c))]
-                if urls:
-                    new, times = np.unique(keys(urls)[0], return_counts=True)
-                    key, n = summed(np.concatenate([key, new | c * REJECTED]), np.concatenate([n, times]))
-        for i in range(0, len(key), 65536):
-            yield pa.record_batch({"key": pa.array(key[i : i + 65536]), "n": pa.array(n[i : i + 65536])})
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # packed, so that what reaches the driver is small
-            yield pa.record_batch({c: pa.array([batch.column(i).to_numpy().astype("<i8").tobytes()], pa.binary()) for i, c in enumerate(("keys", "ns"))})
-
-    # as many rows as there are distinct contexts with a symbol
-    got = known.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(meet, "keys binary, ns binary").collect()
-    key, n = (np.frombuffer(b"".join(r[i] for r in got), "<i8") for i in (0, 1))
-    bad = key >= REJECTED
-    return [Model(key[~bad], n[~bad]), Model(key[bad] - REJECTED, n[bad])]
-
-
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", false_rejects: float = FALSE_REJECTS) -> DataFrame:
+            bad = np.asarray(batch.column(1).to_pylist(), bool)
+            urls = raw(batch.column(0))
+            for c in (False, True):
+                for some in portions([u for u, b in zip(urls, bad, strict=True) if b == c]):
+                    key, n = np.unique(keys(some)[0], return_counts=True)
+                    none = np.zeros_like(n)
+                    yield pa.record_batch({"key": key, "accepted": none if c else n, "rejected": n if c else none})
+
+    counted = known.select("body", "bad").mapInArrow(count, "key long, accepted long, rejected long")
+    summed_ = counted.groupBy("key").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    return summed_.select(F.shiftright("key", 8).alias("ctx"), "key", "accepted", "rejected")
+
+
+def scored(rows: DataFrame, counts: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` (with a ``body``) and their difference, as ``score``."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, urls = batch.column(1).to_numpy(), raw(batch.column(0))
+            for b in np.unique(block):
+                ctx = np.unique(np.concatenate([np.empty(0, np.int64), *(np.unique(keys(some)[0] >> 8) for some in portions([urls[i] for i in np.flatnonzero(block == b)]))]))
+                yield pa.record_batch({"block": np.full(len(ctx), b, np.int64), "ctx": ctx})
+
+    def score(t: pa.Table, answer: pa.Table) -> pa.Table:
+        key = answer.column("key").to_numpy()
+        by = np.argsort(key)
+        models = tuple(Model(key[by], answer.column(c).to_numpy()[by]) for c in ("accepted", "rejected"))
+        return t.append_column("score", pa.array(differences(raw(t.column("body")), models))).drop_columns(["block"])
+
+    asked = dealt.select("body", "block").mapInArrow(ask, "block long, ctx long").distinct()
+    answers = asked.join(counts, "ctx").select("block", "key", "accepted", "rejected")
+    schema = rows.schema.add("score", "double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+
+
+def threshold(rows: DataFrame) -> float:
+    """Of the fold that was left out: where the shares of accepted URLs at or above and of rejected ones below are the highest."""
+    seen = rows.where("fold and body <> ''").groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(F.count(F.when(~F.col("bad"), 1)), F.count(F.when(F.col("bad"), 1)))
+    got = np.array(sorted(map(tuple, seen.collect())), float).reshape(-1, 3)  # as many rows as there are bins
+    good, bad = got[:, 1], got[:, 2]
+    if not good.sum() or not bad.sum():
+        return -math.inf
+    right = np.concatenate([[good.sum()], good.sum() - np.cumsum(good)]) / good.sum() + np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
+    edge = np.concatenate([got[:, 0], [got[-1, 0] + 1]])
+    best = int(np.argmax(right))
+    # the middle of the gap between the bins on either side
+    below = edge[best - 1] + 1 if best else edge[best]
+    return float((below + edge[best]) / 2 * BIN)
+
+
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id, host, path, rule, verdict, score`` of every page."""
     spark = pages.sparkSession
     common.tune(spark)
-    host, path = host_path(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    url = F.col(url_col).cast("string")
+    host, path = host_path(url)
+    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.encode(F.when(host != "", url).otherwise(""), "UTF-8").alias("body"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("said", verdict)
-    body = F.encode(F.concat("host", "path"), "UTF-8")
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
-    rejected = F.coalesce(F.col("said") == "block", F.lit(False))
-    known = rows.where(F.col("host") != "").select(body.alias("body"), rejected.alias("rejected"), fold.alias("fold"))
-    tables = spark.sparkContext.broadcast(fit(known.where(~F.col("fold")).select("body", "rejected")))
-
-    def scored(names: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                d = differences([x.as_buffer().to_pybytes() for x in batch.column(batch.schema.get_field_index("body"))], tables.value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(d)], [*names, "score"])
-
-        return run
-
-    left_out = known.where(F.col("fold") & ~F.col("rejected")).select("body").mapInArrow(scored([]), "score double")
-    none = F.lit(float("-inf"))
-    seen = known.agg(F.max("rejected"), F.min("rejected")).first()
-    threshold = left_out.agg(F.percentile_approx("score", false_rejects, 10_000)).first()[0] if seen[0] and not seen[1] else None
-    schema = rows.select(id_col, "host", "path", "rule", "said").schema.add("score", "double")
-    out = rows.select(id_col, "host", "path", "rule", "said", body.alias("body")).mapInArrow(scored([id_col, "host", "path", "rule", "said"]), schema)
-    low = none if threshold is None else F.lit(threshold)
+    rows = rows.withColumns({"rule": rule, "said": verdict, "fold": fold})
+    rows = rows.withColumn("bad", F.coalesce(F.col("said") == "block", F.lit(False)))
+    n = rows.count()
+    blocks = max(1, math.ceil(min(2 * spark.sparkContext.defaultParallelism, n / SMALL_BLOCK)), math.ceil(n / BLOCK))
+
+    def judged(rows: DataFrame) -> tuple[DataFrame, float]:
+        out = common.cut(scored(rows, fit(rows.where("body <> '' and not fold")), blocks))
+        return out, threshold(out)
+
+    first, low = judged(rows)
+    again = first.withColumn("bad", F.coalesce(F.col("said") == "block", F.col("score") < low)).drop("score")
+    out, low = judged(again)
     method = F.when((F.col("score") < low) & (F.col("host") != ""), "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")

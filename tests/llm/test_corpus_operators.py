@@ -545,14 +545,71 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
-def test_urls_count_each_context(spark):
+def plain_models(urls_, labels):
+    """Counts of each class by context, of whole URLs."""
+    out = ({}, {})
+    for u, bad in zip(urls_, labels, strict=True):
+        t = urls.START + u
+        for i in range(urls.ORDER, len(t)):
+            for k in range(urls.ORDER + 1):
+                out[bad].setdefault(t[i - k : i], Counter())[t[i]] += 1
+    return out
+
+
+def plain_difference(u, models):
+    t, total = urls.START + u, 0.0
+    for i in range(urls.ORDER, len(t)):
+        p = []
+        for m in models:
+            q = 1 / 256
+            for k in range(urls.ORDER + 1):
+                c = m.get(t[i - k : i])
+                if c:
+                    q = (c[t[i]] + len(c) * q) / (sum(c.values()) + len(c))
+            p.append(q)
+        total += np.log(p[0]) - np.log(p[1])
+    return total / max(1, len(u))
+
+
+def best_division(good, bad):
+    """Shares of both classes on their right sides."""
+    cuts = sorted({*good, *bad, np.inf})
+    return max(sum(x >= c for x in good) / len(good) + sum(x < c for x in bad) / len(bad) for c in cuts)
+
+
+def test_urls_against_plain_models(spark):
     r = random.Random(2)
-    rows = [("".join(r.choice("abcdefghijklmnop/.-") for _ in range(40)).encode(), i % 2 == 0) for i in range(3000)]
-    models = urls.fit(spark.createDataFrame(rows, "body binary, rejected boolean"))
-    for bad, model in enumerate(models):
-        counts = Counter((k, t[i - k : i + 1]) for t in (urls.START + u for u, x in rows if x == bool(bad)) for i in range(urls.ORDER, len(t)) for k in range(urls.ORDER + 1))
-        assert len(model.key) == len(counts) > 100_000 and model.n.dtype == np.int64
-        assert dict(zip(model.key.tolist(), model.n.tolist(), strict=True)) == {k << 48 | int.from_bytes(t, "big"): n for (k, t), n in counts.items()}
+    word = lambda: "".join(r.choice("abcdeft") for _ in range(r.randint(2, 6)))
+    rows = []
+    for i in range(700):
+        end, lang = r.choice(["com", "net", "org", "edu"]), r.choice(["en", "de", "es", "fr"])
+        rows.append((i if i else None, f"http{'s' * (i % 2)}://{word()}.{end}/{lang}/{i}{r.choice(['', '?ref=x', '#top', 'é', '?buy=spam'])}"))
+    df = spark.createDataFrame([*rows, (9000, None), (9001, "nothing")], "page_id long, url string").repartition(3)
+    out = {x["page_id"]: x for x in urls.judge(df).collect()}
+    body = {i: u.encode() for i, u in rows}
+    fold = {i: zlib.crc32(str("" if i is None else i).encode()) % urls.FOLDS == 0 for i in body}
+    said = {i: out[i]["rule"] and {"block": 1, "allow": 0}[out[i]["verdict"]] for i in body}
+    bad = {i: said[i] == 1 for i in body}
+    for turn in (1, 2):
+        fitted = [i for i in body if not fold[i]]
+        models = plain_models([body[i] for i in fitted], [int(bad[i]) for i in fitted])
+        d = {i: plain_difference(u, models) for i, u in body.items()}
+        good, wrong = ([d[i] for i in body if fold[i] and bad[i] == x] for x in (False, True))
+        seen = urls.threshold(spark.createDataFrame([(u, fold[i], bool(bad[i]), float(d[i])) for i, u in body.items()], "body binary, fold boolean, bad boolean, score double"))
+        right = sum(x >= seen for x in good) / len(good) + sum(x < seen for x in wrong) / len(wrong)
+        assert right >= best_division(good, wrong) - 0.05
+        if turn == 1:
+            bad = {i: d[i] < seen if said[i] is None else said[i] == 1 for i in body}
+    for i in body:
+        assert out[i]["score"] == pytest.approx(d[i], abs=1e-9)
+        assert said[i] is not None or out[i]["verdict"] == ("block" if d[i] < seen else "allow")
+    assert out[9000]["verdict"] == out[9001]["verdict"] == "allow" and out[9001]["score"] == 0
+
+
+def test_urls_very_long_and_repeated(spark):
+    rows = [(i, "http://a.com/en/" + "x" * 200_000) for i in (1, 1, 2)] + [(i, f"http://b.org/en/{i % 3}") for i in range(60)] + [(5, "http://q.com/en/")] * 40
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == len(rows) and all(r["verdict"] == "block" for r in out if r["host"].endswith("com"))
 
 
 def test_similar_texts(spark):
