@@ -45,11 +45,15 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Between them the rows are written under the cluster's shared folder."""
+    """All stages over documents. Between them the rows are written under the cluster's shared folder.
+
+    Two places take turns: what a stage writes replaces what the one before its predecessor wrote.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        place = f"{folder}/{'even' if i % 2 == 0 else 'odd'}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(place)
+        docs = spark.read.parquet(place)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
