@@ -7,11 +7,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_ARGUMENTS = 4
+#: Values of a group that one task folds, and partial results that one task merges.
+PART_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -39,20 +41,38 @@ class Scalar:
 
 @dataclass(frozen=True)
 class Fold:
-    """An aggregate: a seed, a step and an optional finish.
+    """An aggregate: a seed, a step and an optional finish, all over columns, so that it runs in the JVM.
 
-    ``step`` and ``finish`` work on columns, so the fold runs in the JVM, over a group's values in the order given.
+    Called, it folds a group's values in the order given, which gathers the group. With a ``merge`` of
+    two partial results (for folds whose order doesn't matter), ``over`` folds parts of a group of
+    ``PART_ROWS`` values by themselves and then the parts, as many as it takes, level by level.
     """
 
     name: str
     seed: Column
     step: Callable[[Column, Column], Column]
     finish: Callable[[Column], Column] | None = None
+    merge: Callable[[Column, Column], Column] | None = None
 
     def __call__(self, value: str, *order: str) -> Column:
         xs = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x")))), lambda s: s["_x"])
         return F.aggregate(xs, self.seed, self.step, self.finish) if self.finish else F.aggregate(xs, self.seed, self.step)
 
+    def over(self, df: DataFrame, keys: list[str], value: str, rows: list[str], name: str) -> DataFrame:
+        """``keys, name`` by groups of any size. ``rows``: columns that tell rows apart, which deal them out."""
+        if self.merge is None:
+            raise ValueError(f"{self.name} has no merge, so a group can't be folded in parts")
+        n = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        parts = -(-n // PART_ROWS)
+        deal = lambda m: F.pmod(F.xxhash64(*rows), F.lit(m)) if m > 1 else F.lit(0).cast("long")
+        x = df.withColumn("_part", deal(parts)).groupBy(*keys, "_part").agg(F.aggregate(F.collect_list(value), self.seed, self.step).alias("_got"))
+        while parts > 1:
+            parts = -(-parts // PART_ROWS)
+            x = x.groupBy(*keys, F.pmod("_part", F.lit(parts)).alias("_part")).agg(F.collect_list("_got").alias("_all"))
+            some = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.element_at("_all", 1), self.merge)
+            x = x.select(*keys, "_part", some.alias("_got"))
+        return x.select(*keys, (self.finish(F.col("_got")) if self.finish else F.col("_got")).alias(name))
+
 
 @dataclass(frozen=True)
 class PythonFold:

@@ -115,7 +115,7 @@ class Batch:
 
 def statements(script: str) -> list[str]:
     """Statements of a script, split at semicolons outside of quotes."""
-    parts = re.findall(r"(?:'(?:[^']|'')*'|`(?:[^`]|``)*`|--[^\n]*|[^;'`])+", script)
+    parts = re.findall(r"(?:'(?:[^'\\]|\\.|'')*'|`(?:[^`]|``)*`|--[^\n]*|[^;'`])+", script)
     return [p.strip() for p in parts if re.sub(r"--[^\n]*", "", p).strip()]
 
 

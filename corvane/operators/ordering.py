@@ -2,35 +2,30 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a bucket that one task numbers; quantiles asked for at most.
-BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 1_000
+from corvane.operators.lineage import cut
 
 
 def dense_index(df: DataFrame, by: str, *then: str, name: str = "index") -> DataFrame:
-    """Adds each row's position (from 0) in the order of ``by`` (a number or time, nulls first), then ``then``.
+    """Adds each row's position (from 0) in the order of ``by`` (nulls first), then ``then``.
 
-    Rows fall into buckets at quantiles of ``by``; each bucket is numbered by itself and shifted by the
-    rows of those before it. Only the quantiles and one count per bucket reach the driver.
+    Rows are dealt to tasks by ranges of the whole key, so rows of one ``by`` are told apart by
+    ``then``, sorted there, numbered where they lie and written once; a task's numbers are then shifted
+    by the rows of the tasks before it. Only a count per task reaches the driver.
     """
-    n = df.count()
-    key = F.col(by).cast("double") if dict(df.dtypes)[by] not in ("timestamp_ntz", "date") else F.col(by).cast("timestamp").cast("double")
-    buckets = min(MOST_BUCKETS, math.ceil(n / BUCKET_ROWS))
-    cuts = sorted(set(df.select(key.alias("k")).agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or [])) if buckets > 1 else []
-    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)), F.lit(-1)) if cuts else F.when(F.col(by).isNull(), -1).otherwise(0)
-    x = df.withColumn("_bucket", F.when(F.col(by).isNull(), -1).otherwise(at))
-    counts = dict(x.groupBy("_bucket").count().collect()) if n else {}
-    start, shift = 0, []
-    for b in sorted(counts):
-        shift += [F.lit(b), F.lit(start).cast("long")]
-        start += counts[b]
-    base = F.create_map(*shift)[F.col("_bucket")] if shift else F.lit(0).cast("long")
-    order = Window.partitionBy("_bucket").orderBy(F.col(by).asc_nulls_first(), *then)
-    return x.withColumn(name, base + F.row_number().over(order) - 1).drop("_bucket")
+    order = [F.col(by).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in then)]
+    # the number of a row within its task stands in the low 33 bits, the task's in those above
+    x = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    base, start = [], 0
+    for r in sorted(x.groupBy(task.alias("t")).count().collect()):
+        base.append((r["t"], start))
+        start += r["count"]
+    shift = F.broadcast(df.sparkSession.createDataFrame(base, "_task long, _base long"))
+    numbered = x.withColumn("_task", task).join(shift, "_task")
+    return numbered.select(*df.columns, (F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def ordered(df: DataFrame, *keys: tuple[str, bool, bool | None]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import math
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -22,6 +24,9 @@ NEGATED = {"=": "!=", "!=": "=", ">": "<=", "<=": ">", "<": ">=", ">=": "<"}
 SWAPPED = {"=": "=", "!=": "!=", ">": "<", "<": ">", ">=": "<=", "<=": ">="}
 #: Longer lists become a join against a frame of their values.
 LONG_LIST = 1_000
+SPECIAL = "'\\$"
+#: Parts that the rows whose key is null are dealt over.
+NULL_PARTS = 1_000
 
 
 def literal(value: Any) -> str:
@@ -30,13 +35,24 @@ def literal(value: Any) -> str:
         return "NULL"
     if isinstance(value, bool):
         return "true" if value else "false"
+    if isinstance(value, float) and not math.isfinite(value):
+        return f"CAST('{value}' AS DOUBLE)"
     if isinstance(value, (int, float, decimal.Decimal)):
         return str(value)
     if isinstance(value, dt.datetime):
         return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
     if isinstance(value, dt.date):
         return f"DATE '{value.isoformat()}'"
-    return "'" + str(value).replace("'", "''") + "'"
+    if isinstance(value, (bytes, bytearray)):
+        return f"unhex('{value.hex()}')"
+    # parsers differ in what they escape, and Spark replaces ${...}: such characters never stand in quotes
+    parts = [f"chr({ord(x)})" if x in SPECIAL else f"'{x}'" for x in re.split(r"(['\\$])", str(value)) if x]
+    return "(" + " || ".join(parts) + ")" if len(parts) > 1 else parts[0] if parts else "''"
+
+
+def quoted(text: str) -> str:
+    """A text in quotes for those of Spark's statements that take no expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{") + "'"
 
 
 @dataclass(frozen=True)
@@ -269,9 +285,12 @@ class Raw(Predicate):
 
 
 def named(sql: str, values: Mapping[str, Any]) -> str:
-    for k in sorted(values, key=len, reverse=True):
-        sql = sql.replace(f":{k}", literal(values[k]))
-    return sql
+    """Each ``:name`` outside quotes becomes its value, in one pass: what a value holds isn't looked at again."""
+
+    def one(m: re.Match) -> str:
+        return literal(values[m["name"]]) if m["name"] in values else m[0]
+
+    return re.sub(r"'(?:[^'\\]|\\.|'')*'|`[^`]*`|::|:(?P<name>\w+)", one, sql)
 
 
 @dataclass(frozen=True)
@@ -341,7 +360,12 @@ def _nested(df: DataFrame, p: Predicate) -> DataFrame:
             members = _members(df, x)
             has_null, some = (members.agg(F.max(F.col("_member").isNull()), F.count("*")).first() or (None, 0))[:2]
             hit = members.where("_member is not null").distinct().select(F.col("_member").alias(f"_m{n}"), F.lit(True).alias(f"_hit{n}"))
-            df = df.withColumn(f"_k{n}", F.expr(x.locator)).join(hit, F.col(f"_k{n}") == F.col(f"_m{n}"), "left")
+            # a null key finds nothing; its rows are dealt out rather than sent to one task
+            flat = [c for c, t in df.dtypes if not t.startswith(("map", "variant", "array", "struct"))]
+            part = F.when(F.expr(x.locator).isNull(), F.pmod(F.xxhash64(*flat), F.lit(NULL_PARTS))).otherwise(0)
+            hit = hit.withColumn(f"_n{n}", F.lit(0).cast("long"))
+            df = df.withColumns({f"_k{n}": F.expr(x.locator), f"_p{n}": part.cast("long")})
+            df = df.join(hit, (F.col(f"_k{n}") == F.col(f"_m{n}")) & (F.col(f"_p{n}") == F.col(f"_n{n}")), "left")
             unknown = F.when(F.col(f"_k{n}").isNull() & F.lit(some > 0) | F.lit(bool(has_null)), F.lit(None)).otherwise(F.lit(False))
             marks[id(x)] = F.coalesce(F.col(f"_hit{n}"), unknown)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.ordering import dense_index
@@ -50,6 +50,12 @@ def smallest(pool: DataFrame) -> DataFrame:
     return pool.where(~F.col("is_full")).orderBy("tenant_count", "position").limit(1)
 
 
+def smallest_in(pool: DataFrame, *keys: str) -> DataFrame:
+    """``keys, database_id``: the smallest open database of each group."""
+    first = F.min_by("database_id", F.struct("tenant_count", "position"))
+    return pool.where(~F.col("is_full")).groupBy(*keys).agg(first.alias("database_id"))
+
+
 def smallest_of(pool: DataFrame) -> str:
     row = smallest(pool).first()
     if row is None:
@@ -72,13 +78,13 @@ def assigned(rows: DataFrame, assignment: DataFrame) -> DataFrame:
 def ordinals(registry: DataFrame, tenants: DataFrame) -> DataFrame:
     """``tenant_id, bucket, ordinal`` for new tenants: those of one bucket (whatever its case) share an ordinal, new buckets follow the highest.
 
-    New buckets are numbered in the order of their names, one window over the distinct new buckets.
+    New buckets are numbered in the order of their names.
     """
     known = registry.select(F.lower("bucket").alias("b"), F.col("ordinal").alias("known")).distinct()
     new = tenants.join(registry.select("tenant_id"), "tenant_id", "left_anti").withColumn("b", F.lower("bucket"))
     fresh = new.join(known, "b", "left_anti").select("b").distinct()
     top = registry.agg(F.max("ordinal")).first()[0] or 0
-    fresh = fresh.select("b", (F.lit(top) + F.row_number().over(Window.orderBy("b"))).alias("fresh"))
+    fresh = dense_index(fresh, "b", name="i").select("b", (F.lit(top) + F.col("i") + 1).alias("fresh"))
     return new.join(known, "b", "left").join(fresh, "b", "left").select("tenant_id", "bucket", F.coalesce("known", "fresh").alias("ordinal"))
 
 

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import contextlib
 import importlib
 import json
-import os
-import time
 from collections import defaultdict
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -17,7 +14,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.sources import schema as S
-from corvane.sources.names import delimited, literal
+from corvane.sources.locks import HiLo, Locked, Lost, Sequence, lock
+from corvane.sources.names import delimited, quoted
+
+__all__ = ["Database", "Databases", "HiLo", "Locked", "Lost", "MultiReader", "Sequence", "Settings", "Specification", "by_server", "lock", "main"]
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Database:
     comment: str | None = None
 
     def create(self) -> str:
-        tail = (f" COMMENT {literal(self.comment)}" if self.comment else "") + (f" LOCATION {literal(self.location)}" if self.location else "")
+        tail = (f" COMMENT {quoted(self.comment)}" if self.comment else "") + (f" LOCATION {quoted(self.location)}" if self.location else "")
         return f"CREATE DATABASE IF NOT EXISTS {delimited(self.name)}{tail}"
 
 
@@ -71,26 +71,28 @@ class Databases:
         S.drop_schema(self.spark, name)
 
 
-class Locked(TimeoutError):
-    pass
-
-
-@contextlib.contextmanager
-def lock(path: str | Path, wait: float = 0.0) -> Iterator[None]:
-    """One writer at a time among drivers that share a file system: the file exists while the lock is held."""
-    path, until = Path(path), time.monotonic() + wait
-    while True:
-        try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-            break
-        except FileExistsError:
-            if time.monotonic() >= until:
-                raise Locked(str(path)) from None
-            time.sleep(0.05)
-    try:
-        yield
-    finally:
-        path.unlink(missing_ok=True)
+@dataclass(frozen=True)
+class Specification:
+    """What a database is to be: itself, its stores of tables, and the server (a catalog's name) it lies on."""
+
+    database: Database
+    stores: tuple[S.Store, ...] = ()
+    server: str = "spark_catalog"
+
+    def ensure(self, databases: Databases) -> list[S.Difference]:
+        """The database and all its tables; what each store had to change."""
+        databases.find_or_create(self.database)
+        return [s.apply() for s in self.stores]
+
+
+def by_server(specifications: list[Specification]) -> dict[str, list[Specification]]:
+    """Specifications by the server they lie on; two of one name on one server are refused."""
+    out: dict[str, list[Specification]] = defaultdict(list)
+    for s in specifications:
+        if any(x.database.name.lower() == s.database.name.lower() for x in out[s.server]):
+            raise ValueError(f"{s.database.name} is on {s.server} already")
+        out[s.server].append(s)
+    return dict(out)
 
 
 class MultiReader:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterable
 from typing import Any
 
-from corvane.operators.predicate import literal
+from corvane.operators.predicate import literal, quoted
 
-__all__ = ["delimited", "escaped", "literal", "qualified", "shortened", "split_qualified", "undelimited"]
+__all__ = ["BadName", "checked", "delimited", "literal", "qualified", "quoted", "shortened", "split_qualified", "undelimited"]
+#: Characters of an identifier at most.
+LONGEST = 63
 
 
 def delimited(name: str) -> str:
@@ -36,15 +39,29 @@ def qualified(schema: str, name: str) -> str:
     return f"{delimited(schema)}.{delimited(name)}"
 
 
-def escaped(text: str) -> str:
-    return text.replace("'", "''")
+class BadName(ValueError):
+    pass
 
 
-def shortened(name: str, most: int = 63) -> str:
-    """Cut to a dialect's longest identifier; long names can meet."""
+def shortened(name: str, most: int = LONGEST) -> str:
+    """Cut to the longest identifier; long names can meet, which ``checked`` finds out."""
     return name[:most]
 
 
+def checked(names: Iterable[str], what: str, most: int = LONGEST) -> None:
+    """Raises for a name that is empty, too long or holds a control character, and for two that are one whatever the case, also once shortened."""
+    seen: dict[str, str] = {}
+    for name in names:
+        if not name or re.search(r"[\x00-\x1f\x7f]", name):
+            raise BadName(f"{what} {name!r} can't be a name")
+        short = shortened(name, most).lower()
+        if short in seen:
+            raise BadName(f"{what} {name!r} meets {seen[short]!r}")
+        seen[short] = name
+        if len(name) > most:
+            raise BadName(f"{what} {name!r} is longer than {most} characters")
+
+
 def normalised(value: Any) -> str:
     """A partition bound as text: without quotes, a time with an offset in UTC."""
     text = undelimited(str(value).strip()).strip("'")

@@ -1,13 +1,17 @@
 """Declared tables, what the catalog has, and the changes between them.
 
 Spark's catalog keeps columns, comments and partitions of a table but no keys, checks or indexes, so
-those stand in a metadata property of the table, as JSON. A migration is a list of actions in order,
-each with its inverse; parquet tables can't drop, rename or retype a column in place, so such a
-change is a rebuild of the table (a new copy, then a swap of names).
+those stand in a metadata property of the table, as JSON in Base64 (which no parser takes apart). A
+migration is a list of actions in order, each with an inverse that runs; lines that begin with dashes
+say what a change of the property means. Parquet tables can't drop, rename or retype a column in
+place, so such a change is a rebuild of the table: a new copy, then a swap of names, which ``recover``
+ends or undoes if its driver died.
 """
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import hashlib
 import json
 import re
@@ -19,10 +23,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.batch import run_script
 from corvane.operators.ordering import topological
-from corvane.sources.names import delimited, escaped, qualified
+from corvane.sources.locks import lock
+from corvane.sources.names import checked, delimited, qualified
 
-PROPERTY = "corvane.model"
+PROPERTY, FINGERPRINT = "corvane.model", "corvane.fingerprint"
 
 
 class Difference(IntEnum):
@@ -144,9 +150,12 @@ class Table:
         parts["computed"] = {c.name: c.computed for c in self.columns if c.computed is not None}
         return json.dumps(parts, sort_keys=True)
 
+    def property(self) -> str:
+        return f"('{PROPERTY}' = '{base64.b64encode(self.model().encode()).decode()}')"
+
     def create(self) -> str:
         by = f" PARTITIONED BY ({', '.join(map(delimited, self.partitioned_by))})" if self.partitioned_by else ""
-        return f"CREATE TABLE IF NOT EXISTS {self.identifier} ({', '.join(c.ddl() for c in self.columns)}) USING parquet{by} TBLPROPERTIES ('{PROPERTY}' = '{escaped(self.model())}')"
+        return f"CREATE TABLE IF NOT EXISTS {self.identifier} ({', '.join(c.ddl() for c in self.columns)}) USING parquet{by} TBLPROPERTIES {self.property()}"
 
     def drop(self) -> str:
         return f"DROP TABLE IF EXISTS {self.identifier}"
@@ -158,7 +167,7 @@ def read_table(spark: SparkSession, schema: str, name: str) -> Table | None:
     if not spark.catalog.tableExists(ident):
         return None
     props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {ident}").collect()}
-    model = json.loads(props.get(PROPERTY, "{}"))
+    model = json.loads(base64.b64decode(props[PROPERTY])) if PROPERTY in props else {}
     computed = model.get("computed", {})
     info = spark.catalog.listColumns(ident)
     tuples = lambda d: {k: tuple(v) if isinstance(v, list) else v for k, v in d.items()}
@@ -239,23 +248,33 @@ class TableDelta:
         t = self.expected
         if self.actual is None:
             return [Action("create", t.create(), t.drop())]
+        names = renames(self)
+        rebuilt = Action("", rebuild_script(t, self.actual, names), rebuild_script(self.actual, t, {new: old for old, new in names.items()}))
         out = [Action("drop index", f"-- drop index {i.name}", f"-- add index {i.name}") for i in (*self.indexes.extra, *(a for _, a in self.indexes.different))]
-        for c in self.columns.missing:
-            # an added column can have no default for rows that are there, and so no NOT NULL
-            out.append(Action("add column", f"ALTER TABLE {t.identifier} ADD COLUMNS ({replace(c, nullable=True, default=None).ddl()})", f"-- rebuild {t.identifier} without {c.name}"))
+        for i, c in enumerate(self.columns.missing):
+            if self.needs_rebuild:
+                out.append(Action("add column", f"-- add column {c.name}", f"-- drop column {c.name}"))
+                continue
+            # an added column can have no default for rows that are there, and so no NOT NULL; added ones go together
+            undo = rebuilt.undo if i == 0 else f"-- drop column {c.name}"
+            out.append(Action("add column", f"ALTER TABLE {t.identifier} ADD COLUMNS ({replace(c, nullable=True, default=None).ddl()})", undo))
         for e, a in self.columns.different:
-            out.append(Action("alter column", f"-- rebuild {t.identifier}: {e.name} from {spark_type(a.type)} to {spark_type(e.type)}", f"-- rebuild {t.identifier}: {e.name} to {spark_type(a.type)}"))
+            out.append(Action("alter column", f"-- {e.name} from {spark_type(a.type)} to {spark_type(e.type)}", f"-- {e.name} to {spark_type(a.type)}"))
         for kind, items in (("foreign key", self.foreign_keys), ("check", self.checks), ("index", self.indexes)):
             out += [Action(kind, f"-- add {kind} {x.name}", f"-- drop {kind} {x.name}") for x in (*items.missing, *(e for e, _ in items.different))]
         out += [Action("foreign key", f"-- drop foreign key {x.name}", f"-- add foreign key {x.name}") for x in self.foreign_keys.extra]
         if self.key_differs:
             out.append(Action("key", f"-- key ({', '.join(t.key)})", f"-- key ({', '.join(self.actual.key)})"))
-        out += [Action("drop column", f"-- rebuild {t.identifier} without {c.name}", f"-- rebuild {t.identifier} with {c.name}") for c in self.columns.extra]
+        out += [Action("drop column", f"-- drop column {c.name}", f"-- add column {c.name}") for c in self.columns.extra]
         if self.partitions_differ:
-            out.append(Action("partition", f"-- rebuild {t.identifier} by ({', '.join(t.partitioned_by)})", f"-- rebuild {t.identifier} by ({', '.join(self.actual.partitioned_by)})"))
+            out.append(Action("partition", f"-- by ({', '.join(t.partitioned_by)})", f"-- by ({', '.join(self.actual.partitioned_by)})"))
         out.sort(key=lambda a: STEPS.index(a.kind))
-        old, new = escaped(self.actual.model()), escaped(t.model())
-        return [*out, Action("model", f"ALTER TABLE {t.identifier} SET TBLPROPERTIES ('{PROPERTY}' = '{new}')", f"ALTER TABLE {t.identifier} SET TBLPROPERTIES ('{PROPERTY}' = '{old}')")] if out else []
+        if self.needs_rebuild:
+            # one rebuild carries all of them out, or back
+            last = max(i for i, a in enumerate(out) if a.kind in ("alter column", "drop column", "partition"))
+            out[last] = replace(out[last], text=f"{out[last].text}\n{rebuilt.text}", undo=f"{out[last].undo}\n{rebuilt.undo}")
+        old, new = self.actual.property(), t.property()
+        return [*out, Action("model", f"ALTER TABLE {t.identifier} SET TBLPROPERTIES {new}", f"ALTER TABLE {t.identifier} SET TBLPROPERTIES {old}")] if out else []
 
     def rollback(self) -> list[Action]:
         return [Action(a.kind, a.undo, a.text) for a in reversed(self.actions())]
@@ -304,6 +323,13 @@ class Migration:
     def rollback_script(self) -> str:
         return "".join(a.text + ";\n" for d in reversed(self.deltas) for a in d.rollback())
 
+    def run(self, spark: SparkSession) -> None:
+        run_script(spark, self.script())
+
+    def roll_back(self, spark: SparkSession) -> None:
+        """Undo what ``run`` did. Rows stay; what a dropped column held doesn't come back."""
+        run_script(spark, self.rollback_script())
+
     def write(self, path: str | Path) -> None:
         """The script, and its reverse beside it."""
         path = Path(path)
@@ -319,11 +345,29 @@ def fingerprint(tables: Iterable[Table]) -> str:
     return hashlib.sha256("\n".join(sorted(t.create() for t in tables)).encode()).hexdigest().upper()
 
 
+def check_names(tables: Iterable[Table]) -> None:
+    """Raises for names that can't be, or that meet another of their kind, before anything is changed."""
+    tables = list(tables)
+    for s in {t.schema.lower() for t in tables}:
+        checked((t.name for t in tables if t.schema.lower() == s), "table")
+    for t in tables:
+        checked((c.name for c in t.columns), f"column of {t.name}")
+        for kind in ("indexes", "foreign_keys", "checks"):
+            checked((x.name for x in getattr(t, kind)), f"{kind} of {t.name}")
+
+
 class Store:
-    """Tables of one catalog, applied on demand."""
+    """Tables of one catalog, applied on demand.
+
+    With a ``folder`` that all drivers see, one driver changes the tables at a time, and the fingerprint
+    of what was applied is kept with the database: a driver that finds its own there has nothing to do.
+    """
 
-    def __init__(self, spark: SparkSession, tables: Iterable[Table], gate: AutoCreate = AutoCreate.CREATE_OR_UPDATE):
+    def __init__(self, spark: SparkSession, tables: Iterable[Table], gate: AutoCreate = AutoCreate.CREATE_OR_UPDATE, folder: str | Path | None = None, name: str = "store", wait: float = 60.0):
+        tables = list(tables)
+        check_names(tables)
         self.spark, self.tables, self.gate = spark, {t.name: t for t in tables}, gate
+        self.folder, self.name, self.wait = folder, name, wait
         self._checked: set[str] = set()
         self._fingerprint = ""
 
@@ -331,29 +375,43 @@ class Store:
         refers = {t.name: {f.table for f in t.foreign_keys} for t in self.tables.values()}
         return [self.tables[n] for n in topological(list(self.tables), refers)]
 
+    def applied(self) -> str:
+        """The fingerprint kept with the database, if any."""
+        schema = min(t.schema for t in self.tables.values())
+        if not self.spark.catalog.databaseExists(schema):
+            return ""
+        said = " ".join(r["info_value"] for r in self.spark.sql(f"DESCRIBE DATABASE EXTENDED {delimited(schema)}").collect() if r["info_name"] == "Properties")
+        found = re.search(rf"\({re.escape(FINGERPRINT)}\.{re.escape(self.name)},([0-9A-F]{{64}})\)", said)
+        return found[1] if found else ""
+
     def apply(self) -> Difference:
         """All changes; nothing where the fingerprint is the one applied last."""
         now = fingerprint(self.tables.values())
-        if now == self._fingerprint:
+        if not self.tables or now in (self._fingerprint, self.folder and self.applied()):
+            self._fingerprint = now
             return Difference.NONE
+        alone = lock(Path(self.folder) / f"{self.name}.lock", self.wait) if self.folder else contextlib.nullcontext()
+        with alone:
+            if self.folder and self.applied() == now:  # another driver did it meanwhile
+                self._fingerprint = now
+                return Difference.NONE
+            found = self._apply()
+            if self.folder:
+                schema = min(t.schema for t in self.tables.values())
+                self.spark.sql(f"ALTER DATABASE {delimited(schema)} SET DBPROPERTIES ('{FINGERPRINT}.{self.name}' = '{now}')")
+        self._fingerprint = now
+        return found
+
+    def _apply(self) -> Difference:
+        for t in self.tables.values():
+            recover(self.spark, t)
         migration = determine(self.spark, self.order())
         migration.check(self.gate)
         for s in {d.expected.schema for d in migration.deltas}:
             ensure_schema(self.spark, s)
-        for d in migration.deltas:
-            self._run(d)
-        self._fingerprint = now
+        migration.run(self.spark)
         return migration.difference
 
-    def _run(self, d: TableDelta) -> None:
-        actions = d.actions()
-        if d.actual is not None and d.needs_rebuild:
-            rebuild_table(self.spark, d)
-            return
-        for a in actions:
-            if not a.text.startswith("--"):
-                self.spark.sql(a.text)
-
     def ensure(self, name: str, seen: tuple[str, ...] = ()) -> None:
         """A table and those it refers to, each looked at once."""
         if name in self._checked or name in seen:
@@ -361,11 +419,11 @@ class Store:
         for f in self.tables[name].foreign_keys:
             if f.table in self.tables:
                 self.ensure(f.table, (*seen, name))
+        recover(self.spark, self.tables[name])
         migration = determine(self.spark, [self.tables[name]])
         migration.check(self.gate)
         ensure_schema(self.spark, self.tables[name].schema)
-        for d in migration.deltas:
-            self._run(d)
+        migration.run(self.spark)
         self._checked.add(name)
 
     def assert_matches(self) -> None:
@@ -388,17 +446,35 @@ class Store:
         return "".join(t.create() + ";\n" for t in self.order())
 
 
-def rebuild_table(spark: SparkSession, d: TableDelta) -> None:
+def rebuild_script(new: Table, old: Table, renamed: dict[str, str]) -> str:
     """Copy into the new layout under another name, then swap names. Values that can't be cast to a new type raise."""
-    t, temp, old = d.expected, f"{d.expected.name}__new", f"{d.expected.name}__old"
-    have = {c.name.lower(): c.name for c in d.actual.columns}
-    have |= {new.lower(): old for old, new in renames(d).items()}
-    pick = [(F.col(have[c.name.lower()]) if c.name.lower() in have else F.expr(c.computed or c.default or "null")).cast(spark_type(c.type)).alias(c.name) for c in t.columns]
-    spark.sql(replace(t, name=temp).create())
-    spark.table(t.identifier).select(*pick).write.mode("append").insertInto(qualified(t.schema, temp))
-    spark.sql(f"ALTER TABLE {t.identifier} RENAME TO {qualified(t.schema, old)}")
-    spark.sql(f"ALTER TABLE {qualified(t.schema, temp)} RENAME TO {t.identifier}")
-    spark.sql(f"DROP TABLE {qualified(t.schema, old)}")
+    beside, aside = (qualified(new.schema, f"{new.name}__{x}") for x in ("new", "old"))
+    have = {c.name.lower(): c.name for c in old.columns} | {b.lower(): a for a, b in renamed.items()}
+    source = lambda c: delimited(have[c.name.lower()]) if c.name.lower() in have else c.computed or c.default or "NULL"
+    pick = ", ".join(f"CAST({source(c)} AS {spark_type(c.type)}) AS {delimited(c.name)}" for c in new.columns)
+    steps = [
+        f"DROP TABLE IF EXISTS {beside}",
+        replace(new, name=f"{new.name}__new").create(),
+        f"INSERT INTO {beside} BY NAME SELECT {pick} FROM {new.identifier}",
+        f"ALTER TABLE {new.identifier} RENAME TO {aside}",
+        f"ALTER TABLE {beside} RENAME TO {new.identifier}",
+        f"DROP TABLE {aside}",
+    ]
+    return ";\n".join(steps)
+
+
+def recover(spark: SparkSession, t: Table) -> None:
+    """After a driver died within a rebuild: a finished copy takes the table's place, an unfinished one goes."""
+    beside, aside = (qualified(t.schema, f"{t.name}__{x}") for x in ("new", "old"))
+    if not spark.catalog.databaseExists(t.schema):
+        return
+    there = {x: spark.catalog.tableExists(x) for x in (t.identifier, beside, aside)}
+    if there[aside] and not there[t.identifier]:
+        spark.sql(f"ALTER TABLE {beside if there[beside] else aside} RENAME TO {t.identifier}")
+        spark.sql(f"DROP TABLE IF EXISTS {aside}")
+    elif there[t.identifier]:
+        for x in (beside, aside):
+            spark.sql(f"DROP TABLE IF EXISTS {x}")
 
 
 def ensure_schema(spark: SparkSession, name: str) -> None:
@@ -436,6 +512,14 @@ def refuse(kind: str) -> None:
     raise Unsupported(f"{kind} can't be expressed in Spark's catalog")
 
 
+def follow(df: DataFrame, parents: dict[str, DataFrame], *keys: ForeignKey) -> DataFrame:
+    """``df`` joined to the table each key refers to, one after the other; a key may be one of a table that joined before."""
+    for k in keys:
+        parent = parents[k.table]
+        df = df.join(parent, [df[c] == parent[p] for c, p in zip(k.columns, k.linked, strict=True)])
+    return df
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: ForeignKey) -> DataFrame:
     """Rows whose reference has no target; a null in it refers to nothing."""
     on = [child[c] == parent[p] for c, p in zip(key.columns, key.linked, strict=True)]

@@ -97,26 +97,34 @@ def progress(marks: DataFrame, seen: DataFrame) -> DataFrame:
     return marks.select("shard", "last_seq").unionByName(new).groupBy("shard").agg(F.max("last_seq").alias("last_seq"))
 
 
+#: Batches between two tables of all streams.
+COMPACTED = 32
+
+
 def sink(stream: DataFrame, path: str, checkpoint: str, order: str = "op_seq") -> DataStreamWriter:
     """Append a stream of events to a store at ``path``; each micro-batch is a folder of its own, so a replayed batch replaces itself.
 
-    Versions continue from what earlier batches stored.
+    Versions continue from what earlier batches stored. What they stored is one table of all streams,
+    written anew every ``COMPACTED`` batches, and the streams of each batch since: a batch reads as
+    much after a million others as after a few. Batches count from 0 on, as those of one checkpoint do.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        empty = spark.createDataFrame([], "tenant_id string, stream_id string, version long")
-        try:
-            streams = spark.read.parquet(f"{path}/streams/").where(F.col("batch") < batch_id).groupBy(*KEY).agg(F.max("version").alias("version"))
-            last = spark.read.parquet(f"{path}/marks/").where(F.col("batch") < batch_id).agg(F.max("last_seq")).first()[0] or 0
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            streams, last = empty, 0
+        whole = max(0, batch_id - 1) // COMPACTED * COMPACTED  # the last batch before this one that wrote the table of all streams
+        kept = [f"{path}/all_streams/batch={whole}"] * bool(whole) + [f"{path}/streams/batch={i}" for i in range(whole + bool(whole), batch_id)]
+        streams = spark.createDataFrame([], "tenant_id string, stream_id string, version long")
+        last = 0
+        if batch_id:
+            streams = spark.read.parquet(*kept).groupBy(*KEY).agg(F.max("version").alias("version"))
+            last = spark.read.parquet(f"{path}/marks/batch={batch_id - 1}").first()[0]
         out = f"batch={batch_id}"
         plan_append(streams, batch, Append.QUICK, last + 1, order).write.mode("overwrite").parquet(f"{path}/events/{out}")
         stored = spark.read.parquet(f"{path}/events/{out}")
-        stored.groupBy(*KEY).agg(F.max("version").alias("version")).write.mode("overwrite").parquet(f"{path}/streams/{out}")
+        tops = stored.groupBy(*KEY).agg(F.max("version").alias("version"))
+        tops.write.mode("overwrite").parquet(f"{path}/streams/{out}")
+        if batch_id and batch_id % COMPACTED == 0:
+            streams.unionByName(tops).groupBy(*KEY).agg(F.max("version").alias("version")).write.mode("overwrite").parquet(f"{path}/all_streams/{out}")
         stored.agg(F.coalesce(F.max("seq_id"), F.lit(last)).alias("last_seq")).write.mode("overwrite").parquet(f"{path}/marks/{out}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

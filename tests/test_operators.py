@@ -44,7 +44,7 @@ def test_compounds_flatten_and_combine():
 
 
 def test_literals_are_quoted():
-    assert P.compare("x", "=", "it's").to_sql() == "x = 'it''s'"
+    assert P.compare("x", "=", "it's").to_sql() == "x = ('it' || chr(39) || 's')"
     assert P.Raw("a = ? and b = ?", (1, None)).to_sql() == "a = 1 and b = NULL"
     assert P.Raw("a = :ab and b = :a", {"a": 1, "ab": 2}).to_sql() == "a = 2 and b = 1"
     with pytest.raises(ValueError):
@@ -177,8 +177,7 @@ def test_reader(spark):
 # Order
 
 
-def test_dense_index(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "BUCKET_ROWS", 7)
+def test_dense_index(spark):
     r = random.Random(1)
     values = [(r.randrange(20) if r.random() > 0.1 else None, i) for i in range(100)]
     df = spark.createDataFrame(values, "k int, i int").repartition(5)
@@ -338,6 +337,52 @@ def test_versions_must_match(spark):
     assert {r["stream_id"]: r["version"] for r in after.collect()} == {"a": 9, "b": 1} and bad.count() == 2
 
 
+def test_sink_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ev, "COMPACTED", 2)
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    schema = spark.createDataFrame([], EVENT).schema
+    for turn in range(6):
+        spark.createDataFrame([event(10 * turn + i, "abc"[(turn + i) % 3]) for i in range(2)], EVENT).write.mode("append").parquet(source)
+        ev.sink(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{store}/events").collect()
+    assert sorted((r["stream_id"], r["version"]) for r in out) == [(s, v) for s in "abc" for v in (1, 2, 3, 4)]
+    assert sorted(r["seq_id"] for r in out) == list(range(1, 13))
+    assert sorted(p.name for p in (tmp_path / "store" / "all_streams").iterdir()) == ["batch=2", "batch=4"]
+
+
+def test_values_never_become_text(spark):
+    odd = ["a\\b", "it's", 'a"b', ":b", "?", "a\\' OR true --", "${spark.app.name}", "\\", "'", ""]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(odd)], "x string, i int")
+    for i, v in enumerate(odd):
+        for p in (P.Raw("x = ?", (v,)), P.Raw("x = :a and ':a' <> :b", {"a": v, "b": "z"}), P.Raw("x = :a and x <> :b", {"a": v, "b": ":a"}), P.compare("x", "<=>", v), P.in_array("x", [v])):
+            assert [r["i"] for r in P.apply(df, p).collect()] == [i], (v, p)
+        assert spark.sql(f"select {P.literal(v)} as v").first()[0] == v
+    assert spark.sql(f"select {P.literal(float('nan'))} as n, {P.literal(float('-inf'))} as i, {P.literal(b'ab')} as b").first()["b"] == b"ab"
+
+
+def test_null_keys_of_marked_memberships(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else i) for i in range(40)], "i int, k int")
+    some = spark.createDataFrame([(0,), (4,)], "id int")
+    p = P.Or(P.compare("i", "=", 7), P.Not(P.InSubQuery("k", some)))
+    assert sorted(r["i"] for r in P.apply(df, p).collect()) == sorted([7, *(i for i in range(0, 40, 2) if i not in (0, 4))])
+
+
+def test_fold_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(registry, "PART_ROWS", 4)
+    total = registry.Fold("t", F.lit(0).cast("long"), lambda a, x: a + x, lambda a: a * 10, lambda a, b: a + b)
+    df = spark.range(200).withColumn("g", F.when(F.col("id") < 150, 1).otherwise(2))
+    out = {r["g"]: r["t"] for r in total.over(df, ["g"], "id", ["id"], "t").collect()}
+    assert out == {1: 10 * sum(range(150)), 2: 10 * sum(range(150, 200))}
+    with pytest.raises(ValueError):
+        registry.Fold("u", F.lit(0), lambda a, x: a).over(df, ["g"], "id", ["id"], "t")
+
+
+def test_dense_index_of_equal_keys_and_texts(spark):
+    df = spark.createDataFrame([(i, "k" if i % 3 else None) for i in range(300)], "i int, k string").repartition(7)
+    want = {i: n for n, i in enumerate([*range(0, 300, 3), *(i for i in range(300) if i % 3)])}
+    assert {r["i"]: r["index"] for r in ordering.dense_index(df, "k", "i").collect()} == want
+
+
 def test_sink_replays_a_batch(spark, tmp_path):
     source, store = str(tmp_path / "in"), str(tmp_path / "store")
     schema = spark.createDataFrame([], EVENT).schema

@@ -131,6 +131,113 @@ def test_renames(spark, clean):
     assert [tuple(r) for r in spark.table("diffs.people").select("id", "given_name").collect()] == [(1, "a")]
 
 
+def test_names_are_checked_first(spark):
+    for bad in ("", "x" * 64, "a\nb"):
+        with pytest.raises(names.BadName):
+            S.Store(spark, [replace(PEOPLE, name=bad)])
+    with pytest.raises(names.BadName):
+        S.check_names([replace(PEOPLE, columns=(S.Column("a", "int"), S.Column("A", "int")))])
+    with pytest.raises(names.BadName):
+        names.checked(["y" * 63 + "1", "y" * 63 + "2"], "table")
+    S.check_names([PEOPLE, STATES])
+
+
+def test_odd_texts_come_back(spark, clean):
+    odd = "first_name <> 'it''s' and first_name <> \"x\\\\y\" and first_name <> '${spark.app.name}'"
+    t = replace(PEOPLE, checks=(S.Check("odd \\ 'one'", odd),), indexes=(S.Index("i", ("id",), predicate='first_name = "q"'),))
+    S.Store(spark, [t]).apply()
+    back = S.read_table(spark, "diffs", "people")
+    assert back.checks == t.checks and back.indexes == t.indexes
+    S.Store(spark, [t]).assert_matches()
+
+
+def test_up_and_down(spark, clean):
+    old = replace(PEOPLE, columns=(*PEOPLE.columns, S.Column("gone", "short")), checks=(S.Check("c", "id > 0"),))
+    new = replace(PEOPLE, columns=(S.Column("id", "long", False), S.Column("first_name", "string"), S.Column("made", "int", default="7")), key=("id", "first_name"), indexes=(S.Index("i", ("id",)),))
+    wider = replace(old, columns=(*old.columns, S.Column("x", "int"), S.Column("y", "string")))
+    for after in (new, wider):
+        S.drop_schema(spark, "diffs")
+        S.Store(spark, [old]).apply()
+        spark.sql("INSERT INTO diffs.people VALUES (1, 'a', 5), (2, NULL, NULL)")
+        m = S.determine(spark, [after])
+        m.run(spark)
+        assert S.determine(spark, [after]).difference is S.Difference.NONE
+        if after is new:
+            assert sorted(map(tuple, spark.table("diffs.people").select("id", "first_name", "made").collect())) == [(1, "a", 7), (2, None, 7)]
+        m.roll_back(spark)
+        assert S.read_table(spark, "diffs", "people").columns == tuple(replace(c, type=S.spark_type(c.type), nullable=True) for c in old.columns) or S.determine(spark, [old]).difference is S.Difference.NONE
+        assert S.read_table(spark, "diffs", "people").model() == old.model()
+        assert sorted(r["id"] for r in spark.table("diffs.people").collect()) == [1, 2]
+        if after is wider:
+            assert sorted(r["gone"] or 0 for r in spark.table("diffs.people").collect()) == [0, 5]
+
+
+def test_a_rebuild_that_was_cut_short(spark, clean):
+    new = replace(PEOPLE, columns=(S.Column("id", "long", False), PEOPLE.columns[1]))
+    steps = S.rebuild_script(new, PEOPLE, {}).split(";\n")
+    for done in range(len(steps)):
+        S.drop_schema(spark, "diffs")
+        S.Store(spark, [PEOPLE]).apply()
+        spark.sql("INSERT INTO diffs.people VALUES (1, 'a')")
+        for s in steps[:done]:
+            spark.sql(s)
+        S.Store(spark, [new], S.AutoCreate.ALL).apply()
+        assert [tuple(r) for r in spark.table("diffs.people").collect()] == [(1, "a")] and S.objects(spark, "diffs")["tables"] == ["people"]
+        assert spark.table("diffs.people").dtypes[0] == ("id", "bigint")
+
+
+def test_fingerprint_is_kept_and_one_driver_works(spark, clean, tmp_path):
+    first, second = (S.Store(spark, [REFERS, STATES], folder=tmp_path) for _ in range(2))
+    assert second.applied() == "" and first.apply() is S.Difference.CREATE
+    assert second.applied() == S.fingerprint([REFERS, STATES]) and second.apply() is S.Difference.NONE
+    changed = S.Store(spark, [replace(REFERS, columns=(*REFERS.columns, S.Column("age", "long"))), STATES], folder=tmp_path, wait=0)
+    with admin.lock(tmp_path / "store.lock"), pytest.raises(admin.Locked):
+        changed.apply()
+    assert changed.apply() is S.Difference.UPDATE and not list(tmp_path.iterdir())
+
+
+def test_locks_have_owners_and_run_out(tmp_path):
+    path = tmp_path / "l"
+    with admin.lock(path, lasts=0.05) as dead:
+        import time
+
+        time.sleep(0.1)
+        with admin.lock(path) as alive:
+            with pytest.raises(admin.Lost):
+                dead.renew()
+            dead.release()
+            assert path.exists()
+            alive.renew()
+    assert not path.exists()
+    path.write_text("what a crash left")
+    with admin.lock(path):
+        pass
+
+
+def test_counters_are_given_out_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = admin.Sequence(tmp_path, "orders", 10)
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: admin.Sequence(tmp_path, "orders", 10).take(3), range(20)))
+    assert sorted(got) == list(range(10, 70, 3)) and s.peek() == 70
+    s.floor(100)
+    assert s.take() == 100
+    s.restart(5)
+    assert s.take() == 5
+    df = spark.range(7).withColumnRenamed("id", "k")
+    ids = [[r["id"] for r in admin.HiLo(tmp_path, "people", 3).assign(df, "k").orderBy("k").collect()] for _ in range(2)]
+    assert ids == [list(range(1, 8)), list(range(10, 17))]
+
+
+def test_specifications(spark, clean):
+    spec = admin.Specification(admin.Database("diffs"), (S.Store(spark, [PEOPLE]),))
+    assert spec.ensure(admin.Databases(spark)) == [S.Difference.CREATE]
+    assert list(admin.by_server([spec, replace(spec, server="other")])) == ["spark_catalog", "other"]
+    with pytest.raises(ValueError):
+        admin.by_server([spec, spec])
+
+
 def test_user_types(spark, clean):
     df = spark.createDataFrame([("a", 1), ("z", -1), (None, None)], "t string, n int")
     assert S.UserType("e", values=("a", "b")).violations(df, "t").count() == 1
