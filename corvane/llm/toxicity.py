@@ -133,8 +133,8 @@ def fresh(rng: np.random.Generator, n_words: int = 0, n_grams: int = 0) -> dict[
     return p
 
 
-def run_gru(x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (time, batch, hidden) over inputs (time, batch, 3 * hidden)."""
+def run_gru(x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list) -> np.ndarray:
+    """States (time, batch, hidden) over inputs (time, batch, 3 * hidden); each step's parts go to ``keep``."""
     steps, n, _ = x.shape
     h = np.zeros((n, HIDDEN), np.float32)
     out = np.empty((steps, n, HIDDEN), np.float32)
@@ -144,13 +144,61 @@ def run_gru(x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None =
         z, r = g[:, :HIDDEN], g[:, HIDDEN:]
         c = np.tanh(x[t, :, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
         new = c + z * (h - c)
-        if keep is not None:
-            keep.append((h, s, z, r, c))
+        keep.append((h, s, z, r, c))
         h = np.where(mask[t], new, h)
         out[t] = h
     return out
 
 
+def last_states(x: np.ndarray, mask: np.ndarray | None, u: np.ndarray) -> np.ndarray:
+    """As ``run_gru``, for scoring: inputs and states are (time, numbers, batch), and steps work in place."""
+    steps, _, n = x.shape
+    ut, out = np.ascontiguousarray(u.T), np.empty((steps, HIDDEN, n), x.dtype)
+    s, g, c = (np.empty((k * HIDDEN, n), x.dtype) for k in (3, 2, 1))
+    h = np.zeros((HIDDEN, n), x.dtype)
+    for t in range(steps):
+        np.matmul(ut, h, out=s)
+        np.add(x[t, : 2 * HIDDEN], s[: 2 * HIDDEN], out=g)
+        squash(g)
+        np.multiply(g[HIDDEN:], s[2 * HIDDEN :], out=c)
+        c += x[t, 2 * HIDDEN :]
+        c *= 2
+        squash(c)  # tanh(x) is 2 * sigmoid(2 * x) - 1
+        c *= 2
+        c -= 1
+        new = out[t]
+        np.subtract(h, c, out=new)
+        new *= g[:HIDDEN]
+        new += c
+        if mask is not None:
+            np.copyto(new, h, where=~mask[t])
+        h = new
+    return out
+
+
+def squash(x: np.ndarray) -> None:
+    """The sigmoid, in place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def fast_logits(p: dict[str, np.ndarray], inputs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at.T
+    x, real = np.ascontiguousarray(inputs[at].transpose(0, 2, 1)), at > 0
+    mask = None if real.all() else real[:, None, :]
+    one = last_states(x[:, : 3 * HIDDEN], mask, p["U0"])
+    two = last_states(x[::-1, 3 * HIDDEN :], None if mask is None else mask[::-1], p["U1"])[::-1]
+    a, v = (p[k].reshape(2, HIDDEN) for k in "av")
+    e = np.einsum("h,thb->tb", a[0], one) + np.einsum("h,thb->tb", a[1], two)
+    e = np.where(real, e, -1e9)
+    w = np.exp(e - e.max(axis=0))
+    w /= w.sum(axis=0)
+    return v[0] @ np.einsum("tb,thb->hb", w, one) + v[1] @ np.einsum("tb,thb->hb", w, two) + p["c"][0]
+
+
 def gru_back(dh_out: np.ndarray, mask: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of inputs and of ``u``."""
     steps, n, _ = dh_out.shape
@@ -170,10 +218,12 @@ def gru_back(dh_out: np.ndarray, mask: np.ndarray, u: np.ndarray, kept: list) ->
 
 
 def logits(p: dict[str, np.ndarray], inputs: np.ndarray, at: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Of windows ``at`` (batch, time) of rows of ``inputs``."""
+    """Of windows ``at`` (batch, time) of rows of ``inputs``; what gradients need goes to ``keep``."""
+    if keep is None:
+        return fast_logits(p, inputs, at)
     at = at.T
     x, mask = inputs[at], (at > 0)[:, :, None]
-    kept: tuple[list, list] | tuple[None, None] = ([], []) if keep is not None else (None, None)
+    kept: tuple[list, list] = ([], [])
     one = run_gru(x[:, :, : 3 * HIDDEN], mask, p["U0"], kept[0])
     two = run_gru(x[::-1, :, 3 * HIDDEN :], mask[::-1], p["U1"], kept[1])[::-1]
     h = np.concatenate([one, two], axis=2)
@@ -181,8 +231,7 @@ def logits(p: dict[str, np.ndarray], inputs: np.ndarray, at: np.ndarray, keep: d
     w = np.exp(e - e.max(axis=0))
     w /= w.sum(axis=0)
     pooled = np.einsum("tb,tbh->bh", w, h)
-    if keep is not None:
-        keep |= {"mask": mask, "kept": kept, "h": h, "w": w, "pooled": pooled}
+    keep |= {"mask": mask, "kept": kept, "h": h, "w": w, "pooled": pooled}
     return pooled @ p["v"] + p["c"][0]
 
 

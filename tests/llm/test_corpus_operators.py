@@ -470,6 +470,7 @@ def test_toxicity_network_by_hand():
     # gradients of the sum of squares against differences
     keep = {}
     out = toxicity.logits(p, inputs, at, keep)
+    assert np.allclose(out, got_, atol=1e-4)
     g, dx = toxicity.gradients(p, keep, 2 * out)
     loss = lambda: float((np.array([plain_logit(p, inputs[a[a > 0]]) for a in at]) ** 2).sum())
     for name in ("U0", "U1", "a", "v", "c"):
