@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
-from collections.abc import Callable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,9 @@ from pyspark.sql import types as T
 from corvane.functions import registry, scalar
 from corvane.operators import batch, ordering, partition, reader, tenancy, writes
 from corvane.operators import predicate as P
+from corvane.operators.session import Session
 from corvane.operators.writes import BulkMode, Mode, Op
-from corvane.sources import schema
+from corvane.sources import admin, names, schema
 from corvane.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +39,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@contextlib.contextmanager
+def database(spark: SparkSession) -> Iterator[str]:
+    """A database of the catalog for the time of a query; what is read from it is collected (columns and some rows)."""
+    name = f"corvane_q_{uuid.uuid4().hex[:12]}"
+    try:
+        schema.ensure_schema(spark, name)
+        yield name
+    finally:
+        schema.drop_schema(spark, name)
+
+
+def declared(df: DataFrame, db: str, name: str) -> schema.Table:
+    """A table with the columns of a frame."""
+    return schema.Table(db, name, tuple(schema.Column(f.name, f.dataType.simpleString()) for f in df.schema))
+
+
 # Predicates -----------------------------------------------------------------------------------
 
 LINE = "l_orderkey, l_linenumber, l_quantity"
@@ -67,6 +87,17 @@ filtered("pred_by_id", "orders", "o_orderkey, o_totalprice", P.by_id(7, "o_order
 filtered("pred_starts_with", "part", "p_partkey", P.compare("p_type", "LIKE", "S%"))
 
 
+#: Values with what parsers take for quotes, escapes and names.
+ODD = ("purchase\\'", "it's :b", "${x} \\' OR true --")
+
+
+@query("pred_odd_values", "SELECT event_id FROM events WHERE event_type = 'purchase'")
+def pred_odd_values(spark, d):
+    x = table(spark, d, "events").withColumn("t", F.concat("event_type", F.lit("\\'")))
+    p = P.And(P.Raw("t = ?", (ODD[0],)), P.Raw("t <> :a and t <> :b", {"a": ODD[1], "b": ODD[2]}), P.compare("t", "<=>", ODD[0]))
+    return P.apply(x, p).select("event_id")
+
+
 @query("pred_long_list", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT unnest(range(0, 4000, 2)))")
 def pred_long_list(spark, d):
     return P.apply(table(spark, d, "orders"), P.in_array("o_custkey", range(0, 4000, 2))).select("o_orderkey")
@@ -127,10 +158,12 @@ def read_identity_map(spark, d):
     return reader.Reader(x, tracking="identity", order=("event_id",)).query().select("id", "event_id", "data")
 
 
-@query("read_dirty_tracking", "SELECT doc_id AS id, md5(text) AS was, md5(text) AS now FROM documents WHERE lang = 'en' AND lang <> 'es'")
+@query("read_dirty_tracking", "SELECT event_id AS id, 'upsert' AS op FROM events WHERE event_type = 'purchase' AND CAST(json_extract_string(props, '$.k') AS INTEGER) <> 7")
 def read_dirty_tracking(spark, d):
-    x = reader.Reader(documents_of(spark, d), tracking="dirty", order=("data",)).query(P.compare("doc_type", "=", "en"))
-    return x.select("id", F.md5("as_read").alias("was"), F.md5("data").alias("now"))
+    x = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("data"), F.col("event_type").alias("doc_type"))
+    read = reader.Reader(x, tracking="dirty", order=("doc_type",)).query(P.compare("doc_type", "=", "purchase"))
+    after = read.select("id", F.to_json(F.struct(F.lit(7).alias("k"))).alias("data"))  # as the caller left them
+    return writes.changes(read.select("id", F.col("as_read").alias("data")), after).select("id", "op")
 
 
 @query("read_hierarchical", "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'purchase'")
@@ -157,6 +190,25 @@ def read_metadata(spark, d):
     return x.select("doc_id", "tenant_id", "doc_type", "last_modified_by", F.col("last_modified").isNotNull().alias("stamped"), "deleted")
 
 
+@query("session_save", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS data FROM customer WHERE c_custkey % 7 <> 0")
+def session_save(spark, d):
+    now = current_of(spark, d, Mode.OPTIMISTIC, "true")
+    s = Session(reader.Reader(now), Mode.OPTIMISTIC)
+    s.load_many(now.where("id % 3 = 0").select("id"))
+    s.queue(Op.UPSERT, now.where("id % 3 = 0").selectExpr("id", "'new' AS data", "'n' || id AS new_version"))
+    s.queue(Op.UPSERT, now.where("id % 3 = 1").selectExpr("id", "'not read' AS data", "'n' || id AS new_version"))  # refused: the session doesn't know their versions
+    s.delete(now.where("id % 7 = 0"))
+    return s.save(now)[0].select("id", "data")
+
+
+@query("read_many_results", "SELECT 'region' AS result, r_name AS name FROM region UNION ALL SELECT 'nation', n_name FROM nation")
+def read_many_results(spark, d):
+    results = admin.MultiReader([table(spark, d, "region").select("r_name"), table(spark, d, "nation").select("n_name")])
+    rows = [("region", r[0]) for r in results.rows()]
+    results.next_result()
+    return spark.createDataFrame(rows + [("nation", r[0]) for r in results.rows()], "result string, name string")
+
+
 # Batches and commands -------------------------------------------------------------------------
 
 
@@ -182,6 +234,13 @@ def command_parameters(spark, d):
     return c.run(spark)
 
 
+@query("command_script", "SELECT r_regionkey, r_name || ';' AS name FROM region WHERE r_name <> 'a;b'")
+def command_script(spark, d):
+    table(spark, d, "region").createOrReplaceTempView("corvane_region")
+    batch.run_script(spark, "-- one; two\nCREATE OR REPLACE TEMPORARY VIEW corvane_r AS SELECT * FROM corvane_region WHERE r_name <> 'a;b';\nCREATE OR REPLACE TEMPORARY VIEW corvane_r2 AS SELECT r_regionkey, r_name || ';' AS name FROM corvane_r;")
+    return spark.table("corvane_r2")
+
+
 @query("command_array_parameter", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 2)")
 def command_array_parameter(spark, d):
     table(spark, d, "nation").createOrReplaceTempView("corvane_nation")
@@ -191,19 +250,29 @@ def command_array_parameter(spark, d):
 # Order and aggregates -------------------------------------------------------------------------
 
 
-@query(
-    "sort_nulls_first_last",
-    f"SELECT doc_id, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS at FROM {LABELLED}",
-)
+NUMBERED = "row_number() OVER (ORDER BY {}) AS place"
+
+
+def placed(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a sorted frame with their place in it."""
+    return df.limit(n).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("sort_nulls_first_last", f"SELECT * FROM (SELECT doc_id, quality, {NUMBERED.format('quality DESC NULLS FIRST, doc_id')} FROM {LABELLED}) WHERE place <= 300")
 def sort_nulls_first_last(spark, d):
     x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    x = x.withColumn("k", F.coalesce(-F.col("quality"), F.lit(-9)))
-    return ordering.dense_index(x, "k", "doc_id", name="at").select("doc_id", (F.col("at") + 1).alias("at"))
+    return placed(ordering.ordered(x, ("quality", True, True), ("doc_id", False, None)), 300)
+
+
+@query("sort_nulls_default", f"SELECT * FROM (SELECT doc_id, quality, {NUMBERED.format('quality ASC NULLS LAST, doc_id DESC')} FROM {LABELLED}) WHERE place <= 300")
+def sort_nulls_default(spark, d):
+    x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return placed(ordering.ordered(x, ("quality", False, None), ("doc_id", True, None)), 300)
 
 
-@query("sort_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
+@query("sort_top", f"SELECT * FROM (SELECT o_orderkey, o_totalprice, {NUMBERED.format('o_totalprice DESC NULLS LAST, o_orderkey')} FROM orders) WHERE place <= 20")
 def sort_top(spark, d):
-    return ordering.ordered(table(spark, d, "orders"), ("o_totalprice", True, False), ("o_orderkey", False, None)).select("o_orderkey", "o_totalprice").limit(20)
+    return placed(ordering.ordered(table(spark, d, "orders"), ("o_totalprice", True, False), ("o_orderkey", False, None)).select("o_orderkey", "o_totalprice"), 20)
 
 
 @query("keep_newest_n", "SELECT o_orderkey, o_orderdate FROM (SELECT *, rank() OVER (ORDER BY o_orderdate DESC) AS r FROM orders) WHERE r <= 25")
@@ -221,24 +290,32 @@ def agg_ordered_string(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(ordering.ordered_string("event_type", ", ", "ts", "event_id").alias("types"))
 
 
-@query("agg_argmin", "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS first FROM nation GROUP BY n_regionkey")
+@query("agg_argmin", "SELECT n_regionkey, arg_min(n_name, n) AS database_id FROM (SELECT n_regionkey, n_name, count(c_custkey) * 100 + n_nationkey AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 1 GROUP BY n_regionkey, n_name, n_nationkey) GROUP BY 1")
 def agg_argmin(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("first"))
+    n = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.count("c_custkey").alias("tenant_count"))
+    pool = n.select("n_regionkey", F.col("n_name").alias("database_id"), "tenant_count", (F.col("n_nationkey") % 5 == 1).alias("is_full"), F.col("n_nationkey").alias("position"))
+    return tenancy.smallest_in(pool, "n_regionkey")
 
 
 @query("agg_scalar", "SELECT count(*) AS n, max(o_totalprice) AS most FROM orders")
 def agg_scalar(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    b, o = batch.Batch(), table(spark, d, "orders")
+    n, most = b.scalar(o.agg(F.count("*"))), b.scalar(o.agg(F.max("o_totalprice")))
+    b.execute()
+    return spark.createDataFrame([(n.result(), most.result())], f"n long, most {dict(o.dtypes)['o_totalprice']}")
 
 
-@query("agg_ignore_case", "SELECT lower(c_mktsegment) AS bucket, count(*) AS n FROM customer GROUP BY 1")
+@query("agg_ignore_case", "SELECT lower(c_mktsegment) AS bucket, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1")
 def agg_ignore_case(spark, d):
-    return table(spark, d, "customer").groupBy(F.lower("c_mktsegment").alias("bucket")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("value"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("suffix")).distinct()
+    return partition.list_registry(c).select(F.col("suffix").alias("bucket"), F.size("values").cast("long").alias("n"))
 
 
 @query("agg_distinct_schemas", "SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def agg_distinct_schemas(spark, d):
-    return table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("name")).distinct()
+    segments = [r[0] for r in table(spark, d, "customer").select("c_mktsegment").distinct().collect()]
+    tables = [schema.Table("public" if s == "BUILDING" else s, n) for s in segments for n in ("a", "b")]
+    return spark.createDataFrame([(x,) for x in schema.Migration(tuple(schema.diff(t, None) for t in tables)).schemas], "name string")
 
 
 # Joins ----------------------------------------------------------------------------------------
@@ -246,30 +323,43 @@ def agg_distinct_schemas(spark, d):
 
 @query("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def join_semi(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
-    return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    o = P.apply(table(spark, d, "orders"), P.compare("o_orderstatus", "=", "F"))
+    return P.apply(table(spark, d, "customer"), P.InSubQuery("c_custkey", o, "o_custkey")).select("c_custkey")
 
 
 @query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def join_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return P.apply(table(spark, d, "customer"), P.Not(P.InSubQuery("c_custkey", table(spark, d, "orders"), "o_custkey"))).select("c_custkey")
+
+
+TO_NATION = schema.ForeignKey("fk_nation", ("c_nationkey",), "nation", ("n_nationkey",))
+TO_REGION = schema.ForeignKey("fk_region", ("n_regionkey",), "region", ("r_regionkey",))
 
 
 @query("join_chain", "SELECT r_name, n_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def join_chain(spark, d):
-    r, n, c = (table(spark, d, t) for t in ("region", "nation", "customer"))
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name", "n_name").agg(F.count("*").alias("n"))
+    parents = {t: table(spark, d, t) for t in ("nation", "region")}
+    return schema.follow(table(spark, d, "customer"), parents, TO_NATION, TO_REGION).groupBy("r_name", "n_name").agg(F.count("*").alias("n"))
 
 
 @query("join_self", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def join_self(spark, d):
     a, b = (table(spark, d, "nation").select(F.col("n_nationkey").alias(x), F.col("n_regionkey").alias(f"r{x}")) for x in "ab")
-    return a.join(b, (F.col("ra") == F.col("rb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    return schema.follow(a, {"b": b}, schema.ForeignKey("same", ("ra",), "b", ("rb",))).where("a < b").select("a", "b")
+
+
+@query("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity > 40")
+def join_multi_key(spark, d):
+    x = table(spark, d, "lineitem")
+    key = schema.ForeignKey("line", ("l_orderkey", "l_linenumber"), "lines", ("k", "n"))
+    return schema.follow(x.where("l_quantity > 40").select("l_orderkey", "l_linenumber"), {"lines": x.selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_quantity")}, key).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("join_left", f"SELECT doc_id, quality FROM {LABELLED}")
 def join_left(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("tenant_id"))
+    given = table(spark, d, "labels").select(F.col("doc_id").alias("tenant_id"), F.col("quality").alias("database_id"))
+    return tenancy.assigned(rows, given).select(F.col("tenant_id").alias("doc_id"), F.col("database_id").alias("quality"))
 
 
 @query("join_unnest_ordinality", "SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)")
@@ -300,9 +390,9 @@ INC_SQL = """(SELECT id, data, CASE WHEN id % 4 = 1 THEN NULL WHEN id % 4 = 2 TH
               FROM (SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS id, 'new ' || c_name AS data FROM customer WHERE c_acctbal > 4000 OR c_mktsegment = 'BUILDING'))"""
 
 
-def current_of(spark, d, mode: Mode) -> DataFrame:
+def current_of(spark, d, mode: Mode, where: str = "c_mktsegment <> 'BUILDING'") -> DataFrame:
     kind = "bigint" if mode is Mode.NUMERIC else "string"
-    return table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS id", "c_name AS data", f"CAST({CURRENT[mode.value]} AS {kind}) AS version")
+    return table(spark, d, "customer").where(where).selectExpr("c_custkey AS id", "c_name AS data", f"CAST({CURRENT[mode.value]} AS {kind}) AS version")
 
 
 def incoming_of(spark, d) -> DataFrame:
@@ -478,6 +568,12 @@ def event_tombstone(spark, d):
     return ev.tombstone(s, events_of(spark, d), s)[1].select("id")
 
 
+@query("event_metadata", "SELECT event_id AS id, props AS data, CAST(user_id AS VARCHAR) AS stream_id, event_id AS version, 'cause ' || event_type AS causation_id, CAST(NULL AS VARCHAR) AS headers FROM events")
+def event_metadata(spark, d):
+    x = events_of(spark, d).select("*", F.col("op_seq").alias("version"), F.concat(F.lit("cause "), "type").alias("causation_id"))
+    return ev.laid_out(x, ("causation_id", "headers")).select(F.col("id").cast("long").alias("id"), "data", "stream_id", "version", "causation_id", "headers")
+
+
 @query("event_progress", "SELECT event_type AS shard, greatest(max(event_id), 500) AS last_seq FROM events GROUP BY 1")
 def event_progress(spark, d):
     x = table(spark, d, "events").select(F.col("event_type").alias("shard"), F.col("event_id").alias("seq_id"))
@@ -533,12 +629,31 @@ def part_suffix_parse(spark, d):
     return table(spark, d, "events").select("event_id", partition.parse_suffix(s, partition.Period.DAY).alias("start"))
 
 
-@query("part_window", "SELECT 'd' || strftime(s, '%Y%m%d') AS suffix, s::TIMESTAMP AS start, (s + INTERVAL 1 DAY)::TIMESTAMP AS \"end\" FROM (SELECT TIMESTAMP '2024-01-20' + to_days(CAST(n AS INTEGER)) AS s FROM range(-5, 3) t(n))")
+@query("part_window", "SELECT 'd' || strftime(s, '%Y%m%d') AS suffix, s::TIMESTAMP AS start, (s + INTERVAL 1 DAY)::TIMESTAMP AS \"end\" FROM (SELECT date_trunc('day', t) + to_days(CAST(n AS INTEGER)) AS s FROM (SELECT max(ts) AS t FROM events), range(-5, 3) r(n))")
 def part_window(spark, d):
-    x = DAILY.frame(F.lit(NOW).cast("timestamp_ntz"), spark)
+    now = table(spark, d, "events").agg(F.max("ts")).first()[0]
+    x = DAILY.frame(F.lit(now).cast("timestamp_ntz"), spark)
     return x.select("suffix", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
 
 
+@query("part_range_delta", "SELECT 'd' || strftime(s, '%Y%m%d') AS suffix FROM (SELECT date_trunc('day', t) + to_days(CAST(n AS INTEGER)) AS s FROM (SELECT max(ts) AS t FROM events), range(-5, 3) r(n)) WHERE s NOT IN (SELECT date_trunc('day', ts) FROM events)")
+def part_range_delta(spark, d):
+    x = table(spark, d, "events")
+    have = [(r[0],) for r in x.select(partition.suffix(F.col("ts"), partition.Period.DAY)).distinct().collect()]
+    want = [(w.suffix, w.start, w.end) for w in DAILY.windows(x.agg(F.max("ts")).first()[0])]
+    delta, add = partition.range_delta(want, have, managed=True)
+    return spark.createDataFrame([(a[0],) for a in add], "suffix string").where(F.lit(delta is partition.Delta.ADDITIVE))
+
+
+@query("part_delta_kinds", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN 'NONE' WHEN n_nationkey % 3 = 1 THEN 'ADDITIVE' ELSE 'REBUILD' END AS delta, n_nationkey % 3 = 0 AS same_hash FROM nation")
+def part_delta_kinds(spark, d):
+    ranges, out = [("a", 0, 10), ("b", 10, 20)], []
+    for (k,) in sorted(table(spark, d, "nation").select("n_nationkey").collect()):
+        want = ranges + [("c", 20, 30)] if k % 3 == 1 else [("a", 0, 5)] if k % 3 == 2 else ranges
+        out.append((k, partition.range_delta(want, ranges)[0].name, partition.hash_delta([r[0] for r in want], ["a", "b"]) is partition.Delta.NONE))
+    return spark.createDataFrame(out, "k long, delta string, same_hash boolean").withColumn("k", F.col("k").cast(dict(table(spark, d, "nation").dtypes)["n_nationkey"]))
+
+
 @query("part_retention", "SELECT 'd' || strftime(ts, '%Y%m%d') AS suffix, date_trunc('day', ts) < TIMESTAMP '2024-01-15' AS aged FROM events GROUP BY ALL")
 def part_retention(spark, d):
     have = [r[0] for r in table(spark, d, "events").select(partition.suffix(F.col("ts"), partition.Period.DAY).alias("s")).distinct().collect()]
@@ -616,10 +731,42 @@ def id_assign_missing(spark, d):
     return tenancy.assign_missing(x, "id", tenancy.keyed("customer", F.col("c_custkey")))
 
 
-@query("id_time_ordered", "SELECT event_id, true AS ok FROM events")
+@query("id_time_ordered", "SELECT event_id, printf('%012x', epoch_us(ts) // 1000) || '7' AS head, 36 AS n, true AS variant FROM events")
 def id_time_ordered(spark, d):
     u = tenancy.time_ordered_uuid(F.col("ts").cast("timestamp"), F.col("event_id"))
-    return table(spark, d, "events").select("event_id", u.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("ok"))
+    x = table(spark, d, "events").select("event_id", u.alias("u")).dropDuplicates(["u"])  # none is given twice
+    return x.select("event_id", F.substring(F.replace("u", F.lit("-")), 1, 13).alias("head"), F.length("u").alias("n"), F.substring("u", 20, 1).isin(*"89ab").alias("variant"))
+
+
+@query("id_hilo_stored", "SELECT o_orderkey, CASE WHEN i < h THEN i + 1 ELSE ((h + 99) // 100) * 100 + i - h + 1 END AS id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) - 1 AS i, count(*) FILTER (WHERE o_orderkey % 2 = 0) OVER () AS h FROM orders)")
+def id_hilo_stored(spark, d):
+    o, ids = table(spark, d, "orders").select("o_orderkey"), admin.HiLo(tempfile.mkdtemp(prefix="hilo"), "orders", 100)
+    even, odd = (ids.assign(o.where(F.col("o_orderkey") % 2 == r), "o_orderkey") for r in (0, 1))  # as two drivers would, one after the other
+    return even.unionByName(odd)
+
+
+@query("tenant_explicit", "SELECT n_name AS tenant, CASE WHEN n_regionkey < 2 THEN 'db' || n_regionkey ELSE 'UnknownTenant' END AS found FROM nation")
+def tenant_explicit(spark, d):
+    rows = table(spark, d, "nation").select("n_name", "n_regionkey").collect()
+    given, out = {r[0]: f"db{r[1]}" for r in rows if r[1] < 2}, []
+    for name, _ in rows:
+        try:
+            out.append((name, tenancy.explicit(name, given)))
+        except tenancy.UnknownTenant as e:
+            out.append((name, type(e).__name__))
+    return spark.createDataFrame(out, "tenant string, found string")
+
+
+@query("tenant_empty_pool", "SELECT n_regionkey, CASE WHEN max(n_nationkey) > 22 THEN 'EmptyPool' ELSE min(n_name) END AS found FROM nation GROUP BY 1")
+def tenant_empty_pool(spark, d):
+    n, out = table(spark, d, "nation"), []
+    for r, top in sorted(n.groupBy("n_regionkey").agg(F.max("n_nationkey")).collect()):
+        pool = n.where(F.col("n_regionkey") == r).select(F.col("n_name").alias("database_id"), F.lit(0).alias("tenant_count"), F.lit(top > 22).alias("is_full"), F.col("n_name").alias("position"))
+        try:
+            out.append((r, tenancy.smallest_of(pool)))
+        except tenancy.EmptyPool as e:
+            out.append((r, type(e).__name__))
+    return spark.createDataFrame(out, f"n_regionkey {dict(n.dtypes)['n_regionkey']}, found string")
 
 
 # Functions ------------------------------------------------------------------------------------
@@ -636,8 +783,8 @@ def udf_scalar(spark, d):
 
 @query("udf_aggregate", "SELECT event_type, CAST(sum(event_id % 7) AS BIGINT) AS total FROM events GROUP BY 1")
 def udf_aggregate(spark, d):
-    total = registry.Fold("my_sum", F.lit(0).cast("long"), lambda a, x: a + x)
-    return table(spark, d, "events").select("event_type", "event_id", (F.col("event_id") % 7).alias("v")).groupBy("event_type").agg(total("v", "event_id").alias("total"))
+    total = registry.Fold("my_sum", F.lit(0).cast("long"), lambda a, x: a + x, merge=lambda a, b: a + b)
+    return total.over(table(spark, d, "events").select("event_type", "event_id", (F.col("event_id") % 7).alias("v")), ["event_type"], "v", ["event_id"], "total")
 
 
 @query("udf_aggregate_finish", "SELECT user_id, '#' || count(*) AS text FROM events GROUP BY 1")
@@ -687,15 +834,226 @@ def fn_json_equal(spark, d):
 # Schemas --------------------------------------------------------------------------------------
 
 
-@query("schema_diff", "SELECT * FROM (VALUES ('a', 'matched'), ('b', 'different'), ('c', 'missing'), ('d', 'extra')) t(name, state)")
+#: DuckDB's names of the test tables' types as Spark's.
+ACTUAL = "(SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS type FROM (DESCRIBE {}))"
+CHANGED = "(SELECT CASE WHEN name = 'c_name' THEN 'c_label' ELSE upper(name) END AS name, CASE WHEN name = 'c_acctbal' THEN 'string' ELSE type END AS type FROM {})"
+
+
+def changed(t: schema.Table) -> schema.Table:
+    """A table whose declaration differs: a column of another name, one of another type, names in capitals."""
+    cols = [schema.Column("c_label" if c.name == "c_name" else c.name.upper(), "string" if c.name == "c_acctbal" else c.type) for c in t.columns]
+    return schema.Table(t.schema, t.name, tuple(cols))
+
+
+@query(
+    "schema_diff",
+    f"""SELECT coalesce(e.name, a.name) AS name, CASE WHEN a.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'extra' WHEN a.type = e.type THEN 'matched' ELSE 'different' END AS state
+        FROM {CHANGED.format(ACTUAL.format("customer"))} e FULL JOIN {ACTUAL.format("customer")} a ON lower(e.name) = a.name""",
+)
 def schema_diff(spark, d):
-    e = [schema.Column("a", "int"), schema.Column("b", "long"), schema.Column("c", "string")]
-    a = [schema.Column("A", "int"), schema.Column("b", "string"), schema.Column("d", "string")]
-    x = schema.compare(e, a, schema.Column.same)
+    with database(spark) as db:
+        have = declared(table(spark, d, "customer"), db, "customer")
+        schema.Store(spark, [have]).apply()
+        x = schema.determine(spark, [changed(have)]).deltas[0].columns
     rows = [(c.name, "missing") for c in x.missing] + [(c.name, "extra") for c in x.extra] + [(p[0].name, s) for s in ("different", "matched") for p in getattr(x, s)]
     return spark.createDataFrame(rows, "name string, state string")
 
 
+@query("schema_catalog", f"SELECT 'customer' AS tab, name, type FROM {ACTUAL.format('customer')} UNION ALL SELECT 'nation', name, type FROM {ACTUAL.format('nation')}")
+def schema_catalog(spark, d):
+    with database(spark) as db:
+        schema.Store(spark, [declared(table(spark, d, t), db, t) for t in ("nation", "customer")]).apply()
+        rows = [(t, c.name, c.type) for t in schema.objects(spark, db)["tables"] for c in schema.read_table(spark, db, t).columns]
+    return spark.createDataFrame(rows, "tab string, name string, type string")
+
+
+def after_changes(spark, d, back: bool) -> DataFrame:
+    """The rows of customer after a migration in place and by rebuild, and after its rollback."""
+    with database(spark) as db:
+        c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+        have = declared(c, db, "customer")
+        schema.Store(spark, [have]).apply()
+        c.where("c_custkey <= 300").write.insertInto(have.identifier)
+        new = schema.Table(db, "customer", (have.columns[0], schema.Column("c_label", "string"), schema.Column("c_acctbal", "string"), schema.Column("made", "int", default="7")), ("c_custkey",))
+        m = schema.determine(spark, [new])
+        m.run(spark)
+        schema.Store(spark, [new]).assert_matches()
+        if back:
+            m.roll_back(spark)
+            schema.Store(spark, [have]).assert_matches()
+        got = spark.table(have.identifier)
+        return spark.createDataFrame(got.collect(), got.schema)
+
+
+@query("schema_update", "SELECT c_custkey, c_name AS c_label, 7 AS made FROM customer WHERE c_custkey <= 300")
+def schema_update(spark, d):
+    return after_changes(spark, d, False).select("c_custkey", "c_label", "made")
+
+
+@query("schema_rollback", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey <= 300")
+def schema_rollback(spark, d):
+    return after_changes(spark, d, True)
+
+
+@query("schema_renames", f"SELECT name AS was, 'c_label' AS becomes FROM {ACTUAL.format('customer')} WHERE name = 'c_name'")
+def schema_renames(spark, d):
+    have = declared(table(spark, d, "customer"), "x", "customer")
+    return spark.createDataFrame(list(schema.renames(schema.diff(changed(have), have)).items()), "was string, becomes string")
+
+
+KINDS = "['INVALID', 'UPDATE', 'CREATE', 'NONE']"
+
+
+def states(rows: list) -> dict[int, list[schema.TableDelta]]:
+    """Deltas of tables, one for each nation, by region; a nation's key decides its kind."""
+    out: dict[int, list[schema.TableDelta]] = {}
+    for key, name, region in rows:
+        t = schema.Table("x", name, (schema.Column("a", "int"),))
+        wider = schema.Table("x", name, (*t.columns, schema.Column("b", "int")))
+        parted = schema.Table("x", name, t.columns, partitioned_by=("a",))
+        out.setdefault(region, []).append([schema.diff(parted, t), schema.diff(wider, t), schema.diff(t, None), schema.diff(t, t)][key % 4])
+    return out
+
+
+def nations(spark, d) -> list:
+    return [tuple(r) for r in table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+
+
+@query("schema_worst_difference", f"SELECT CAST(n_regionkey AS BIGINT) AS region, {KINDS}[min(n_nationkey % 4) + 1] AS worst FROM nation GROUP BY 1")
+def schema_worst_difference(spark, d):
+    return spark.createDataFrame([(r, schema.Migration(tuple(ds)).difference.name) for r, ds in states(nations(spark, d)).items()], "region long, worst string")
+
+
+@query(
+    "schema_gates",
+    """SELECT n_name AS name, g AS gate, (k = 3 OR g = 'ALL' OR (g = 'CREATE_ONLY' AND k = 2) OR (g = 'CREATE_OR_UPDATE' AND k IN (1, 2))) AS allowed
+       FROM (SELECT n_name, n_nationkey % 4 AS k FROM nation), (VALUES ('NONE'), ('CREATE_ONLY'), ('CREATE_OR_UPDATE'), ('ALL')) v(g)""",
+)
+def schema_gates(spark, d):
+    def allowed(x: schema.TableDelta, gate: schema.AutoCreate) -> bool:
+        try:
+            schema.Migration((x,)).check(gate)
+        except schema.NotAllowed:
+            return False
+        return True
+
+    every = [x for ds in states(nations(spark, d)).values() for x in ds]
+    return spark.createDataFrame([(x.expected.name, g.name, allowed(x, g)) for x in every for g in schema.AutoCreate], "name string, gate string, allowed boolean")
+
+
+def related(spark, d) -> list[schema.Table]:
+    """A table for each nation, which refers to that of its region."""
+    regions = sorted({r for *_, r in nations(spark, d)})
+    one = lambda name, keys=(): schema.Table("x", name, (schema.Column("id", "int"), schema.Column("up", "int")), foreign_keys=keys)
+    return [one(f"n{k}", (schema.ForeignKey(f"fk{k}", ("up",), f"r{r}", ("id",)),)) for k, _, r in nations(spark, d)] + [one(f"r{r}") for r in regions]
+
+
+ORDERED = "(SELECT 'r' || n_regionkey AS name, 0 AS level, n_regionkey AS k FROM nation GROUP BY n_regionkey UNION ALL SELECT 'n' || n_nationkey, 1, n_nationkey FROM nation)"
+
+
+@query("sort_topological", f"SELECT name, row_number() OVER (ORDER BY level, k) AS at FROM {ORDERED}")
+def sort_topological(spark, d):
+    return spark.createDataFrame([(t.name, i + 1) for i, t in enumerate(schema.Store(spark, related(spark, d)).order())], "name string, at long")
+
+
+@query("schema_script", f"SELECT row_number() OVER (ORDER BY level, k) AS at, 'CREATE TABLE IF NOT EXISTS `x`.`' || name || '` (`id` int, `up` int) USING parquet' AS statement FROM {ORDERED}")
+def schema_script(spark, d):
+    made = batch.statements(schema.Store(spark, related(spark, d)).script())
+    return spark.createDataFrame([(i + 1, x.split(" TBLPROPERTIES")[0]) for i, x in enumerate(made)], "at long, statement string")
+
+
+@query("schema_snapshot", "SELECT 'n' || n_nationkey AS name, 'r' || n_regionkey AS refers FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, NULL FROM nation")
+def schema_snapshot(spark, d):
+    back = schema.from_snapshot(schema.snapshot(related(spark, d)))
+    return spark.createDataFrame([(t.name, t.foreign_keys[0].table if t.foreign_keys else None) for t in back], "name string, refers string")
+
+
+@query("schema_snapshot_changes", "SELECT 'up' AS way, 'create' AS kind, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS n FROM nation UNION ALL SELECT 'up', 'drop', count(*) FILTER (WHERE n_nationkey % 2 = 1) FROM nation UNION ALL SELECT 'down', 'create', count(*) FILTER (WHERE n_nationkey % 2 = 0) FROM nation UNION ALL SELECT 'down', 'drop', count(*) FILTER (WHERE n_nationkey % 2 = 1) FROM nation")
+def schema_snapshot_changes(spark, d):
+    every = [schema.Table("x", name) for _, name, _ in nations(spark, d)]
+    up, down = schema.snapshot_changes(every[1::2], every[::2])
+    rows = [(way, a.kind) for way, actions in (("up", up), ("down", down)) for a in actions]
+    return spark.createDataFrame(rows, "way string, kind string").groupBy("way", "kind").agg(F.count("*").alias("n"))
+
+
+@query("schema_text_differs", "SELECT n_name AS name, n_nationkey % 2 = 1 AS differs FROM nation")
+def schema_text_differs(spark, d):
+    rows = nations(spark, d)
+    return spark.createDataFrame([(n, schema.text_differs(f"SELECT '{n}' AS x", f" select '{n.lower()}' as x ;" if k % 2 == 0 else f"select '{n}' as y")) for k, n, _ in rows], "name string, differs boolean")
+
+
+@query("schema_views", "SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def schema_views(spark, d):
+    """A view, a materialized one over it that is refreshed, and a synonym of that."""
+    with database(spark) as db:
+        for t in ("nation", "customer"):
+            table(spark, d, t).createOrReplaceTempView(f"corvane_{t}")
+        table(spark, d, "nation").write.saveAsTable(f"{db}.nation")
+        schema.create_view(spark, f"{db}.names", f"SELECT n_nationkey, n_name FROM {db}.nation")
+        schema.refresh_materialized(spark, db, "counts", f"SELECT *, 0L AS n FROM {db}.names")
+        schema.refresh_materialized(spark, db, "counts", f"SELECT n_nationkey, n_name, count(c_custkey) AS n FROM {db}.names LEFT JOIN corvane_customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+        schema.create_synonym(spark, f"{db}.also", f"{db}.counts")
+        got = spark.table(f"{db}.also")
+        return spark.createDataFrame(got.collect(), got.schema)
+
+
+@query("schema_user_types", "SELECT c_custkey, 'segment' AS type FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT c_custkey, 'positive' FROM customer WHERE c_acctbal <= 0")
+def schema_user_types(spark, d):
+    c = table(spark, d, "customer")
+    kinds = [(schema.UserType("segment", values=("BUILDING", "MACHINERY")), "c_mktsegment"), (schema.UserType("positive", base="double", check="VALUE > 0"), "c_acctbal")]
+    a, b = (k.violations(c, col).select("c_custkey", F.lit(k.name).alias("type")) for k, col in kinds)
+    return a.unionByName(b)
+
+
+@query("store_delete_and_reset", "SELECT 'filled' AS step, count(*) AS n FROM nation UNION ALL SELECT 'emptied', 0 UNION ALL SELECT 'reset', count(*) FROM region")
+def store_delete_and_reset(spark, d):
+    with database(spark) as db:
+        t = declared(table(spark, d, "nation").select("n_nationkey"), db, "keys")
+        store = schema.Store(spark, [t])
+        store.ensure("keys")
+        table(spark, d, "nation").select("n_nationkey").write.insertInto(t.identifier)
+        out = [("filled", spark.table(t.identifier).count())]
+        store.delete_all()
+        out.append(("emptied", spark.table(t.identifier).count()))
+        store.reset(lambda s: table(s, d, "region").select("r_regionkey").write.insertInto(t.identifier))
+        out.append(("reset", spark.table(t.identifier).count()))
+    return spark.createDataFrame(out, "step string, n long")
+
+
+@query("store_apply_once", "SELECT DISTINCT who, did FROM region, (VALUES ('first', 'CREATE'), ('second', 'NONE'), ('wider', 'UPDATE')) v(who, did)")
+def store_apply_once(spark, d):
+    with database(spark) as db:
+        t = declared(table(spark, d, "region"), db, "region")
+        wide = schema.Table(db, "region", (*t.columns, schema.Column("more", "int")))
+        folder = tempfile.mkdtemp(prefix="stores")
+        out = [(who, schema.Store(spark, [x], folder=folder).apply().name) for who, x in (("first", t), ("second", t), ("wider", wide))]
+    return spark.createDataFrame(out, "who string, did string")
+
+
+@query("database_admin", "SELECT 'corvane_' || lower(r_name) AS name, true AS made, false AS after_drop FROM region WHERE r_name NOT LIKE '% %'")
+def database_admin(spark, d):
+    dbs, out = admin.Databases(spark), []
+    for (r,) in table(spark, d, "region").select("r_name").where("r_name NOT LIKE '% %'").collect():
+        db = admin.Database(f"corvane_{r.lower()}", comment=f"it's {r}")
+        admin.Specification(db).ensure(dbs)
+        made = dbs.exists(db.name) and db.name in dbs.names()
+        dbs.drop(db.name)
+        out.append((db.name, made, dbs.exists(db.name)))
+    return spark.createDataFrame(out, "name string, made boolean, after_drop boolean")
+
+
+@query("names_of_tables", "SELECT n_name AS name, '`' || n_name || '`' AS delimited, substr(n_name, 1, 4) AS shortened, n_name AS back FROM nation")
+def names_of_tables(spark, d):
+    rows = [n for _, n, _ in nations(spark, d)]
+    return spark.createDataFrame([(n, names.delimited(n), names.shortened(n, 4), names.split_qualified(names.qualified("s.t", n))[1]) for n in rows], "name string, delimited string, shortened string, back string")
+
+
+@query("names_normalised", "SELECT DISTINCT strftime(o_orderdate + INTERVAL 22 HOUR, '%Y-%m-%d %H:%M:%S') AS bound FROM orders WHERE o_orderkey <= 400")
+def names_normalised(spark, d):
+    days = table(spark, d, "orders").where("o_orderkey <= 400").select(F.date_format("o_orderdate", "yyyy-MM-dd")).distinct().collect()
+    return spark.createDataFrame([(names.normalised(f"'{r[0]} 23:00:00+01:00'"),) for r in days], "bound string").distinct()
+
+
 @query("schema_fk_check", "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'MACHINERY')")
 def schema_fk_check(spark, d):
     key = schema.ForeignKey("fk", ("o_custkey",), "customer", ("c_custkey",))
