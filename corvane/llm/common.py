@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.lineage import cut, shared_folder
+
+__all__ = ["buckets", "cut", "documents", "fits_broadcast", "join_hot", "let", "shared_folder", "shuffle_partitions", "table", "tune", "unused"]
+
 #: Rows and bytes of an Arrow batch handed to Python. Texts vary from nothing to megabytes, so the
 #: byte bound is the one that keeps a worker small; the row bound covers short rows.
 BATCH_ROWS = 2_000
@@ -39,29 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only on one machine (tests) is a local one made where none is set; on a cluster that raises, for
-    executors would write where no other one reads.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared"))
-    return named or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
-    folder = shared_folder(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a frame of short rows is small enough to be sent to every task, by its count."""
     return df.limit(rows + 1).count() <= rows
