@@ -393,7 +393,7 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[lis
     slices = [F.substring("text", (F.floor((n - size) * k / (SLICES - 1)) + 1).cast("int"), F.lit(size)) for k in range(SLICES)]
     text = F.when(n > SAMPLE_CHARS, F.concat_ws(" ", *slices)).otherwise(F.coalesce("text", F.lit("")))
     # at most 2 * bound short ids, and as many rows
-    got = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text).alias("text")).select("doc_id", "text", "toxic").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text).alias("text")).select("doc_id", "text", "toxic").collect()
     got.sort()
     return [r[1] for r in got], np.array([r[2] == 1 for r in got], bool)
 

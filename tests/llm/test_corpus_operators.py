@@ -700,7 +700,7 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
     rows = [*corpus(), (None, "x y z"), (3, "one"), (3, "one"), (700, "token = " + "a1" * 20)]
-    extra = ["score", "gone", "_gone", "_key", "n_removed", "at", "site", "h1", "fp", "keys", "u", "_other", "_tokens", "_n", "owner", "base", "asks", "codes", "bucket", "root", "line", "toxic", "minimums", "ids"]
+    extra = ["score", "gone", "_gone", "_key", "n_removed", "at", "site", "h1", "fp", "keys", "u", "_other", "_tokens", "_n", "owner", "base", "asks", "codes", "bucket", "root", "line", "toxic", "minimums", "ids", "version", "_version", "mark", "mixed", "spans"]
     docs = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in extra})
     spark.createDataFrame([(i, i % 2) for i in range(0, 90)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -715,7 +715,7 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
 
 
 def test_operators_ignore_other_columns(spark):
-    clash = {c: F.lit(1) for c in ("asks", "codes", "bucket", "q", "sub", "next", "rn", "fp", "ids", "kept", "base", "owner", "s", "hash", "shard", "component_id", "n_tokens", "h2", "line")}
+    clash = {c: F.lit(1) for c in ("asks", "codes", "bucket", "q", "sub", "next", "rn", "fp", "ids", "kept", "base", "owner", "s", "hash", "shard", "component_id", "n_tokens", "h2", "line", "version", "mark", "mixed", "spans", "toxic")}
     docs, wide = frame(spark, corpus()), frame(spark, corpus()).withColumns(clash)
     for f in (
         lambda d: suffix.dedup(d),
