@@ -12,7 +12,11 @@ the pick a routing key: all that can match lands in one bucket, and no bucket ne
 3. *Compare*: the representatives' bytes are fetched and the suffixes of a bucket sorted by
    two-stage sorting: suffixes smaller than their successors are sorted directly, the others
    induced by a scan over the buckets of first bytes. Adjacent common prefixes of at least ``SPAN``
-   bytes join equal windows; all but the earliest are removed.
+   bytes join equal windows; all but the earliest are removed. Strings are sorted by their picks, so
+   many that fit together are taken at a time, however large the bucket.
+4. *Hot picks*: a pick with over ``MOST_STRINGS`` different strings (the variants of a passage that
+   very many documents hold) meets in no task. Its strings are cut into windows, and each window is
+   routed by its own hash, after what is equal in a task has become one.
 
 Defined results: a null text is empty; texts are UTF-8 bytes; rows with a null doc_id take no part
 and give no row; rows of one doc_id and text are the same document seen again (an occurrence at its own
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,6 +46,8 @@ BLOCK = 500_000
 LONGEST = 1 << 24
 #: Bytes of input whose stretches a bucket is meant to gather.
 BUCKET_BYTES = 48 << 20
+#: Bytes of strings that are sorted at once, and different strings of a pick that are compared in one task.
+AT_ONCE, MOST_STRINGS = 4 << 20, 1000
 RECORD = np.dtype([("pick", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("n", "i1")])
 
 
@@ -235,24 +242,43 @@ def repeats_of_first(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rec, (rec["doc"] != rec["doc"][head]) | (rec["mark"] != rec["mark"][head]) | (rec["at"] != rec["at"][head])
 
 
+def dealt(rec: np.ndarray, buckets: int) -> tuple[list[int], list[bool], list[bytes]]:
+    """Bucket, sureness and packed records: one representative leaves by its pick; repeats leave by document, as they only need to reach it."""
+    rec, repeat = repeats_of_first(rec)
+    new = np.ones(len(rec), bool)
+    new[1:] = (rec["pick"][1:] != rec["pick"][:-1]) | (rec["digest"][1:] != rec["digest"][:-1])
+    keys, sure, blobs = [], [], []
+    for flag, mine in ((False, rec[new & ~repeat]), (True, in_runs(rec[repeat]))):
+        to = (mine["doc"].astype(np.uint64) if flag else mine["pick"] >> np.uint64(20)) % np.uint64(buckets)
+        by = np.argsort(to, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
+            keys.append(int(to[part[0]]))
+            sure.append(flag)
+            blobs.append(_packed(mine[part]))
+    return keys, sure, blobs
+
+
+def in_runs(rec: np.ndarray) -> np.ndarray:
+    """Records of single windows, those in a row as one of up to 64; others as they are."""
+    single, rest = rec[rec["n"] == 1], rec[rec["n"] != 1]
+    if not len(single):
+        return rest
+    single = single[np.lexsort((single["at"], single["mark"], single["doc"]))]
+    new = np.ones(len(single), bool)
+    new[1:] = (single["doc"][1:] != single["doc"][:-1]) | (single["mark"][1:] != single["mark"][:-1]) | (single["at"][1:] != single["at"][:-1] + 1)
+    at = np.arange(len(single))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % 64 == 0
+    first = np.flatnonzero(new)
+    out = single[first]
+    out["n"] = np.diff(np.append(first, len(single)))
+    return np.concatenate([rest, out])
+
+
 def cut_texts(buckets: int):
     """Arrow batches of (doc_id, text, mark) to packed stretches by bucket."""
 
     def flush(recs: list[np.ndarray]) -> pa.RecordBatch:
-        rec, repeat = repeats_of_first(np.concatenate(recs))
-        new = np.ones(len(rec), bool)
-        new[1:] = (rec["pick"][1:] != rec["pick"][:-1]) | (rec["digest"][1:] != rec["digest"][:-1])
-        # one representative leaves by its pick; repeats leave by document, as they only need to reach it
-        rec, repeat = rec[new | repeat], repeat[new | repeat]
-        to = np.where(repeat, rec["doc"].astype(np.uint64) % np.uint64(buckets), (rec["pick"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        keys, sure, blobs = [], [], []
-        for flag in (False, True):
-            mine = np.flatnonzero(repeat == flag)
-            by = mine[np.argsort(to[mine], kind="stable")]
-            for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
-                keys.append(int(to[part[0]]))
-                sure.append(flag)
-                blobs.append(_packed(rec[part]))
+        keys, sure, blobs = dealt(np.concatenate(recs), buckets)
         return pa.record_batch({"bucket": pa.array(keys, pa.int64()), "sure": pa.array(sure, pa.bool_()), "blob": pa.array(blobs, pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,55 +339,95 @@ def gathered(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(recs) if recs else np.empty(0, RECORD)
 
 
-def meet(t: pa.Table) -> pa.Table:
-    """Per bucket: repeats as (doc_id, mark, code, null route), strings to compare with the pick as route."""
+def meet(t: pa.Table, most_strings: int = MOST_STRINGS) -> pa.Table:
+    """Per bucket: repeats as (doc_id, mark, code, null route), strings to compare with the pick as route, ``hot`` where it has many."""
     sure = t.column("sure").to_numpy()
     blobs = t.column("blob").to_pylist()
     found = []
     for flag in (True, False):
         rec = gathered([b for b, s in zip(blobs, sure, strict=True) if s == flag])
         if flag:
-            gone, ask = rec, rec[:0]
+            gone, ask, hot = rec, rec[:0], np.empty(0, bool)
         else:
             del blobs
             rec, repeat = repeats_of_first(rec)
-            gone, reps = rec[repeat], rec[~repeat]
+            gone, reps = in_runs(rec[repeat]), rec[~repeat]
             new = np.ones(len(reps), bool)
             new[1:] = (reps["pick"][1:] != reps["pick"][:-1]) | (reps["digest"][1:] != reps["digest"][:-1])
             reps = reps[new]
             head = np.concatenate([[True], reps["pick"][1:] != reps["pick"][:-1]]) if len(reps) else np.empty(0, bool)
             which = np.cumsum(head) - 1
-            ask = reps[np.bincount(which)[which] > 1] if len(reps) else reps
-        found += [(part["doc"], part["mark"], part["at"].astype(np.int64) * 1024 + part["n"], pa.array(part["pick"].view(np.int64), mask=np.full(len(part), not route))) for part, route in ((gone, False), (ask, True))]
-    doc, mark, code, route = zip(*found, strict=True)
-    return pa.table({"doc_id": np.concatenate(doc), "mark": np.concatenate(mark), "code": np.concatenate(code), "route": pa.concat_arrays(route)})
+            strings = np.bincount(which)[which] if len(reps) else which
+            ask, hot = reps[strings > 1], strings[strings > 1] > most_strings
+        for part, route, many in ((gone, False, np.zeros(len(gone), bool)), (ask, True, hot)):
+            found.append((part["doc"], part["mark"], part["at"].astype(np.int64) * 1024 + part["n"], pa.array(np.ascontiguousarray(part["pick"]).view(np.int64), mask=np.full(len(part), not route)), many))
+    doc, mark, code, route, many = zip(*found, strict=True)
+    return pa.table({"doc_id": np.concatenate(doc), "mark": np.concatenate(mark), "code": np.concatenate(code), "route": pa.concat_arrays(route), "hot": np.concatenate(many)})
+
+
+def windows(raw: bytes, doc: int, mark: int, at: int) -> np.ndarray:
+    """A record for each window of a string."""
+    view = memoryview(raw)
+    rec = np.empty(len(raw) - SPAN + 1, RECORD)
+    for i in range(len(rec)):
+        rec["pick"][i], rec["digest"][i] = xxhash.xxh3_64_intdigest(view[i : i + SPAN], 1), xxhash.xxh3_64_intdigest(view[i : i + SPAN])
+    rec["doc"], rec["mark"], rec["at"], rec["n"] = doc, mark, np.arange(at, at + len(rec)), 1
+    return rec
 
 
-def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the stretches to compare."""
-    for batch in batches:
-        doc, mark, at, route, part = [], [], [], [], []
-        for i, text, m, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if not asks.is_valid:
-                continue
-            raw = text.as_buffer()
-            for x in asks.as_py():
-                a, n = divmod(x["code"], 1024)
-                doc.append(i)
-                mark.append(m)
-                at.append(a)
-                route.append(x["route"])
-                part.append(raw[a : a + n + SPAN - 1].to_pybytes())
-        yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "mark": pa.array(mark, pa.int64()), "at": pa.array(at, pa.int64()), "route": pa.array(route, pa.int64()), "part": pa.array(part, pa.binary())})
-
-
-def compare(t: pa.Table) -> pa.Table:
-    """Two-stage suffix sorting over the strings of a bucket."""
-    doc, mark, at = (t.column(c).to_numpy() for c in ("doc_id", "mark", "at"))
-    parts = [x.as_buffer().to_pybytes() for x in t.column("part")]
-    gone = repeated_windows(parts, doc, mark, at)
-    which = np.array([p for p, _, _ in gone], np.int64)
-    return pa.table({"doc_id": doc[which], "mark": mark[which], "code": pa.array([(int(at[p]) + f) * 1024 + n for p, f, n in gone], pa.int64())})
+def fetch(buckets: int):
+    """The bytes of the stretches to compare, with their pick as ``route``; of hot picks packed windows, ``sure`` set, with a bucket as ``route``."""
+
+    def strings(rows: list[tuple]) -> pa.RecordBatch:
+        doc, mark, at, route, part = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "mark": pa.array(mark, pa.int64()), "at": pa.array(at, pa.int64()), "route": pa.array(route, pa.int64()), "sure": pa.nulls(len(doc), pa.bool_()), "part": pa.array(part, pa.binary())})
+
+    def packed(recs: list[np.ndarray]) -> pa.RecordBatch:
+        keys, sure, blobs = dealt(np.concatenate(recs), buckets)
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.record_batch({"doc_id": none, "mark": none, "at": none, "route": pa.array(keys, pa.int64()), "sure": pa.array(sure, pa.bool_()), "part": pa.array(blobs, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n_held = 0
+        for batch in batches:
+            rows = []
+            for i, text, m, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                raw = text.as_buffer()
+                for x in asks.as_py():
+                    a, n = divmod(x["code"], 1024)
+                    part = raw[a : a + n + SPAN - 1].to_pybytes()
+                    if x["hot"]:
+                        held.append(windows(part, i, m, a))
+                        n_held += n
+                    else:
+                        rows.append((i, m, a, x["route"], part))
+            yield strings(rows)
+            if n_held >= BLOCK:
+                yield packed(held)
+                held, n_held = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def compare(t: pa.Table, at_once: int = AT_ONCE) -> pa.Table:
+    """Two-stage suffix sorting over the strings of a bucket, those of some picks at a time; windows of hot picks meet."""
+    if t.column("sure").null_count < len(t):
+        met = meet(t.select(["sure", "part"]).rename_columns(["sure", "blob"]))
+        return met.filter(pc.is_null(met.column("route"))).select(["doc_id", "mark", "code"])
+    doc, mark, at, route = (t.column(c).to_numpy() for c in ("doc_id", "mark", "at", "route"))
+    by = np.argsort(route, kind="stable")
+    size = np.cumsum(pc.binary_length(t.column("part")).to_numpy()[by])
+    head = np.flatnonzero(np.diff(route[by], prepend=route[by[0]] - 1)) if len(by) else by
+    which = size[head] // at_once
+    found: list[tuple] = []
+    for x in np.split(by, head[1:][which[1:] != which[:-1]]):
+        parts = t.column("part").take(pa.array(x)).to_pylist()
+        found += [(doc[x[p]], mark[x[p]], (int(at[x[p]]) + f) * 1024 + n) for p, f, n in repeated_windows(parts, doc[x], mark[x], at[x])]
+    out = np.array(found, np.int64).reshape(-1, 3)
+    return pa.table({"doc_id": out[:, 0], "mark": out[:, 1], "code": out[:, 2]})
 
 
 def _runs(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -399,21 +465,21 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.join(mixed, "doc_id", "left").select("doc_id", "text", F.when(F.col("mixed"), version).otherwise(0).cast("long").alias("mark"))
 
 
-def dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, buckets: int | None = None, most_strings: int = MOST_STRINGS, at_once: int = AT_ONCE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
     common.tune(spark)
     buckets = buckets or common.buckets(docs, BUCKET_BYTES)
     docs = marked(common.documents(docs).where(F.col("doc_id").isNotNull()))
     packed = docs.mapInArrow(cut_texts(buckets), "bucket long, sure boolean, blob binary")
-    met = common.cut(packed.groupBy("bucket").applyInArrow(meet, "doc_id long, mark long, code long, route long"))
+    met = common.cut(packed.groupBy("bucket").applyInArrow(lambda t: meet(t, most_strings), "doc_id long, mark long, code long, route long, hot boolean"))
 
     row = ["doc_id", "mark"]
-    ask = met.where(F.col("route").isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("code", "route")).alias("asks"))
+    ask = met.where(F.col("route").isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("code", "route", "hot")).alias("asks"))
     parts = docs.join(ask, row, "left").where(F.col("asks").isNotNull()).select("doc_id", "text", "mark", "asks")
-    parts = parts.mapInArrow(fetch, "doc_id long, mark long, at long, route long, part binary")
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(buckets)))
-    compared = parts.groupBy("bucket").applyInArrow(compare, "doc_id long, mark long, code long")
+    parts = parts.mapInArrow(fetch(buckets), "doc_id long, mark long, at long, route long, sure boolean, part binary")
+    parts = parts.withColumn("bucket", F.when(F.col("sure").isNull(), F.pmod(F.xxhash64("route"), F.lit(buckets))).otherwise(F.col("route") + buckets))
+    compared = parts.groupBy("bucket").applyInArrow(lambda t: compare(t, at_once), "doc_id long, mark long, code long")
 
     gone = met.where(F.col("route").isNull()).select(*row, "code").unionByName(compared)
     gone = gone.groupBy(*row).agg(F.collect_list("code").alias("codes"))

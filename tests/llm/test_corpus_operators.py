@@ -134,6 +134,22 @@ def test_suffix_dedup(spark, seed, monkeypatch):
     assert suffix.dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [500, 1 << 20])
+def test_suffix_dedup_of_a_pick_with_many_strings(spark, monkeypatch, block):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefghij ") for _ in range(400))
+    rows = []
+    for i in range(120):
+        x = list(passage)
+        for p in r.sample(range(400), r.randrange(4)):
+            x[p] = r.choice("ABCDEFGH")
+        rows.append((i, f"{r.random()} {''.join(x)} {r.random()}"))
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    out = suffix.dedup(frame(spark, [*rows, rows[7]]).repartition(5), most_strings=5, at_once=1000)
+    got_ = sorted({(r[0], r[1], r[2], r[3], bytes(r[4])) for r in out.collect()})
+    assert got_ == removed(rows) and sum(r[2] for r in got_) > 20_000
+
+
 def test_suffix_of_texts_that_share_an_id(spark):
     r = random.Random(4)
     a, b = ("".join(r.choice("abcdefghij") for _ in range(150)) for _ in "ab")
