@@ -36,20 +36,28 @@ TIERS = (2048, 1024, 512, 256, 128, 64)
 #: Tokens of a block; a longest window's gap shorter than this stays padding rather than take a sliver of a document.
 BLOCK_TOKENS = 4_000_000
 SLIVER = 8
+#: Fixed value: the text of the vocabulary's special token.
+SPECIAL = "<|endoftext|>"
 #: Tokens of a step group.
 STEP_TOKENS = 64 * 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-@lru_cache(2)
-def encoder(path: str) -> tiktoken.Encoding:
+@lru_cache(4)
+def encoder(path: str, pattern: str = bpe.PATTERN) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
-def token_ids(enc: tiktoken.Encoding, text: str, end: int) -> np.ndarray:
-    ids = enc.encode_to_numpy(text, allowed_special="all")
+def token_ids(path: str, text: str, end: int) -> np.ndarray:
+    try:
+        ids = encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # white space of about a million characters in a row is too much for the library's expressions
+        parts = text.split(SPECIAL)
+        pieces = [p for i, part in enumerate(parts) for p in ([SPECIAL] if i else []) + bpe.split(part)]
+        whole = encoder(path, "(?s:.+)")
+        ids = np.concatenate([whole.encode_to_numpy(p, allowed_special="all") for p in pieces])
     return np.append(ids, end).astype("<u4")
 
 
@@ -136,7 +144,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIER
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base = encoder(path), TaskContext.get().partitionId() << 33
+        base = TaskContext.get().partitionId() << 33
         ids: list = []
         sizes: list[int] = []
         rests: list[np.ndarray] = []  # ids after the whole windows
@@ -160,7 +168,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIER
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = token_ids(enc, text.as_py() or "", end)
+                tokens = token_ids(path, text.as_py() or "", end)
                 n_whole = len(tokens) // tiers[0]
                 ids.append(i)
                 sizes.append(len(tokens))

@@ -246,7 +246,7 @@ def test_bpe(spark):
     for t in texts:
         ids = tok.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ours.encode(t), "<u4").tolist() == ids
-        assert packing.token_ids(packing.encoder(BPE_RANKS), t, 1).tolist() == [*ids, 1]
+        assert packing.token_ids(BPE_RANKS, t, 1).tolist() == [*ids, 1]
         assert ours.decode(ours.encode(t)) == tok.decode(ids, skip_special_tokens=False) == t
     assert ours.decode(np.array([ours.single[0xFF]], "<u4").tobytes()) == "\ufffd"
     rows = corpus()
@@ -328,6 +328,13 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(frame(spark, []), BPE_RANKS).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t "])
+def test_packing_of_very_long_white_space(run):
+    tok = Tokenizer.from_file(BPE_JSON)
+    t = f"it's{run * 1_000_000}<|endoftext|> of{run * 3}é 12<|endoftext|>"
+    assert np.array_equal(packing.token_ids(BPE_RANKS, t, 1), [*tok.encode(t, add_special_tokens=False).ids, 1])
+
+
 @pytest.mark.parametrize("parts", [1, 50, 200])
 def test_packing_pads_little_however_the_input_is_cut(spark, parts):
     r = random.Random(1)
