@@ -45,11 +45,12 @@ QUANTILES, BUCKET_ROWS = 200, 512
 
 def pieces(paragraph: Column) -> Column:
     """A paragraph's pieces, as digits."""
-    even = lambda x: F.flatten(F.transform(x, lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
-    parts = let(F.split(paragraph, PIECE_END, -1), lambda x: F.when(F.exists(x, lambda p: F.length(p) > PIECE), even(x)).otherwise(x))
+    # Spark keeps this expression compiled from row to row, which it doesn't for split
+    one = rf"(?s).{{1,{PIECE}}}?(?:{PIECE_END}|\z)|.{{{PIECE}}}"
+    parts = F.when(paragraph == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(paragraph, F.lit(one), F.lit(0)))
     bits = ((1 << 48) - 1) & ~(PIECE - 1)
     code = lambda p: F.lpad(F.hex(F.xxhash64(p).bitwiseAND(F.lit(bits)).bitwiseOR((F.length(p) - 1).cast("long"))), 12, "0")
-    return F.array_join(F.transform(F.filter(parts, lambda p: p != ""), code), "-")
+    return F.array_join(F.transform(parts, code), "-")
 
 
 def fingerprint(text: Column) -> Column:
