@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, lines, merkle, packing, secrets, simhash, suffix, topk, toxicity, urls
+from corvane.llm import bpe, lines, merkle, packing, runs, secrets, simhash, suffix, topk, toxicity, urls
 from corvane.llm.common import documents, table
 
 K, QUERY_MODULUS = 5, 50
@@ -57,8 +57,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op2_suffix_dedup, op3_merkle_fingerprints, op4_bpe, op5_secret_scan, op6_packing, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filter)
+    f.__name__: f for f in (op1_exact_topk, op2_suffix_dedup, op3_merkle_fingerprints, op4_bpe, op5_secret_scan, op6_packing, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filter, op11_periodic_runs)
 }
 
 ORACLE_SQL = {
