@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, lines, merkle, packing, runs, secrets, simhash, suffix, topk, toxicity, urls
+from corvane.llm import bpe, exact, lines, merkle, packing, runs, secrets, simhash, suffix, topk, toxicity, trie, urls
 from corvane.llm.common import documents, table
 
 K, QUERY_MODULUS = 5, 50
@@ -61,8 +61,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = trie.sequences(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return trie.trie(trie.grafted(seqs, c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4, 3))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op2_suffix_dedup, op3_merkle_fingerprints, op4_bpe, op5_secret_scan, op6_packing, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filter, op11_periodic_runs)
+    f.__name__: f for f in (op1_exact_topk, op2_suffix_dedup, op3_merkle_fingerprints, op4_bpe, op5_secret_scan, op6_packing, op7_simhash, op8_toxicity, op9_line_dedup, op10_url_filter, op11_periodic_runs, op12_conversation_trie, op13_exact_dedup)
 }
 
 ORACLE_SQL = {
@@ -82,4 +92,27 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op12_conversation_trie": r"""
+        WITH own AS (SELECT conv_id, list(struct_pack(id := id, w := w) ORDER BY turn NULLS FIRST, id) AS t
+                     FROM (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id,
+                                  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
+                           FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+             h AS (SELECT conv_id, conv_id - conv_id % 20 AS base, t,
+                          xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                              lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1)))) % 4 AS h FROM own),
+             r AS (SELECT h.conv_id AS c, list_concat(coalesce(o.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN own o ON o.conv_id = h.base),
+             p AS (SELECT c, d, len(t) AS n, array_to_string(list_transform(t[1:d], lambda x: x.id), '') AS node, CASE WHEN d > 0 THEN array_to_string(list_transform(t[1:d - 1], lambda x: x.id), '') END AS up,
+                          CASE WHEN d > 0 THEN t[d].w ELSE 0 END AS w
+                   FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM r)),
+             g AS (SELECT node, any_value(up) AS up, any_value(d) AS d, min(c) AS c, count(*) AS n, any_value(w) AS w,
+                          sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM p GROUP BY node),
+             k AS (SELECT up, count(*) AS n FROM g WHERE up IS NOT NULL GROUP BY up),
+             a AS (SELECT g.*, coalesce(k.n, 0) AS kids FROM g LEFT JOIN k ON k.up = g.node),
+             s AS (SELECT substr(node, 1, 32 * e) AS node, sum((n - 1) * w) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM a) GROUP BY 1)
+        SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, b.c AS parent_conv_id, a.n AS n_convs, CAST(a.kids AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+        FROM a JOIN s USING (node) LEFT JOIN a b ON b.node = a.up""",
+    "op13_exact_dedup": r"""
+        WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+             g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS n FROM x GROUP BY t)
+        SELECT doc_id, keep_id, n AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM x JOIN g USING (t)""",
 }
