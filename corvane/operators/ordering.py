@@ -16,16 +16,21 @@ def dense_index(df: DataFrame, by: str, *then: str, name: str = "index") -> Data
     by the rows of the tasks before it. Only a count per task reaches the driver.
     """
     order = [F.col(by).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in then)]
+    return numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+
+def numbered(df: DataFrame, name: str = "index") -> DataFrame:
+    """Adds each row's position (from 0) in a frame that is sorted over its tasks."""
     # the number of a row within its task stands in the low 33 bits, the task's in those above
-    x = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    x = cut(df.withColumn("_at", F.monotonically_increasing_id()))
     task = F.shiftright("_at", 33)
     base, start = [], 0
     for r in sorted(x.groupBy(task.alias("t")).count().collect()):
         base.append((r["t"], start))
         start += r["count"]
     shift = F.broadcast(df.sparkSession.createDataFrame(base, "_task long, _base long"))
-    numbered = x.withColumn("_task", task).join(shift, "_task")
-    return numbered.select(*df.columns, (F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    placed = x.withColumn("_task", task).join(shift, "_task")
+    return placed.select(*df.columns, (F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def ordered(df: DataFrame, *keys: tuple[str, bool, bool | None]) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from corvane.plans import catalog
+from corvane.plans import catalog, stored  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
