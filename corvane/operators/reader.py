@@ -18,7 +18,8 @@ class Reader:
 
     ``tenant`` and ``hide_deleted`` are filters that every read has. ``tracking``: ``query`` reads
     data alone, ``light`` the version too, ``identity`` keeps the first row of each id (by ``order``),
-    ``dirty`` also keeps the JSON as read.
+    ``dirty`` also keeps the JSON as read. ``index``: summaries of the table's files (``sources/indexes.py``);
+    with them, every read opens only the files that may hold its rows.
     """
 
     frame: DataFrame
@@ -27,6 +28,15 @@ class Reader:
     tracking: str = "light"
     order: tuple[str, ...] = ()
     subtypes: dict[str, T.StructType] = field(default_factory=dict)
+    index: Any = None
+
+    @classmethod
+    def over(cls, index: Any, **settings: Any) -> Reader:
+        """Over the files that ``index`` summarises."""
+        return cls(index.rows(P.FALSE), index=index, **settings)
+
+    def _rows(self, where: P.Predicate) -> DataFrame:
+        return P.apply(self.frame, where) if self.index is None else self.index.rows(where)
 
     def default_filter(self) -> P.Predicate:
         parts = []
@@ -37,7 +47,7 @@ class Reader:
         return P.And(*parts)
 
     def query(self, where: P.Predicate | None = None) -> DataFrame:
-        x = P.apply(self.frame, P.combine_and(self.default_filter(), *([where] if where is not None else [])))
+        x = self._rows(P.combine_and(self.default_filter(), *([where] if where is not None else [])))
         if self.tracking in ("identity", "dirty"):
             if not self.order:
                 raise ValueError("the first row of an id needs an order")
@@ -57,7 +67,7 @@ class Reader:
 
     def of_type(self, alias: str) -> DataFrame:
         """One subtype of a hierarchy, its data parsed by that type's schema."""
-        x = self.query(P.compare("doc_type", "=", alias)) if self.tracking != "query" else P.apply(self.frame, P.combine_and(self.default_filter(), P.compare("doc_type", "=", alias)))
+        x = self.query(P.compare("doc_type", "=", alias)) if self.tracking != "query" else self._rows(P.combine_and(self.default_filter(), P.compare("doc_type", "=", alias)))
         return x.withColumn("data", F.from_json("data", self.subtypes[alias]))
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import cascade
+from corvane.operators import predicate as P
+from corvane.operators.lineage import shared_folder
+from corvane.operators.reader import Reader
 from corvane.plans.catalog import query, table
-from corvane.sources.schema import ForeignKey
+from corvane.sources import indexes
+from corvane.sources.schema import ForeignKey, Index
 
 # Foreign keys ---------------------------------------------------------------------------------
 
@@ -102,3 +109,55 @@ def fk_cascade_update(spark, d):
     es = entities(spark, d, {})
     new = es["orders"].rows.where("o_orderstatus = 'P'").select("o_orderkey", (F.col("o_orderkey") + 100_000_000).alias("new_o_orderkey"))
     return cascade.update(es, {"orders": new}).result()["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+# Indexes --------------------------------------------------------------------------------------
+
+
+def place(spark: SparkSession, kind: str) -> str:
+    """A new folder that all executors see."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def ordered_orders(spark: SparkSession, d: str) -> indexes.Summaries:
+    """The orders as documents, in ranges of their key."""
+    folder = place(spark, "orders")
+    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_json(F.struct("o_custkey", "o_orderstatus")).alias("data"))
+    indexes.write_ordered(x, folder, Index("pk", ("id",), unique=True), file_rows=2_000)
+    return indexes.Summaries(spark, folder, ("id",)).create()
+
+
+ORDER_JSON = """'{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS data"""
+
+
+@query("index_load", f"SELECT o_orderkey AS id, {ORDER_JSON} FROM orders WHERE o_orderkey = 1234")
+def index_load(spark, d):
+    return Reader.over(ordered_orders(spark, d)).load(1234)
+
+
+@query("index_load_many", f"SELECT o_orderkey AS id, {ORDER_JSON} FROM orders WHERE o_orderkey IN (7, 8, 1400, 14999, 99999999)")
+def index_load_many(spark, d):
+    return Reader.over(ordered_orders(spark, d)).load_many([7, 8, 1400, 14999, 99999999])
+
+
+@query("index_unique_partial", "SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2 HAVING count(*) > 1")
+def index_unique_partial(spark, d):
+    """Keys that a unique index over a part of the lines refuses."""
+    return indexes.repeated(table(spark, d, "lineitem"), Index("u", ("l_orderkey", "l_linenumber"), unique=True, predicate="l_returnflag = 'R'"))
+
+
+@query(
+    "index_block_ranges",
+    "SELECT event_id, ts, value FROM events WHERE (ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-04 12:00:00' AND value > 10) OR event_id IN (3, 4)",
+)
+def index_block_ranges(spark, d):
+    """Events of a time, from a table in the order of its arrival whose files are summarised; half of them arrived later."""
+    folder = place(spark, "events")
+    x = table(spark, d, "events").select("event_id", "ts", "value")
+    kept = indexes.Summaries(spark, folder, ("event_id", "ts"))
+    x.where("event_id % 2 = 0").repartitionByRange(8, "event_id").write.parquet(folder)
+    kept.create()
+    x.where("event_id % 2 = 1").repartitionByRange(8, "event_id").write.mode("append").parquet(folder)
+    kept.refresh()
+    some = P.And(P.compare("ts", ">=", dt.datetime(2024, 1, 3)), P.compare("ts", "<", dt.datetime(2024, 1, 4, 12)), P.compare("value", ">", 10.0))
+    return kept.rows(P.Or(some, P.in_array("event_id", [3, 4])))
