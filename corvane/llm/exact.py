@@ -90,6 +90,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("normal")).withColumn("key", F.xxhash64("normal"))
 
 
+def prints(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, sha`` of every document, written once: texts are read for it, and not again for counts and look-ups."""
+    return common.cut(keyed(docs).select("doc_id", "key", F.sha2("normal", 256).alias("sha")))
+
+
 def grouped(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
     """``key, normal, keep_id, copies``: one row for each different text, by its bytes."""
     spark = rows.sparkSession
@@ -103,12 +108,12 @@ def grouped(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
     return cold.unionByName(rows.join(hot, "key", "left_semi").groupBy("key", "normal").agg(*agg))
 
 
-def build(docs: DataFrame, folder: str | None = None, capacity: int = CAPACITY) -> Index:
-    """The index of all documents, written to ``folder`` (a new one in the shared folder, if not given)."""
+def build(docs: DataFrame, folder: str | None = None, capacity: int = CAPACITY, printed: DataFrame | None = None) -> Index:
+    """The index of all documents, written to ``folder`` (a new one in the shared folder, if not given). ``printed``: their ``prints``, where they are known."""
     spark = docs.sparkSession
     folder = folder or f"{common.shared_folder(spark)}/exact-{uuid.uuid4().hex}"
     rows = keyed(docs)
-    keys = common.cut(rows.groupBy("key").agg(F.count("*").alias("n")))
+    keys = common.cut((rows if printed is None else printed).groupBy("key").agg(F.count("*").alias("n")))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slots, bits = directory(keys, capacity)
     slots.write.parquet(f"{folder}/directory")
@@ -126,10 +131,10 @@ def build(docs: DataFrame, folder: str | None = None, capacity: int = CAPACITY)
     return Index(folder)
 
 
-def look_up(docs: DataFrame, index: Index) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` of every document of the index."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normal(F.col("text")), 256).alias("sha"))
-    entries = index.entries(docs.sparkSession).select("sha", "keep_id", "copies", F.col("copies").alias("rows"))
+def look_up(printed: DataFrame, index: Index) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` of every document of the index, from their ``prints``."""
+    rows = printed.select("doc_id", "sha")
+    entries = index.entries(printed.sparkSession).select("sha", "keep_id", "copies", F.col("copies").alias("rows"))
     total = entries.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     found = common.join_hot(rows, entries, "sha", "rows", total)
     return found.select("doc_id", "keep_id", F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -137,7 +142,8 @@ def look_up(docs: DataFrame, index: Index) -> DataFrame:
 
 def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Index and look-up of the same documents."""
-    return look_up(docs, build(docs, capacity=capacity))
+    printed = prints(docs)
+    return look_up(printed, build(docs, capacity=capacity, printed=printed))
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
