@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import fulltext, stemmer
 from corvane.operators import cascade
 from corvane.operators import predicate as P
 from corvane.operators.lineage import shared_folder
@@ -161,3 +162,37 @@ def index_block_ranges(spark, d):
     kept.refresh()
     some = P.And(P.compare("ts", ">=", dt.datetime(2024, 1, 3)), P.compare("ts", "<", dt.datetime(2024, 1, 4, 12)), P.compare("value", ">", 10.0))
     return kept.rows(P.Or(some, P.in_array("event_id", [3, 4])))
+
+
+# Full text ------------------------------------------------------------------------------------
+
+
+def text_sql(where: str, terms: str) -> str:
+    """SQL over ``p`` (a stem's places, scanned from all texts) for a condition on a document; ``terms`` count as hits."""
+    stops = ", ".join(f"'{w}'" for w in fulltext.STOPS)
+    words = f"(SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS word FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '{fulltext.SPLIT}') AS x FROM documents))"
+    return f"""WITH w AS (SELECT * FROM {words} WHERE word <> '' AND word NOT IN ({stops})), s AS ({stemmer.stems_sql('w')}), p AS (SELECT doc_id, pos, stem FROM w JOIN s USING (word))
+        SELECT doc_id AS id, count(*) AS hits FROM p d WHERE stem IN ({terms}) AND {where} GROUP BY doc_id"""
+
+
+def has(term: str) -> str:
+    return f"EXISTS (SELECT 1 FROM p x WHERE x.doc_id = d.doc_id AND x.stem = '{term}')"
+
+
+def indexed(spark: SparkSession, d: str) -> fulltext.FullText:
+    return fulltext.FullText.build(table(spark, d, "documents"), "doc_id", "text", place(spark, "text"))
+
+
+@query("text_every_word", text_sql(f"{has('erer')} AND {has('onat')}", "'erer', 'onat'"))
+def text_every_word(spark, d):
+    return indexed(spark, d).search(fulltext.every("erering", "onates"))
+
+
+@query("text_phrase", text_sql("EXISTS (SELECT 1 FROM p x JOIN p y ON y.doc_id = x.doc_id AND y.pos = x.pos + 1 WHERE x.doc_id = d.doc_id AND x.stem = 'anea' AND y.stem = 'erin')", "'anea', 'erin'"))
+def text_phrase(spark, d):
+    return indexed(spark, d).search(fulltext.phrase("anea erining"))
+
+
+@query("text_any_without", text_sql(f"({has('erer')} OR {has('keit')}) AND NOT {has('tion')}", "'erer', 'keit', 'tion'"))
+def text_any_without(spark, d):
+    return indexed(spark, d).search((fulltext.every("erer") | fulltext.every("keit")) - fulltext.every("tion"))

@@ -46,7 +46,7 @@ def repeated(df: DataFrame, index: Index) -> DataFrame:
     return x.dropna(subset=list(index.columns)).groupBy(*index.columns).count().where("count > 1")
 
 
-def write_ordered(df: DataFrame, folder: str, index: Index, file_rows: int = FILE_ROWS, group_bytes: int = GROUP_BYTES) -> None:
+def write_ordered(df: DataFrame, folder: str, index: Index, file_rows: int = FILE_ROWS, group_bytes: int = GROUP_BYTES, options: dict[str, str] | None = None) -> None:
     """Write ``df`` as the table that ``index`` describes; raises, before anything is written, if it is unique and keys repeat.
 
     An index with ``include`` or a ``predicate`` is a table of its own, of those columns and rows.
@@ -59,7 +59,7 @@ def write_ordered(df: DataFrame, folder: str, index: Index, file_rows: int = FIL
         df = df.select(*index.columns, *index.include)
     order = [F.col(c).desc() if index.descending else F.col(c).asc() for c in index.columns]
     n = max(1, -(-df.count() // file_rows))
-    out = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.option("parquet.block.size", group_bytes)
+    out = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.options(**(options or {})).option("parquet.block.size", group_bytes)
     for c in index.columns:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
     out.parquet(folder)
