@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import fulltext, stemmer
+from corvane.functions import containment, fulltext, stemmer
 from corvane.operators import cascade
 from corvane.operators import predicate as P
 from corvane.operators.lineage import shared_folder
@@ -196,3 +196,31 @@ def text_phrase(spark, d):
 @query("text_any_without", text_sql(f"({has('erer')} OR {has('keit')}) AND NOT {has('tion')}", "'erer', 'keit', 'tion'"))
 def text_any_without(spark, d):
     return indexed(spark, d).search((fulltext.every("erer") | fulltext.every("keit")) - fulltext.every("tion"))
+
+
+# Containment of JSON --------------------------------------------------------------------------
+
+
+def order_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines, as JSON."""
+    line = F.struct(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.struct(F.col("l_partkey").alias("key")).alias("part"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    x = table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    return x.select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("priority")).alias("by"), "lines")).alias("data"))
+
+
+@query(
+    "json_contains",
+    """SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 7)
+       AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')""",
+)
+def json_contains(spark, d):
+    """Orders of a status and priority with a returned line of seven pieces and one of another flag."""
+    index = containment.JsonIndex.build(order_documents(spark, d), "id", "data", place(spark, "json"))
+    return index.search('{"status": "F", "by": {"priority": "2-HIGH"}, "lines": [{"flag": "R", "quantity": 7}, {"flag": "N"}]}').select("id")
+
+
+@query("json_contains_path", "SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 77")
+def json_contains_path(spark, d):
+    index = containment.JsonIndex.build(order_documents(spark, d), "id", "data", place(spark, "json"))
+    return index.search('{"lines": [{"part": {"key": 77.0}}]}').select("id")
