@@ -12,6 +12,7 @@ from corvane.functions import containment, fulltext, stemmer
 from corvane.operators import cascade
 from corvane.operators import predicate as P
 from corvane.operators.lineage import shared_folder
+from corvane.operators.materialized import Stored
 from corvane.operators.reader import Reader
 from corvane.plans.catalog import query, table
 from corvane.sources import indexes
@@ -224,3 +225,28 @@ def json_contains(spark, d):
 def json_contains_path(spark, d):
     index = containment.JsonIndex.build(order_documents(spark, d), "id", "data", place(spark, "json"))
     return index.search('{"lines": [{"part": {"key": 77.0}}]}').select("id")
+
+
+# Views that are refreshed by what changed -----------------------------------------------------
+
+
+@query(
+    "view_refresh_changes",
+    """SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(38, 6))) AS DOUBLE) AS total, min(o_orderdate) AS first, max(o_orderdate) AS last, max(o_totalprice) AS most
+       FROM (SELECT o_custkey, CASE WHEN o_orderkey % 10 = 5 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 10 <> 3 AND o_custkey % 50 <> 8)
+       GROUP BY 1""",
+)
+def view_refresh_changes(spark, d):
+    """Orders by customer, after inserts, deletes (of some customers' last orders too), updates and a batch given twice."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    k = F.col("o_orderkey") % 10
+    view = Stored(spark, place(spark, "view"), ("o_custkey",), ("o_totalprice",), ("o_orderdate", "o_totalprice"), buckets=8)
+    view.create(orders.where(k != 7))
+    view.refresh(1, orders.where(k == 7), None, orders)
+    gone = (k == 3) | (F.col("o_custkey") % 50 == 8)
+    left = orders.where(~gone)
+    view.refresh(2, None, orders.where(gone), left)
+    view.refresh(2, None, orders.where(gone), left)
+    double = F.when(k == 5, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))
+    view.refresh(3, left.where(k == 5).withColumn("o_totalprice", double), left.where(k == 5), left.withColumn("o_totalprice", double))
+    return view.read().select("o_custkey", "n", F.col("sum_o_totalprice").cast("double").alias("total"), F.col("min_o_orderdate").alias("first"), F.col("max_o_orderdate").alias("last"), F.col("max_o_totalprice").alias("most"))

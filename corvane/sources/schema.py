@@ -472,7 +472,7 @@ def recover(spark: SparkSession, t: Table) -> None:
     if there[aside] and not there[t.identifier]:
         spark.sql(f"ALTER TABLE {beside if there[beside] else aside} RENAME TO {t.identifier}")
         spark.sql(f"DROP TABLE IF EXISTS {aside}")
-    elif there[t.identifier]:
+    else:  # a copy without a table beside it was never ended
         for x in (beside, aside):
             spark.sql(f"DROP TABLE IF EXISTS {x}")
 
@@ -501,10 +501,18 @@ def create_view(spark: SparkSession, name: str, body: str) -> None:
 
 
 def refresh_materialized(spark: SparkSession, schema: str, name: str, body: str) -> None:
-    """A stored result of a query, computed anew."""
-    spark.sql(f"CREATE TABLE {qualified(schema, name + '__new')} USING parquet AS {body}")
-    spark.sql(f"DROP TABLE IF EXISTS {qualified(schema, name)}")
-    spark.sql(f"ALTER TABLE {qualified(schema, name + '__new')} RENAME TO {qualified(schema, name)}")
+    """A stored result of a query, computed anew beside the old one and swapped in by name.
+
+    What a driver that died left behind is ended or undone first (``recover``), so there is always a table to read.
+    """
+    t = Table(schema, name)
+    beside, aside = (qualified(schema, f"{name}__{x}") for x in ("new", "old"))
+    recover(spark, t)
+    spark.sql(f"CREATE TABLE {beside} USING parquet AS {body}")
+    if spark.catalog.tableExists(t.identifier):
+        spark.sql(f"ALTER TABLE {t.identifier} RENAME TO {aside}")
+    spark.sql(f"ALTER TABLE {beside} RENAME TO {t.identifier}")
+    spark.sql(f"DROP TABLE IF EXISTS {aside}")
 
 
 def refuse(kind: str) -> None:
