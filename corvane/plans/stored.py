@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from corvane.functions import containment, fulltext, stemmer
 from corvane.operators import cascade
 from corvane.operators import predicate as P
-from corvane.operators.lineage import shared_folder
+from corvane.operators.lineage import cut, shared_folder
 from corvane.operators.materialized import Stored
 from corvane.operators.reader import Reader
-from corvane.plans.catalog import query, table
+from corvane.operators.ranges import RangeTable
+from corvane.plans.catalog import database, query, table
 from corvane.sources import indexes
 from corvane.sources.schema import ForeignKey, Index
 
@@ -250,3 +251,25 @@ def view_refresh_changes(spark, d):
     double = F.when(k == 5, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))
     view.refresh(3, left.where(k == 5).withColumn("o_totalprice", double), left.where(k == 5), left.withColumn("o_totalprice", double))
     return view.read().select("o_custkey", "n", F.col("sum_o_totalprice").cast("double").alias("total"), F.col("min_o_orderdate").alias("first"), F.col("max_o_orderdate").alias("last"), F.col("max_o_totalprice").alias("most"))
+
+
+# Ranges that are split and merged -------------------------------------------------------------
+
+
+@query(
+    "part_split_merge",
+    """SELECT o_orderkey, o_orderdate, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 0 WHEN o_orderdate < TIMESTAMP '1999-07-01' THEN 1 ELSE 2 END AS place FROM orders""",
+)
+def part_split_merge(spark, d):
+    """Orders by the range they lie in, after a split and a merge."""
+    day = lambda y, m=1: dt.datetime(y, m, 1)
+    with database(spark) as db:
+        t = RangeTable.create(spark, f"{db}.orders", "o_orderkey BIGINT, o_orderdate TIMESTAMP", "o_orderdate", [day(1996), day(1998)])
+        t.insert(table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp")))
+        t.split(day(1999, 7))
+        t.merge(day(1998))
+        out = None
+        for i, r in enumerate(t.ranges()):
+            x = t.rows([r]).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), F.lit(i).alias("place"))
+            out = x if out is None else out.unionByName(x)
+        return cut(out)
