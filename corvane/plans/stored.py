@@ -18,6 +18,7 @@ from corvane.operators.ranges import RangeTable
 from corvane.plans.catalog import database, query, table
 from corvane.sources import indexes
 from corvane.sources.schema import ForeignKey, Index
+from corvane.streaming import stateful
 
 # Foreign keys ---------------------------------------------------------------------------------
 
@@ -273,3 +274,30 @@ def part_split_merge(spark, d):
             x = t.rows([r]).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), F.lit(i).alias("place"))
             out = x if out is None else out.unionByName(x)
         return cut(out)
+
+
+# Appends as a stateful stream -----------------------------------------------------------------
+
+
+@query(
+    "event_append_stateful",
+    """SELECT event_id AS op_seq, CAST(user_id AS VARCHAR) AS stream_id,
+              CASE WHEN event_id % 10 <> 4 THEN (CASE WHEN user_id % 3 = 0 THEN user_id % 5 + 1 ELSE 0 END) + count(*) FILTER (WHERE event_id % 10 <> 4) OVER (PARTITION BY user_id ORDER BY event_id) END AS version,
+              CASE WHEN event_id % 10 = 4 THEN 'wrong version' END AS reason
+       FROM events""",
+)
+def event_append_stateful(spark, d):
+    """Versions of all events in two runs of one stream, from streams that exist; a tenth of them expect what can't be."""
+    home = place(spark, "appends")
+    x = table(spark, d, "events").select(
+        F.lit("*DEFAULT*").alias("tenant_id"), F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("op_seq"),
+        F.col("event_id").cast("string").alias("id"), F.col("props").alias("data"), F.when(F.col("event_id") % 10 == 4, F.lit(-1)).cast("long").alias("expected"),
+    )
+    streams = table(spark, d, "events").where("user_id % 3 = 0").select(F.lit("*DEFAULT*").alias("tenant_id"), F.col("user_id").cast("string").alias("stream_id"), (F.col("user_id") % 5 + 1).alias("version")).distinct()
+    half = x.agg(F.expr("percentile_approx(op_seq, 0.5)")).first()[0]
+    for part in (x.where(F.col("op_seq") <= half), x.where(F.col("op_seq") > half)):
+        part.write.mode("append").parquet(f"{home}/in")
+        source = spark.readStream.schema(x.schema).parquet(f"{home}/in")
+        out = stateful.judged(source, streams).writeStream.format("parquet").option("path", f"{home}/out")
+        out.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").select("op_seq", "stream_id", "version", "reason")
