@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corvane.operators.lineage import cut
 
 MOST_ARGUMENTS = 4
 #: Values of a group that one task folds, and partial results that one task merges.
 PART_ROWS = 100_000
+#: States of a Python fold that a task holds, and that one task merges of a group.
+HELD_STATES, MERGED_STATES = 100_000, 1_000
 
 
 @dataclass(frozen=True)
@@ -76,13 +83,73 @@ class Fold:
 
 @dataclass(frozen=True)
 class PythonFold:
-    """An aggregate whose step only Python can do: a grouped Pandas UDF over a group's values."""
+    """An aggregate whose step only Python can do.
+
+    With a ``merge`` of two states, ``over`` takes groups of any size: each task folds what it has of a
+    group into one state, and states, pickled, are shuffled and merged, as many levels as it takes; so a
+    group that holds a third of the rows leaves each task as one row. The order of values must not
+    matter, and a merge may change its first state. Registered for SQL, it is a grouped Pandas UDF, which
+    gathers a group's values.
+    """
 
     name: str
     returns: str
     seed: Any
     step: Callable[[Any, Any], Any]
     finish: Callable[[Any], Any] | None = None
+    merge: Callable[[Any, Any], Any] | None = None
+
+    def over(self, df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+        """``keys, name``. Nulls reach the step as None; a group's result is null where ``finish`` gives None."""
+        if self.merge is None:
+            raise ValueError(f"{self.name} has no merge, so a group can't be folded in parts")
+        seed, step, merge, finish = pickle.dumps(self.seed), self.step, self.merge, self.finish
+        fields = {k: df.schema[k].dataType.simpleString() for k in keys}
+        schema = ", ".join(f"`{k}` {t}" for k, t in fields.items())
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, Any] = {}
+            kinds: list[pa.DataType] = []
+
+            def out() -> pa.RecordBatch:
+                columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(kinds)]
+                states = pa.array([pickle.dumps(s) for s in held.values()], pa.binary())
+                held.clear()
+                return pa.RecordBatch.from_arrays([*columns, states], [*keys, "_state"])
+
+            for batch in batches:
+                kinds = [f.type for f in batch.schema][:-1]
+                columns = [c.to_pylist() for c in batch.columns]
+                for *key, x in zip(*columns, strict=True):
+                    k = tuple(key)
+                    held[k] = step(held[k] if k in held else pickle.loads(seed), x)
+                if len(held) > HELD_STATES:
+                    yield out()
+            if held:
+                yield out()
+
+        def merged(t: pa.Table) -> pa.Table:
+            state = None
+            for i, blob in enumerate(t.column("_state")):
+                other = pickle.loads(blob.as_py())
+                state = merge(state, other) if i else other
+            return pa.Table.from_arrays([*(t.column(k).slice(0, 1) for k in keys), pa.array([pickle.dumps(state)], pa.binary())], [*keys, "_state"])
+
+        def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                states = [pickle.loads(s.as_py()) for s in batch.column(len(keys))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([finish(s) if finish else s for s in states], kind)], [*keys, name])
+
+        kind = to_arrow_type(returning(self.returns))
+        states = cut(df.select(*keys, value).mapInArrow(fold, f"{schema}, _state binary"))
+        n = states.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        while n > 1:
+            parts = -(-n // MERGED_STATES)
+            part = F.pmod(F.monotonically_increasing_id(), F.lit(parts)) if parts > 1 else F.lit(0)
+            states = cut(states.withColumn("_part", part)) if parts > 1 else states.withColumn("_part", part)
+            states = states.groupBy(*keys, "_part").applyInArrow(merged, f"{schema}, _state binary")
+            n = parts if parts > 1 else 0
+        return states.mapInArrow(finished, f"{schema}, `{name}` {self.returns}")
 
     def register(self, spark: SparkSession) -> None:
         import pandas as pd

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import containment, fulltext, stemmer
-from corvane.operators import cascade
+from corvane.functions import containment, fulltext, registry, stemmer
+from corvane.operators import cascade, intervals
 from corvane.operators import predicate as P
 from corvane.operators.lineage import cut, shared_folder
 from corvane.operators.materialized import Stored
@@ -301,3 +301,24 @@ def event_append_stateful(spark, d):
         out = stateful.judged(source, streams).writeStream.format("parquet").option("path", f"{home}/out")
         out.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{home}/out").select("op_seq", "stream_id", "version", "reason")
+
+
+# Intervals, and folds of Python ---------------------------------------------------------------
+
+
+@query(
+    "index_overlaps",
+    """WITH i AS (SELECT o_orderkey AS id, o_custkey, o_orderdate AS a, o_orderdate + to_days(CAST(power(2, o_orderkey % 9) AS INTEGER)) AS b FROM orders)
+       SELECT l.id AS one, r.id AS other FROM i l JOIN i r ON l.o_custkey = r.o_custkey AND l.id < r.id AND l.a < r.b AND r.a < l.b""",
+)
+def index_overlaps(spark, d):
+    """Pairs of a customer's orders that were open at one time, from a day to most of a year."""
+    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderdate").alias("a"), F.expr("o_orderdate + make_dt_interval(CAST(power(2, o_orderkey % 9) AS INT))").alias("b"))
+    return intervals.self_overlaps(x, ("a", "b"), "id", ("o_custkey",)).select(F.col("l.id").alias("one"), F.col("r.id").alias("other"))
+
+
+@query("udf_fold_python", "SELECT l_returnflag, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // count(*) AS mean_cents FROM lineitem GROUP BY 1")
+def udf_fold_python(spark, d):
+    """A mean in whole cents over three groups that hold all lines."""
+    mean = registry.PythonFold("mean_cents", "long", (0, 0), lambda s, x: (s[0] + 1, s[1] + round(x * 100)), lambda s: s[1] // s[0], lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    return mean.over(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "mean_cents")
