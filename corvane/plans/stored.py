@@ -16,7 +16,7 @@ from corvane.operators.materialized import Stored
 from corvane.operators.reader import Reader
 from corvane.operators.ranges import RangeTable
 from corvane.plans.catalog import database, query, table
-from corvane.sources import indexes
+from corvane.sources import databases, indexes
 from corvane.sources.schema import ForeignKey, Index
 from corvane.streaming import stateful
 
@@ -322,3 +322,16 @@ def udf_fold_python(spark, d):
     """A mean in whole cents over three groups that hold all lines."""
     mean = registry.PythonFold("mean_cents", "long", (0, 0), lambda s, x: (s[0] + 1, s[1] + round(x * 100)), lambda s: s[1] // s[0], lambda a, b: (a[0] + b[0], a[1] + b[1]))
     return mean.over(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "mean_cents")
+
+
+# Many databases -------------------------------------------------------------------------------
+
+
+@query("source_tenant_databases", "SELECT n_name AS tenant_id, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_11') AND c_acctbal > 100")
+def source_tenant_databases(spark, d):
+    """Customers of two tenants, of a database for each nation."""
+    x = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey", "c_name", "c_acctbal")
+    folder = place(spark, "databases")
+    databases.write(x, folder, "customer", "n_name")
+    some = P.And(P.in_array("tenant_id", ["NATION_3", "NATION_11"]), P.compare("c_acctbal", ">", 100.0))
+    return databases.rows(spark, "customer", some, folder=folder).select("tenant_id", "c_custkey", "c_acctbal")
