@@ -7,14 +7,17 @@ and byte themselves (both fit 51 bits) and stay in a table that grows with the i
 in blocks: a block asks the table for the contexts it holds, each once, and no task and no driver
 needs the others.
 
-Rejected are first the URLs that a rule blocks, accepted all others. On a fold left out of the counts,
-the threshold of the length-normalised difference is set where it divides the two classes best. URLs
-without a rule that fall below it change sides, the models and the threshold are fitted again, and that
-is the verdict: how much is rejected follows from what the URLs look like.
+The models are fitted on what the rules say alone: URLs that a rule allows against those that one
+blocks, so no URL that has to be judged has taught the model what it is. On a fold of ruled URLs that is
+left out of the counts, the threshold of the length-normalised difference is set where it divides the
+two classes best. Then URLs without a rule count too, for both classes, by how sure the first models are of
+them (a step of expectation maximisation): one near the threshold counts half for either, one far below it
+for the rejected alone. Models and threshold are fitted again, the latter still on ruled URLs, and that is
+the verdict.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule, has a
 difference of 0 and is allowed; repeated URLs count as often as they occur; a null id falls into the fold
-of 0; with no accepted or no rejected URL in the fold or outside it all are allowed.
+of 0; where a class has no ruled URL in the fold, or none outside it, what has no rule is allowed.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block",
 ORDER = 5
 #: One of so many folds of ids is kept for the threshold, which is sought among multiples of ``BIN``.
 FOLDS, BIN = 10, 0.002
+#: A URL counts in so many parts, of which each class gets its share.
+PARTS = 16
 #: URLs of a block, those that make one worth it, and bytes of URLs worked on at a time.
 BLOCK, SMALL_BLOCK, AT_ONCE = 50_000, 2_000, 256 << 10
 START = b"\x02" * ORDER
@@ -84,11 +89,11 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Counts of one class, of contexts with a byte; ``key`` ascending."""
+    """Counts of one class, of contexts with a byte, from parts; ``key`` ascending."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
         has = n > 0
-        self.key, self.n = key[has], n[has]
+        self.key, self.n = key[has], n[has] / PARTS
         self.ctx, self.n_ctx = summed(self.key >> 8, self.n)
         _, self.kinds = np.unique(self.key >> 8, return_counts=True)
 
@@ -136,19 +141,21 @@ def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def fit(known: DataFrame) -> DataFrame:
-    """``ctx, key, accepted, rejected``: the counts of both classes from ``body, bad``."""
+    """``ctx, key, accepted, rejected``: the counts of both classes, in parts, from ``body, share`` (the parts that are rejected)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad = np.asarray(batch.column(1).to_pylist(), bool)
-            urls = raw(batch.column(0))
-            for c in (False, True):
-                for some in portions([u for u, b in zip(urls, bad, strict=True) if b == c]):
-                    key, n = np.unique(keys(some)[0], return_counts=True)
-                    none = np.zeros_like(n)
-                    yield pa.record_batch({"key": key, "accepted": none if c else n, "rejected": n if c else none})
-
-    counted = known.select("body", "bad").mapInArrow(count, "key long, accepted long, rejected long")
+            share = batch.column(1).to_numpy().astype(np.int64)
+            urls, done = raw(batch.column(0)), 0
+            for some in portions(urls):
+                key, who = keys(some)
+                mine = share[done : done + len(some)][who]
+                done += len(some)
+                one, back = np.unique(key, return_inverse=True)
+                bad = np.bincount(back.ravel(), np.tile(mine, len(key)), len(one)).astype(np.int64)
+                yield pa.record_batch({"key": one, "accepted": PARTS * np.bincount(back.ravel(), minlength=len(one)) - bad, "rejected": bad})
+
+    counted = known.select("body", "share").mapInArrow(count, "key long, accepted long, rejected long")
     summed_ = counted.groupBy("key").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
     return summed_.select(F.shiftright("key", 8).alias("ctx"), "key", "accepted", "rejected")
 
@@ -176,19 +183,21 @@ def scored(rows: DataFrame, counts: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
 
-def threshold(rows: DataFrame) -> float:
-    """Of the fold that was left out: where the shares of accepted URLs at or above and of rejected ones below are the highest."""
-    seen = rows.where("fold and body <> ''").groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(F.count(F.when(~F.col("bad"), 1)), F.count(F.when(F.col("bad"), 1)))
+def threshold(rows: DataFrame) -> tuple[float, float]:
+    """Of the ruled URLs of the fold that was left out: where the shares of accepted ones at or above and of rejected ones below are the highest; how far the classes' means lie apart."""
+    ruled_ = rows.where("fold AND said IS NOT NULL AND body <> ''")
+    seen = ruled_.groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(F.count_if(F.col("said") != "block"), F.count_if(F.col("said") == "block"))
     got = np.array(sorted(map(tuple, seen.collect())), float).reshape(-1, 3)  # as many rows as there are bins
     good, bad = got[:, 1], got[:, 2]
     if not good.sum() or not bad.sum():
-        return -math.inf
+        return -math.inf, 0.0
     right = np.concatenate([[good.sum()], good.sum() - np.cumsum(good)]) / good.sum() + np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     edge = np.concatenate([got[:, 0], [got[-1, 0] + 1]])
     best = int(np.argmax(right))
     # the middle of the gap between the bins on either side
     below = edge[best - 1] + 1 if best else edge[best]
-    return float((below + edge[best]) / 2 * BIN)
+    apart = (got[:, 0] @ good / good.sum() - got[:, 0] @ bad / bad.sum()) * BIN
+    return float((below + edge[best]) / 2 * BIN), float(apart)
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -201,16 +210,20 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
     rows = rows.withColumns({"rule": rule, "said": verdict, "fold": fold})
-    rows = rows.withColumn("bad", F.coalesce(F.col("said") == "block", F.lit(False)))
+    rows = rows.withColumn("share", F.when(F.col("said") == "block", PARTS).otherwise(0).cast("int"))
     n = rows.count()
     blocks = max(1, math.ceil(min(2 * spark.sparkContext.defaultParallelism, n / SMALL_BLOCK)), math.ceil(n / BLOCK))
 
-    def judged(rows: DataFrame) -> tuple[DataFrame, float]:
-        out = common.cut(scored(rows, fit(rows.where("body <> '' and not fold")), blocks))
-        return out, threshold(out)
-
-    first, low = judged(rows)
-    again = first.withColumn("bad", F.coalesce(F.col("said") == "block", F.col("score") < low)).drop("score")
-    out, low = judged(again)
+    def judged(rows: DataFrame, known: Column) -> tuple[DataFrame, float, float]:
+        out = common.cut(scored(rows, fit(rows.where((F.col("body") != "") & known)), blocks))
+        return out, *threshold(out)
+
+    ruled_ = F.col("said").isNotNull() & ~F.col("fold")
+    out, low, apart = judged(rows, ruled_)
+    if low > -math.inf and apart > 0:
+        # the classes' means lie at odds of e^2 on either side
+        sure = PARTS / (1 + F.exp((F.col("score") - low) * (4 / apart)))
+        again = out.withColumn("share", F.when(F.col("said").isNull(), F.round(sure).cast("int")).otherwise(F.col("share"))).drop("score")
+        out, low, apart = judged(again, ruled_ | F.col("said").isNull())
     method = F.when((F.col("score") < low) & (F.col("host") != ""), "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")

@@ -569,14 +569,16 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
-def plain_models(urls_, labels):
-    """Counts of each class by context, of whole URLs."""
+def plain_models(urls_, shares):
+    """Counts of each class by context, of whole URLs; a URL counts in parts, ``shares`` of them rejected."""
     out = ({}, {})
-    for u, bad in zip(urls_, labels, strict=True):
+    for u, share in zip(urls_, shares, strict=True):
         t = urls.START + u
         for i in range(urls.ORDER, len(t)):
             for k in range(urls.ORDER + 1):
-                out[bad].setdefault(t[i - k : i], Counter())[t[i]] += 1
+                for m, n in zip(out, (urls.PARTS - share, share), strict=True):
+                    if n:
+                        m.setdefault(t[i - k : i], Counter())[t[i]] += n / urls.PARTS
     return out
 
 
@@ -605,31 +607,45 @@ def test_urls_against_plain_models(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdeft") for _ in range(r.randint(2, 6)))
     rows = []
-    for i in range(700):
-        end, lang = r.choice(["com", "net", "org", "edu"]), r.choice(["en", "de", "es", "fr"])
-        rows.append((i if i else None, f"http{'s' * (i % 2)}://{word()}.{end}/{lang}/{i}{r.choice(['', '?ref=x', '#top', 'é', '?buy=spam'])}"))
+    for i in range(900):
+        end, lang = r.choice(["com", "com", "net", "org", "edu"]), r.choice(["en", "en", "de", "es", "fr"])
+        rows.append((i if i else None, f"http{'s' * (i % 2)}://{word()}.example.{end}/{lang}/{r.choice([7, 7, 1, 8])}{i}{r.choice(['', '?ref=x', '#top', 'é', '?buy=spam'])}"))
     df = spark.createDataFrame([*rows, (9000, None), (9001, "nothing")], "page_id long, url string").repartition(3)
     out = {x["page_id"]: x for x in urls.judge(df).collect()}
     body = {i: u.encode() for i, u in rows}
     fold = {i: zlib.crc32(str("" if i is None else i).encode()) % urls.FOLDS == 0 for i in body}
     said = {i: out[i]["rule"] and {"block": 1, "allow": 0}[out[i]["verdict"]] for i in body}
-    bad = {i: said[i] == 1 for i in body}
+    assert min(sum(v == x and fold[i] == f for i, v in said.items()) for x in (0, 1) for f in (False, True)) > 3
+    share = {i: urls.PARTS * (said[i] or 0) for i in body}
     for turn in (1, 2):
-        fitted = [i for i in body if not fold[i]]
-        models = plain_models([body[i] for i in fitted], [int(bad[i]) for i in fitted])
+        fitted = [i for i in body if (said[i] is not None and not fold[i]) or (turn == 2 and said[i] is None)]
+        models = plain_models([body[i] for i in fitted], [share[i] for i in fitted])
         d = {i: plain_difference(u, models) for i, u in body.items()}
-        good, wrong = ([d[i] for i in body if fold[i] and bad[i] == x] for x in (False, True))
-        seen = urls.threshold(spark.createDataFrame([(u, fold[i], bool(bad[i]), float(d[i])) for i, u in body.items()], "body binary, fold boolean, bad boolean, score double"))
-        right = sum(x >= seen for x in good) / len(good) + sum(x < seen for x in wrong) / len(wrong)
+        good, wrong = ([d[i] for i in body if fold[i] and said[i] == x] for x in (0, 1))
+        low, apart = urls.threshold(spark.createDataFrame([(u, fold[i], {None: None, 0: "allow", 1: "block"}[said[i]], float(d[i])) for i, u in body.items()], "body binary, fold boolean, said string, score double"))
+        right = sum(x >= low for x in good) / len(good) + sum(x < low for x in wrong) / len(wrong)
         assert right >= best_division(good, wrong) - 0.05
+        assert apart == pytest.approx(np.mean(good) - np.mean(wrong), abs=2 * urls.BIN)
         if turn == 1:
-            bad = {i: d[i] < seen if said[i] is None else said[i] == 1 for i in body}
+            share |= {i: round(urls.PARTS / (1 + np.exp((d[i] - low) * 4 / apart))) for i in body if said[i] is None}
     for i in body:
         assert out[i]["score"] == pytest.approx(d[i], abs=1e-9)
-        assert said[i] is not None or out[i]["verdict"] == ("block" if d[i] < seen else "allow")
+        assert said[i] is not None or out[i]["verdict"] == ("block" if d[i] < low else "allow")
     assert out[9000]["verdict"] == out[9001]["verdict"] == "allow" and out[9001]["score"] == 0
 
 
+def test_urls_like_those_of_rules(spark):
+    """URLs on hosts of no rule are judged by what they look like."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").unionByName(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").selectExpr("page_id + 100000 AS page_id", "url"))
+    host, path = urls.host_path(F.col("url"))
+    said = pages.withColumn("said", urls.ruled(host, path)[1])
+    copy = lambda what, n: said.where(F.col("said") == what).orderBy("page_id").limit(80).select((F.col("page_id") + n).alias("page_id"), F.regexp_replace("url", r"\.(com|net|org)/", ".info/").alias("url"))
+    out = urls.judge(pages.unionByName(copy("block", 1_000_000)).unionByName(copy("allow", 2_000_000)))
+    got = {r["kind"]: (r["n"], r["bad"]) for r in out.groupBy(F.floor(F.col("page_id") / 1_000_000).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad")).collect()}
+    assert got[1][1] > 0.85 * got[1][0]
+    assert got[2][1] < 0.1 * got[2][0]
+
+
 def test_urls_very_long_and_repeated(spark):
     rows = [(i, "http://a.com/en/" + "x" * 200_000) for i in (1, 1, 2)] + [(i, f"http://b.org/en/{i % 3}") for i in range(60)] + [(5, "http://q.com/en/")] * 40
     out = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
