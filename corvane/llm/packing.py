@@ -7,8 +7,8 @@ filled by cutting one more. Windows of the shorter tiers are themselves full, a
 need no padding; what is left at the end of a block is cut into powers of two. Sequences are dealt into
 step groups of about equal tokens, the longest first to the lightest group.
 
-Packing is local to a block of a task's documents (a few million tokens), so nothing is shuffled and
-a lost task is simply run again, with the same ids. All that is padded is gaps of less than ``SLIVER``
+Packing is local to a block of a task's documents (a few million tokens, some hundred thousand documents),
+so nothing is shuffled and a lost task is simply run again, with the same ids. All that is padded is gaps of less than ``SLIVER``
 tokens in windows of the longest tier, however the input is cut into tasks.
 
 Defined results: a null text is empty, a document of the end id alone; documents with a null or
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import bisect
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,11 +34,16 @@ from pyspark.sql import DataFrame
 from corvane.llm import bpe, common
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
-#: Tokens of a block; a longest window's gap shorter than this stays padding rather than take a sliver of a document.
-BLOCK_TOKENS = 4_000_000
+#: Tokens and documents of a block, and rows given on at a time; a longest window's gap shorter than this stays padding rather than take a sliver of a document.
+BLOCK_TOKENS, BLOCK_DOCS, OUT_ROWS = 4_000_000, 200_000, 20_000
 SLIVER = 8
 #: Fixed value: the text of the vocabulary's special token.
 SPECIAL = "<|endoftext|>"
+#: Characters of white space in a row from which a text is cut there before it is encoded: the tokenizer's
+#: expression can't take about a million.
+LONG_SPACE = 10_000
+#: Fixed value: Unicode's white space.
+SPACES = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
 #: Tokens of a step group.
 STEP_TOKENS = 64 * 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -50,15 +56,25 @@ def encoder(path: str, pattern: str = bpe.PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether a part is a long stretch of white space, which is a piece by itself.
+
+    Of white space before something else the last character goes with that, or is a piece of its own; at the
+    end of a text or before a special token all of it is one piece. These are borders of pieces in any case.
+    """
+    at = 0
+    for m in SPACES.finditer(text):
+        end = m.end() if m.end() == len(text) or text.startswith(SPECIAL, m.end()) else m.end() - 1
+        yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    yield text[at:], False
+
+
 def token_ids(path: str, text: str, end: int) -> np.ndarray:
-    try:
-        ids = encoder(path).encode_to_numpy(text, allowed_special="all")
-    except ValueError:  # white space of about a million characters in a row is too much for the library's expressions
-        parts = text.split(SPECIAL)
-        pieces = [p for i, part in enumerate(parts) for p in ([SPECIAL] if i else []) + bpe.split(part)]
-        whole = encoder(path, "(?s:.+)")
-        ids = np.concatenate([whole.encode_to_numpy(p, allowed_special="all") for p in pieces])
-    return np.append(ids, end).astype("<u4")
+    whole = encoder(path, "(?s:.+)")
+    parts = [(whole if space else encoder(path)).encode_to_numpy(p, allowed_special="all") for p, space in stretches(text) if p]
+    return np.append(np.concatenate(parts) if parts else [], end).astype("<u4")
 
 
 def powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -151,20 +167,21 @@ def pack(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIER
         whole: list[list[int]] = []  # checksums of the whole windows
         held, n_seq, n_group = 0, 0, 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal n_seq, n_group
             found = plan(sizes, tiers)
             fill = [0] * (1 + max(p[3] for p in found))
             for _, _, n, s, _ in found:
                 fill[s] += n
             group = step_groups(fill)
-            rows = []
-            for doc, at, n, s, o in found:
-                skip = len(whole[doc]) * tiers[0]
-                crc = whole[doc][at // tiers[0]] if at < skip else zlib.crc32(rests[doc][at - skip : at - skip + n].tobytes())
-                rows.append((ids[doc], at, n, crc, sizes[doc], base + n_seq + s, o, next(t for t in reversed(tiers) if t >= fill[s]), base + n_group + group[s]))
+            for k in range(0, len(found), OUT_ROWS):
+                rows = []
+                for doc, at, n, s, o in found[k : k + OUT_ROWS]:
+                    skip = len(whole[doc]) * tiers[0]
+                    crc = whole[doc][at // tiers[0]] if at < skip else zlib.crc32(rests[doc][at - skip : at - skip + n].tobytes())
+                    rows.append((ids[doc], at, n, crc, sizes[doc], base + n_seq + s, o, next(t for t in reversed(tiers) if t >= fill[s]), base + n_group + group[s]))
+                yield pa.record_batch({k: pa.array(c, pa.int32() if k == "tier" else pa.int64()) for k, c in zip(names, zip(*rows, strict=True), strict=True)})
             n_seq, n_group = n_seq + len(fill), n_group + max(group) + 1
-            return pa.record_batch({k: pa.array(c, pa.int32() if k == "tier" else pa.int64()) for k, c in zip(names, zip(*rows, strict=True), strict=True)})
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -175,10 +192,10 @@ def pack(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIER
                 whole.append([zlib.crc32(tokens[k * tiers[0] : (k + 1) * tiers[0]].tobytes()) for k in range(n_whole)])
                 rests.append(tokens[n_whole * tiers[0] :].copy())
                 held += len(rests[-1])
-                if held >= BLOCK_TOKENS:
-                    yield flush()
+                if held >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
+                    yield from flush()
                     ids, sizes, rests, whole, held = [], [], [], [], 0
         if ids:
-            yield flush()
+            yield from flush()
 
     return common.documents(docs).mapInArrow(run, SCHEMA)

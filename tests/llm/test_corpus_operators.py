@@ -766,3 +766,37 @@ def test_operators_ignore_other_columns(spark):
         lambda d: toxicity.score(d, spark.createDataFrame([(0, 1), (7, 0)], "doc_id long, toxic int")),
     ):
         assert got(f(docs)) == got(f(wide))
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "　", "\x1c"])
+def test_packing_cuts_white_space_where_pieces_end(space):
+    tok = Tokenizer.from_file(BPE_JSON)
+    n = packing.LONG_SPACE
+    for t in (f"a{space * n}", f"{space * n}a", f"a{space * n}b", f"a {space * n}\nb{space * (n + 7)}<|endoftext|>{space * n}'s{space * n}", f"a{space * (n - 1)}b"):
+        assert packing.token_ids(BPE_RANKS, t, 1).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_packing_of_very_many_tiny_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_DOCS", 700)
+    monkeypatch.setattr(packing, "OUT_ROWS", 90)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", "IF(id % 3 = 0, '', 'a') AS text")
+    rows = packing.pack(docs, BPE_RANKS).collect()
+    assert sorted(r["doc_id"] for r in rows if r["start"] == 0) == list(range(5000))
+    assert sum(r["length"] for r in rows) == sum(1 + (i % 3 > 0) for i in range(5000))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert all(n == 2048 or n & (n - 1) == 0 or n > 2048 - packing.SLIVER for n in ends.values())
+
+
+def test_packing_holds_a_bounded_block():
+    """A block of as many documents as there may be, of one token each, is planned in bounded memory."""
+    import tracemalloc
+
+    tracemalloc.start()
+    found = packing.plan([1] * packing.BLOCK_DOCS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == packing.BLOCK_DOCS
+    assert peak < 250e6
