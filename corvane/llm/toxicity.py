@@ -9,9 +9,9 @@ carries its label). On a part of the sample the scores are shifted so that the b
 two classes lies at ``AT``.
 
 The model is fitted on at most ``SAMPLE`` labelled documents of each class, those whose ids hash
-lowest; it has a fixed size. Of a labelled text longer than ``SAMPLE_CHARS`` characters, fitting reads
-``SLICES`` even slices, from its first character to its last. Scoring covers every word of every text
-and needs no shuffle.
+lowest, and of those on as many, in that order, as have ``SAMPLE_CHARS`` characters in all; it has a fixed
+size. What it is fitted on are whole texts: a document that no longer fits is left out as a row. Scoring
+covers every word of every text and needs no shuffle.
 
 Defined results: a null or wordless text has the score of an empty window; without labelled
 documents of both classes every score is 0; a null label is none; repeated labels of a document are
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from corvane.llm import common
 
-#: Bounds of what is learnt from: documents of a class, characters of a document, and the slices these are in.
-SAMPLE, SAMPLE_CHARS, SLICES = 2_000, 20_000, 10
+#: Bounds of what is learnt from: documents of a class, and characters of all documents of a class.
+SAMPLE, SAMPLE_CHARS = 2_000, 8_000_000
 WINDOW, STRIDE = 48, 24
 MIN_DOCS, DIM, HIDDEN = 3, 6, 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
@@ -384,15 +384,20 @@ def division(score: np.ndarray, toxic: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most ``bound`` documents of each class, those whose ids hash lowest; none that is held out."""
+def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+    """At most ``bound`` documents of each class with ``chars`` characters, those whose ids hash lowest; none that is held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for c in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    n, size = F.length("text"), SAMPLE_CHARS // SLICES
-    slices = [F.substring("text", (F.floor((n - size) * k / (SLICES - 1)) + 1).cast("int"), F.lit(size)) for k in range(SLICES)]
-    text = F.when(n > SAMPLE_CHARS, F.concat_ws(" ", *slices)).otherwise(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
     # at most 2 * bound short ids, and as many rows
+    sizes = docs.select("doc_id", F.length(text).alias("n")).join(F.broadcast(ids), "doc_id").groupBy("toxic", F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.max("n").alias("n")).collect()
+    left, taken = {}, []
+    for toxic, _, i, n in sorted(sizes):
+        if n <= left.setdefault(toxic, chars):
+            left[toxic] -= n
+            taken.append((i, toxic))
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text).alias("text")).select("doc_id", "text", "toxic").collect()
     got.sort()
     return [r[1] for r in got], np.array([r[2] == 1 for r in got], bool)

@@ -460,12 +460,25 @@ def toxic_rows(n, words_, seed):
 
 def test_toxicity_learns_from_very_long_texts(spark):
     rows = toxic_rows(120, 4500, 3)
-    assert min(len(t) for _, t in rows) > toxicity.SAMPLE_CHARS
+    assert min(len(t) for _, t in rows) > 20_000
     rows += [(1, "another text of the same id")] * 3
     out = toxicity.score(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")).collect()
     assert sum(x["predicted"] == x["doc_id"] % 2 for x in out if x["doc_id"] != 1) > 105
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rows = [(i, f"start {'ab ' * 50}middle{i} " * (30 if i == 8 else 3) + "end") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, toxic = toxicity.sample(frame(spark, rows), labels)
+    known = {t: i % 2 == 1 for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert dict(zip(texts, toxic.tolist(), strict=True)) == known
+    # a bound leaves documents out, never a part of one
+    some, kinds = toxicity.sample(frame(spark, rows), labels, chars=2_000)
+    assert set(some) < set(texts)
+    assert all(sum(len(t) for t, k in zip(some, kinds, strict=True) if k == c) <= 2_000 for c in (False, True))
+    assert len(some) > 4
+
+
 def plain_logit(p, x):
     """One window (words, inputs) word by word."""
     sig, H = lambda v: 1 / (1 + np.exp(-v)), toxicity.HIDDEN
