@@ -2,8 +2,9 @@
 
 Each text yields the base spans (assignments, access keys, hex strings) and wider candidates (long
 mixed tokens). Every value's hash is counted over the corpus by distinct repositories and owners: a
-value that many owners hold is a copied example, one that stays with an owner or two looks live. A
-wider candidate becomes a span only where it looks live; base spans always stay.
+value is a widely copied example if more than a few owners and more than a few repositories hold it. What
+stays with an owner or two (in however many of their repositories), or within a repository or two (whoever
+shares those), looks live. A wider candidate becomes a span only where it looks live; base spans always stay.
 
 Positions come from two aligned lists, the matches and the pieces between them; ends are prefix sums
 of their lengths. Only spans leave the scan, so no text is shuffled.
@@ -38,8 +39,8 @@ WIDER = (
 #: A cheap test that every text with a match passes.
 HINTS = {"assign": r"(?i)(?:pass|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{16}", "token": r"[A-Za-z0-9+/_-]{20}"}
 ORDER = {"assign": 0, "access": 1, "hex": 2, "token": 3}
-#: Owners up to which a value looks like its owner's own.
-LIVE_OWNERS = 2
+#: Owners up to which a value looks like its owners' own, and repositories up to which it isn't spread.
+LIVE_OWNERS, LIVE_REPOS = 2, 2
 BLOCK = 128
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 
@@ -94,11 +95,12 @@ def judged(scan: DataFrame) -> DataFrame:
     spans = scan.select("doc_id", "version", "owner", "repo", F.explode(F.concat("base", "wider")).alias("s")).select("doc_id", "version", "owner", "repo", "s", F.sha2("s.value", 256).alias("hash"))
     held = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))  # however often an owner repeats a value
     spread = held.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.sum("n").alias("n"))
-    shared = common.cut(spread.where((F.col("owners") > LIVE_OWNERS) | (F.col("n") >= common.HOT_ROWS)))
+    shared = common.cut(spread.where((F.col("owners") > LIVE_OWNERS) & (F.col("repos") > LIVE_REPOS) | (F.col("n") >= common.HOT_ROWS)))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # an example that everyone copied is one value: it goes to the tasks, its spans don't all go to one
     marked = common.join_hot(spans, shared, "hash", "n", total, "left")
-    return marked.select("doc_id", "version", "s", "hash", "owners", "repos", (F.coalesce("owners", F.lit(0)) <= LIVE_OWNERS).alias("live"))
+    few = lambda c, most: F.coalesce(c, F.lit(0)) <= most
+    return marked.select("doc_id", "version", "s", "hash", "owners", "repos", (few("owners", LIVE_OWNERS) | few("repos", LIVE_REPOS)).alias("live"))
 
 
 def label(kind: Column) -> Column:

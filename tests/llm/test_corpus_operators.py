@@ -813,3 +813,32 @@ def test_packing_holds_a_bounded_block():
     tracemalloc.stop()
     assert len(found) == packing.BLOCK_DOCS
     assert peak < 250e6
+
+
+def test_added_secrets_by_hand(spark):
+    r = random.Random(8)
+    pool = ["ghp_" + "aB3" * k for k in range(6, 9)] + ["Zz9" + "yX8" * k for k in range(6, 16)]
+    rows = []
+    for i in range(120):
+        said = [r.choice(pool) for _ in range(r.randint(0, 3))]
+        end = r.choice(["", f" token={r.choice(pool)}", " short aB3"])
+        rows.append((i, r.choice("abcdefg") if i % 2 else "a", r.randrange(40), " . ".join(said) + end))
+    # one value of many owners in one repository, one of one owner in many
+    rows += [(200 + i, f"o{i}", 77, "see " + "Oo1" + "nN2" * 7) for i in range(9)] + [(300 + i, "solo", 100 + i, "see " + "Ss1" + "tT2" * 7) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, owner string, repo long, text string")
+    wider = regex.compile(secrets.WIDER[1])
+    owners, repos = {}, {}
+    for _, o, p, t in rows:
+        found = [m[0] for m in wider.finditer(t)] + [m[2] for m in BASE_RES[0][1].finditer(t) if len(m[2]) >= 12]
+        for v in found:
+            owners.setdefault(v, set()).add(o)
+            repos.setdefault(v, set()).add(p)
+    want = {}
+    for i, _, _, t in rows:
+        base = [(m.start(), m.end()) for m in BASE_RES[0][1].finditer(t) if len(m[2]) >= 12]
+        live = [(m.start(), m.end()) for m in wider.finditer(t) if len(owners[m[0]]) <= 2 or len(repos[m[0]]) <= 2]
+        want[i] = sorted((a, b) for a, b in live if not any(x < b and a < y for x, y in base))
+    got = {x["doc_id"]: sorted((s["start"], s["end"]) for s in x["added"]) for x in secrets.scan(df, F.col("owner"), F.col("repo")).collect()}
+    assert got == want
+    assert all(want[200 + i] for i in range(9)) and all(want[300 + i] for i in range(30))
+    assert 0 < sum(len(owners[v]) > 2 for v in owners) < len(owners)
