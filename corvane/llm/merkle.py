@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import let
 
-#: Characters of a piece at most; what is longer without a cut is cut evenly.
-PIECE = 256
+#: Characters of a piece at most. What has no such border for as long is cut after one of ``RARE`` that follows at
+#: least ``LEAST`` characters, so there too an edit moves no border elsewhere; without any it is cut evenly.
+PIECE, LEAST, RARE = 256, 16, "7cQqZ+"
+
+
 def ranges(first: int, end: int, step: int, width: int) -> str:
     return "".join(f"\\u{c:04x}-\\u{c + width - 1:04x}" for c in range(first, end, step))
 
@@ -46,7 +49,7 @@ QUANTILES, BUCKET_ROWS = 200, 512
 def pieces(paragraph: Column) -> Column:
     """A paragraph's pieces, as digits."""
     # Spark keeps this expression compiled from row to row, which it doesn't for split
-    one = rf"(?s).{{1,{PIECE}}}?(?:{PIECE_END}|\z)|.{{{PIECE}}}"
+    one = rf"(?s).{{1,{PIECE}}}?(?:{PIECE_END}|\z)|.{{{LEAST},{PIECE}}}?(?<=[{RARE}])|.{{{PIECE}}}"
     parts = F.when(paragraph == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(paragraph, F.lit(one), F.lit(0)))
     bits = ((1 << 48) - 1) & ~(PIECE - 1)
     code = lambda p: F.lpad(F.hex(F.xxhash64(p).bitwiseAND(F.lit(bits)).bitwiseOR((F.length(p) - 1).cast("long"))), 12, "0")

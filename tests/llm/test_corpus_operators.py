@@ -842,3 +842,17 @@ def test_added_secrets_by_hand(spark):
     assert got == want
     assert all(want[200 + i] for i in range(9)) and all(want[300 + i] for i in range(30))
     assert 0 < sum(len(owners[v]) > 2 for v in owners) < len(owners)
+
+
+def test_merkle_of_text_without_borders(spark):
+    r = random.Random(3)
+    code = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [code(letters, 5_000), code("0123456789abcdef", 5_000), code(letters, 300_000), "a" * 5_000]
+    pairs = [(i, t, t[:100] + "x" + t[100:]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "id long, one string, other string")
+    df = merkle.trees(merkle.trees(df, "one", "a"), "other", "b")
+    got = {x["id"]: (x["like"], x["a"]) for x in merkle.likeness(df, "a", "b", "like").select("id", "like", "a").collect()}
+    assert all(like > 0.9 for like, _ in got.values())
+    assert got[2][0] > 0.999
+    assert len(got[0][1].split("-")) > 60
