@@ -14,9 +14,12 @@ the pick a routing key: all that can match lands in one bucket, and no bucket ne
    induced by a scan over the buckets of first bytes. Adjacent common prefixes of at least ``SPAN``
    bytes join equal windows; all but the earliest are removed. Strings are sorted by their picks, so
    many that fit together are taken at a time, however large the bucket.
-4. *Hot picks*: a pick with over ``MOST_STRINGS`` different strings (the variants of a passage that
-   very many documents hold) meets in no task. Its strings are cut into windows, and each window is
-   routed by its own hash, after what is equal in a task has become one.
+4. *Hot picks*: the strings of a pick with over ``MOST_STRINGS`` different ones (the variants of a passage
+   that very many documents hold) don't go to one task. They are cut into windows; of windows with equal
+   bytes a task keeps one, and each goes by its own hash to the bucket where it is sorted like any string.
+
+Stretches are told apart by a digest of 128 bits beside the pick; what is compared further is compared by
+its bytes.
 
 Defined results: a null text is empty; texts are UTF-8 bytes; rows with a null doc_id take no part
 and give no row; rows of one doc_id and text are the same document seen again (an occurrence at its own
@@ -46,9 +49,10 @@ BLOCK = 500_000
 LONGEST = 1 << 24
 #: Bytes of input whose stretches a bucket is meant to gather.
 BUCKET_BYTES = 48 << 20
-#: Bytes of strings that are sorted at once, and different strings of a pick that are compared in one task.
-AT_ONCE, MOST_STRINGS = 4 << 20, 1000
-RECORD = np.dtype([("pick", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("n", "i1")])
+#: Bytes of strings that are sorted at once; different strings from which a pick is dealt out by windows; windows a task holds.
+AT_ONCE, MOST_STRINGS, WINDOWS = 4 << 20, 1000, 200_000
+#: ``digest`` and ``more`` are halves of one digest.
+RECORD = np.dtype([("pick", "<u8"), ("digest", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("n", "i1")])
 
 
 def _table() -> np.ndarray:
@@ -232,29 +236,45 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return rec
 
 
+def starts(rec: np.ndarray) -> np.ndarray:
+    """Whether each record, in order, is the first of its stretch."""
+    new = np.ones(len(rec), bool)
+    new[1:] = False
+    for f in ("pick", "digest", "more"):
+        new[1:] |= rec[f][1:] != rec[f][:-1]
+    return new
+
+
 def repeats_of_first(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Records in order, and whether each repeats an earlier place of the same stretch."""
     keys = (rec["at"], rec["mark"], rec["doc"], rec["digest"], rec["pick"]) if rec["mark"].any() else (rec["at"], rec["doc"], rec["digest"], rec["pick"])
     rec = rec[np.lexsort(keys)]
-    new = np.ones(len(rec), bool)
-    new[1:] = (rec["pick"][1:] != rec["pick"][:-1]) | (rec["digest"][1:] != rec["digest"][:-1])
+    new = starts(rec)
+    halves = (rec["pick"][1:] == rec["pick"][:-1]) & (rec["digest"][1:] == rec["digest"][:-1])
+    if (new[1:] & halves).any():  # one half of the digest agrees, the other doesn't
+        rec = rec[np.lexsort((rec["at"], rec["mark"], rec["doc"], rec["more"], rec["digest"], rec["pick"]))]
+        new = starts(rec)
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(rec) else np.empty(0, np.int64)
     return rec, (rec["doc"] != rec["doc"][head]) | (rec["mark"] != rec["mark"][head]) | (rec["at"] != rec["at"][head])
 
 
+def in_buckets(rec: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Packed records by bucket."""
+    by = np.argsort(to, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
+        yield int(to[part[0]]), _packed(rec[part])
+
+
 def dealt(rec: np.ndarray, buckets: int) -> tuple[list[int], list[bool], list[bytes]]:
     """Bucket, sureness and packed records: one representative leaves by its pick; repeats leave by document, as they only need to reach it."""
     rec, repeat = repeats_of_first(rec)
-    new = np.ones(len(rec), bool)
-    new[1:] = (rec["pick"][1:] != rec["pick"][:-1]) | (rec["digest"][1:] != rec["digest"][:-1])
     keys, sure, blobs = [], [], []
-    for flag, mine in ((False, rec[new & ~repeat]), (True, in_runs(rec[repeat]))):
+    for flag, mine in ((False, rec[starts(rec) & ~repeat]), (True, in_runs(rec[repeat]))):
         to = (mine["doc"].astype(np.uint64) if flag else mine["pick"] >> np.uint64(20)) % np.uint64(buckets)
-        by = np.argsort(to, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
-            keys.append(int(to[part[0]]))
+        for k, blob in in_buckets(mine, to):
+            keys.append(k)
             sure.append(flag)
-            blobs.append(_packed(mine[part]))
+            blobs.append(blob)
     return keys, sure, blobs
 
 
@@ -282,7 +302,7 @@ def cut_texts(buckets: int):
         return pa.record_batch({"bucket": pa.array(keys, pa.int64()), "sure": pa.array(sure, pa.bool_()), "blob": pa.array(blobs, pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, digest = _table(), xxhash.xxh3_64_intdigest
+        table, digest = _table(), xxhash.xxh3_128_digest
         held: list[np.ndarray] = []
         n_held = 0
 
@@ -293,7 +313,8 @@ def cut_texts(buckets: int):
             first, n, pick = stretches(np.frombuffer(data, np.uint8), ends, table)
             rec = np.empty(len(first), RECORD)
             view = memoryview(data)
-            rec["digest"] = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + SPAN - 1).tolist(), strict=True)), np.uint64, len(first))
+            halves = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + SPAN - 1).tolist(), strict=True)]), "<u8").reshape(-1, 2)
+            rec["digest"], rec["more"] = halves.T
             who = np.searchsorted(ends, first, side="right")
             rec["pick"], rec["n"] = pick, n
             rec["doc"], rec["mark"] = np.asarray(ids, np.int64)[who].T
@@ -352,9 +373,7 @@ def meet(t: pa.Table, most_strings: int = MOST_STRINGS) -> pa.Table:
             del blobs
             rec, repeat = repeats_of_first(rec)
             gone, reps = in_runs(rec[repeat]), rec[~repeat]
-            new = np.ones(len(reps), bool)
-            new[1:] = (reps["pick"][1:] != reps["pick"][:-1]) | (reps["digest"][1:] != reps["digest"][:-1])
-            reps = reps[new]
+            reps = reps[starts(reps)]
             head = np.concatenate([[True], reps["pick"][1:] != reps["pick"][:-1]]) if len(reps) else np.empty(0, bool)
             which = np.cumsum(head) - 1
             strings = np.bincount(which)[which] if len(reps) else which
@@ -365,30 +384,44 @@ def meet(t: pa.Table, most_strings: int = MOST_STRINGS) -> pa.Table:
     return pa.table({"doc_id": np.concatenate(doc), "mark": np.concatenate(mark), "code": np.concatenate(code), "route": pa.concat_arrays(route), "hot": np.concatenate(many)})
 
 
-def windows(raw: bytes, doc: int, mark: int, at: int) -> np.ndarray:
-    """A record for each window of a string."""
-    view = memoryview(raw)
-    rec = np.empty(len(raw) - SPAN + 1, RECORD)
-    for i in range(len(rec)):
-        rec["pick"][i], rec["digest"][i] = xxhash.xxh3_64_intdigest(view[i : i + SPAN], 1), xxhash.xxh3_64_intdigest(view[i : i + SPAN])
-    rec["doc"], rec["mark"], rec["at"], rec["n"] = doc, mark, np.arange(at, at + len(rec)), 1
-    return rec
+def earliest(same: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places by number of what stands there: the first of each kind, and the others."""
+    by = np.lexsort((at, mark, doc, same))
+    first = np.ones(len(by), bool)
+    first[1:] = same[by][1:] != same[by][:-1]
+    head = by[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    elsewhere = (doc[by] != doc[head]) | (mark[by] != mark[head]) | (at[by] != at[head])
+    return by[first], by[elsewhere]
 
 
 def fetch(buckets: int):
-    """The bytes of the stretches to compare, with their pick as ``route``; of hot picks packed windows, ``sure`` set, with a bucket as ``route``."""
-
-    def strings(rows: list[tuple]) -> pa.RecordBatch:
-        doc, mark, at, route, part = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-        return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "mark": pa.array(mark, pa.int64()), "at": pa.array(at, pa.int64()), "route": pa.array(route, pa.int64()), "sure": pa.nulls(len(doc), pa.bool_()), "part": pa.array(part, pa.binary())})
-
-    def packed(recs: list[np.ndarray]) -> pa.RecordBatch:
-        keys, sure, blobs = dealt(np.concatenate(recs), buckets)
-        none = pa.nulls(len(keys), pa.int64())
-        return pa.record_batch({"doc_id": none, "mark": none, "at": none, "route": pa.array(keys, pa.int64()), "sure": pa.array(sure, pa.bool_()), "part": pa.array(blobs, pa.binary())})
+    """The bytes of the stretches to compare, with their pick as ``route``; of hot picks windows, with their hash. What a task finds to be repeated there is packed, ``sure`` set, with a bucket as ``route``."""
+    kind = {"doc_id": pa.int64(), "mark": pa.int64(), "at": pa.int64(), "route": pa.int64(), "sure": pa.bool_(), "part": pa.binary()}
+
+    def strings(doc, mark, at, route, part) -> pa.RecordBatch:
+        return pa.record_batch({k: pa.array(v, t) for (k, t), v in zip(kind.items(), (doc, mark, at, route, [None] * len(part), part), strict=True)})
+
+    def windows(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        w = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, np.uint8), SPAN) for *_, p in held])
+        n = [len(p) - SPAN + 1 for *_, p in held]
+        doc, mark = (np.repeat(np.array([h[i] for h in held], np.int64), n) for i in (0, 1))
+        at = np.concatenate([np.arange(a, a + k) for (_, _, a, _), k in zip(held, n, strict=True)])
+        _, same = np.unique(np.ascontiguousarray(w).view(f"S{SPAN}").ravel(), return_inverse=True)
+        first, others = earliest(same, doc, mark, at)
+        rec = np.zeros(len(others), RECORD)
+        rec["doc"], rec["mark"], rec["at"], rec["n"] = doc[others], mark[others], at[others], 1
+        rec = in_runs(rec)
+        gone = list(in_buckets(rec, rec["doc"].astype(np.uint64) % np.uint64(buckets)))
+        none = [None] * len(gone)
+        yield pa.record_batch({k: pa.array(v, t) for (k, t), v in zip(kind.items(), (none, none, none, [k for k, _ in gone], [True] * len(gone), [b for _, b in gone]), strict=True)})
+        for i in range(0, len(first), 50_000):
+            x = first[i : i + 50_000]
+            part = [r.tobytes() for r in w[x]]
+            route = np.array([xxhash.xxh3_64_intdigest(p) for p in part], np.uint64).view(np.int64)
+            yield strings(doc[x], mark[x], at[x], route, part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[int, int, int, bytes]] = []
         n_held = 0
         for batch in batches:
             rows = []
@@ -398,22 +431,22 @@ def fetch(buckets: int):
                     a, n = divmod(x["code"], 1024)
                     part = raw[a : a + n + SPAN - 1].to_pybytes()
                     if x["hot"]:
-                        held.append(windows(part, i, m, a))
+                        held.append((i, m, a, part))
                         n_held += n
+                        if n_held >= WINDOWS:
+                            yield from windows(held)
+                            held, n_held = [], 0
                     else:
                         rows.append((i, m, a, x["route"], part))
-            yield strings(rows)
-            if n_held >= BLOCK:
-                yield packed(held)
-                held, n_held = [], 0
+            yield strings(*(list(c) for c in zip(*rows, strict=True)) if rows else ([],) * 5)
         if held:
-            yield packed(held)
+            yield from windows(held)
 
     return run
 
 
 def compare(t: pa.Table, at_once: int = AT_ONCE) -> pa.Table:
-    """Two-stage suffix sorting over the strings of a bucket, those of some picks at a time; windows of hot picks meet."""
+    """Two-stage suffix sorting over the strings of a bucket, those of some routes at a time; in buckets of sure repeats nothing is left to compare."""
     if t.column("sure").null_count < len(t):
         met = meet(t.select(["sure", "part"]).rename_columns(["sure", "blob"]))
         return met.filter(pc.is_null(met.column("route"))).select(["doc_id", "mark", "code"])

@@ -856,3 +856,31 @@ def test_merkle_of_text_without_borders(spark):
     assert all(like > 0.9 for like, _ in got.values())
     assert got[2][0] > 0.999
     assert len(got[0][1].split("-")) > 60
+
+
+def test_suffix_tells_stretches_apart_by_both_halves():
+    rec = np.zeros(6, suffix.RECORD)
+    rec["pick"], rec["digest"], rec["more"], rec["doc"] = 7, 9, [1, 2, 1, 2, 1, 3], [5, 4, 3, 2, 1, 0]
+    out, repeat = suffix.repeats_of_first(rec)
+    assert [(int(r["more"]), int(r["doc"]), bool(x)) for r, x in zip(out, repeat, strict=True)] == [(1, 1, False), (1, 3, True), (1, 5, True), (2, 2, False), (2, 4, True), (3, 0, False)]
+    assert suffix.starts(out).tolist() == [True, False, False, True, False, True]
+
+
+def test_suffix_windows_of_hot_picks_by_hand():
+    """Of windows that a task holds, each different one goes on once, with its bytes; the others are repeats."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab\0") for _ in range(104)) for _ in range(3)]
+    texts += [texts[0], texts[1][:103] + "z"]
+    asks = [[{"code": 5, "route": 1, "hot": True}] for _ in texts]
+    batch = pa.record_batch({"doc_id": pa.array([3, 1, 2, 0, 9]), "text": pa.array(texts), "mark": pa.array([0] * 5), "asks": pa.array(asks)})
+    rows = [x for out in suffix.fetch(4)(iter([batch])) for x in out.to_pylist()]
+    sent = {(x["doc_id"], x["at"]): x["part"] for x in rows if x["sure"] is None}
+    gone = {(int(g["doc"]), int(g["at"]) + k) for x in rows if x["sure"] for g in suffix._unpacked(x["part"]) for k in range(g["n"])}
+    first = {}
+    for i, t in sorted(zip([3, 1, 2, 0, 9], texts, strict=True)):
+        for k in range(5):
+            first.setdefault(t[k : k + 100].encode(), (i, k))
+    assert sent == {place: part for part, place in first.items()}
+    assert gone == {(i, k) for i in (3, 1, 2, 0, 9) for k in range(5)} - set(sent)
