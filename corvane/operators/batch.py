@@ -59,9 +59,25 @@ def run(spark: SparkSession, sql: str, args: Mapping[str, Any] | Sequence[Any] |
     return spark.sql(sql, args=args) if args else spark.sql(sql)
 
 
-def fetch_list(df: DataFrame, transform: Callable | None = None) -> list:
-    """All rows through a function, or their first column. For results that are known to be small."""
-    return [transform(r) if transform else r[0] for r in df.collect()]
+#: Rows of a result that the driver takes.
+MOST_ROWS = 1_000_000
+
+
+class TooManyRows(RuntimeError):
+    pass
+
+
+def fetched(df: DataFrame, most: int = MOST_ROWS) -> list:
+    """All rows on the driver; raises, before it holds more, if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise TooManyRows(f"a result of more than {most} rows; write it, or raise the bound")
+    return rows
+
+
+def fetch_list(df: DataFrame, transform: Callable | None = None, most: int = MOST_ROWS) -> list:
+    """All rows through a function, or their first column."""
+    return [transform(r) if transform else r[0] for r in fetched(df, most)]
 
 
 def fetch_one(df: DataFrame, default: Any = None) -> Any:
@@ -84,8 +100,8 @@ class Batch:
         self._queued.append((f, work))
         return f
 
-    def query(self, df: DataFrame) -> Future:
-        return self._queue(df.collect)
+    def query(self, df: DataFrame, most: int = MOST_ROWS) -> Future:
+        return self._queue(lambda: fetched(df, most))
 
     def single(self, df: DataFrame, *order: str | Column) -> Future:
         """First row by ``order``, or None."""

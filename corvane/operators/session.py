@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import writes
 from corvane.operators.reader import Reader
-from corvane.operators.writes import Mode, Op
+from corvane.operators.writes import Mode, Op, Role
 
 
 @dataclass
@@ -26,8 +26,7 @@ class Session:
     mode: Mode = Mode.OFF
     checks: bool = True
     _read: list[DataFrame] = field(default_factory=list)
-    _queued: list[tuple[Op, DataFrame]] = field(default_factory=list)
-    _deleted: list[DataFrame] = field(default_factory=list)
+    _queued: list[tuple[Role, Op | None, DataFrame]] = field(default_factory=list)
 
     def load_many(self, ids: list[Any] | DataFrame) -> DataFrame:
         got = self.reader.load_many(ids)
@@ -46,7 +45,8 @@ class Session:
 
     def queue(self, op: Op, rows: DataFrame) -> None:
         """``id, data``, with ``new_version`` where optimistic and ``revision`` where numeric."""
-        self._queued.append((Op.OVERWRITE if op is Op.UPSERT and self.mode is not Mode.OFF and not self.checks else op, rows))
+        op = Op.OVERWRITE if op is Op.UPSERT and self.mode is not Mode.OFF and not self.checks else op
+        self._queued.append((op.role, op, rows))
 
     def queue_changes(self, after: DataFrame) -> None:
         """What differs from the JSON as it was read."""
@@ -54,17 +54,25 @@ class Session:
             self.queue(Op.UPSERT, after.join(writes.changes(df.select("id", F.col("as_read").alias("data")), after).select("id"), "id", "left_semi"))
 
     def delete(self, ids: DataFrame) -> None:
-        self._deleted.append(ids.select("id"))
+        self._queued.append((Role.DELETION, None, ids.select("id")))
+
+    def pending(self) -> list[Role]:
+        """What is queued, in the order in which ``save`` carries it out: deletions after all writes."""
+        return [role for role, *_ in self._ordered()]
+
+    def _ordered(self) -> list[tuple[Role, Op | None, DataFrame]]:
+        return sorted(self._queued, key=lambda q: q[0] is Role.DELETION)
 
     def save(self, current: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """The next table, and the rejections of each queued batch in turn. The queue is empty then."""
         refused, known = [], self.known()
-        for op, rows in self._queued:
+        for role, op, rows in self._ordered():
+            if role is Role.DELETION:
+                current = writes.hard_delete(current, rows)
+                continue
             if self.mode is Mode.OPTIMISTIC:
                 rows = rows.join(known, "id", "left") if known is not None else rows.withColumn("expected", F.lit(None).cast("string"))
             plan = writes.plan_write(current, rows.withColumn("op_seq", F.lit(0).cast("long")), op, self.mode)
             current, refused = writes.next_state(plan), [*refused, writes.rejections(plan)]
-        for ids in self._deleted:
-            current = writes.hard_delete(current, ids)
-        self._queued, self._deleted = [], []
+        self._queued = []
         return current, refused

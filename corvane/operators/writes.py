@@ -18,20 +18,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+class Role(Enum):
+    """What an operation does to a store."""
+
+    UPSERT, INSERT, UPDATE, DELETION, PATCH, OTHER, EVENTS = range(7)
+
+
 class Op(Enum):
     INSERT, UPDATE, UPSERT, OVERWRITE = "insert", "update", "upsert", "overwrite"
 
+    @property
+    def role(self) -> Role:
+        return {Op.INSERT: Role.INSERT, Op.UPDATE: Role.UPDATE}.get(self, Role.UPSERT)
+
 
 class Mode(Enum):
     OFF, OPTIMISTIC, NUMERIC = "off", "optimistic", "numeric"
 
 
-class Role(Enum):
-    """What an operation does to a store."""
-
-    UPSERT, INSERT, UPDATE, DELETION, PATCH, OTHER, EVENTS = range(7)
-
-
 class BulkMode(Enum):
     INSERTS_ONLY, IGNORE_DUPLICATES, OVERWRITE_EXISTING, OVERWRITE_IF_VERSION_MATCHES = range(4)
 

@@ -12,13 +12,18 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import datetime as dt
+import decimal
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from enum import Enum, IntEnum
 from pathlib import Path
+from types import UnionType
+from typing import Any, get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -586,6 +591,51 @@ def create_synonym(spark: SparkSession, name: str, target: str) -> None:
     create_view(spark, name, f"SELECT * FROM {target}")
 
 
+#: Logical types of Python's.
+PYTHON_TYPES = {bool: "bool", int: "long", float: "double", str: "string", bytes: "binary", dt.datetime: "timestamp", dt.date: "date", dt.timedelta: "interval", decimal.Decimal: "decimal", uuid.UUID: "guid", dict: "json"}
+
+
+def logical_type(kind: Any) -> tuple[str, bool]:
+    """Of a Python type, and whether None is among its values. A list is an array, an enum its number (its name, if its values are texts)."""
+    some = [x for x in get_args(kind) if x is not type(None)] if isinstance(kind, UnionType) else []
+    if some:
+        return logical_type(some[0])[0], len(some) < len(get_args(kind))
+    if get_origin(kind) is list:
+        return f"{logical_type(get_args(kind)[0])[0]}[]", False
+    if isinstance(kind, type) and issubclass(kind, Enum):
+        return ("enum_text" if issubclass(kind, str) or all(isinstance(x.value, str) for x in kind) else "enum"), False
+    return PYTHON_TYPES[get_origin(kind) or kind], False
+
+
+def from_models(schema: str, *models: type) -> list[Table]:
+    """Tables of dataclasses, parents first.
+
+    A field's metadata may say ``name``, ``type``, ``key``, ``unique``, ``index``, ``check``, ``default``, ``computed`` and
+    ``refers`` (a model, with ``on_delete`` and ``on_update``); a model may have a name for its table in ``table``.
+    A base class that is a dataclass without a ``table`` of its own shares its fields.
+    """
+    names = {m: m.__dict__.get("table") or m.__name__.lower() for m in models}
+    keys = {m: tuple(f.metadata.get("name", f.name) for f in fields(m) if f.metadata.get("key")) for m in models}
+    out = {}
+    for m in models:
+        t, kinds = names[m], get_type_hints(m)
+        columns, refers, indexes, checks = [], [], [], []
+        for f in fields(m):
+            said, name = f.metadata, f.metadata.get("name", f.name)
+            kind, none = logical_type(kinds[f.name])
+            columns.append(Column(name, said.get("type", kind), none, said.get("default"), said.get("computed")))
+            if up := said.get("refers"):
+                if len(keys[up]) != 1:
+                    raise ValueError(f"{t}.{name} refers to {names[up]}, whose key isn't one column")
+                refers.append(ForeignKey(f"fk_{t}_{name}", (name,), names[up], keys[up], said.get("on_delete", Cascade.NO_ACTION.name), said.get("on_update", Cascade.NO_ACTION.name)))
+            if said.get("unique") or said.get("index"):
+                indexes.append(Index(f"idx_{t}_{name}", (name,), unique=bool(said.get("unique"))))
+            if said.get("check"):
+                checks.append(Check(f"ck_{t}_{name}", said["check"]))
+        out[t] = Table(schema, t, tuple(columns), keys[m], tuple(refers), tuple(indexes), tuple(checks))
+    return [out[n] for n in topological(list(out), {t: {f.table for f in x.foreign_keys} for t, x in out.items()})]
+
+
 def snapshot(tables: Iterable[Table]) -> str:
     return json.dumps([asdict(t) for t in tables], indent=1, sort_keys=True)
 

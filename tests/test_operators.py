@@ -11,7 +11,7 @@ from corvane.functions import registry, scalar
 from corvane.operators import batch, ordering, partition, reader, tenancy, writes
 from corvane.operators import predicate as P
 from corvane.operators.session import Session
-from corvane.operators.writes import BulkMode, Mode, Op
+from corvane.operators.writes import BulkMode, Mode, Op, Role
 from corvane.streaming import events as ev
 
 
@@ -474,3 +474,42 @@ def test_session(spark):
     free = Session(reader.Reader(cur), Mode.OPTIMISTIC, checks=False)
     free.queue(Op.UPSERT, spark.createDataFrame([(3, "{}", "n3")], "id int, data string, new_version string"))
     assert (3, "{}", "n3") in map(tuple, free.save(cur)[0].collect())
+
+
+def test_results_on_the_driver_have_a_bound(spark):
+    rows = spark.range(12)
+    assert len(batch.fetch_list(rows, most=12)) == 12
+    b = batch.Batch()
+    many, few = b.query(rows, most=5), b.query(rows.limit(5), most=5)
+    b.execute()
+    assert len(few.result()) == 5
+    with pytest.raises(batch.TooManyRows):
+        many.result()
+
+
+def test_roles_of_a_session(spark):
+    rows = spark.createDataFrame([("a", "{}"), ("b", "{}")], "id string, data string")
+    s = Session(reader.Reader(rows), Mode.OFF)
+    s.delete(rows.where("id = 'c'").select("id"))
+    s.queue(Op.INSERT, spark.createDataFrame([("c", "1"), ("d", "2")], "id string, data string"))
+    s.delete(spark.createDataFrame([("c",), ("a",)], "id string"))
+    s.queue(Op.OVERWRITE, rows.where("id = 'b'"))
+    assert s.pending() == [Role.INSERT, Role.UPSERT, Role.DELETION, Role.DELETION]
+    after, refused = s.save(rows)
+    assert sorted(r["id"] for r in after.collect()) == ["b", "d"]
+    assert len(refused) == 2
+    assert s.pending() == []
+
+
+def test_versions_of_a_hot_stream(spark):
+    rows = [("t", "hot" if i % 3 else "cold", i, f"e{i}") for i in range(90)] + [(None, "hot", 500 + i, "n") for i in range(3)]
+    events = spark.createDataFrame(rows, "tenant_id string, stream_id string, op_seq long, id string").repartition(5)
+    streams = spark.createDataFrame([("t", "hot", 7)], "tenant_id string, stream_id string, version long")
+    got = sorted((r["seq_id"], r["tenant_id"], r["version"]) for r in ev.plan_append(streams, events, first_seq=10).collect())
+    count = {"hot": 7, "cold": 0}
+    want = []
+    for n, (t, s, _, _) in enumerate(rows):
+        key = s if t else "null"
+        count[key] = count.get(key, 0) + 1
+        want.append((10 + n, t, count[key]))
+    assert got == want

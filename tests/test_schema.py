@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from dataclasses import replace
+import datetime as dt
+from dataclasses import dataclass, field, replace
+from enum import Enum
 
 import pytest
 
@@ -282,3 +284,49 @@ def test_databases_locks_and_settings(spark, clean, tmp_path):
     assert s.read(spark) == s.values
     r = admin.MultiReader([spark.range(2), spark.range(3)])
     assert len(list(r.rows())) == 2 and r.next_result() and len(list(r.rows())) == 3 and not r.next_result()
+
+
+class Colour(Enum):
+    RED, BLUE = 1, 2
+
+
+@dataclass
+class Named:
+    id: int = field(metadata={"key": True})
+    name: str | None = field(metadata={"index": True})
+
+
+@dataclass
+class Owner(Named):
+    table = "owners"
+    born: dt.date | None
+
+
+@dataclass
+class Thing(Named):
+    owner: int | None = field(metadata={"name": "owner_id", "refers": Owner, "on_delete": "CASCADE"})
+    tags: list[str]
+    colour: Colour
+    price: float = field(metadata={"check": "price > 0", "default": "1.5"})
+
+
+def test_models_become_tables(spark):
+    tables = S.from_models("models_db", Thing, Owner)
+    assert [t.name for t in tables] == ["owners", "thing"]
+    thing = tables[1]
+    assert [(c.name, c.type, c.nullable) for c in thing.columns] == [("id", "long", False), ("name", "string", True), ("owner_id", "long", True), ("tags", "string[]", False), ("colour", "enum", False), ("price", "double", False)]
+    assert thing.key == ("id",)
+    assert [(k.columns, k.table, k.linked, k.on_delete) for k in thing.foreign_keys] == [(("owner_id",), "owners", ("id",), "CASCADE")]
+    assert [i.columns for i in thing.indexes] == [("name",)]
+    assert [c.expression for c in thing.checks] == ["price > 0"]
+    try:
+        store = S.Store(spark, tables)
+        assert store.apply() is S.Difference.CREATE
+        store.assert_matches()
+        # a snapshot of the models and a later one: what to do, and what undoes it
+        wider = replace(thing, columns=(*thing.columns, S.Column("more", "int")))
+        up, down = S.snapshot_changes(S.from_snapshot(S.snapshot(tables)), [tables[0], wider])
+        assert [a.kind for a in up] == ["add column", "model"]
+        assert [a.kind for a in down] == ["model", "add column"]
+    finally:
+        S.drop_schema(spark, "models_db")
