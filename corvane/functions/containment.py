@@ -105,7 +105,7 @@ class JsonIndex:
         dense_index(x.withColumn("_h", F.xxhash64("data")), "id", "_h", name="n").select("n", "id", "data").write.parquet(f"{folder}/documents")
         rows = docs.sparkSession.read.parquet(f"{folder}/documents").select("n", F.try_parse_json("data").alias("v"))
         block, doc = F.floor(F.col("n") / BLOCK), (F.col("n") % BLOCK).cast("int")
-        lists = leaves(rows).groupBy("leaf", block.alias("block")).agg(F.sort_array(F.collect_set(doc)).alias("docs"))
+        lists = cut(leaves(rows).groupBy("leaf", block.alias("block")).agg(F.sort_array(F.collect_set(doc)).alias("docs")))
         write_ordered(lists, f"{folder}/lists", Index("leaves", ("leaf", "block")), file_rows, options={"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"})
         return cls(docs.sparkSession, folder)
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.stemmer import stem
+from corvane.operators.lineage import cut
 from corvane.operators.ordering import dense_index
 from corvane.sources.indexes import write_ordered
 from corvane.sources.schema import Index
@@ -96,7 +97,7 @@ class FullText:
         lists = places.groupBy("word", "block").agg(F.collect_list(F.struct("doc", "at")).alias("places"))
         lists = lists.groupBy(stem(F.col("word")).alias("term"), "block").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
         part = lambda c: F.transform("places", lambda p: p[c]).alias(c)
-        lists = lists.select("term", "block", part("doc"), part("at"))
+        lists = cut(lists.select("term", "block", part("doc"), part("at")))  # counted, sampled and written
         write_ordered(lists, f"{folder}/lists", Index("terms", ("term", "block")), file_rows, options={"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"})
         return cls(spark, folder)
 
