@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared"))
     return named or sc.getCheckpointDir()
@@ -28,3 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one as a path of the file system, for what needs links or a library's own files; raises where it is in another store."""
+    folder = re.sub(r"^file:/+", "/", shared_folder(spark))
+    if not folder.startswith("/"):
+        raise ValueError(f"{folder} is no path of the file system")
+    out = os.path.join(folder, f"{kind}-{uuid.uuid4().hex}")
+    os.makedirs(out)
+    return out

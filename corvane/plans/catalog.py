@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from corvane.functions import registry, scalar
 from corvane.operators import batch, ordering, partition, reader, tenancy, writes
 from corvane.operators import predicate as P
-from corvane.operators.lineage import cut
+from corvane.operators.lineage import cut, shared_path
 from corvane.operators.session import Session
 from corvane.operators.writes import BulkMode, Mode, Op
 from corvane.sources import admin, names, schema
@@ -746,7 +745,7 @@ def id_time_ordered(spark, d):
 
 @query("id_hilo_stored", "SELECT o_orderkey, CASE WHEN i < h THEN i + 1 ELSE ((h + 99) // 100) * 100 + i - h + 1 END AS id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) - 1 AS i, count(*) FILTER (WHERE o_orderkey % 2 = 0) OVER () AS h FROM orders)")
 def id_hilo_stored(spark, d):
-    o, ids = table(spark, d, "orders").select("o_orderkey"), admin.HiLo(tempfile.mkdtemp(prefix="hilo"), "orders", 100)
+    o, ids = table(spark, d, "orders").select("o_orderkey"), admin.HiLo(shared_path(spark, "hilo"), "orders", 100)
     even, odd = (ids.assign(o.where(F.col("o_orderkey") % 2 == r), "o_orderkey") for r in (0, 1))  # as two drivers would, one after the other
     return even.unionByName(odd)
 
@@ -1030,7 +1029,7 @@ def store_apply_once(spark, d):
     with database(spark) as db:
         t = declared(table(spark, d, "region"), db, "region")
         wide = schema.Table(db, "region", (*t.columns, schema.Column("more", "int")))
-        folder = tempfile.mkdtemp(prefix="stores")
+        folder = shared_path(spark, "stores")
         out = [(who, schema.Store(spark, [x], folder=folder).apply().name) for who, x in (("first", t), ("second", t), ("wider", wide))]
     return spark.createDataFrame(out, "who string, did string")
 

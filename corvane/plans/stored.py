@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import containment, fulltext, registry, stemmer
 from corvane.operators import cascade, intervals
 from corvane.operators import predicate as P
-from corvane.operators.lineage import cut, shared_folder
+from corvane.operators.lineage import cut, shared_folder, shared_path
 from corvane.operators.materialized import Stored
 from corvane.operators.reader import Reader
 from corvane.operators.ranges import RangeTable
@@ -331,7 +331,7 @@ def udf_fold_python(spark, d):
 def source_tenant_databases(spark, d):
     """Customers of two tenants, of a database for each nation."""
     x = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey", "c_name", "c_acctbal")
-    folder = place(spark, "databases")
+    folder = shared_path(spark, "databases")
     databases.write(x, folder, "customer", "n_name")
     some = P.And(P.in_array("tenant_id", ["NATION_3", "NATION_11"]), P.compare("c_acctbal", ">", 100.0))
     return databases.rows(spark, "customer", some, folder=folder).select("tenant_id", "c_custkey", "c_acctbal")
