@@ -16,7 +16,8 @@ the pick a routing key: all that can match lands in one bucket, and no bucket ne
    many that fit together are taken at a time, however large the bucket.
 4. *Hot picks*: the strings of a pick with over ``MOST_STRINGS`` different ones (the variants of a passage
    that very many documents hold) don't go to one task. They are cut into windows; of windows with equal
-   bytes a task keeps one, and each goes by its own hash to the bucket where it is sorted like any string.
+   bytes a task keeps one, and each goes by its own hash to a bucket. There they are sorted by their bytes:
+   of a string of ``SPAN`` bytes no suffix but itself is long enough to count.
 
 Stretches are told apart by a digest of 128 bits beside the pick; what is compared further is compared by
 its bytes.
@@ -395,11 +396,11 @@ def earliest(same: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray
 
 
 def fetch(buckets: int):
-    """The bytes of the stretches to compare, with their pick as ``route``; of hot picks windows, with their hash. What a task finds to be repeated there is packed, ``sure`` set, with a bucket as ``route``."""
+    """The bytes of the stretches to compare, with their pick as ``route``; of hot picks windows, with their hash, ``sure`` false. What a task finds to be repeated there is packed, ``sure`` set, with a bucket as ``route``."""
     kind = {"doc_id": pa.int64(), "mark": pa.int64(), "at": pa.int64(), "route": pa.int64(), "sure": pa.bool_(), "part": pa.binary()}
 
-    def strings(doc, mark, at, route, part) -> pa.RecordBatch:
-        return pa.record_batch({k: pa.array(v, t) for (k, t), v in zip(kind.items(), (doc, mark, at, route, [None] * len(part), part), strict=True)})
+    def strings(doc, mark, at, route, part, sure=None) -> pa.RecordBatch:
+        return pa.record_batch({k: pa.array(v, t) for (k, t), v in zip(kind.items(), (doc, mark, at, route, [sure] * len(part), part), strict=True)})
 
     def windows(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         w = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, np.uint8), SPAN) for *_, p in held])
@@ -418,7 +419,7 @@ def fetch(buckets: int):
             x = first[i : i + 50_000]
             part = [r.tobytes() for r in w[x]]
             route = np.array([xxhash.xxh3_64_intdigest(p) for p in part], np.uint64).view(np.int64)
-            yield strings(doc[x], mark[x], at[x], route, part)
+            yield strings(doc[x], mark[x], at[x], route, part, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -445,11 +446,25 @@ def fetch(buckets: int):
     return run
 
 
+def repeated_whole(t: pa.Table) -> np.ndarray:
+    """Rows (doc, mark, code) of the windows, of ``SPAN`` bytes each, that stand earlier elsewhere."""
+    doc, mark, at = (t.column(c).to_numpy() for c in ("doc_id", "mark", "at"))
+    windows = np.frombuffer(b"".join(x.as_buffer() for x in t.column("part")), f"S{SPAN}")
+    others = earliest(np.unique(windows, return_inverse=True)[1], doc, mark, at)[1]
+    rec = np.zeros(len(others), RECORD)
+    rec["doc"], rec["mark"], rec["at"], rec["n"] = doc[others], mark[others], at[others], 1
+    rec = in_runs(rec)
+    return np.stack([rec["doc"], rec["mark"], rec["at"].astype(np.int64) * 1024 + rec["n"]], axis=1)
+
+
 def compare(t: pa.Table, at_once: int = AT_ONCE) -> pa.Table:
     """Two-stage suffix sorting over the strings of a bucket, those of some routes at a time; in buckets of sure repeats nothing is left to compare."""
-    if t.column("sure").null_count < len(t):
+    if pc.any(t.column("sure")).as_py():
         met = meet(t.select(["sure", "part"]).rename_columns(["sure", "blob"]))
         return met.filter(pc.is_null(met.column("route"))).select(["doc_id", "mark", "code"])
+    is_window = pc.equal(t.column("sure"), False).fill_null(False)
+    rows = [repeated_whole(t.filter(is_window))]
+    t = t.filter(pc.invert(is_window))
     doc, mark, at, route = (t.column(c).to_numpy() for c in ("doc_id", "mark", "at", "route"))
     by = np.argsort(route, kind="stable")
     size = np.cumsum(pc.binary_length(t.column("part")).to_numpy()[by])
@@ -459,7 +474,7 @@ def compare(t: pa.Table, at_once: int = AT_ONCE) -> pa.Table:
     for x in np.split(by, head[1:][which[1:] != which[:-1]]):
         parts = t.column("part").take(pa.array(x)).to_pylist()
         found += [(doc[x[p]], mark[x[p]], (int(at[x[p]]) + f) * 1024 + n) for p, f, n in repeated_windows(parts, doc[x], mark[x], at[x])]
-    out = np.array(found, np.int64).reshape(-1, 3)
+    out = np.concatenate([*rows, np.array(found, np.int64).reshape(-1, 3)])
     return pa.table({"doc_id": out[:, 0], "mark": out[:, 1], "code": out[:, 2]})
 
 
@@ -511,7 +526,7 @@ def dedup(docs: DataFrame, buckets: int | None = None, most_strings: int = MOST_
     ask = met.where(F.col("route").isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("code", "route", "hot")).alias("asks"))
     parts = docs.join(ask, row, "left").where(F.col("asks").isNotNull()).select("doc_id", "text", "mark", "asks")
     parts = parts.mapInArrow(fetch(buckets), "doc_id long, mark long, at long, route long, sure boolean, part binary")
-    parts = parts.withColumn("bucket", F.when(F.col("sure").isNull(), F.pmod(F.xxhash64("route"), F.lit(buckets))).otherwise(F.col("route") + buckets))
+    parts = parts.withColumn("bucket", F.when(F.coalesce("sure", F.lit(False)), F.col("route") + buckets).otherwise(F.pmod(F.xxhash64("route"), F.lit(buckets))))
     compared = parts.groupBy("bucket").applyInArrow(lambda t: compare(t, at_once), "doc_id long, mark long, code long")
 
     gone = met.where(F.col("route").isNull()).select(*row, "code").unionByName(compared)

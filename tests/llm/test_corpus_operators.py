@@ -876,7 +876,7 @@ def test_suffix_windows_of_hot_picks_by_hand():
     asks = [[{"code": 5, "route": 1, "hot": True}] for _ in texts]
     batch = pa.record_batch({"doc_id": pa.array([3, 1, 2, 0, 9]), "text": pa.array(texts), "mark": pa.array([0] * 5), "asks": pa.array(asks)})
     rows = [x for out in suffix.fetch(4)(iter([batch])) for x in out.to_pylist()]
-    sent = {(x["doc_id"], x["at"]): x["part"] for x in rows if x["sure"] is None}
+    sent = {(x["doc_id"], x["at"]): x["part"] for x in rows if x["sure"] is False}
     gone = {(int(g["doc"]), int(g["at"]) + k) for x in rows if x["sure"] for g in suffix._unpacked(x["part"]) for k in range(g["n"])}
     first = {}
     for i, t in sorted(zip([3, 1, 2, 0, 9], texts, strict=True)):
