@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corvane.llm import common
 
 #: What happens to a host (with its subdomains) and a path's beginning.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ORDER = 5
 #: One of so many folds of ids is kept for the threshold, which is sought among multiples of ``BIN``.
 FOLDS, BIN = 10, 0.002
