@@ -4,8 +4,9 @@
 through a CASCADE key are deleted too, and so on, through references of a table to itself and through
 cycles, until nothing is added. In each turn only the keys deleted in the turn before travel, so a turn
 costs a semi join for each key that they meet; the number of turns is the longest chain of references.
-Every turn's keys are checkpointed. References may crowd on few keys: the joins' left sides are the rows
-that refer, whose crowded parts adaptive execution splits, and the right sides hold a key once.
+Every turn's keys are written once, and later turns read the files: a checkpoint would carry what is known of
+its rows' values on into the plans of all later turns, and that doubles with each. References may crowd on few keys: the
+joins' left sides are the rows that refer, whose crowded parts adaptive execution splits, and the right sides hold a key once.
 
 Of rows that aren't deleted, SET NULL and SET DEFAULT keys lose their reference. RESTRICT refuses a
 delete that any row refers to, even one that goes too; NO ACTION refuses what still dangles in the end.
@@ -29,7 +30,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.lineage import cut
+from corvane.operators.lineage import cut, written
 from corvane.sources.schema import Cascade, ForeignKey
 
 
@@ -82,8 +83,16 @@ def _named(e: Entity, name: str, k: ForeignKey, rows: DataFrame) -> DataFrame:
 
 def reached(entities: dict[str, Entity], start: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """By table, the keys of the rows that a delete of ``start`` (keys by table) takes along."""
-    gone: dict[str, DataFrame] = {t: cut(keys.select(*entities[t].key).join(entities[t].rows.select(*entities[t].key), list(entities[t].key), "left_semi").distinct()) for t, keys in start.items()}
-    new = dict(gone)
+    spark = next(iter(entities.values())).rows.sparkSession
+    folders: dict[str, list[str]] = {}
+
+    def kept(t: str, keys: DataFrame) -> DataFrame:
+        folder = written(keys)
+        folders.setdefault(t, []).append(folder)
+        return spark.read.schema(keys.schema).parquet(folder)
+
+    all_of = lambda t: spark.read.schema(entities[t].rows.select(*entities[t].key).schema).parquet(*folders[t])
+    new = {t: kept(t, entities[t].rows.select(*entities[t].key).join(keys.select(*entities[t].key), list(entities[t].key), "left_semi").distinct()) for t, keys in start.items()}
     while new:
         met: dict[str, list[DataFrame]] = {}
         for child, e in entities.items():
@@ -94,12 +103,11 @@ def reached(entities: dict[str, Entity], start: dict[str, DataFrame]) -> dict[st
         new = {}
         for child, parts in met.items():
             key = list(entities[child].key)
-            x = _union(parts).distinct()
-            x = cut(x.join(gone[child], key, "left_anti") if child in gone else x)
+            x = _union(parts)
+            x = kept(child, (x.join(all_of(child), key, "left_anti") if child in folders else x).distinct())
             if not x.isEmpty():
                 new[child] = x
-                gone[child] = cut(gone[child].unionByName(x)) if child in gone else x
-    return gone
+    return {t: all_of(t) for t in folders}
 
 
 def _without(e: Entity, gone: DataFrame | None) -> DataFrame:

@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> str:
+    """A new folder in the shared one with the rows of ``df``, as Parquet."""
+    out = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return out
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new folder in the shared one as a path of the file system, for what needs links or a library's own files; raises where it is in another store."""
     folder = re.sub(r"^file:/+", "/", shared_folder(spark))
