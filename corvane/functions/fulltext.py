@@ -1,6 +1,7 @@
 """Full-text index: stems, where they stand, and searches that read the lists of their own words only.
 
-Documents are numbered densely; a list of a stem is cut into blocks of ``BLOCK`` documents, so that a
+Texts are written once, where they lie, and numbered densely; a task gathers the places of each stem in its batches of
+texts, and only these lists travel, once, to the range of their stem and block. A list of a stem is cut into blocks of ``BLOCK`` documents, so that a
 word which all documents hold is many rows, none of them large. A row has the stem's places in its block,
 sorted: the document within the block and the word's position. Rows are written in ranges of (stem,
 block) with bloom filters, in Parquet's delta encoding, which is what compresses sorted numbers.
@@ -17,21 +18,27 @@ search of stop words alone finds nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.stemmer import stem
-from corvane.operators.lineage import cut
-from corvane.operators.ordering import dense_index
-from corvane.sources.indexes import write_ordered
+from corvane.functions.stemmer import stem, stem_word
+from corvane.operators.lineage import written
+from corvane.operators.ordering import read_numbered, write_numbered
+from corvane.sources.indexes import write_sorted
 from corvane.sources.schema import Index
 
 #: Documents of a block.
 BLOCK = 4096
+#: Places of a range of lists, which a task sorts.
+RANGE_PLACES = 4_000_000
+LISTS = "term string, block long, doc array<int>, at array<int>"
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Words that English texts aren't searched for.
 STOPS = (
@@ -72,11 +79,30 @@ def phrase(text: str) -> Search:
     return Search("phrase", tuple(text.split()))
 
 
-def words_of(docs: DataFrame, text: str) -> DataFrame:
-    """The other columns with ``at`` and ``word`` of each word; stop words are left out."""
-    rest = [c for c in docs.columns if c != text]
-    x = docs.select(*rest, F.posexplode(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), SPLIT, -1)).alias("at", "word"))
-    return x.where((F.col("word") != "") & ~F.col("word").isin(*STOPS))
+def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, block, doc, at``: by stem and block the places in a batch of ``block, doc, words``; stop words are left out."""
+    for batch in batches:
+        column = batch.column(2)
+        size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        encoded = column.flatten().dictionary_encode()
+        said = encoded.dictionary.to_pylist()
+        numbers: dict[str, int] = {}
+        stops = {"", *STOPS}
+        of = np.array([-1 if w in stops else numbers.setdefault(stem_word(w), len(numbers)) for w in said], np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        term = of[encoded.indices.to_numpy()] if len(said) else np.empty(0, np.int64)
+        keep = np.flatnonzero(term >= 0)
+        blocks, block = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        key = term[keep] * len(blocks) + block[row[keep]]
+        by = np.argsort(key, kind="stable")
+        key, keep = key[by], keep[by]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = pa.array(np.append(first, len(key)).astype(np.int32))
+        terms = pa.array(list(numbers), pa.string())
+        listed = lambda x: pa.ListArray.from_arrays(ends, pa.array(x[keep].astype(np.int32)))  # noqa: B023, E731
+        doc = batch.column(1).to_numpy()[row]
+        yield pa.record_batch({"term": terms.take(pa.array(key[first] // max(1, len(blocks)))), "block": pa.array(blocks[key[first] % max(1, len(blocks))], pa.int64()), "doc": listed(doc), "at": listed(at)})
 
 
 @dataclass(frozen=True)
@@ -88,17 +114,22 @@ class FullText:
     def build(cls, docs: DataFrame, id_: str, text: str, folder: str, file_rows: int = 200_000) -> FullText:
         """An index over ``text`` of all rows, written under ``folder``."""
         spark = docs.sparkSession
-        x = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
-        dense_index(x.withColumn("_h", F.xxhash64("text")), "id", "_h", name="n").select("n", "id", "text").write.parquet(f"{folder}/documents")
-        numbered = spark.read.parquet(f"{folder}/documents")
+        write_numbered(docs.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text")), f"{folder}/documents")
+        words = F.split(F.lower(F.coalesce("text", F.lit(""))), SPLIT, -1)
         block, doc = F.floor(F.col("n") / BLOCK), (F.col("n") % BLOCK).cast("int")
-        places = words_of(numbered.select(block.alias("block"), doc.alias("doc"), "text"), "text")
-        # each word of a block is stemmed once
-        lists = places.groupBy("word", "block").agg(F.collect_list(F.struct("doc", "at")).alias("places"))
-        lists = lists.groupBy(stem(F.col("word")).alias("term"), "block").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
-        part = lambda c: F.transform("places", lambda p: p[c]).alias(c)
-        lists = cut(lists.select("term", "block", part("doc"), part("at")))  # counted, sampled and written
-        write_ordered(lists, f"{folder}/lists", Index("terms", ("term", "block")), file_rows, options={"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"})
+        parts = read_numbered(spark, f"{folder}/documents").select(block.alias("block"), doc.alias("doc"), words.alias("words"))
+        # written once: counted, sampled and sorted
+        options = {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
+        parts = spark.read.schema(LISTS).parquet(written(parts.mapInArrow(lists_of, LISTS), **options))
+        n, places = parts.agg(F.count("*"), F.coalesce(F.sum(F.size("doc")), F.lit(0))).first()
+        ranges = max(1, -(-n // file_rows), -(-places // RANGE_PLACES))
+        place = F.zip_with("doc", "at", lambda d, a: F.shiftleft(d.cast("long"), 32) + a)
+        # ranges of the key are what the grouping needs: nothing is dealt again
+        lists = parts.select("term", "block", place.alias("places")).repartitionByRange(ranges, "term", "block")
+        lists = lists.groupBy("term", "block").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+        part = lambda f, c: F.transform("places", lambda p: f(p).cast("int")).alias(c)
+        lists = lists.select("term", "block", part(lambda p: F.shiftright(p, 32), "doc"), part(lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)), "at"))
+        write_sorted(lists, f"{folder}/lists", Index("terms", ("term", "block")), options=options)
         return cls(spark, folder)
 
     def stems(self, words: list[str]) -> dict[str, str | None]:
@@ -135,10 +166,10 @@ class FullText:
             return reduce({"all": F.array_intersect, "any": F.array_union, "without": F.array_except}[s.kind], map(found, s.parts))
 
         if not terms:
-            return self.spark.read.parquet(f"{self.folder}/documents").select("id", F.lit(0).cast("long").alias("hits")).limit(0)
+            return read_numbered(self.spark, f"{self.folder}/documents").select("id", F.lit(0).cast("long").alias("hits")).limit(0)
         got = blocks.withColumn("found", found(ask)).where(F.size("found") > 0)
         hit = got.select("block", F.explode("found").alias("doc"))
         said = F.flatten(F.array(*(F.transform(f"p{i}", lambda x: x["doc"]) for i in range(len(terms)))))
         hits = got.select("block", F.explode(said).alias("doc")).groupBy("block", "doc").agg(F.count("*").alias("hits"))
         n = (F.col("block") * BLOCK + F.col("doc")).alias("n")
-        return hit.join(hits, ["block", "doc"]).select(n, "hits").join(self.spark.read.parquet(f"{self.folder}/documents").select("n", "id"), "n").select("id", "hits")
+        return hit.join(hits, ["block", "doc"]).select(n, "hits").join(read_numbered(self.spark, f"{self.folder}/documents").select("n", "id"), "n").select("id", "hits")

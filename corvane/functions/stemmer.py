@@ -1,4 +1,4 @@
-"""English stems (Porter, 1980) as rules that become Spark columns or SQL text.
+"""English stems (Porter, 1980) as rules that become Spark columns, SQL text or, in tasks that see a word often, a cached call.
 
 A step is a list of rules. The first whose ending fits decides: if what is before the ending passes the
 rule's test, the ending is replaced; if not, the word stays. Words shorter than three letters, or with
@@ -7,8 +7,10 @@ anything but a to z, are their own stems.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,6 +110,23 @@ def stem(word: Column) -> Column:
     return F.when(word.rlike(PLAIN), F.lower(x)).otherwise(word)
 
 
+@lru_cache(1 << 18)
+def stem_word(word: str) -> str:
+    """``stem`` of one word."""
+    if not re.fullmatch(PLAIN[1:-1], word):
+        return word
+    x = re.sub("^y", "Y", word)
+    for rules in STEPS:
+        for r in rules:
+            if x.endswith(r.ending.replace("\\", "")) and (m := re.match(r.pattern, x)):  # endings are letters, and a plus
+                before = m[1]
+                fits = lambda test: re.search(test, before) is not None  # noqa: B023, E731
+                if (not r.tests and r.also is None) or any(map(fits, r.tests)) or (r.also is not None and fits(r.also) and not fits(r.unless)):
+                    x = before + r.by
+                break
+    return x.lower()
+
+
 def stems_sql(words: str, word: str = "word") -> str:
     """SQL for ``word, stem`` of the distinct words of a relation."""
     x = f"SELECT DISTINCT {word} AS word, regexp_replace({word}, '^y', 'Y') AS stem FROM {words}"

@@ -33,10 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> str:
+def written(df: DataFrame, **options: str) -> str:
     """A new folder in the shared one with the rows of ``df``, as Parquet."""
     out = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(out)
+    df.write.options(**options).parquet(out)
     return out
 
 

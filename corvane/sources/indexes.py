@@ -57,9 +57,18 @@ def write_ordered(df: DataFrame, folder: str, index: Index, file_rows: int = FIL
         df = df.where(index.predicate)
     if index.include:
         df = df.select(*index.columns, *index.include)
-    order = [F.col(c).desc() if index.descending else F.col(c).asc() for c in index.columns]
+    order = _order(index)
     n = max(1, -(-df.count() // file_rows))
-    out = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.options(**(options or {})).option("parquet.block.size", group_bytes)
+    write_sorted(df.repartitionByRange(n, *order), folder, index, group_bytes, options)
+
+
+def _order(index: Index) -> list[Column]:
+    return [F.col(c).desc() if index.descending else F.col(c).asc() for c in index.columns]
+
+
+def write_sorted(df: DataFrame, folder: str, index: Index, group_bytes: int = GROUP_BYTES, options: dict[str, str] | None = None) -> None:
+    """Write rows that lie in ranges of the index's key, sorted within each."""
+    out = df.sortWithinPartitions(*_order(index)).write.options(**(options or {})).option("parquet.block.size", group_bytes)
     for c in index.columns:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
     out.parquet(folder)

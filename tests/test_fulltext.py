@@ -8,7 +8,7 @@ import re
 import pytest
 
 from corvane.functions import fulltext
-from corvane.functions.stemmer import stem, stems_sql
+from corvane.functions.stemmer import stem, stem_word, stems_sql
 
 #: Examples of the paper, step by step.
 STEMS = """caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop
@@ -68,3 +68,24 @@ def test_searches(spark, tmp_path, monkeypatch):
 def test_empty(spark, tmp_path):
     index = fulltext.FullText.build(spark.createDataFrame([], "id long, text string"), "id", "text", str(tmp_path / "i"))
     assert index.search(fulltext.every("cat")).collect() == []
+
+
+def test_stems_of_words():
+    pairs = [p.split(":") for p in STEMS.split()]
+    assert [(w, stem_word(w)) for w, _ in pairs] == [tuple(p) for p in pairs]
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """An index shuffles what it lists, not the texts: those of which nothing is a word cost nothing."""
+    docs = spark.range(400).selectExpr("id", "array_join(transform(sequence(1, 2000), i -> md5(concat(id, '-', i))), '') AS text").selectExpr("id", "concat(translate(text, '0123456789abcdef', '!#$%&()*+,-./:;<'), ' cat') AS text")
+    before = shuffled(spark)
+    index = fulltext.FullText.build(docs, "id", "text", str(tmp_path / "i"))
+    assert shuffled(spark) - before < 1_000_000
+    assert index.search(fulltext.every("cats")).count() == 400
+
+
+def shuffled(spark):
+    """Bytes that all stages of the session wrote for others."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
