@@ -23,13 +23,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.lineage import cut
-from corvane.operators.ordering import dense_index
+from corvane.operators.lineage import cut, written
+from corvane.operators.ordering import read_numbered, write_numbered
 from corvane.sources.indexes import write_ordered
 from corvane.sources.schema import Index
 
 #: Documents of a block.
 BLOCK = 65_536
+#: Levels of nesting that are opened in one go.
+LEVELS = 5
 _NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
@@ -37,27 +39,46 @@ def _is_number(kind: Column) -> Column:
     return reduce(lambda a, b: a | b, (kind.startswith(n) for n in _NUMBERS))
 
 
+def _valued(v: Column, path: Column) -> Column:
+    """The hash of a scalar and the keys that lead to it."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(_is_number(kind), F.xxhash64(path, F.lit("n"), F.try_variant_get(v, "$", "double") + F.lit(0.0)))
+        .when(kind == "STRING", F.xxhash64(path, F.lit("s"), F.try_variant_get(v, "$", "string")))
+        .when(kind == "BOOLEAN", F.xxhash64(path, F.lit("b"), F.try_variant_get(v, "$", "boolean")))
+        .otherwise(F.xxhash64(path, F.lit("z")))
+    )
+
+
 def leaves(rows: DataFrame) -> DataFrame:
-    """The other columns and ``leaf``, the hash of each leaf of the variant ``v``. A level of nesting at a time, as deep as any goes."""
+    """The other columns and ``leaf``, the hash of each leaf of the variant ``v``; ``LEVELS`` of nesting are opened at a time, and what is deeper is written and opened further."""
     rest = [c for c in rows.columns if c != "v"]
     level = rows.where("v IS NOT NULL").withColumn("path", F.xxhash64(F.lit("")))
     out: list[DataFrame] = []
     while True:
-        level = cut(level.withColumn("kind", F.schema_of_variant("v")))
-        kind, path = F.col("kind"), F.col("path")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        value = (
-            F.when(_is_number(kind), F.xxhash64(path, F.lit("n"), F.try_variant_get("v", "$", "double") + F.lit(0.0)))
-            .when(kind == "STRING", F.xxhash64(path, F.lit("s"), F.try_variant_get("v", "$", "string")))
-            .when(kind == "BOOLEAN", F.xxhash64(path, F.lit("b"), F.try_variant_get("v", "$", "boolean")))
-            .otherwise(F.xxhash64(path, F.lit("z")))
-        )
-        out.append(level.where(~nested).select(*rest, value.alias("leaf")))
-        inner = level.where(nested)
-        if inner.isEmpty():
+        opened = _opened(level)
+        out.append(opened.where("NOT nested").select(*rest, _valued(F.col("v"), F.col("path")).alias("leaf")))
+        level = cut(opened.where("nested").select(*rest, "v", "path"))
+        if level.isEmpty():
             return reduce(DataFrame.unionByName, out)
-        made = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
-        level = made.select(*rest, F.coalesce("_value", F.parse_json(F.lit("null"))).alias("v"), F.when(F.col("_key").isNull(), path).otherwise(F.xxhash64(path, F.col("_key"))).alias("path"))
+
+
+def _nested(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
+def _opened(level: DataFrame) -> DataFrame:
+    """``v, path, nested`` after ``LEVELS`` of nesting; a row that is a leaf stays as it is, an empty array or object goes."""
+    rest = [c for c in level.columns if c not in ("v", "path")]
+    x = level.withColumn("nested", _nested(F.col("v")))
+    for _ in range(LEVELS):
+        inside = F.when(F.col("nested").outer(), F.col("v").outer())
+        made = x.lateralJoin(x.sparkSession.tvf.variant_explode_outer(inside).toDF("_pos", "_key", "_value")).where("NOT nested OR _pos IS NOT NULL")
+        v = F.when(F.col("nested"), F.coalesce("_value", F.parse_json(F.lit("null")))).otherwise(F.col("v"))
+        path = F.when(F.col("_key").isNull(), F.col("path")).otherwise(F.xxhash64("path", "_key"))
+        x = made.select(*rest, v.alias("v"), path.alias("path"), "nested").withColumn("nested", F.col("nested") & _nested(F.col("v")))
+    return x
 
 
 def contains(v: Column, q: Any, top: bool = True) -> Column:
@@ -101,16 +122,17 @@ class JsonIndex:
     @classmethod
     def build(cls, docs: DataFrame, id_: str, data: str, folder: str, file_rows: int = 1_000_000) -> JsonIndex:
         """An index over the JSON texts ``data`` of all rows, written under ``folder``."""
-        x = docs.select(F.col(id_).alias("id"), F.col(data).cast("string").alias("data"))
-        dense_index(x.withColumn("_h", F.xxhash64("data")), "id", "_h", name="n").select("n", "id", "data").write.parquet(f"{folder}/documents")
-        rows = docs.sparkSession.read.parquet(f"{folder}/documents").select("n", F.try_parse_json("data").alias("v"))
+        write_numbered(docs.select(F.col(id_).alias("id"), F.col(data).cast("string").alias("data")), f"{folder}/documents")
+        rows = read_numbered(docs.sparkSession, f"{folder}/documents").select("n", F.try_parse_json("data").alias("v"))
         block, doc = F.floor(F.col("n") / BLOCK), (F.col("n") % BLOCK).cast("int")
-        lists = cut(leaves(rows).groupBy("leaf", block.alias("block")).agg(F.sort_array(F.collect_set(doc)).alias("docs")))
-        write_ordered(lists, f"{folder}/lists", Index("leaves", ("leaf", "block")), file_rows, options={"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"})
+        lists = leaves(rows).groupBy("leaf", block.alias("block")).agg(F.sort_array(F.collect_set(doc)).alias("docs"))
+        options = {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
+        lists = docs.sparkSession.read.schema(lists.schema).parquet(written(lists, **options))
+        write_ordered(lists, f"{folder}/lists", Index("leaves", ("leaf", "block")), file_rows, options=options)
         return cls(docs.sparkSession, folder)
 
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/documents")
+        return read_numbered(self.spark, f"{self.folder}/documents")
 
     def candidates(self, text: str) -> DataFrame | None:
         """``n`` of the documents that have all leaves of a JSON text; None if it has none."""
@@ -127,5 +149,6 @@ class JsonIndex:
     def search(self, text: str) -> DataFrame:
         """``id, data`` of the documents that contain the JSON ``text``."""
         near = self.candidates(text)
-        x = self.documents() if near is None else self.documents().join(near, "n")
+        # written: the optimiser would look into all documents before it joins
+        x = self.documents() if near is None else cut(self.documents().join(near, "n"))
         return x.where(contains(F.try_parse_json("data"), parsed(text))).select("id", "data")

@@ -64,3 +64,18 @@ def test_no_documents(spark, tmp_path):
     index = JsonIndex.build(spark.createDataFrame([], "id long, data string"), "id", "data", str(tmp_path / "i"))
     assert index.search('{"a": 1}').collect() == []
     assert index.search("{}").collect() == []
+
+
+def test_documents_are_not_shuffled(spark, tmp_path):
+    """An index shuffles hashes of leaves, not the documents."""
+
+    def shuffled():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    docs = spark.range(300).selectExpr("id", """concat('{"a": 1, "b": "', array_join(transform(sequence(1, 1000), i -> md5(concat(id, '-', i))), ''), '"}') AS data""")
+    before = shuffled()
+    index = JsonIndex.build(docs, "id", "data", str(tmp_path / "i"))
+    assert shuffled() - before < 1_000_000
+    assert index.search('{"a": 1}').select("id").count() == 300
