@@ -5,6 +5,10 @@ windows pick the same string at the same place in them. Neighbouring windows tha
 occurrence form a *stretch*; equal windows always lie in stretches with the same pick. That makes
 the pick a routing key: all that can match lands in one bucket, and no bucket needs a whole text.
 
+Whole copies (texts of at least ``SPAN`` bytes that an earlier row holds, by SHA-256) are removed as a whole and
+aren't cut: all their windows start earlier, and what they could show others the first of them shows. The other texts
+are written once in buckets of their id, so that later only what is asked or found of them travels.
+
 1. *Cut*: texts are cut into stretches; a task sends (pick, digest, place) only, packed, and keeps
    one of equal stretches of a block (copies of hot passages don't leave the task).
 2. *Meet*: per bucket, of equal stretches the earliest stays as representative, the others are
@@ -41,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import common
+from corvane.operators.lineage import bucketed, reread
 
 SPAN, GRAM = 100, 32
 #: Bytes of text hashed at a time, and stretches packed at a time.
@@ -513,22 +518,34 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.join(mixed, "doc_id", "left").select("doc_id", "text", F.when(F.col("mixed"), version).otherwise(0).cast("long").alias("mark"))
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, n_bytes`` of the rows whose text, of ``SPAN`` bytes at least, an earlier row holds."""
+    x = reread(docs.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("key")).where(F.col("n_bytes") >= SPAN))
+    same = reread(x.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark")).alias("first")).where("n > 1"))
+    x = common.join_hot(x, same, "key", "n", x.count())
+    return reread(x.where("doc_id <> first.doc_id OR mark <> first.mark").select("doc_id", "mark", "n_bytes"))
+
+
 def dedup(docs: DataFrame, buckets: int | None = None, most_strings: int = MOST_STRINGS, at_once: int = AT_ONCE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
     common.tune(spark)
     buckets = buckets or common.buckets(docs, BUCKET_BYTES)
     docs = marked(common.documents(docs).where(F.col("doc_id").isNotNull()))
+    row = ["doc_id", "mark"]
+    later = whole_copies(docs)
+    docs = docs.repartition(buckets, *row).join(later.hint("shuffle_hash"), row, "left_anti").select("doc_id", "text", "mark")
+    docs = bucketed(docs, buckets, *row)
     packed = docs.mapInArrow(cut_texts(buckets), "bucket long, sure boolean, blob binary")
-    met = common.cut(packed.groupBy("bucket").applyInArrow(lambda t: meet(t, most_strings), "doc_id long, mark long, code long, route long, hot boolean"))
+    met = reread(packed.groupBy("bucket").applyInArrow(lambda t: meet(t, most_strings), "doc_id long, mark long, code long, route long, hot boolean"))
 
-    row = ["doc_id", "mark"]
     ask = met.where(F.col("route").isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("code", "route", "hot")).alias("asks"))
-    parts = docs.join(ask, row, "left").where(F.col("asks").isNotNull()).select("doc_id", "text", "mark", "asks")
+    parts = docs.join(ask, row).select("doc_id", "text", "mark", "asks")
     parts = parts.mapInArrow(fetch(buckets), "doc_id long, mark long, at long, route long, sure boolean, part binary")
     parts = parts.withColumn("bucket", F.when(F.coalesce("sure", F.lit(False)), F.col("route") + buckets).otherwise(F.pmod(F.xxhash64("route"), F.lit(buckets))))
     compared = parts.groupBy("bucket").applyInArrow(lambda t: compare(t, at_once), "doc_id long, mark long, code long")
 
     gone = met.where(F.col("route").isNull()).select(*row, "code").unionByName(compared)
     gone = gone.groupBy(*row).agg(F.collect_list("code").alias("codes"))
-    return docs.join(gone, row, "left").select("doc_id", "text", "codes").mapInArrow(apply_runs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    first = docs.join(gone, row, "left").select("doc_id", "text", "codes").mapInArrow(apply_runs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return first.unionByName(later.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept")))

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,36 @@ def written(df: DataFrame, **options: str) -> str:
     return out
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What frames that are made and written in here shuffle leaves the disks when the write has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def reread(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from Parquet in the shared folder, compressed; what was shuffled for them is dropped."""
+    spark = df.sparkSession
+    with passing_shuffles(spark):
+        return spark.read.schema(df.schema).parquet(written(df, compression="zstd"))
+
+
+def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """As ``reread``, in buckets by hash of ``keys``: a join on just these moves only its other side. ``df`` should be dealt out in the same way."""
+    spark, name = df.sparkSession, f"rows_{uuid.uuid4().hex}"
+    with passing_shuffles(spark):
+        out = df.write.bucketBy(buckets, *keys).options(compression="zstd", path=f"{shared_folder(spark)}/{name}")
+        out.saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay
+    return rows
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new folder in the shared one as a path of the file system, for what needs links or a library's own files; raises where it is in another store."""
     folder = re.sub(r"^file:/+", "/", shared_folder(spark))

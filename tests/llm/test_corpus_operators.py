@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corvane.llm import bpe, lines, merkle, packing, secrets, simhash, suffix, topk, toxicity, urls
+from corvane.operators.lineage import shared_folder
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -173,6 +174,36 @@ def test_suffix_long_run(spark):
     assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in df.collect()) == removed(rows)
 
 
+def test_suffix_stores_each_text_once(spark):
+    """Whole copies are told before texts are cut, and nothing that was shuffled on the way is kept."""
+    texts = [t for _, t in corpus(n=12, seed=6) if t and len(t.encode()) >= 100]
+    rows = [(100 * k + i, t) for k in (3, 1, 2) for i, t in enumerate(texts)] + [(7, "short"), (8, "short"), (9, None), (101, texts[1]), (101, texts[2])]
+    there = lambda: {str(x.getPath()) for x in fs.listStatus(folder) if x.getPath().getName().startswith("rows_")}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    was, set_before = there(), dict(spark.conf.getAll)
+    df = suffix.dedup(frame(spark, rows).repartition(5))
+    assert sorted((r[0], r[1], r[2]) for r in df.collect()) == sorted(by_hand(rows))
+    (new,) = there() - was
+    stored = [r["text"] for r in spark.read.parquet(new).collect()]
+    assert Counter(t for t in stored if len(t.encode()) >= 100) == Counter([*set(texts), texts[1]])  # equal rows are one text
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rows_")]
+    assert {k: v for k, v in spark.conf.getAll.items() if "fileCleanup" in k} == {k: v for k, v in set_before.items() if "fileCleanup" in k}
+
+
+def by_hand(rows):
+    """``doc_id, n_bytes, n_removed`` where rows of one doc_id may have several texts, ordered by their hash; equal rows are one text."""
+    mark = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64))
+    seen, out = {}, []
+    for i, t in sorted(((i, (t or "").encode()) for i, t in rows), key=lambda x: (x[0], mark(x[1]))):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            if seen.setdefault(t[p : p + 100], (i, t, p)) != (i, t, p):
+                gone[p : p + 100] = True
+        out.append((i, len(t), int(gone.sum())))
+    return out
+
+
 def brute_pieces(text):
     """Pieces of each paragraph."""
     end = regex.compile(merkle.PIECE_END, regex.V1)
