@@ -8,6 +8,9 @@ cell that holds the later start, so once. Meetings are equi-joins; a coarse grid
 crowded by short intervals, which there meet only intervals of that level, and adaptive execution splits
 them.
 
+Where columns must be equal too, most of their values have few rows, and those are compared with each other as they
+are: rows travel once and in no grid. Values of over ``FEW`` rows, counted in both sides, go through the grids.
+
 Defined results: bounds are numbers or times; an interval with a null bound, or that doesn't end after it starts,
 overlaps nothing; intervals that only touch don't overlap; repeated rows each pair.
 """
@@ -18,6 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.operators.lineage import written
+
+#: Rows of one value of the columns that must be equal, up to which all are compared with all.
+FEW = 256
+
 
 def _number(df: DataFrame, column: str) -> Column:
     """A bound as a whole number; fractions are kept to a millionth, times to a microsecond."""
@@ -50,8 +58,38 @@ def _levels(df: DataFrame, start: str, end: str) -> set[int]:
     return {r[0] for r in df.where(length > 0).select(level(length).alias("k")).distinct().collect()}  # 63 at most
 
 
-def overlaps(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], on: tuple[str, ...] = ()) -> DataFrame:
+def _crowded(left: DataFrame, right: DataFrame, on: tuple[str, ...], few: int) -> DataFrame | None:
+    """The values of ``on`` that over ``few`` rows have, stored; None where there are none."""
+    spark = left.sparkSession
+    n = left.select(*on).unionByName(right.select(*on)).groupBy(*on).count().where(F.col("count") > few).select(*on)
+    out = spark.read.schema(n.schema).parquet(written(n))
+    return None if out.isEmpty() else out
+
+
+def _compared(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], on: tuple[str, ...]) -> DataFrame:
+    """All rows of equal ``on`` with each other."""
+
+    def side(df: DataFrame, bounds: tuple[str, str], name: str) -> DataFrame:
+        x = df.select(F.struct(*df.columns).alias(name), *(_number(df, c).cast("long").alias(f"{name}_{k}") for c, k in zip(bounds, "se", strict=True)))
+        return x.where(f"{name}_e > {name}_s")
+
+    a, b = side(left, left_bounds, "l"), side(right, right_bounds, "r")
+    meets = (F.col("l_s") < F.col("r_e")) & (F.col("r_s") < F.col("l_e"))
+    return a.join(b, [*(a["l"][c] == b["r"][c] for c in on), meets]).select("l", "r")
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], on: tuple[str, ...] = (), few: int = FEW) -> DataFrame:
     """``l`` and ``r``, structs of the rows of both sides whose intervals overlap (and whose columns ``on`` are equal)."""
+    if not on:
+        return _in_grids(left, right, left_bounds, right_bounds, on)
+    hot = _crowded(left, right, on, few)
+    if hot is None:
+        return _compared(left, right, left_bounds, right_bounds, on)
+    of = lambda how: (x.join(hot, list(on), how).select(*x.columns) for x in (left, right))
+    return _compared(*of("left_anti"), left_bounds, right_bounds, on).unionByName(_in_grids(*of("left_semi"), left_bounds, right_bounds, on))
+
+
+def _in_grids(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], on: tuple[str, ...]) -> DataFrame:
     levels = sorted(_levels(left, *left_bounds) | _levels(right, *right_bounds)) or [0]
     a, b = _placed(left, *left_bounds, "l", levels), _placed(right, *right_bounds, "r", levels)
     key = [a["k"] == b["k"], a["cell"] == b["cell"], *(a["l"][c] == b["r"][c] for c in on)]

@@ -38,6 +38,21 @@ def test_overlaps(spark):
     assert self_overlaps(times, ("x", "y"), "id").count() == 9
 
 
+def test_few_rows_of_a_value_take_no_grid(spark):
+    """Values of few rows are compared as they are; crowded ones in grids; both give all pairs."""
+    r = random.Random(4)
+    rows = [(i, r.choice(["x"] * 6 + ["y", "z", None]), i % 2 if r.random() < 0.8 else None, a := r.randrange(99), a + r.choice([-1, 0, 1, 4, 30])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, k string, m int, a long, b long")
+    for on, few in ((("k",), 20), (("k",), 500), (("k",), 0), (("k", "m"), 12)):
+        key = lambda x: (x[1], x[2])[: len(on)]  # noqa: E731, B023
+        want = Counter((x[0], y[0]) for x in rows for y in rows if x[4] > x[3] and y[4] > y[3] and x[3] < y[4] and y[3] < x[4] and None not in key(x) and key(x) == key(y))
+        out = overlaps(df, df, ("a", "b"), ("a", "b"), on, few)
+        assert Counter(map(tuple, out.selectExpr("l.id", "r.id").collect())) == want
+        assert out.columns == ["l", "r"] and out.select("l.*").columns == df.columns
+    plan = self_overlaps(df, ("a", "b"), "id", ("k",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_python_folds_in_parts(spark, monkeypatch):
     monkeypatch.setattr(registry, "MERGED_STATES", 2)
     rows = [(None if i % 50 == 0 else i % 3 == 0, float(i % 7), None if i % 11 == 0 else i) for i in range(2000)]
