@@ -7,6 +7,7 @@ costs a semi join for each key that they meet; the number of turns is the longes
 Every turn's keys are written once, and later turns read the files: a checkpoint would carry what is known of
 its rows' values on into the plans of all later turns, and that doubles with each. References may crowd on few keys: the
 joins' left sides are the rows that refer, whose crowded parts adaptive execution splits, and the right sides hold a key once.
+Keys of a large table are made distinct in as many tasks as it has ``PART`` bytes, so that no task's table of keys grows with it.
 
 Of rows that aren't deleted, SET NULL and SET DEFAULT keys lose their reference. RESTRICT refuses a
 delete that any row refers to, even one that goes too; NO ACTION refuses what still dangles in the end.
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 from corvane.operators.lineage import cut, written
 from corvane.sources.schema import Cascade, ForeignKey
 
+#: Bytes of a table's files whose keys a task makes distinct.
+PART = 16 << 20
+
 
 class Refused(RuntimeError):
     """A delete or change of keys that a foreign key doesn't allow."""
@@ -73,6 +77,13 @@ def _linked(e: Entity, keys: DataFrame, k: ForeignKey) -> DataFrame:
     return x.select(*(F.col(p).alias(c) for c, p in zip(k.columns, k.linked, strict=True))).dropna().distinct()
 
 
+def once(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """Different ``keys``, which come from ``rows``; from a large table dealt out first, since nearly all are different and a task would gather those of its whole split."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(x for x in (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) if x < 1 << 60)
+    return keys.distinct() if size < 4 * PART else keys.repartition(size // PART, *keys.columns).distinct()
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -92,7 +103,7 @@ def reached(entities: dict[str, Entity], start: dict[str, DataFrame]) -> dict[st
         return spark.read.schema(keys.schema).parquet(folder)
 
     all_of = lambda t: spark.read.schema(entities[t].rows.select(*entities[t].key).schema).parquet(*folders[t])
-    new = {t: kept(t, entities[t].rows.select(*entities[t].key).join(keys.select(*entities[t].key), list(entities[t].key), "left_semi").distinct()) for t, keys in start.items()}
+    new = {t: kept(t, once(entities[t].rows.select(*entities[t].key).join(keys.select(*entities[t].key), list(entities[t].key), "left_semi"), entities[t].rows)) for t, keys in start.items()}
     while new:
         met: dict[str, list[DataFrame]] = {}
         for child, e in entities.items():
@@ -104,7 +115,7 @@ def reached(entities: dict[str, Entity], start: dict[str, DataFrame]) -> dict[st
         for child, parts in met.items():
             key = list(entities[child].key)
             x = _union(parts)
-            x = kept(child, (x.join(all_of(child), key, "left_anti") if child in folders else x).distinct())
+            x = kept(child, once(x.join(all_of(child), key, "left_anti") if child in folders else x, entities[child].rows))
             if not x.isEmpty():
                 new[child] = x
     return {t: all_of(t) for t in folders}

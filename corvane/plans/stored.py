@@ -51,7 +51,7 @@ def fk_cascade_delete(spark, d):
     """Keys of all rows that go with two regions."""
     es = entities(spark, d, {})
     gone = cascade.delete(es, {"region": es["region"].rows.where("r_name IN ('ASIA', 'EUROPE')")}).deleted
-    parts = [x.select(F.lit(t).alias("tab"), F.col(KEYS[t][0]).cast("long").alias("key"), (F.col("l_linenumber") if t == "lineitem" else F.lit(0)).alias("line")).distinct() for t, x in gone.items()]
+    parts = [cascade.once(x.select(F.lit(t).alias("tab"), F.col(KEYS[t][0]).cast("long").alias("key"), (F.col("l_linenumber") if t == "lineitem" else F.lit(0)).alias("line")), es[t].rows) for t, x in gone.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

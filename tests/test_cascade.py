@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from corvane.operators import cascade
 from corvane.operators.cascade import Entity, Refused, delete, update
 from corvane.sources.schema import ForeignKey
 
@@ -94,3 +95,15 @@ def test_plans_of_turns_stay_small(spark):
         gone |= more
     assert {i for (i,) in got(out.deleted["t"])} == gone
     assert len(out.deleted["t"]._jdf.queryExecution().optimizedPlan().constraints().toString()) < 1000
+
+
+def test_keys_of_large_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    """As many tasks make keys distinct as the table's size asks for, and none gathers those of its split before."""
+    monkeypatch.setattr(cascade, "PART", 2000)
+    spark.range(3000).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 - id % 1000 END AS up", "id % 7 AS other").repartition(3).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert cascade.once(rows.select("other"), rows).count() == 7
+    plan = cascade.once(rows.select("id"), rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    out = delete({"t": Entity(rows, ("id",), (fk("up", "up", "t", "CASCADE"),))}, {"t": rows.where("id = 999")})
+    assert {i for (i,) in got(out.deleted["t"])} == {999, *range(1000, 3000)}
