@@ -8,9 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.lineage import cut, shared_folder
+from corvane.operators.lineage import cut, reread, shared_folder
 
-__all__ = ["buckets", "cut", "documents", "fits_broadcast", "join_hot", "let", "shared_folder", "shuffle_partitions", "table", "tune", "unused"]
+__all__ = ["buckets", "cut", "documents", "fits_broadcast", "join_hot", "let", "reread", "shared_folder", "shuffle_partitions", "table", "tune", "unused"]
 
 #: Rows and bytes of an Arrow batch handed to Python. Texts vary from nothing to megabytes, so the
 #: byte bound is the one that keeps a worker small; the row bound covers short rows.

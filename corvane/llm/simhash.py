@@ -238,14 +238,15 @@ def components(edges: DataFrame) -> DataFrame:
     """``u, root`` of every u that isn't its component's smallest. ``edges``: u, v with v < u, connected as a whole.
 
     A turn points each u at its smallest v, hooks its other ones there too, and lets what points at
-    a pointing node jump ahead. Each turn is checkpointed.
+    a pointing node jump ahead. Each turn is written and read again, and what it shuffled is dropped:
+    turns are many, and their shuffles have a file or two for each task however few rows are left.
     """
-    e = common.cut(edges.distinct())
+    e = common.reread(edges.distinct())
     while True:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         hooked = e.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         jumped = low.join(low.select(F.col("u").alias("m"), F.col("m").alias("up")), "m", "left").select("u", F.coalesce("up", "m").alias("v"), F.col("up").isNotNull().alias("moved"))
-        nxt = common.cut(jumped.unionByName(hooked.withColumn("moved", F.lit(True))).groupBy("u", "v").agg(F.max("moved").alias("moved")))
+        nxt = common.reread(jumped.unionByName(hooked.withColumn("moved", F.lit(True))).groupBy("u", "v").agg(F.max("moved").alias("moved")))
         e = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             return e.select("u", F.col("v").alias("root"))
@@ -286,10 +287,10 @@ def links(points: DataFrame, within: int = RADIUS, shards_per_core: int = 2) ->
 
 def near_duplicates(docs: DataFrame, within: int = RADIUS, n: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
-    fps = common.cut(fingerprints(docs, n))
-    points = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    fps = common.reread(fingerprints(docs, n))
+    points = common.reread(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     root = components(links(points, within))
-    rooted_ = common.cut(points.join(root, F.col("fp") == F.col("u"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
+    rooted_ = common.reread(points.join(root, F.col("fp") == F.col("u"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
     named = rooted_.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("points"), F.sum("copies").alias("rows"))
     n = named.agg(F.coalesce(F.sum("points"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     # a component, or copies of one text, may be a third of everything
@@ -350,7 +351,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     asked = common.documents(docs).join(ids.withColumnRenamed("first", "doc_id"), "doc_id", "left_semi")
     sets = asked.mapInArrow(run, "first long, words binary").where(F.length("words") > 0)
-    return common.cut(sets.groupBy("first").agg(F.collect_set("words").alias("words")).select("first", F.explode("words").alias("words")))
+    return common.reread(sets.groupBy("first").agg(F.collect_set("words").alias("words")).select("first", F.explode("words").alias("words")))
 
 
 def mixed_links(shared: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
@@ -359,7 +360,7 @@ def mixed_links(shared: DataFrame, root: DataFrame, sets: DataFrame) -> DataFram
     A bucket's texts outside its largest component are compared with all of its texts, in blocks.
     Buckets of the same texts are one.
     """
-    placed = common.cut(shared.join(root, F.col("first") == F.col("u"), "left").select("key", "first", "n", F.coalesce("root", "first").alias("root")))
+    placed = common.reread(shared.join(root, F.col("first") == F.col("u"), "left").select("key", "first", "n", F.coalesce("root", "first").alias("root")))
     sign = [F.bit_xor(F.xxhash64("first", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *sign)
     all_ = [F.sum("c").alias("texts"), F.sum("n").alias("words"), F.max(F.struct("c", "n", "root")).alias("home"), F.count("*").alias("roots"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1")]
@@ -368,7 +369,7 @@ def mixed_links(shared: DataFrame, root: DataFrame, sets: DataFrame) -> DataFram
     mixed = mixed.groupBy("texts", "words", "x0", "x1").agg(F.min(F.struct("key", "home")).alias("one")).select("one.*", "texts", "words")
     most = lambda texts, n, words: F.ceil(F.greatest(texts / n, words / HELD))
     blocks = mixed.select("key", F.col("home.root").alias("home"), most(F.col("texts"), MEMBERS, F.col("words")).alias("nm"), most(F.col("texts") - F.col("home.c"), OUTSIDERS, F.col("words") - F.col("home.n")).alias("no"))
-    rows = common.cut(placed.join(blocks, "key"))
+    rows = common.reread(placed.join(blocks, "key"))
     part = lambda n, seed: F.pmod(F.xxhash64("first", F.lit(seed)), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     members = rows.select("key", "first", "root", F.lit(False).alias("outsider"), part("nm", 2).alias("m"), every(F.col("no")).alias("o"))
@@ -385,23 +386,23 @@ def similar(docs: DataFrame) -> DataFrame:
     the bucket's smallest member; what that leaves in different components is compared within the
     bucket, all with all (``mixed_links``).
     """
-    sketched = common.cut(fingerprints(docs, PIPELINE_SHINGLE, sketched=True))
-    kinds = common.cut(sketched.groupBy("kind").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    tree = components(links(common.cut(sketched.where("n > 0").select("fp").distinct())))
+    sketched = common.reread(fingerprints(docs, PIPELINE_SHINGLE, sketched=True))
+    kinds = common.reread(sketched.groupBy("kind").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    tree = components(links(common.reread(sketched.where("n > 0").select("fp").distinct())))
     near = sketched.where("n > 0").select("kind", "fp").distinct().join(tree, F.col("fp") == F.col("u"), "left").select("kind", F.coalesce("root", "fp").alias("root")).distinct()
     # fingerprints of one text alone are no bucket
     near = near.join(near.groupBy("root").agg(F.count("*").alias("c")).where("c > 1"), "root").select("kind", F.xxhash64(F.lit("tree"), "root").alias("key"))
     by_tree = near.join(kinds, "kind").select("first", "n", "key")
     bucketed = kinds.where("n > 0").select("first", "n", F.explode("keys").alias("key")).unionByName(by_tree)
     ends = bucketed.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high")
-    shared = common.cut(bucketed.join(ends, "key").select("key", "first", "n", "low"))
+    shared = common.reread(bucketed.join(ends, "key").select("key", "first", "n", "low"))
     sets = shingle_sets(docs, shared.select("first").distinct())
 
     pairs = shared.where("first <> low").select(F.col("first").alias("u"), F.col("low").alias("v")).distinct()
     named = lambda c: sets.select(F.col("first").alias(c), F.col("words").alias(f"{c}_words"))
     to_low = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_words", "v_words").mapInArrow(checked, "u long, v long")
     copies = sketched.select("doc_id", "kind").join(kinds.select("kind", "first"), "kind").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).where("u <> v")
-    root = common.cut(components(to_low.unionByName(copies)))
+    root = common.reread(components(to_low.unionByName(copies)))
 
     ordered = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     root = components(ordered(mixed_links(shared, root, sets)).unionByName(root.select("u", F.col("root").alias("v"))))

@@ -10,7 +10,8 @@ two classes lies at ``AT``.
 
 The model is fitted on at most ``SAMPLE`` labelled documents of each class, those whose ids hash
 lowest, and of those on as many, in that order, as have ``SAMPLE_CHARS`` characters in all; it has a fixed
-size. What it is fitted on are whole texts: a document that no longer fits is left out as a row. Scoring
+size. What it is fitted on are whole texts: a document that no longer fits is left out as a row. One task
+trains on it, so of the texts nothing reaches the driver, only the model does. Scoring
 covers every word of every text and needs no shuffle.
 
 Defined results: a null or wordless text has the score of an empty window; without labelled
@@ -20,6 +21,7 @@ one (the highest), of several texts of one id the first in order is learnt from;
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -41,6 +43,8 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 AT = 0.3
 #: Windows scored at a time; words whose inputs a worker keeps.
 BLOCK, KEPT_WORDS = 1024, 150_000
+#: Words whose n-grams are hashed at a time.
+HASHED = 20_000
 WORD = re.compile(r"\w+")
 
 
@@ -73,6 +77,19 @@ def features(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(whole), np.concatenate(grams), np.concatenate(whose)
 
 
+def by_word(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words; of all their character n-grams, word by word; how many of these each word has."""
+    parts = []
+    for i in range(0, len(new), HASHED):
+        some = new[i : i + HASHED]
+        w, g, whose = features(some)
+        parts.append((w, g[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(some))))
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    w, g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return w, g, n
+
+
 def place(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Rows of a table whose keys (but the first row's, which is for what isn't known) are sorted."""
     at = np.searchsorted(keys, hashes)
@@ -275,9 +292,11 @@ class Adam:
             p[k][at] -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
 
 
-def vocabulary(docs: Iterable[np.ndarray]) -> np.ndarray:
-    """Sorted hashes that at least MIN_DOCS documents hold."""
-    keys, n = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+def vocabulary(keys: np.ndarray, docs: Iterable[np.ndarray]) -> np.ndarray:
+    """Those of the sorted hashes ``keys`` that at least MIN_DOCS documents (numbers of keys) hold."""
+    n = np.zeros(len(keys), np.int64)
+    for d in docs:
+        n[np.unique(d)] += 1
     return keys[n >= MIN_DOCS]
 
 
@@ -300,10 +319,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         return Model(fresh(rng) | {k: np.empty(0, np.uint64) for k in ("word_keys", "gram_keys")}, fitted=False)
     vocab: dict[str, int] = {}
     rows = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words(t)], np.int32) for t in texts]
-    word_hash, gram_hash, whose = features(list(vocab))
-    n_grams = np.bincount(whose, minlength=len(vocab))
-    by = np.argsort(whose, kind="stable")
-    gram_hash = gram_hash[by]
+    word_hash, gram_hash, n_grams = by_word(list(vocab))
     g_start = np.concatenate([[0], np.cumsum(n_grams)])
     held = rng.random(len(texts)) < 0.2  # for the division of the classes
     if not (toxic[~held].any() and (~toxic[~held]).any() and toxic[held].any() and (~toxic[held]).any()):
@@ -311,8 +327,12 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     fit = np.flatnonzero(~held)
     own = [np.unique(rows[i]) - 1 for i in fit]
     grams_of = lambda h: (np.concatenate([h[:0], *(h[g_start[w] : g_start[w + 1]] for w in o)]) for o in own)
-    keys = {"word_keys": vocabulary([word_hash[o] for o in own]), "gram_keys": vocabulary(grams_of(gram_hash))}
-    word_slot, gram = place(word_hash, keys["word_keys"]), place(gram_hash, keys["gram_keys"])
+    words_, word_at = np.unique(word_hash, return_inverse=True)
+    grams, gram_at = np.unique(gram_hash, return_inverse=True)
+    del gram_hash
+    keys = {"word_keys": vocabulary(words_, (word_at[o] for o in own)), "gram_keys": vocabulary(grams, grams_of(gram_at))}
+    word_slot, gram = place(words_, keys["word_keys"])[word_at], place(grams, keys["gram_keys"]).astype(np.int32)[gram_at]
+    del gram_at
     p = fresh(rng, len(keys["word_keys"]), len(keys["gram_keys"]))
     p["words"][:, 0] = log_odds([word_slot[o] for o in own], toxic[fit], len(p["words"]))
     p["chars"][:, 0] = log_odds(grams_of(gram), toxic[fit], len(p["chars"]))
@@ -320,8 +340,11 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
 
     def inputs() -> np.ndarray:
         chars = np.zeros((len(vocab), DIM), np.float32)
-        has = np.flatnonzero(n_grams)
-        chars[has] = np.add.reduceat(p["chars"][gram], g_start[:-1][has]) / n_grams[has, None]
+        for i in range(0, len(vocab), HASHED):
+            has = i + np.flatnonzero(n_grams[i : i + HASHED])
+            if len(has):
+                some = p["chars"][gram[g_start[has[0]] : g_start[has[-1] + 1]]]
+                chars[has] = np.add.reduceat(some, g_start[has] - g_start[has[0]]) / n_grams[has, None]
         return np.concatenate([np.zeros((1, 2 * DIM), np.float32), np.concatenate([p["words"][word_slot], chars], axis=1)])
 
     cuts = [windows(r) for r in rows]
@@ -384,8 +407,8 @@ def division(score: np.ndarray, toxic: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """At most ``bound`` documents of each class with ``chars`` characters, those whose ids hash lowest; none that is held out."""
+def drawn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """``doc_id, text, toxic`` of at most ``bound`` documents of each class with ``chars`` characters, those whose ids hash lowest; none that is held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for c in (0, 1)]
     ids = picked[0].unionByName(picked[1])
@@ -398,11 +421,33 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int =
             left[toxic] -= n
             taken.append((i, toxic))
     ids = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text).alias("text")).select("doc_id", "text", "toxic").collect()
-    got.sort()
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(text).alias("text")).select("doc_id", "text", "toxic")
+
+
+def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+    """What is drawn, in the order of the ids: texts, and whether they are toxic."""
+    got = sorted(drawn(docs, labels, bound, chars).collect())
     return [r[1] for r in got], np.array([r[2] == 1 for r in got], bool)
 
 
+def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of rows ``doc_id, text, toxic``, as a row."""
+    got = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    texts, toxic = [r[1] for r in got], np.array([r[2] == 1 for r in got], bool)
+    del got
+    m = train(texts, toxic)
+    yield pa.record_batch({"model": pa.array([pickle.dumps((m.p, m.shift, m.fitted))], pa.binary())})
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray], float, bool]:
+    """A model's parameters, its shift, and whether it is fitted. The sample is bounded, so one task holds it."""
+    # no row where Spark sees beforehand that nothing is drawn
+    for row in drawn(docs, labels).repartition(1).mapInArrow(trained, "model binary").collect():
+        return pickle.loads(row["model"])
+    m = train([], np.empty(0, bool))
+    return m.p, m.shift, m.fitted
+
+
 def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -411,9 +456,8 @@ def scored(docs: DataFrame, labels: DataFrame, with_text: bool = True, name: str
     """``docs`` with a score; its columns stay, the text too if asked."""
     spark = docs.sparkSession
     common.tune(spark)
-    model = train(*sample(docs, labels))
     place = docs.columns.index("text")
-    sent = spark.sparkContext.broadcast((model.p, model.shift, model.fitted))
+    sent = spark.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, shift, fitted = sent.value

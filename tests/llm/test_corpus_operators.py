@@ -442,6 +442,18 @@ def test_simhash_components(spark, seed, monkeypatch):
     assert len(set(zip(want, ours))) == len(set(want)) == len(set(ours))
 
 
+def test_components_leave_no_shuffles(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 65)], "u long, v long")
+    before = shuffled()
+    out = {r["u"]: r["root"] for r in simhash.components(chain).collect()}
+    assert out == dict.fromkeys(range(1, 65), 0)
+    assert shuffled() <= before
+
+
 def test_near_duplicates(spark):
     rows = corpus()
     rows += [(1000 + k, t) for k, (_, t) in enumerate(rows[:5])] + [(None, "x y")]
@@ -527,6 +539,24 @@ def plain_logit(p, x):
     return sum(a * s for a, s in zip(w / w.sum(), states, strict=True)) @ p["v"] + p["c"][0]
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda *_: pytest.fail("the driver trains"))
+    rows = [(i, f"w{i % 2} stuff w{i % 2} here {i}") for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    out = toxicity.score(frame(spark, rows), labels).collect()
+    assert len(out) == 160 and all((x["score"] >= toxicity.AT) == (x["doc_id"] % 2 == 1) for x in out)
+
+
+def test_toxicity_hashes_words_in_parts(monkeypatch):
+    some = [random.Random(i).choice(["", "é", "😀x"]) + f"word{i * 7919 % 101}" * (i % 3 + 1) for i in range(50)]
+    w, g, who = toxicity.features(some)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(toxicity, "HASHED", size)
+        words_, grams, n = toxicity.by_word(some)
+        assert np.array_equal(words_, w) and np.array_equal(grams, g[np.argsort(who, kind="stable")]) and np.array_equal(n, np.bincount(who))
+    assert [len(x) for x in toxicity.by_word([])] == [0, 0, 0]
+
+
 def test_toxicity_network_by_hand():
     rng = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in toxicity.fresh(rng, 5, 5).items()}
