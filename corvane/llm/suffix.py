@@ -9,6 +9,10 @@ Whole copies (texts of at least ``SPAN`` bytes that an earlier row holds, by SHA
 aren't cut: all their windows start earlier, and what they could show others the first of them shows. The other texts
 are written once in buckets of their id, so that later only what is asked or found of them travels.
 
+A large table is gone through in up to ``TURNS`` turns: texts are dealt out a share of the buckets at a time, and steps 1 to 4
+take a share of the picks at a time. What a turn shuffled is dropped before the next, so the disks hold one share of it beside
+the texts and what was found. Equal windows have one pick, so no turn needs to know of another.
+
 1. *Cut*: texts are cut into stretches; a task sends (pick, digest, place) only, packed, and keeps
    one of equal stretches of a block (copies of hot passages don't leave the task).
 2. *Meet*: per bucket, of equal stretches the earliest stays as representative, the others are
@@ -35,6 +39,7 @@ a hash of the text; texts shorter than ``SPAN`` bytes stay; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +54,14 @@ from corvane.operators.lineage import bucketed, reread
 
 SPAN, GRAM = 100, 32
 #: Bytes of text hashed at a time, and stretches packed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 BLOCK = 500_000
 #: A place of a pick takes 24 bits; longer texts are cut with overlap.
 LONGEST = 1 << 24
 #: Bytes of input whose stretches a bucket is meant to gather.
 BUCKET_BYTES = 48 << 20
+#: Bytes of texts from which another turn is taken, and turns at most.
+TURN_BYTES, TURNS = 128 << 20, 3
 #: Bytes of strings that are sorted at once; different strings from which a pick is dealt out by windows; windows a task holds.
 AT_ONCE, MOST_STRINGS, WINDOWS = 4 << 20, 1000, 200_000
 #: ``digest`` and ``more`` are halves of one digest.
@@ -300,8 +307,8 @@ def in_runs(rec: np.ndarray) -> np.ndarray:
     return np.concatenate([rest, out])
 
 
-def cut_texts(buckets: int):
-    """Arrow batches of (doc_id, text, mark) to packed stretches by bucket."""
+def cut_texts(buckets: int, turns: int = 1, turn: int = 0):
+    """Arrow batches of (doc_id, text, mark) to packed stretches by bucket; those whose picks have this turn."""
 
     def flush(recs: list[np.ndarray]) -> pa.RecordBatch:
         keys, sure, blobs = dealt(np.concatenate(recs), buckets)
@@ -317,6 +324,8 @@ def cut_texts(buckets: int):
             data = b"".join(texts)
             ends = np.cumsum([len(x) for x in texts])
             first, n, pick = stretches(np.frombuffer(data, np.uint8), ends, table)
+            mine = (pick >> np.uint64(8)) % np.uint64(turns) == turn  # other bits than those that name the bucket
+            first, n, pick = first[mine], n[mine], pick[mine]
             rec = np.empty(len(first), RECORD)
             view = memoryview(data)
             halves = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + SPAN - 1).tolist(), strict=True)]), "<u8").reshape(-1, 2)
@@ -518,12 +527,13 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.join(mixed, "doc_id", "left").select("doc_id", "text", F.when(F.col("mixed"), version).otherwise(0).cast("long").alias("mark"))
 
 
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, n_bytes`` of the rows whose text, of ``SPAN`` bytes at least, an earlier row holds."""
+def whole_copies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, mark, n_bytes`` of the rows whose text, of ``SPAN`` bytes at least, an earlier row holds; bytes of all such texts."""
     x = reread(docs.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("key")).where(F.col("n_bytes") >= SPAN))
     same = reread(x.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark")).alias("first")).where("n > 1"))
-    x = common.join_hot(x, same, "key", "n", x.count())
-    return reread(x.where("doc_id <> first.doc_id OR mark <> first.mark").select("doc_id", "mark", "n_bytes"))
+    rows, size = x.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    x = common.join_hot(x, same, "key", "n", rows)
+    return reread(x.where("doc_id <> first.doc_id OR mark <> first.mark").select("doc_id", "mark", "n_bytes")), size
 
 
 def dedup(docs: DataFrame, buckets: int | None = None, most_strings: int = MOST_STRINGS, at_once: int = AT_ONCE) -> DataFrame:
@@ -533,19 +543,27 @@ def dedup(docs: DataFrame, buckets: int | None = None, most_strings: int = MOST_
     buckets = buckets or common.buckets(docs, BUCKET_BYTES)
     docs = marked(common.documents(docs).where(F.col("doc_id").isNotNull()))
     row = ["doc_id", "mark"]
-    later = whole_copies(docs)
-    docs = docs.repartition(buckets, *row).join(later.hint("shuffle_hash"), row, "left_anti").select("doc_id", "text", "mark")
-    docs = bucketed(docs, buckets, *row)
-    packed = docs.mapInArrow(cut_texts(buckets), "bucket long, sure boolean, blob binary")
-    met = reread(packed.groupBy("bucket").applyInArrow(lambda t: meet(t, most_strings), "doc_id long, mark long, code long, route long, hot boolean"))
-
-    ask = met.where(F.col("route").isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("code", "route", "hot")).alias("asks"))
-    parts = docs.join(ask, row).select("doc_id", "text", "mark", "asks")
-    parts = parts.mapInArrow(fetch(buckets), "doc_id long, mark long, at long, route long, sure boolean, part binary")
-    parts = parts.withColumn("bucket", F.when(F.coalesce("sure", F.lit(False)), F.col("route") + buckets).otherwise(F.pmod(F.xxhash64("route"), F.lit(buckets))))
-    compared = parts.groupBy("bucket").applyInArrow(lambda t: compare(t, at_once), "doc_id long, mark long, code long")
-
-    gone = met.where(F.col("route").isNull()).select(*row, "code").unionByName(compared)
-    gone = gone.groupBy(*row).agg(F.collect_list("code").alias("codes"))
-    first = docs.join(gone, row, "left").select("doc_id", "text", "codes").mapInArrow(apply_runs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    later, size = whole_copies(docs)
+    turns = min(TURNS, 1 + size // TURN_BYTES)
+
+    def dealt_out(turn: int) -> DataFrame:
+        mine = F.pmod(F.hash(*row), F.lit(buckets)) % turns == turn
+        copies = later.where(mine).hint("shuffle_hash")
+        return docs.where(mine).repartition(buckets, *row).join(copies, row, "left_anti").select("doc_id", "text", "mark")
+
+    stored = bucketed((dealt_out(turn) for turn in range(turns)), buckets, *row)
+    found = []
+    for turn in range(turns):
+        packed = stored.mapInArrow(cut_texts(buckets, turns, turn), "bucket long, sure boolean, blob binary")
+        met = reread(packed.groupBy("bucket").applyInArrow(lambda t: meet(t, most_strings), "doc_id long, mark long, code long, route long, hot boolean"))
+
+        ask = met.where(F.col("route").isNotNull()).groupBy(*row).agg(F.collect_list(F.struct("code", "route", "hot")).alias("asks"))
+        parts = stored.join(ask.hint("shuffle_hash"), row).select("doc_id", "text", "mark", "asks")
+        parts = parts.mapInArrow(fetch(buckets), "doc_id long, mark long, at long, route long, sure boolean, part binary")
+        parts = parts.withColumn("bucket", F.when(F.coalesce("sure", F.lit(False)), F.col("route") + buckets).otherwise(F.pmod(F.xxhash64("route"), F.lit(buckets))))
+        compared = parts.groupBy("bucket").applyInArrow(lambda t: compare(t, at_once), "doc_id long, mark long, code long")
+        found += [met.where(F.col("route").isNull()).select(*row, "code"), reread(compared)]
+
+    gone = reduce(DataFrame.unionByName, found).groupBy(*row).agg(F.collect_list("code").alias("codes"))
+    first = stored.join(gone.hint("shuffle_hash"), row, "left").select("doc_id", "text", "codes").mapInArrow(apply_runs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return first.unionByName(later.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept")))

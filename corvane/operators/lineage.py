@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,12 +61,17 @@ def reread(df: DataFrame) -> DataFrame:
         return spark.read.schema(df.schema).parquet(written(df, compression="zstd"))
 
 
-def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
-    """As ``reread``, in buckets by hash of ``keys``: a join on just these moves only its other side. ``df`` should be dealt out in the same way."""
-    spark, name = df.sparkSession, f"rows_{uuid.uuid4().hex}"
-    with passing_shuffles(spark):
-        out = df.write.bucketBy(buckets, *keys).options(compression="zstd", path=f"{shared_folder(spark)}/{name}")
-        out.saveAsTable(name)
+def bucketed(turns: Iterable[DataFrame], buckets: int, *keys: str) -> DataFrame:
+    """The rows of all frames as ``reread`` gives them, in buckets by hash of ``keys``: a join on just these moves only its other side.
+
+    The frames are written one after the other, so what one shuffled is dropped before the next. Each should be dealt out in the same way.
+    """
+    name = f"rows_{uuid.uuid4().hex}"
+    for df in turns:
+        spark = df.sparkSession
+        with passing_shuffles(spark):
+            out = df.write.mode("append").bucketBy(buckets, *keys).options(compression="zstd", path=f"{shared_folder(spark)}/{name}")
+            out.saveAsTable(name)
     rows = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only; the files stay
     return rows

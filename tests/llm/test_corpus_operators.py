@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -191,6 +192,29 @@ def test_suffix_stores_each_text_once(spark):
     assert {k: v for k, v in spark.conf.getAll.items() if "fileCleanup" in k} == {k: v for k, v in set_before.items() if "fileCleanup" in k}
 
 
+def test_suffix_takes_turns(spark, monkeypatch):
+    """No step shuffles all texts or all stretches at a time, and turns together find what is found at once, hot picks too."""
+    monkeypatch.setattr(suffix, "TURN_BYTES", 1000, raising=False)
+    r = random.Random(11)
+    text = lambda n: "".join(r.choices(string.printable[:90], k=n))
+    passage = text(600)
+    rows = [(i, text(4000)) for i in range(150)]
+    for i in range(150, 200):
+        x = list(passage)
+        for p in r.sample(range(600), 3):
+            x[p] = "é"
+        rows.append((i, text(100) + "".join(x) + rows[i - 150][1][1000:1400]))
+    rows += [(300 + i, rows[i][1]) for i in range(20)] + [(7, rows[7][1]), (400, None), (401, "short")]
+    store = spark._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    past = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    out = suffix.dedup(frame(spark, rows), buckets=7, most_strings=5)
+    assert sorted({(r[0], r[1], r[2], r[3], bytes(r[4])) for r in out.collect()}) == removed(sorted(set(rows), key=lambda x: x[0]))
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    wrote = [s.shuffleWriteBytes() for s in map(stages().apply, range(stages().size())) if s.stageId() > past]
+    assert 0 < max(wrote) < 0.6 * sum(len(t or "") for _, t in rows)
+
+
 def by_hand(rows):
     """``doc_id, n_bytes, n_removed`` where rows of one doc_id may have several texts, ordered by their hash; equal rows are one text."""
     mark = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64))
